@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _FOLD_WIDTH = 256
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row.
+
+    An expression that a lambda mentions is evaluated again for each element; a
+    lambda's own variable is not. So arrays that lambdas index are bound here first.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def softmax(c: Column) -> Column:
-    top = F.array_max(c)
-    exps = F.transform(c, lambda v: F.exp(v.cast("double") - top.cast("double")))
-    total = F.aggregate(exps, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(exps, lambda v: v / total)
+    def scaled(exps: Column) -> Column:
+        total = F.aggregate(exps, F.lit(0.0), lambda acc, v: acc + v)
+        return let(total, lambda t: F.transform(exps, lambda v: v / t))
+
+    def exps(top: Column) -> Column:
+        return F.transform(c, lambda v: F.exp(v.cast("double") - top))
+
+    return let(let(F.array_max(c).cast("double"), exps), scaled)
 
 
 def argmax(c: Column) -> Column:
@@ -39,16 +54,25 @@ def running_starts(lengths: Column) -> Column:
             ),
         )
 
-    n = F.size(lengths)
-    stretches = F.transform(
-        F.sequence(F.lit(0), F.floor((n - 1) / _FOLD_WIDTH).cast("int")),
-        lambda k: fold(F.slice(lengths, k * _FOLD_WIDTH + 1, F.lit(_FOLD_WIDTH))),
-    )
-    bases = fold(F.transform(stretches, lambda s: s["total"]))["starts"]
-    shifted = F.zip_with(stretches, bases, lambda s, b: F.transform(s["starts"], lambda x: x + b))
-    return F.when(n <= 0, F.array().cast("array<int>")).when(
-        n <= _FOLD_WIDTH, fold(lengths)["starts"]
-    ).otherwise(F.flatten(shifted))
+    empty = F.array().cast("array<int>")
+
+    def by_stretch(values: Column) -> Column:
+        n = F.size(values)
+        stretches = F.transform(
+            F.sequence(F.lit(0), F.floor((n - 1) / _FOLD_WIDTH).cast("int")),
+            lambda k: fold(F.slice(values, k * _FOLD_WIDTH + 1, F.lit(_FOLD_WIDTH))),
+        )
+        shifted = let(
+            stretches,
+            lambda parts: F.zip_with(
+                parts,
+                fold(F.transform(parts, lambda s: s["total"]))["starts"],
+                lambda s, base: F.transform(s["starts"], lambda x: x + base),
+            ),
+        )
+        return F.when(n <= 0, empty).when(n <= _FOLD_WIDTH, fold(values)["starts"]).otherwise(F.flatten(shifted))
+
+    return let(lengths, by_stretch)
 
 
 def tag_type(tag: Column) -> Column:
@@ -68,22 +92,24 @@ def entity_chunks(tags: Column) -> Column:
         broken = before.isNull() | (before == "O") | (tag_type(before) != tag_type(tag))
         return (tag != "O") & (tag.startswith("B-") | broken)
 
-    positions = F.sequence(F.lit(0), F.size(tags) - 1)
-    begins = F.filter(positions, lambda i: opens(F.get(tags, i), F.get(tags, i - 1)))
-
-    def closes(i: Column) -> Column:
-        here, after = F.get(tags, i), F.get(tags, i + 1)
-        return (here != "O") & (after.isNull() | (after == "O") | opens(after, here))
-
-    ends = F.filter(positions, closes)
-    chunks = F.zip_with(
-        begins,
-        ends,
-        lambda b, e: F.struct(b.alias("begin"), e.alias("end"), tag_type(F.get(tags, b)).alias("type")),
-    )
-    return F.when(F.size(tags) > 0, chunks).otherwise(
-        F.array().cast("array<struct<begin:int,end:int,type:string>>")
-    )
+    def chunks(seq: Column) -> Column:
+        positions = F.sequence(F.lit(0), F.size(seq) - 1)
+
+        def closes(i: Column) -> Column:
+            here, after = F.get(seq, i), F.get(seq, i + 1)
+            return (here != "O") & (after.isNull() | (after == "O") | opens(after, here))
+
+        pairs = F.zip_with(
+            F.filter(positions, lambda i: opens(F.get(seq, i), F.get(seq, i - 1))),
+            F.filter(positions, closes),
+            lambda b, e: F.struct(
+                b.alias("begin"), e.alias("end"), tag_type(F.get(seq, b)).alias("type")
+            ),
+        )
+        none = F.array().cast("array<struct<begin:int,end:int,type:string>>")
+        return F.when(F.size(seq) > 0, pairs).otherwise(none)
+
+    return let(tags, chunks)
 
 
 def drop_masked(pred: Column, label: Column, mask: int = -100) -> Column:

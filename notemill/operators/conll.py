@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from notemill.functions import text as tx
+from notemill.functions.arrays import let
 from notemill.operators.ordered import running
 
 _MAX_TAGS = 100_000
@@ -87,14 +88,16 @@ def drop_empty_sentences(df: DataFrame) -> DataFrame:
 
 def drop_unencodable(df: DataFrame, lengths_col: str, parallel: Sequence[str]) -> DataFrame:
     """Remove positions of zero pieces from the lengths and from all parallel arrays."""
-    keep = F.filter(
-        F.sequence(F.lit(0), F.size(lengths_col) - 1),
-        lambda i: (i >= 0) & (F.get(F.col(lengths_col), i) > 0),
-    )
-    kept = df.withColumn("__keep", keep)
-    for name in [*parallel, lengths_col]:
-        kept = kept.withColumn(name, F.transform("__keep", lambda i, c=name: F.get(F.col(c), i)))
-    return kept.drop("__keep").filter(F.size(lengths_col) > 0)
+
+
+    def kept(values: Column) -> Column:
+        pairs = F.zip_with(values, lengths_col, lambda v, x: F.struct(v.alias("v"), x.alias("x")))
+        return F.transform(F.filter(pairs, lambda p: p["x"] > 0), lambda p: p["v"])
+
+    names = [*parallel, lengths_col]
+    rest = [c for c in df.columns if c not in names]
+    cleaned = df.select(*rest, *[kept(F.col(c)).alias(c) for c in names])
+    return cleaned.filter(F.size(lengths_col) > 0).select(*df.columns)
 
 
 def split_long_sentences(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from notemill.functions import text as tx
-from notemill.functions.arrays import pad_to
+from notemill.functions.arrays import let, pad_to
 from notemill.operators.ordered import hash_rank
 
 # The special entries that open every vocabulary.
@@ -38,7 +38,7 @@ def _ranked(counts: DataFrame, size: int) -> DataFrame:
     top = counts.orderBy(F.desc("n"), "token").limit(size)
     rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "token"))
     ranked = top.select("token", (rank + len(SPECIALS) - 1).cast("int").alias("token_id"), "n")
-    specials = df.sparkSession.createDataFrame(
+    specials = counts.sparkSession.createDataFrame(
         [(t, i, 0) for i, t in enumerate(SPECIALS)], "token string, token_id int, n bigint"
     )
     return specials.unionAll(ranked)
@@ -219,12 +219,15 @@ def encode_words(
 def align_labels(words: Column, tags: Column, first_piece_only: bool = False) -> Column:
     """Tag id of each piece's word; specials (NULL) get -100."""
 
-    def label(w: Column, i: Column) -> Column:
-        repeated = F.coalesce(F.get(words, i - 1) == w, F.lit(False))
-        masked = w.isNull() | repeated if first_piece_only else w.isNull()
-        return F.when(masked, F.lit(MASK)).otherwise(F.get(tags, w))
+    def labels(ids: Column, tag_ids: Column) -> Column:
+        def label(w: Column, i: Column) -> Column:
+            repeated = F.coalesce(F.get(ids, i - 1) == w, F.lit(False))
+            masked = w.isNull() | repeated if first_piece_only else w.isNull()
+            return F.when(masked, F.lit(MASK)).otherwise(F.get(tag_ids, w))
 
-    return F.transform(words, label)
+        return F.transform(ids, label)
+
+    return let(words, lambda ids: let(tags, lambda tag_ids: labels(ids, tag_ids)))
 
 
 def encode_ner(

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notemill.functions import text as tx
-from notemill.functions.arrays import running_starts
+from notemill.functions.arrays import let, running_starts
 
 _LINE = ["doc_id", "line_no"]
 
@@ -105,27 +105,27 @@ def label_token_spans(tokens: DataFrame, spans: DataFrame, compat: bool = False)
             ),
         )
 
-    # Ascending (position, -span_idx): the first cell of a position is the winner.
-    covered = F.array_sort(F.flatten(F.transform("__pieces", cells)))
-    won = F.filter(covered, lambda c, i: (i == 0) | (F.get(covered, i - 1)["pos"] != c["pos"]))
-    resolved = joined.withColumn("__won", won)
-    gap = F.flatten(
-        F.transform(
-            "__won",
-            lambda c, i: F.concat(
-                F.array_repeat(
-                    F.lit("O"),
-                    (c["pos"] - F.coalesce(F.get(F.col("__won"), i - 1)["pos"], F.lit(-1)) - 1).cast("int"),
-                ),
-                F.array(c["label"]),
-            ),
+    def winners(covered: Column) -> Column:
+        # Ascending (position, -span_idx): the first cell of a position is the winner.
+        return F.filter(
+            covered, lambda c, i: (i == 0) | (F.get(covered, i - 1)["pos"] != c["pos"])
+        )
+
+    def filled(won: Column) -> Column:
+        def with_gap(c: Column, i: Column) -> Column:
+            gap = c["pos"] - F.coalesce(F.get(won, i - 1)["pos"], F.lit(-1)) - 1
+            return F.concat(F.array_repeat(F.lit("O"), gap.cast("int")), F.array(c["label"]))
+
+        rest = n - 1 - F.coalesce(F.get(won, F.size(won) - 1)["pos"], F.lit(-1))
+        return F.concat(
+            F.flatten(F.transform(won, with_gap)), F.array_repeat(F.lit("O"), rest.cast("int"))
         )
+
+    covered = F.array_sort(F.flatten(F.transform("__pieces", cells)))
+    labels = F.when(F.col("__pieces").isNull(), F.array_repeat(F.lit("O"), n)).otherwise(
+        let(let(covered, winners), filled)
     )
-    reached = F.size(gap)
-    labels = F.when(
-        F.col("__won").isNull() | (F.size("__won") == 0), F.array_repeat(F.lit("O"), n)
-    ).otherwise(F.concat(gap, F.array_repeat(F.lit("O"), (n - reached).cast("int"))))
-    return resolved.select(*tokens.columns, labels.alias("labels"))
+    return joined.select(*tokens.columns, labels.alias("labels"))
 
 
 def token_span_text_violations(tokens: DataFrame, spans: DataFrame) -> DataFrame:
@@ -216,50 +216,55 @@ def words_in_line(line: Column, clips: Column) -> Column:
     """
     end = F.length(line) + 1
 
-    def winner(at: Column) -> Column:
+    def winner(clips: Column, at: Column) -> Column:
         return F.array_max(F.filter(clips, lambda c: (c["lo"] <= at) & (c["hi"] > at)))
 
-    def prefix(at: Column) -> Column:
-        top = winner(at)
-        return F.when(top["opens"] & (top["lo"] == at), F.lit("B-")).otherwise(F.lit("I-"))
+    def pieces(clips: Column) -> Column:
+        ends = F.concat(
+            F.array(F.lit(0)),
+            F.transform(clips, lambda c: c["lo"]),
+            F.transform(clips, lambda c: c["hi"]),
+        )
+        borders = F.filter(F.array_sort(F.array_distinct(ends)), lambda b: b < end)
+        typed = F.transform(
+            borders, lambda b: F.struct(b.alias("at"), winner(clips, b)["type"].alias("type"))
+        )
 
-    borders = F.array_sort(
-        F.array_distinct(
-            F.concat(
-                F.array(F.lit(0)),
-                F.transform(clips, lambda c: c["lo"]),
-                F.transform(clips, lambda c: F.least(c["hi"], end)),
+        def starts(parts: Column) -> Column:
+            return F.filter(
+                parts, lambda s, i: (i == 0) | ~s["type"].eqNullSafe(F.get(parts, i - 1)["type"])
             )
-        )
-    )
-    typed = F.transform(
-        F.filter(borders, lambda b: b < end),
-        lambda b: F.struct(b.alias("at"), winner(b)["type"].alias("type")),
-    )
-    starts = F.filter(
-        typed, lambda s, i: (i == 0) | ~s["type"].eqNullSafe(F.get(typed, i - 1)["type"])
-    )
 
-    def piece(s: Column, i: Column) -> Column:
-        until = F.coalesce(F.get(starts, i + 1)["at"], end)
-        return F.struct(
-            s["at"].alias("at"),
-            until.alias("until"),
-            s["type"].alias("type"),
-            tx.ws_split(F.substring(line, s["at"] + 1, until - s["at"])).alias("words"),
-        )
+        def cut(parts: Column) -> Column:
+            def piece(s: Column, i: Column) -> Column:
+                until = F.coalesce(F.get(parts, i + 1)["at"], end)
+                return F.struct(
+                    s["at"].alias("at"),
+                    until.alias("until"),
+                    s["type"].alias("type"),
+                    tx.ws_split(F.substring(line, s["at"] + 1, until - s["at"])).alias("words"),
+                )
 
-    def labelled(p: Column) -> Column:
-        def one(word: Column, k: Column) -> Column:
-            # The first word takes the label of the piece's first character, the last
-            # word that of its last character, the others that of its second.
-            at = F.when(k == 0, p["at"]).when(k == F.size(p["words"]) - 1, p["until"] - 1).otherwise(p["at"] + 1)
-            label = F.when(p["type"].isNull(), F.lit("O")).otherwise(F.concat(prefix(at), p["type"]))
-            return F.struct(word.alias("word"), label.alias("label"))
+            return F.transform(parts, piece)
 
-        return F.transform(p["words"], one)
+        def labelled(p: Column) -> Column:
+            def one(word: Column, k: Column) -> Column:
+                # The first word takes the label of the piece's first character, the last
+                # word that of its last character, the others that of its second.
+                at = F.when(k == 0, p["at"]).when(
+                    k == F.size(p["words"]) - 1, p["until"] - 1
+                ).otherwise(p["at"] + 1)
+                first = let(winner(clips, at), lambda c: c["opens"] & (c["lo"] == at))
+                label = F.when(p["type"].isNull(), F.lit("O")).otherwise(
+                    F.concat(F.when(first, F.lit("B-")).otherwise(F.lit("I-")), p["type"])
+                )
+                return F.struct(word.alias("word"), label.alias("label"))
 
-    return F.flatten(F.transform(F.transform(starts, piece), labelled))
+            return F.transform(p["words"], one)
+
+        return F.flatten(F.transform(let(let(typed, starts), cut), labelled))
+
+    return let(clips, pieces)
 
 
 def _sentences(df: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -288,14 +293,19 @@ def words_from_spans(lines: DataFrame, clipped: DataFrame) -> DataFrame:
     return _sentences(lines.join(per_line, _LINE, "left"), keep)
 
 
-def label_annotated_notes(notes: DataFrame) -> DataFrame:
+def label_annotated_notes(notes: DataFrame, skip_blank_types: bool = True) -> DataFrame:
     """Same result for notes that carry their own ``spans`` array, without any shuffle.
 
     An annotated file holds its text and its tags together, so every line finds its
     spans inside the row.
     """
     keep = [c for c in notes.columns if c not in ("text", "spans")]
-    lines = line_offsets(notes.withColumn("spans", F.filter("spans", lambda s: s["end"] > s["begin"])))
+
+    def usable(s: Column) -> Column:
+        long_enough = s["end"] > s["begin"]
+        return long_enough & ~tx.is_blank(s["type"]) if skip_blank_types else long_enough
+
+    lines = line_offsets(notes.withColumn("spans", F.filter("spans", usable)))
     start = F.col("line_start")
     stop = start + F.length("line") + 1
     near = F.filter("spans", lambda s: (s["begin"] < stop) & (s["end"] > start))

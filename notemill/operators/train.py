@@ -18,6 +18,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notemill.functions.arrays import let
 from notemill.operators.encode import text_pieces
 from notemill.operators.metrics import auc_binary, auc_or_zero, auc_ovr_macro, entity_scores, prefix_metrics, seq_cls_metrics
 
@@ -102,25 +103,28 @@ def _shape(token: Column) -> Column:
 def token_features(sentences: DataFrame, tokens: str, tags: str | None, key: list[str]) -> DataFrame:
     """One row per token with hashed-feature names: itself, shape, ending, neighbours."""
 
-    def features(token: Column, i: Column) -> Column:
-        before = F.coalesce(F.get(F.col(tokens), i - 1), F.lit("<s>"))
-        after = F.coalesce(F.get(F.col(tokens), i + 1), F.lit("</s>"))
-        return F.array(
-            F.concat(F.lit("w="), token),
-            F.concat(F.lit("s="), _shape(token)),
-            F.concat(F.lit("e="), F.right(token, F.lit(3))),
-            F.concat(F.lit("p="), _shape(before)),
-            F.concat(F.lit("n="), _shape(after)),
-        )
-
-    rows = F.transform(
-        tokens,
-        lambda t, i: F.struct(
-            i.alias("pos"), features(t, i).alias("pieces"),
-            (F.get(F.col(tags), i) if tags else F.lit(None).cast("int")).alias("tag_id"),
-        ),
+    def rows(words: Column) -> Column:
+        def row(token: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(words, i - 1), F.lit("<s>"))
+            after = F.coalesce(F.get(words, i + 1), F.lit("</s>"))
+            pieces = F.array(
+                F.concat(F.lit("w="), token),
+                F.concat(F.lit("s="), _shape(token)),
+                F.concat(F.lit("e="), F.right(token, F.lit(3))),
+                F.concat(F.lit("p="), _shape(before)),
+                F.concat(F.lit("n="), _shape(after)),
+            )
+            return F.struct(i.alias("pos"), pieces.alias("pieces"))
+
+        return F.transform(words, row)
+
+    tag_ids = F.col(tags) if tags else F.transform(tokens, lambda _: F.lit(None).cast("int"))
+    tagged = F.zip_with(
+        let(F.col(tokens), rows),
+        tag_ids,
+        lambda r, g: F.struct(r["pos"].alias("pos"), r["pieces"].alias("pieces"), g.alias("tag_id")),
     )
-    return sentences.select(*key, F.explode(rows).alias("r")).select(*key, "r.*")
+    return sentences.select(*key, F.explode(tagged).alias("r")).select(*key, "r.*")
 
 
 def fit_token_classifier(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from notemill.functions import text as tx
+from notemill.functions.arrays import let
 from notemill.operators.runs import dirs_with
 from notemill.operators.spans import token_lines
 
@@ -109,15 +110,25 @@ def _cut_sentences(df: DataFrame, names: Sequence[str], keep_open: bool) -> Data
 
     ``keep_open`` also takes what follows the last blank line.
     """
-    n = F.size("__lines")
-    positions = F.sequence(F.lit(0), n - 1)
-    blanks = F.filter(positions, lambda i: (i >= 0) & (i < n) & tx.is_blank(F.get(F.col("__lines"), i)))
-    closes = F.concat(blanks, F.array(n)) if keep_open else blanks
-    cut = df.withColumn("__closes", closes)
-    numbered = cut.select(*names, "__lines", "__closes", F.posexplode("__closes").alias("__k", "__stop"))
-    start = F.coalesce(F.get(F.col("__closes"), F.col("__k") - 1) + 1, F.lit(0))
-    tokens, labels = _tagged(F.slice("__lines", start + 1, F.col("__stop") - start))
-    return numbered.select(
+
+    def bounds(lines: Column) -> Column:
+        n = F.size(lines)
+        places = F.transform(lines, lambda x, i: F.when(tx.is_blank(x), i))
+        blanks = F.filter(places, lambda i: i.isNotNull())
+        closes = F.concat(blanks, F.array(n)) if keep_open else blanks
+        return let(
+            closes,
+            lambda c: F.transform(
+                c, lambda stop, k: F.struct(F.coalesce(F.get(c, k - 1) + 1, F.lit(0)).alias("start"), stop.alias("stop"))
+            ),
+        )
+
+    def sentences(lines: Column) -> Column:
+        return F.transform(bounds(lines), lambda b: F.slice(lines, b["start"] + 1, b["stop"] - b["start"]))
+
+    cut = df.select(*names, F.explode(let(F.col("__lines"), sentences)).alias("__sentence"))
+    tokens, labels = _tagged(F.col("__sentence"))
+    return cut.select(
         *names,
         F.monotonically_increasing_id().alias("sent_id"),
         tokens.alias("tokens"),
