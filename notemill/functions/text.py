@@ -54,8 +54,15 @@ def collapse_ws(c: Column) -> Column:
 
 
 def nonblank_tokens(c: Column) -> Column:
-    """Split on single spaces, drop what is only whitespace."""
-    return F.filter(F.split(c, " "), lambda t: strip(t) != "")
+    """Split on single spaces, drop what is only whitespace.
+
+    Between two tokens, blank tokens are whitespace that ends in a space, so one
+    separator pattern takes them in and no token needs a look of its own.
+    """
+    inner = strip(c)
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(
+        F.split(inner, f" (?:{SPACE_CLASS}* )?", -1)
+    )
 
 
 def normalise_newlines(c: Column) -> Column:

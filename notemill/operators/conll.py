@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from notemill.functions import text as tx
-from notemill.functions.arrays import let
 from notemill.operators.ordered import running
+from notemill.operators.rows import unroll
 
 _MAX_TAGS = 100_000
 
@@ -69,12 +69,12 @@ def decode_tags(df: DataFrame, tags: Sequence[str], id_col: str, out: str) -> Da
 
 def unseen_labels(df: DataFrame, vocab: DataFrame, tag_col: str = "labels") -> DataFrame:
     """Tags that the vocabulary lacks, with their number."""
-    found = df.select(F.explode(tag_col).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    found = unroll(df, [], tag_col, "tag").groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
     return found.join(vocab.select("tag"), "tag", "left_anti")
 
 
 def label_histogram(df: DataFrame, tag_col: str = "labels") -> DataFrame:
-    return df.select(F.explode(tag_col).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    return unroll(df, [], tag_col, "tag").groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 def label_format_violations(df: DataFrame, tag_col: str = "labels") -> DataFrame:
@@ -126,7 +126,7 @@ def split_long_sentences(
     starts = df.withColumn("__starts", F.concat(F.array(F.lit(0)), breaks))
     n = F.size(lengths_col)
     stop = F.coalesce(F.get(F.col("__starts"), F.col("part") + 1), n)
-    cut = starts.select(*df.columns, "__starts", F.posexplode("__starts").alias("part", "__from")).withColumn(
+    cut = unroll(starts, [*df.columns, "__starts"], "__starts", "__from", "part").withColumn(
         "__n", stop - F.col("__from")
     ).filter(F.col("__n") > 0)
     for name in [*parallel, lengths_col]:

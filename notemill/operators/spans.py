@@ -3,7 +3,8 @@
 Two flavours: spans over (line, token) positions, and spans over character offsets.
 Both end in one row per line with parallel ``tokens`` and ``labels`` arrays. A line
 meets its spans through an equi join on (doc_id, line_no); the spans of a line are
-first reduced to one per distinct range, so repeated annotations do not pile up.
+first reduced to one per distinct range and type, so repeated annotations do not
+pile up.
 """
 
 from __future__ import annotations
@@ -31,15 +32,17 @@ def drop_blank_type(spans: DataFrame) -> DataFrame:
 # --- token positions -----------------------------------------------------------
 
 
-def token_lines(notes: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(…, line_no, leading_space, tokens)``: one row per line, blank lines included."""
+def token_lines(notes: DataFrame, text_col: str = "text", keep_blank: bool = True) -> DataFrame:
+    """``(…, line_no, leading_space, tokens)``: one row per line."""
     rest = [c for c in notes.columns if c != text_col]
     lines = notes.select(*rest, F.posexplode(tx.text_lines(F.col(text_col))).alias("line_no", "line"))
+    if not keep_blank:
+        lines = lines.filter(~tx.is_blank(F.col("line")))
     return lines.select(
         *rest,
         "line_no",
         F.startswith("line", F.lit(" ")).alias("leading_space"),
-        tx.nonblank_tokens(tx.strip(F.col("line"))).alias("tokens"),
+        tx.nonblank_tokens(F.col("line")).alias("tokens"),
     )
 
 
@@ -71,11 +74,9 @@ def label_token_spans(tokens: DataFrame, spans: DataFrame, compat: bool = False)
     borders of multi-line spans.
     """
     ranges = ["lo", "hi", "opens", "closes"]
-    last = _pieces_by_line(spans).groupBy(*_LINE, *ranges).agg(
-        F.max(F.struct("span_idx", "type")).alias("top")
-    )
+    last = _pieces_by_line(spans).groupBy(*_LINE, *ranges, "type").agg(F.max("span_idx").alias("span_idx"))
     per_line = last.groupBy(*_LINE).agg(
-        F.collect_list(F.struct(*ranges, "top.span_idx", "top.type")).alias("__pieces")
+        F.collect_list(F.struct(*ranges, "span_idx", "type")).alias("__pieces")
     )
     joined = tokens.join(per_line, _LINE, "left")
     n = F.size("tokens")
@@ -157,7 +158,7 @@ def line_offsets(notes: DataFrame, text_col: str = "text") -> DataFrame:
     return exploded.select(*rest, "line_no", F.col("__row.line_start"), F.col("__row.line"))
 
 
-def clip_spans(lines: DataFrame, spans: DataFrame, stretch: int = 1024) -> DataFrame:
+def clip_spans(lines: DataFrame, spans: DataFrame, stretch_bits: int = 10) -> DataFrame:
     """Spans cut at line borders: ``(doc_id, line_no, lo, hi, opens, type, span_idx)``.
 
     ``spans`` hold 0-based ``begin`` and exclusive ``end`` offsets. Lines and spans
@@ -168,15 +169,18 @@ def clip_spans(lines: DataFrame, spans: DataFrame, stretch: int = 1024) -> DataF
         *_LINE, "line_start", (F.col("line_start") + F.length("line") + 1).alias("__end")
     )
 
+    def stretch(offset: Column) -> Column:
+        return F.shiftright(offset, stretch_bits)
+
     def stretches(first: Column, last: Column) -> Column:
-        return F.explode(F.sequence(F.floor(first / stretch), F.floor(last / stretch)))
+        return F.explode(F.sequence(stretch(first), stretch(last)))
 
     left = narrow.withColumn("__at", stretches(F.col("line_start"), F.col("__end") - 1))
     right = spans.filter(F.col("end") > F.col("begin")).select(
         "doc_id", "span_idx", "begin", "end", "type",
         stretches(F.col("begin"), F.col("end") - 1).alias("__at"),
     )
-    first_shared = F.greatest(F.floor(F.col("line_start") / stretch), F.floor(F.col("begin") / stretch))
+    first_shared = F.greatest(stretch(F.col("line_start")), stretch(F.col("begin")))
     meet = left.join(right, ["doc_id", "__at"]).filter(
         (F.col("begin") < F.col("__end"))
         & (F.col("end") > F.col("line_start"))
@@ -192,9 +196,9 @@ def clip_spans(lines: DataFrame, spans: DataFrame, stretch: int = 1024) -> DataF
     )
 
 
-def locate_offsets(lines: DataFrame, spans: DataFrame, stretch: int = 1024) -> DataFrame:
+def locate_offsets(lines: DataFrame, spans: DataFrame, stretch_bits: int = 10) -> DataFrame:
     """First and last (line, character) of each span, characters from 0 and inclusive."""
-    clipped = clip_spans(lines, spans, stretch)
+    clipped = clip_spans(lines, spans, stretch_bits)
     return clipped.groupBy("doc_id", "span_idx").agg(
         F.min(F.struct("line_no", "lo")).alias("__first"),
         F.max(F.struct("line_no", "hi")).alias("__last"),
@@ -273,7 +277,7 @@ def _sentences(df: DataFrame, keep: Sequence[str]) -> DataFrame:
         tx.ws_split(F.col("line")), lambda w: F.struct(w.alias("word"), F.lit("O").alias("label"))
     )
     words = F.when(F.coalesce(F.size("__clips"), F.lit(0)) > 0, words_in_line(F.col("line"), F.col("__clips")))
-    rows = df.withColumn("__words", words.otherwise(plain)).filter(F.size("__words") > 0)
+    rows = df.filter(~tx.is_blank(F.col("line"))).withColumn("__words", words.otherwise(plain))
     return rows.select(
         *keep,
         F.transform("__words", lambda w: w["word"]).alias("tokens"),
@@ -283,11 +287,9 @@ def _sentences(df: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 def words_from_spans(lines: DataFrame, clipped: DataFrame) -> DataFrame:
     """Lines with words and BIO labels, from spans clipped to lines."""
-    last = clipped.groupBy(*_LINE, "lo", "hi", "opens").agg(
-        F.max(F.struct("span_idx", "type")).alias("top")
-    )
+    last = clipped.groupBy(*_LINE, "lo", "hi", "opens", "type").agg(F.max("span_idx").alias("span_idx"))
     per_line = last.groupBy(*_LINE).agg(
-        F.collect_list(F.struct("top.span_idx", "lo", "hi", "opens", "top.type")).alias("__clips")
+        F.collect_list(F.struct("span_idx", "lo", "hi", "opens", "type")).alias("__clips")
     )
     keep = [c for c in lines.columns if c != "line"]
     return _sentences(lines.join(per_line, _LINE, "left"), keep)

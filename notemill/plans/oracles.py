@@ -281,7 +281,7 @@ best AS (
 _TASK = """CASE event_type WHEN 'view' THEN 'mimic-mp' WHEN 'click' THEN 'mednli' WHEN 'error' THEN 'ICD9-Triage'
            WHEN 'signup' THEN 'i2b2-2010-NER' ELSE 'mimic-note-category' END"""
 _MODEL = """CASE event_type WHEN 'view' THEN 'roberta-base' WHEN 'click' THEN 'tiny-bert'
-            WHEN 'error' THEN '2_anch_declutr_run' WHEN 'signup' THEN 'simcse-mimic' ELSE 'e' END"""
+            WHEN 'error' THEN '2_anch_declutr_run' WHEN 'signup' THEN 'simcse-mimic' ELSE 'custom_pretraining-7' END"""
 _NAMED = f"""
 named AS (
   SELECT event_id, ts, value, {_TASK} AS task, {_MODEL} AS model,
@@ -397,7 +397,7 @@ SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(first_pos AS INTEGER) A
 SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(first_pos AS INTEGER) AS first_pos,
        CAST(last_pos AS INTEGER) AS last_pos, type, text FROM chunks WHERE type = 'NAME'""",
     "attach_spans": "WITH " + _CHAR_SPANS + """
-SELECT d.doc_id, d.lang, s."begin", s.type FROM documents d LEFT JOIN char_spans s ON s.doc_id = d.doc_id""",
+SELECT d.doc_id, d.lang, coalesce(s."begin", -1) AS "begin", s.type FROM documents d LEFT JOIN char_spans s ON s.doc_id = d.doc_id""",
     "bio_token_spans": "WITH " + _BIO + """
 SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(pos AS INTEGER) AS pos, token, label FROM bio""",
     "bio_char_spans": _CHAR_WORDS,
@@ -491,7 +491,7 @@ FROM steps WHERE i > 0 GROUP BY doc_id, line_no, part""",
     "encode_text": _encoded(480) + """
 SELECT doc_id, CAST(n_pieces AS INTEGER) AS n_pieces, CAST(pos AS INTEGER) AS pos, input_id FROM encoded""",
     "encode_words": _CODED + """
-SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(pos AS INTEGER) AS pos, input_id, CAST(word_id AS INTEGER) AS word_id FROM coded""",
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(pos AS INTEGER) AS pos, input_id, CAST(coalesce(word_id, -1) AS INTEGER) AS word_id FROM coded""",
     "encode_pair_lengths": "WITH " + _PAIRS + "SELECT conv_id, turn, a, b, keep_a, keep_b FROM budget",
     "encode_pair": "WITH " + _VOCAB + "," + _PAIRS + """,
 both_sides AS (

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from notemill.functions import arrays, naming
 from notemill.operators import accounting as acc
 from notemill.operators import conll, encode, metrics, runs, sampling, spans, train
+from notemill.operators.rows import unroll
 from notemill.plans import flows
 from notemill.plans import standins as st
 from notemill.runtime import fresh_path
@@ -132,7 +133,7 @@ def id_set_mismatch(spark, sf):
 
 @query
 def sentences_by_group(spark, sf):
-    rows = st.token_lines(spark, sf).filter(F.size("tokens") > 0)
+    rows = st.token_lines(spark, sf, keep_blank=False)
     ordered = sampling.sentences_by_group(rows, st.split_by_source(spark, sf), "source", "doc_id", "line_no")
     return ordered.groupBy("split", "source").agg(
         F.count(F.lit(1)).alias("n_sentences"), F.sum(F.size("tokens")).alias("n_tokens")
@@ -145,7 +146,7 @@ def sentences_by_group(spark, sf):
 @query
 def token_grid(spark, sf):
     lines = st.token_lines(spark, sf)
-    return lines.select("doc_id", "line_no", "leading_space", F.posexplode("tokens").alias("pos", "token"))
+    return unroll(lines, ["doc_id", "line_no", "leading_space"], "tokens", "token", "pos")
 
 
 @query
@@ -176,7 +177,7 @@ def attach_spans(spark, sf):
     """Notes with their spans; notes without any stay."""
     notes = st.notes(spark, sf).select("doc_id", "lang")
     attached = spans.attach_spans(notes, st.char_spans(spark, sf))
-    return attached.select("doc_id", "lang", "begin", "type")
+    return attached.select("doc_id", "lang", F.coalesce("begin", F.lit(-1)).alias("begin"), "type")
 
 
 @query
@@ -307,7 +308,7 @@ def label_histogram(spark, sf):
 @query
 def unseen_labels(spark, sf):
     """Types by the first three letters of a name: those that training lacks."""
-    lines = st.token_lines(spark, sf).filter(F.size("tokens") > 0)
+    lines = st.token_lines(spark, sf, keep_blank=False)
     tag = F.transform(
         "tokens",
         lambda t: F.when(F.rlike(t, F.lit(st.NAME_TOKEN)), F.concat(F.lit("B-"), F.substring(t, 1, 3))).otherwise("O"),
@@ -327,8 +328,7 @@ def conll_roundtrip(spark, sf):
     path = fresh_path(spark, "conll")
     writers.write_conll(st.labelled_splits(spark, sf), path, order=["doc_id", "line_no"])
     back = readers.read_conll(spark, path)
-    per = back.select(F.lit(1).alias("one"), "split", F.explode("ner_tags_str").alias("tag"))
-    return per.groupBy("split", "tag").agg(F.count(F.lit(1)).alias("n"))
+    return unroll(back, ["split"], "ner_tags_str", "tag").groupBy("split", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -337,7 +337,7 @@ def dataset_roundtrip(spark, sf):
     flows.build_ner_dataset(st.labelled_splits(spark, sf), path)
     stored = readers.read_dataset(spark, path)
     tags = readers.read_tags(spark, path)
-    rows = stored.select("split", F.explode("ner_tags").alias("tag_id")).groupBy("split", "tag_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = unroll(stored, ["split"], "ner_tags", "tag_id").groupBy("split", "tag_id").agg(F.count(F.lit(1)).alias("n"))
     return rows.join(tags, "tag_id").select("split", "tag", "tag_id", "n")
 
 
@@ -386,15 +386,15 @@ def word_vocab(spark, sf):
 @query
 def encode_text(spark, sf):
     coded = encode.encode_text(st.notes(spark, sf).select("doc_id", "text"), "text", _vocab(spark, sf))
-    return coded.select("doc_id", "n_pieces", F.posexplode("input_ids").alias("pos", "input_id"))
+    return unroll(coded, ["doc_id", "n_pieces"], "input_ids", "input_id", "pos")
 
 
 @query
 def encode_words(spark, sf):
-    lines = st.token_lines(spark, sf).filter(F.size("tokens") > 0)
+    lines = st.token_lines(spark, sf, keep_blank=False)
     coded = encode.encode_words(lines, "tokens", _vocab(spark, sf), max_length=48)
     rows = coded.select("doc_id", "line_no", F.posexplode(F.arrays_zip("input_ids", "word_ids")).alias("pos", "t"))
-    return rows.select("doc_id", "line_no", "pos", F.col("t.input_ids").alias("input_id"), F.col("t.word_ids").alias("word_id"))
+    return rows.select("doc_id", "line_no", "pos", F.col("t.input_ids").alias("input_id"), F.coalesce("t.word_ids", F.lit(-1)).alias("word_id"))
 
 
 @query
@@ -420,7 +420,7 @@ def encode_pair_lengths(spark, sf):
 def encode_pair(spark, sf):
     pairs = st.turn_pairs(spark, sf)
     coded = encode.encode_pair(pairs, "sentence1", "sentence2", _vocab(spark, sf), max_length=64)
-    return coded.select("conv_id", "turn", F.posexplode("input_ids").alias("pos", "input_id"))
+    return unroll(coded, ["conv_id", "turn"], "input_ids", "input_id", "pos")
 
 
 @query
@@ -458,13 +458,13 @@ def _aligned(spark, sf, first_piece_only=False):
 @query
 def align_labels(spark, sf):
     rows = _aligned(spark, sf)
-    return rows.select("doc_id", "line_no", F.posexplode("piece_labels").alias("pos", "label_id"))
+    return unroll(rows, ["doc_id", "line_no"], "piece_labels", "label_id", "pos")
 
 
 @query
 def align_first_pieces(spark, sf):
     rows = _aligned(spark, sf, first_piece_only=True)
-    return rows.select(F.explode("piece_labels").alias("label_id")).groupBy("label_id").agg(F.count(F.lit(1)).alias("n"))
+    return unroll(rows, [], "piece_labels", "label_id").groupBy("label_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query

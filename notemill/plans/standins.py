@@ -14,7 +14,9 @@ from notemill.functions import text as tx
 from notemill.functions.arrays import entity_chunks, let, running_starts
 from notemill.operators import spans as sp
 from notemill.operators.ordered import running
+from notemill.operators.rows import unroll
 from notemill.operators.sampling import assign_split, group_split
+from notemill.runtime import spread
 
 # Patterns in the part of the syntax that Java and RE2 read alike.
 EMAIL_TOKEN = "[A-Za-z0-9]@[A-Za-z0-9]"
@@ -31,31 +33,25 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def notes(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
 
 
-def token_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return sp.token_lines(notes(spark, sf))
-
-
-def _kind(token: Column) -> Column:
-    return (
-        F.when(F.rlike(token, F.lit(EMAIL_TOKEN)), F.lit("EMAIL"))
-        .when(F.rlike(token, F.lit(IP_TOKEN)), F.lit("IP"))
-        .when(F.rlike(token, F.lit(NUM_TOKEN)), F.lit("NUM"))
-        .when(F.rlike(token, F.lit(NAME_TOKEN)), F.lit("NAME"))
-    )
+def token_lines(spark: SparkSession, sf: str, keep_blank: bool = True) -> DataFrame:
+    return sp.token_lines(notes(spark, sf), keep_blank=keep_blank)
 
 
 def rough_tags(tokens: str = "tokens") -> Column:
     """Each personal-data token a chunk of its own, runs of capitalised tokens one chunk."""
 
     def tag(token: Column) -> Column:
-        return let(
-            _kind(token),
-            lambda k: F.when(k.isNull(), F.lit("O"))
-            .when(k == "NAME", F.lit("I-NAME"))
-            .otherwise(F.concat(F.lit("B-"), k)),
+        # Most tokens have no sign of interest: one pattern turns them down.
+        return (
+            F.when(~F.rlike(token, F.lit("[0-9@]|^[A-Z]")), F.lit("O"))
+            .when(F.rlike(token, F.lit(EMAIL_TOKEN)), F.lit("B-EMAIL"))
+            .when(F.rlike(token, F.lit(IP_TOKEN)), F.lit("B-IP"))
+            .when(F.rlike(token, F.lit(NUM_TOKEN)), F.lit("B-NUM"))
+            .when(F.rlike(token, F.lit(NAME_TOKEN)), F.lit("I-NAME"))
+            .otherwise(F.lit("O"))
         )
 
     return F.transform(tokens, tag)
@@ -115,7 +111,7 @@ def token_spans(spark: SparkSession, sf: str) -> DataFrame:
         tx.text_lines(F.col("text")),
         lambda x: F.struct(
             F.when(F.startswith(x, F.lit(" ")), 1).otherwise(0).alias("shift"),
-            tx.nonblank_tokens(tx.strip(x)).alias("tokens"),
+            tx.nonblank_tokens(x).alias("tokens"),
         ),
     )
     over = notes(spark, sf).select("doc_id", F.explode(let(split, wraps)).alias("w")).select(
@@ -133,7 +129,7 @@ def token_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
     """Token lines with BIO labels; lines without tokens left out."""
-    lines = token_lines(spark, sf).filter(F.size("tokens") > 0)
+    lines = token_lines(spark, sf, keep_blank=False)
     return sp.label_token_spans(lines, token_spans(spark, sf))
 
 
@@ -184,7 +180,7 @@ def _char_type(hit: Column) -> Column:
 
 
 def char_spans(spark: SparkSession, sf: str) -> DataFrame:
-    return annotated_notes(spark, sf).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+    return unroll(annotated_notes(spark, sf), ["doc_id"], "spans", "s").select("doc_id", "s.*")
 
 
 def annotation_files(spark: SparkSession, sf: str) -> DataFrame:

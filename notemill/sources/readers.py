@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from notemill.functions import text as tx
 from notemill.functions.arrays import let
+from notemill.operators.rows import unroll
 from notemill.operators.runs import dirs_with
 from notemill.operators.spans import token_lines
 
@@ -187,30 +188,24 @@ def parse_span_xml(
     body = F.substring_index(F.substring(whole, F.instr(whole, BODY_OPEN) + len(BODY_OPEN), F.length(whole)), BODY_CLOSE, 1)
     section = F.regexp_extract(whole, r"(?s)<TAGS>.*</TAGS>|<TAGS\s*/>", 0)
     section = F.regexp_replace(section, r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9a-fA-F]+);)", "&amp;")
+    # The wanted elements take one common name, which keeps their order over all names.
+    names = r"(?!TAGS\b)[\w.-]+" if tags == "*" else "|".join([tags] if isinstance(tags, str) else tags)
+    section = F.regexp_replace(section, rf"<(/?)(?:{names})(?=[\s/>])", "<$1TAG")
     split = files.select(*rest, body.alias("text"), section.alias("__tags"))
 
-    def attribute(name: str) -> Column:
-        wanted = ["*"] if tags == "*" else ([tags] if isinstance(tags, str) else list(tags))
-        steps = " | ".join(f"TAGS/{tag}/@{name}" for tag in wanted)
-        return F.when(F.col("__tags") != "", F.xpath("__tags", F.lit(steps)))
-
-    attributes = F.arrays_zip(
-        attribute("start").alias("start"),
-        attribute("end").alias("end"),
-        attribute(type_attr).alias("type"),
-        attribute("text").alias("stated"),
-    )
+    element = f"STRUCT<_start: INT, _end: INT, _{type_attr}: STRING, _text: STRING>"
+    parsed = F.from_xml("__tags", f"STRUCT<TAG: ARRAY<{element}>>")
     spans = F.transform(
-        attributes,
+        F.coalesce(F.col("__parsed.TAG"), F.array().cast(f"ARRAY<{element}>")),
         lambda a, i: F.struct(
             i.alias("span_idx"),
-            a["start"].cast("int").alias("begin"),
-            a["end"].cast("int").alias("end"),
-            a["type"].alias("type"),
-            tx.collapse_ws(a["stated"]).alias("stated"),
+            a["_start"].alias("begin"),
+            a["_end"].alias("end"),
+            a[f"_{type_attr}"].alias("type"),
+            tx.collapse_ws(a["_text"]).alias("stated"),
         ),
     )
-    return split.select(*rest, "text", spans.alias("spans"))
+    return split.withColumn("__parsed", parsed).select(*rest, "text", spans.alias("spans"))
 
 
 def read_span_xml(
@@ -222,7 +217,7 @@ def read_span_xml(
 
 def stand_off(notes: DataFrame) -> DataFrame:
     """The spans of annotated notes as a flat table."""
-    return notes.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+    return unroll(notes, ["doc_id"], "spans", "s").select("doc_id", "s.*")
 
 
 def read_accounting(spark: SparkSession, path: str) -> DataFrame:

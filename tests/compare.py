@@ -28,7 +28,7 @@ def _plain(frame: pd.DataFrame) -> list[tuple]:
     names = sorted(frame.columns)
     rows = []
     for row in frame[names].itertuples(index=False, name=None):
-        rows.append(tuple(None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v for v in row))
+        rows.append(tuple(None if pd.isna(v) else v for v in row))
     return sorted(rows, key=lambda r: tuple((v is None, str(type(v).__name__ == "str"), v if v is not None else 0) for v in r))
 
 

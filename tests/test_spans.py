@@ -96,7 +96,7 @@ def both_ways(spark, text, rows):
     notes = spark.createDataFrame([("d", text)], "doc_id string, text string")
     spans = char_spans(spark, rows)
     lines = sp.line_offsets(notes)
-    joined = words(sp.words_from_spans(lines, sp.clip_spans(lines, spans, stretch=8)))
+    joined = words(sp.words_from_spans(lines, sp.clip_spans(lines, spans, stretch_bits=3)))
     packed = spans.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("span_idx", "begin", "end", "type", "stated"))).alias("spans")
     )
@@ -179,7 +179,7 @@ def test_char_spans_against_characters(spark):
         spans, "doc_id int, span_idx int, begin int, end int, type string, stated string"
     )
     lines = sp.line_offsets(notes)
-    by_join = sp.words_from_spans(lines, sp.clip_spans(lines, table, stretch=8))
+    by_join = sp.words_from_spans(lines, sp.clip_spans(lines, table, stretch_bits=3))
     packed = table.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("span_idx", "begin", "end", "type", "stated"))).alias("spans")
     )
