@@ -28,8 +28,8 @@ SPACE_CLASS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 
-# A piece of a word in word mode: a run of letters and digits, or one other sign.
-PIECE_PATTERN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]"
+# A piece in word mode: a run of letters and digits, or one other sign but whitespace.
+PIECE_PATTERN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}" + SPACE_CLASS[1:]
 
 
 def strip(c: Column) -> Column:
@@ -78,7 +78,7 @@ def text_lines(c: Column) -> Column:
 
 
 def word_pieces(c: Column) -> Column:
-    """Word-mode pieces of one word, or of a whole text after ``ws_split``."""
+    """Word-mode pieces of a word or of a whole text."""
     return F.regexp_extract_all(c, F.lit(PIECE_PATTERN), 0)
 
 

@@ -26,11 +26,6 @@ MASK = -100
 MAX_VOCAB = 500_000
 
 
-def text_pieces(c: Column) -> Column:
-    """Word-mode pieces of a whole text."""
-    return F.flatten(F.transform(tx.ws_split(c), tx.word_pieces))
-
-
 def _ranked(counts: DataFrame, size: int) -> DataFrame:
     """Specials, then the ``size`` most frequent of ``(token, n)``, with ids."""
     if size > MAX_VOCAB:
@@ -47,7 +42,7 @@ def _ranked(counts: DataFrame, size: int) -> DataFrame:
 def build_vocab(df: DataFrame, text_col: str, size: int = 30_000, min_count: int = 1) -> DataFrame:
     """``(token, token_id, n)``: specials, then the most frequent pieces."""
     counts = (
-        df.select(F.explode(text_pieces(F.col(text_col))).alias("token"))
+        df.select(F.explode(tx.word_pieces(F.col(text_col))).alias("token"))
         .groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     )
     return _ranked(counts.filter(F.col("n") >= min_count), size)
@@ -62,7 +57,7 @@ def build_piece_vocab(
     vocabulary and not once per word of the corpus.
     """
     words = (
-        df.select(F.explode(text_pieces(F.col(text_col))).alias("word"))
+        df.select(F.explode(tx.word_pieces(F.col(text_col))).alias("word"))
         .groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     )
     n = F.length("word")
@@ -153,7 +148,7 @@ def _framed(ids: Column) -> Column:
 
 
 def _piece_ids(c: Column, tokens: Sequence[str], subwords: bool) -> Column:
-    pieces = text_pieces(c)
+    pieces = tx.word_pieces(c)
     return F.flatten(lookup_pieces(tokens)(pieces)) if subwords else lookup_ids(tokens)(pieces)
 
 

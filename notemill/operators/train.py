@@ -5,6 +5,7 @@ Fits run as distributed jobs of ``spark.ml``; only model coefficients reach the
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Callable
@@ -19,8 +20,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notemill.functions.arrays import let
-from notemill.operators.encode import text_pieces
-from notemill.operators.metrics import auc_binary, auc_or_zero, auc_ovr_macro, entity_scores, prefix_metrics, seq_cls_metrics
+from notemill.functions.text import word_pieces
+from notemill.operators.metrics import (
+    auc_binary,
+    auc_or_zero,
+    auc_ovr_macro,
+    entity_scores,
+    prefix_metrics,
+    seq_cls_metrics,
+)
+from notemill.runtime import stage
 
 
 def _regression(label: str, max_iter: int, **params) -> LogisticRegression:
@@ -53,7 +62,7 @@ def fit_text_classifier(
 
 
 def with_pieces(df: DataFrame, text_col: str) -> DataFrame:
-    return df.withColumn("pieces", text_pieces(F.col(text_col)))
+    return df.withColumn("pieces", word_pieces(F.col(text_col)))
 
 
 def score(model, df: DataFrame) -> DataFrame:
@@ -67,14 +76,27 @@ def score(model, df: DataFrame) -> DataFrame:
     )
 
 
+def n_classes(model) -> int:
+    return (model.stages[-1] if isinstance(model, PipelineModel) else model).numClasses
+
+
 def evaluate_splits(model, splits: dict[str, DataFrame], label_col: str) -> DataFrame:
-    """Sequence metrics of each split, with the split in the names (``eval_…``, ``test_…``)."""
-    out = None
-    for prefix, df in splits.items():
-        row = prefix_metrics(seq_cls_metrics(score(model, df), "logits", label_col), prefix)
-        # One row per split: names differ, so a union and a max bring them together.
-        out = row if out is None else out.unionByName(row, allowMissingColumns=True)
-    return out.agg(*[F.max(c).alias(c) for c in out.columns])
+    """Sequence metrics of each split, with the split in the names (``eval_…``, ``test_…``).
+
+    Rows are scored once; the metrics then read the stored logits.
+    """
+    parts = [
+        score(model, df).select(F.lit(name).alias("__part"), F.col(label_col).alias("label"), "logits")
+        for name, df in splits.items()
+    ]
+    scored = stage(functools.reduce(DataFrame.unionByName, parts), "scored")
+    rows = [
+        prefix_metrics(seq_cls_metrics(scored.filter(F.col("__part") == name), "logits", "label", n_classes(model)), name)
+        for name in splits
+    ]
+    # One row per split under names of its own: a union and a max bring them together.
+    both = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def fit_linear_probe(
@@ -193,8 +215,8 @@ def pending_trials(trials: DataFrame, done: DataFrame | None) -> DataFrame:
     return trials if done is None else trials.join(done.select("study", "trial"), ["study", "trial"], "left_anti")
 
 
-def roc_auc(scored: DataFrame, label_col: str, n_classes: int) -> float:
-    if n_classes == 2:
+def roc_auc(scored: DataFrame, label_col: str, classes: int) -> float:
+    if classes == 2:
         auc = auc_binary(scored.withColumn("__s", F.get(F.col("probs"), F.lit(1))), "__s", label_col)
     else:
         auc = auc_ovr_macro(scored, "probs", label_col)
@@ -205,7 +227,7 @@ def search(
     fit: Callable[[dict], object],
     validation: DataFrame,
     label_col: str,
-    n_classes: int,
+    classes: int,
     space: dict[str, tuple],
     study: str,
     n_trials: int = 20,
@@ -229,7 +251,7 @@ def search(
 
     def run(row: dict) -> dict:
         params = {k: v for k, v in row.items() if k not in ("study", "trial")}
-        return {**row, "roc_auc_macro": float(roc_auc(score(fit(params), validation), label_col, n_classes))}
+        return {**row, "roc_auc_macro": float(roc_auc(score(fit(params), validation), label_col, classes))}
 
     pool = ThreadPool(parallelism)
     try:

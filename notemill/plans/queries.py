@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notemill.functions import arrays, naming
+from notemill.functions.text import word_pieces
 from notemill.operators import accounting as acc
 from notemill.operators import conll, encode, metrics, runs, sampling, spans, train
 from notemill.operators.rows import unroll
 from notemill.plans import flows
 from notemill.plans import standins as st
-from notemill.runtime import fresh_path
+from notemill.runtime import fresh_path, stage
 from notemill.sources import catalog, readers, writers
 from notemill.streaming import monitor
 
@@ -293,7 +294,7 @@ def tag_count(spark, sf):
 
 @query
 def tag_encode(spark, sf):
-    rows = st.labelled(spark, sf)
+    rows = stage(st.labelled(spark, sf), "labelled")
     tags = conll.tag_list(conll.tag_vocab(rows))
     coded = conll.decode_tags(conll.encode_tags(rows, tags), tags, "ner_tags", "names")
     out = coded.select("doc_id", "line_no", F.posexplode(F.arrays_zip("ner_tags", "names")).alias("pos", "t"))
@@ -409,8 +410,8 @@ def encode_subwords(spark, sf):
 @query
 def encode_pair_lengths(spark, sf):
     pairs = st.turn_pairs(spark, sf)
-    sized = pairs.withColumn("a", F.size(encode.text_pieces(F.col("sentence1")))).withColumn(
-        "b", F.size(encode.text_pieces(F.col("sentence2")))
+    sized = pairs.withColumn("a", F.size(word_pieces(F.col("sentence1")))).withColumn(
+        "b", F.size(word_pieces(F.col("sentence2")))
     )
     keep_a, keep_b = encode.pair_budget(F.col("a"), F.col("b"), 64)
     return sized.select("conv_id", "turn", "a", "b", keep_a.alias("keep_a"), keep_b.alias("keep_b"))
@@ -449,7 +450,7 @@ def decode_text(spark, sf):
 
 
 def _aligned(spark, sf, first_piece_only=False):
-    rows = st.labelled(spark, sf)
+    rows = stage(st.labelled(spark, sf), "labelled")
     tags = conll.tag_list(conll.tag_vocab(rows))
     coded = conll.encode_tags(rows, tags)
     return encode.encode_ner(coded, _vocab(spark, sf), max_length=48, first_piece_only=first_piece_only)
@@ -715,7 +716,7 @@ def accounting_join(spark, sf):
 @query
 def linear_probe(spark, sf):
     rows = st.table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
-    halves = sampling.halve_split(rows, "vec_id", names=("train", "test"))
+    halves = stage(sampling.halve_split(rows, "vec_id", names=("train", "test")), "vectors")
     model = train.fit_linear_probe(halves.filter(F.col("split") == "train"), "embedding", "label")
     test = train.as_features(halves.filter(F.col("split") == "test"), "embedding")
     return train.evaluate_splits(model, {"test": test}, "label")
@@ -734,7 +735,7 @@ def token_classifier(spark, sf):
 @query
 def search_trials(spark, sf):
     rows = st.table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
-    halves = sampling.halve_split(rows, "vec_id", names=("train", "validation"))
+    halves = stage(sampling.halve_split(rows, "vec_id", names=("train", "validation")), "vectors")
     parts = {s: train.as_features(halves.filter(F.col("split") == s), "embedding") for s in ("train", "validation")}
 
     def fit(params: dict):

@@ -254,7 +254,7 @@ def tensors(spark: SparkSession, sf: str) -> DataFrame:
 
 def classification_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled documents: doc_id, text, quality, toxic, n_chars."""
-    documents = table(spark, sf, "documents").select("doc_id", "text", "n_chars")
+    documents = spread(table(spark, sf, "documents").select("doc_id", "text", "n_chars"), "doc_id")
     return documents.join(table(spark, sf, "labels"), "doc_id")
 
 

@@ -37,3 +37,13 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     parts = df.rdd.getNumPartitions()
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if parts >= cores else df.repartition(min(cores, 8 * parts), key)
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several jobs read to the shared folder, and read it back.
+
+    Later jobs neither recompute it nor depend on the executors that made it.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
