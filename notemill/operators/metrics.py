@@ -163,14 +163,16 @@ def entity_scores(df: DataFrame, true_col: str, pred_col: str) -> DataFrame:
     Chunks of one sequence are compared inside its row, so only four sums travel.
     """
     true, pred = entity_chunks(F.col(true_col)), entity_chunks(F.col(pred_col))
-    chunks = df.select(true.alias("t"), pred.alias("p"), true_col, pred_col)
-    same = F.size(F.filter(F.zip_with(true_col, pred_col, lambda a, b: a == b), lambda x: x))
+    chunks = df.select(
+        true.alias("__t"), pred.alias("__p"), F.col(true_col).alias("__tags"), F.col(pred_col).alias("__guess")
+    )
+    same = F.size(F.filter(F.zip_with("__tags", "__guess", lambda a, b: a == b), lambda x: x))
     counts = chunks.select(
-        F.size(F.array_intersect("t", "p")).alias("hits"),
-        F.size("t").alias("true"),
-        F.size("p").alias("pred"),
+        F.size(F.array_intersect("__t", "__p")).alias("hits"),
+        F.size("__t").alias("true"),
+        F.size("__p").alias("pred"),
         same.alias("same"),
-        F.size(true_col).alias("tokens"),
+        F.size("__tags").alias("tokens"),
     )
     sums = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts.columns])
     return sums.select(
