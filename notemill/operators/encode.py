@@ -24,13 +24,17 @@ SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]"]
 PAD, UNK, CLS, SEP = range(4)
 MASK = -100
 MAX_VOCAB = 500_000
+_SALTS = 64
 
 
 def _ranked(counts: DataFrame, size: int) -> DataFrame:
     """Specials, then the ``size`` most frequent of ``(token, n)``, with ids."""
     if size > MAX_VOCAB:
         raise ValueError(f"a vocabulary of {size} entries is too large to send to tasks")
-    top = counts.orderBy(F.desc("n"), "token").limit(size)
+    # Two levels, so the task that merges sees at most ``size`` rows per salt.
+    parts = Window.partitionBy(F.pmod(F.xxhash64("token"), F.lit(_SALTS))).orderBy(F.desc("n"), "token")
+    survivors = counts.withColumn("__r", F.row_number().over(parts)).filter(F.col("__r") <= size).drop("__r")
+    top = survivors.orderBy(F.desc("n"), "token").limit(size)
     rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "token"))
     ranked = top.select("token", (rank + len(SPECIALS) - 1).cast("int").alias("token_id"), "n")
     specials = counts.sparkSession.createDataFrame(

@@ -295,6 +295,17 @@ def words_from_spans(lines: DataFrame, clipped: DataFrame) -> DataFrame:
     return _sentences(lines.join(per_line, _LINE, "left"), keep)
 
 
+def last_spans(spans: DataFrame) -> DataFrame:
+    """One row per distinct character range and type: the latest, which is the one that counts."""
+    return spans.groupBy("doc_id", "begin", "end", "type").agg(F.max("span_idx").alias("span_idx"))
+
+
+def label_char_spans(notes: DataFrame, spans: DataFrame) -> DataFrame:
+    """Notes and stand-off character spans to lines with words and BIO labels."""
+    lines = line_offsets(notes)
+    return words_from_spans(lines, clip_spans(lines, last_spans(spans)))
+
+
 def label_annotated_notes(notes: DataFrame, skip_blank_types: bool = True) -> DataFrame:
     """Same result for notes that carry their own ``spans`` array, without any shuffle.
 
@@ -307,21 +318,33 @@ def label_annotated_notes(notes: DataFrame, skip_blank_types: bool = True) -> Da
         long_enough = s["end"] > s["begin"]
         return long_enough & ~tx.is_blank(s["type"]) if skip_blank_types else long_enough
 
-    lines = line_offsets(notes.withColumn("spans", F.filter("spans", usable)))
-    start = F.col("line_start")
-    stop = start + F.length("line") + 1
-    near = F.filter("spans", lambda s: (s["begin"] < stop) & (s["end"] > start))
-    clips = F.transform(
-        near,
-        lambda s: F.struct(
-            s["span_idx"].alias("span_idx"),
-            (F.greatest(s["begin"], start) - start).cast("int").alias("lo"),
-            (F.least(s["end"], stop) - start).cast("int").alias("hi"),
-            (s["begin"] >= start).alias("opens"),
-            s["type"].alias("type"),
-        ),
-    )
-    return _sentences(lines.withColumn("__clips", clips), [*keep, "line_no", "line_start"])
+    def with_clips(spans: Column) -> Column:
+        def clips(line: Column, start: Column) -> Column:
+            stop = start + F.length(line) + 1
+            near = F.filter(spans, lambda s: (s["begin"] < stop) & (s["end"] > start))
+            return F.transform(
+                near,
+                lambda s: F.struct(
+                    s["span_idx"].alias("span_idx"),
+                    (F.greatest(s["begin"], start) - start).cast("int").alias("lo"),
+                    (F.least(s["end"], stop) - start).cast("int").alias("hi"),
+                    (s["begin"] >= start).alias("opens"),
+                    s["type"].alias("type"),
+                ),
+            )
+
+        # Clips are cut before the lines become rows, so no row carries all spans.
+        return F.zip_with(
+            "__lines",
+            running_starts(F.transform("__lines", lambda x: F.length(x) + 1)),
+            lambda line, start: F.struct(
+                line.alias("line"), start.alias("line_start"), clips(line, start).alias("__clips")
+            ),
+        )
+
+    split = notes.withColumn("__lines", F.split("text", "\n", -1))
+    rows = split.select(*keep, F.posexplode(let(F.filter("spans", usable), with_clips)).alias("line_no", "__row"))
+    return _sentences(rows.select(*keep, "line_no", "__row.*"), [*keep, "line_no", "line_start"])
 
 
 def span_text_violations(

@@ -646,3 +646,5 @@ best AS (
 )
 SELECT model, method, best, n_trainable_params FROM best JOIN counts USING (model, method)""",
 }
+
+ORACLES["token_cls_metrics"] = ORACLES["entity_scores"]

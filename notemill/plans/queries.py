@@ -194,9 +194,7 @@ def _tokens(labelled):
 
 @query
 def bio_char_spans(spark, sf):
-    lines = spans.line_offsets(st.notes(spark, sf).select("doc_id", "text"))
-    clipped = spans.clip_spans(lines, st.char_spans(spark, sf))
-    return _tokens(spans.words_from_spans(lines, clipped))
+    return _tokens(spans.label_char_spans(st.notes(spark, sf).select("doc_id", "text"), st.char_spans(spark, sf)))
 
 
 @query
@@ -577,6 +575,23 @@ def entity_scores(spark, sf):
     return scores.select(*[_r(c) for c in scores.columns])
 
 
+@query
+def token_cls_metrics(spark, sf):
+    """The same scores from logits per position, masked positions left out."""
+    rows = stage(st.labelled(spark, sf).withColumn("pred", st.rough_tags()).select("labels", "pred"), "labelled")
+    tags = conll.tag_list(conll.tag_vocab(rows))
+    coded = conll.encode_tags(conll.encode_tags(rows, tags), tags, "pred", "guess")
+    ids = F.lit(list(range(len(tags))))
+    logits = F.transform("guess", lambda g: F.transform(ids, lambda k: F.when(k == g, 1.0).otherwise(0.0)))
+    # A masked position in front, as an encoder puts one.
+    masked = coded.select(
+        F.concat(F.array(F.transform(ids, lambda k: k.cast("double"))), logits).alias("logits"),
+        F.concat(F.array(F.lit(-100)), F.col("ner_tags")).alias("label_ids"),
+    )
+    scores = metrics.token_cls_metrics(masked, "logits", "label_ids", tags)
+    return scores.select(*[_r(c) for c in scores.columns])
+
+
 # --- runs --------------------------------------------------------------------------
 
 

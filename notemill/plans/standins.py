@@ -213,8 +213,8 @@ def annotation_files(spark: SparkSession, sf: str) -> DataFrame:
 def history(spark: SparkSession, sf: str) -> DataFrame:
     """Run history: a user's events in time order, with the value as the metric."""
     events = table(spark, sf, "events").select(F.col("user_id").alias("run"), "ts", "event_id", "event_type", "value")
-    day = F.datediff(F.col("ts").cast("date"), F.lit("2000-01-01").cast("date"))
-    ranked = running(events, ["run"], ["ts", "event_id"], day, {"step": ("count", F.lit(1))})
+    hour = F.datediff(F.col("ts").cast("date"), F.lit("2000-01-01").cast("date")) * 24 + F.hour("ts")
+    ranked = running(events, ["run"], ["ts", "event_id"], hour, {"step": ("count", F.lit(1))})
     return ranked.select("run", F.col("step").cast("int").alias("step"), "ts", "event_type", F.col("value").alias("metric"))
 
 

@@ -65,7 +65,7 @@ def text_columns_by_position(df: DataFrame, n: int = 1) -> list[str]:
 def resolve_task(runs: DataFrame, catalog: DataFrame) -> DataFrame:
     """Runs with their task's fields; ``known`` tells whether the catalogue has the task."""
     marked = catalog.withColumn("__known", F.lit(True))
-    joined = runs.join(F.broadcast(marked), "task", "left")
+    joined = runs.join(marked, "task", "left")
     first, second = text_columns(F.col("task"))
     return joined.withColumn("known", F.coalesce("__known", F.lit(False))).drop("__known").withColumn(
         "text_column_1", first
