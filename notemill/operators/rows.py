@@ -20,3 +20,15 @@ def unroll(
     place = pos or "__pos"
     rows = df.select(*keep, F.posexplode_outer(array).alias(place, item)).filter(F.col(place).isNotNull())
     return rows if pos else rows.drop(place)
+
+
+def salted_join(rows: DataFrame, facts: DataFrame, key: str, salt_on: Sequence[str], salts: int = 16) -> DataFrame:
+    """Inner join of many rows with one fact row per key, when one key may own most rows.
+
+    Rows of a key are cut into ``salts`` parts by the hash of ``salt_on`` and each part
+    meets its own copy of the key's facts.
+    """
+    part = F.pmod(F.xxhash64(*salt_on), F.lit(salts)).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    left = rows.withColumn("__salt", part)
+    return left.join(facts.withColumn("__salt", copies), [key, "__salt"]).drop("__salt")

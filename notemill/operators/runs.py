@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from notemill.functions.naming import elapsed_seconds
 from notemill.operators.ordered import running
+from notemill.operators.rows import salted_join
 
 _STEPS = 4096
 
@@ -86,11 +87,13 @@ def time_budget(history: DataFrame, seconds: int, run: str = "run", start: DataF
     """
     if start is None:
         start = history.groupBy(run).agg(F.min("ts").alias("started"))
-    timed = history.join(start, run).withColumn("elapsed", elapsed_seconds(F.col("ts"), F.col("started")))
+    timed = salted_join(history, start, run, ["step"]).withColumn(
+        "elapsed", elapsed_seconds(F.col("ts"), F.col("started"))
+    )
     last = timed.groupBy(run).agg(
         F.min(F.when(F.col("elapsed") > seconds, F.col("step"))).alias("__last")
     )
-    kept = timed.join(last, run).filter(F.col("__last").isNull() | (F.col("step") <= F.col("__last")))
+    kept = salted_join(timed, last, run, ["step"]).filter(F.col("__last").isNull() | (F.col("step") <= F.col("__last")))
     return kept.select(*history.columns, "elapsed", F.coalesce(F.col("step") == F.col("__last"), F.lit(False)).alias("stopped"))
 
 

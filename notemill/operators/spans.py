@@ -21,8 +21,14 @@ _LINE = ["doc_id", "line_no"]
 
 
 def attach_spans(notes: DataFrame, spans: DataFrame) -> DataFrame:
-    """Every note row with each of its spans; notes without spans stay."""
-    return notes.join(spans, "doc_id", "left")
+    """Every note row with each of its spans; notes without spans stay.
+
+    Each span carries the note's columns, so give the narrow ones. An outer join could
+    not split a note with very many spans; an inner join and the notes left over can.
+    """
+    found = notes.join(spans, "doc_id")
+    bare = notes.join(spans.select("doc_id").distinct(), "doc_id", "left_anti")
+    return found.unionByName(bare, allowMissingColumns=True)
 
 
 def drop_blank_type(spans: DataFrame) -> DataFrame:

@@ -113,3 +113,29 @@ def test_map_batches_and_by_document(spark):
     assert sorted(tuple(r) for r in got.collect()) == [(0, 3), (1, 6)]
     first = en.by_document(df, lambda pdf: pdf.head(1)[["id"]], "id int", key="id")
     assert first.count() == 2
+
+
+def greedy(word, known):
+    out, at = [], 0
+    while at < len(word):
+        ends = [e for e in range(at + 1, len(word) + 1) if ("##" if at else "") + word[at:e] in known]
+        if not ends:
+            return [en.UNK]
+        out.append(known[("##" if at else "") + word[at:max(ends)]])
+        at = max(ends)
+    return out
+
+
+def test_subwords_against_brute_force(spark):
+    import random
+
+    rng = random.Random(11)
+    parts = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 3))) for _ in range(14)}
+    vocab = [*en.SPECIALS, *sorted(parts), *sorted("##" + p for p in parts if rng.random() < 0.7)]
+    known = {t: i for i, t in enumerate(vocab)}
+    rows = [[ "".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 8))] for _ in range(60)]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "id int, tokens array<string>")
+    for got in en.encode_words(df, "tokens", vocab, subwords=True).collect():
+        pieces = [greedy(w, known) for w in rows[got["id"]]]
+        assert got["input_ids"] == [en.CLS, *[x for p in pieces for x in p], en.SEP]
+        assert got["word_ids"][1:-1] == [i for i, p in enumerate(pieces) for _ in p]

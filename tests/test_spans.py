@@ -262,3 +262,26 @@ def test_span_xml(spark, tmp_path):
     assert got[1][0] == ("He's", "B-OCC")
     every = rd.read_span_xml(spark, str(tmp_path), tags="*").collect()[0]
     assert len(every["spans"]) == 4
+
+
+def test_many_copies_of_one_span(spark):
+    text = "one two three\nfour"
+    notes = spark.createDataFrame([("d", text), ("e", text)], "doc_id string, text string")
+    copies = spark.range(20000).select(
+        F.lit("d").alias("doc_id"), F.col("id").alias("span_idx"), F.lit(4).alias("begin"), F.lit(13).alias("end"),
+        F.when(F.col("id") == 19999, "LAST").otherwise("X").alias("type"), F.lit("").alias("stated"),
+    )
+    assert sp.last_spans(copies).count() == 2
+    got = {(r["doc_id"], r["line_no"]): r["labels"] for r in sp.label_char_spans(notes, copies).collect()}
+    assert got == {
+        ("d", 0): ["O", "B-LAST", "I-LAST"], ("d", 1): ["O"], ("e", 0): ["O", "O", "O"], ("e", 1): ["O"],
+    }
+    attached = sp.attach_spans(notes.select("doc_id"), copies)
+    assert attached.filter("doc_id = 'd'").count() == 20000
+    assert attached.filter("doc_id = 'e' and span_idx is null").count() == 1
+    on_tokens = copies.select(
+        "doc_id", "span_idx", F.lit(1).alias("start_line"), F.lit(1).alias("start_pos"),
+        F.lit(1).alias("end_line"), F.lit(2).alias("end_pos"), "type", "stated",
+    )
+    got = labels(sp.label_token_spans(sp.token_lines(notes), on_tokens))
+    assert got == [["O", "B-LAST", "I-LAST"], ["O"], ["O", "O", "O"], ["O"]]
