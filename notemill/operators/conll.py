@@ -15,8 +15,8 @@ from notemill.operators.rows import unroll
 _MAX_TAGS = 100_000
 
 
-def _ordered(tags: DataFrame) -> Column:
-    """Rank from 0 with ``O`` first, then by name. ``tags`` holds one row per tag."""
+def _tag_rank() -> Column:
+    """Rank from 0 with ``O`` first, then by name, over rows of distinct tags."""
     window = Window.partitionBy(F.lit(1)).orderBy(F.col("tag") != "O", "tag")
     return (F.row_number().over(window) - 1).cast("int")
 
@@ -34,7 +34,7 @@ def label_vocab(spans: DataFrame) -> DataFrame:
 def tag_vocab(df: DataFrame, tag_col: str = "labels") -> DataFrame:
     """``(tag, tag_id)`` over all splits; ``O`` is 0, the others follow by name."""
     tags = df.select(F.explode(F.array_distinct(tag_col)).alias("tag")).distinct()
-    return tags.select("tag", _ordered(tags).alias("tag_id"))
+    return tags.select("tag", _tag_rank().alias("tag_id"))
 
 
 def tag_count(tags: DataFrame) -> DataFrame:

@@ -226,55 +226,61 @@ def words_in_line(line: Column, clips: Column) -> Column:
     """
     end = F.length(line) + 1
 
-    def winner(clips: Column, at: Column) -> Column:
-        return F.array_max(F.filter(clips, lambda c: (c["lo"] <= at) & (c["hi"] > at)))
-
-    def pieces(clips: Column) -> Column:
+    def segments(clips: Column) -> Column:
+        """Stretches between borders with their winning type, and whether it opens there."""
         ends = F.concat(
             F.array(F.lit(0)),
             F.transform(clips, lambda c: c["lo"]),
             F.transform(clips, lambda c: c["hi"]),
         )
-        borders = F.filter(F.array_sort(F.array_distinct(ends)), lambda b: b < end)
-        typed = F.transform(
-            borders, lambda b: F.struct(b.alias("at"), winner(clips, b)["type"].alias("type"))
-        )
 
-        def starts(parts: Column) -> Column:
-            return F.filter(
-                parts, lambda s, i: (i == 0) | ~s["type"].eqNullSafe(F.get(parts, i - 1)["type"])
+        def segment(at: Column) -> Column:
+            winner = F.array_max(F.filter(clips, lambda c: (c["lo"] <= at) & (c["hi"] > at)))
+            return let(
+                winner,
+                lambda w: F.struct(
+                    at.alias("at"), w["type"].alias("type"), (w["opens"] & (w["lo"] == at)).alias("first")
+                ),
             )
 
-        def cut(parts: Column) -> Column:
-            def piece(s: Column, i: Column) -> Column:
-                until = F.coalesce(F.get(parts, i + 1)["at"], end)
-                return F.struct(
-                    s["at"].alias("at"),
-                    until.alias("until"),
-                    s["type"].alias("type"),
-                    tx.ws_split(F.substring(line, s["at"] + 1, until - s["at"])).alias("words"),
-                )
+        return F.transform(F.filter(F.array_sort(F.array_distinct(ends)), lambda b: b < end), segment)
 
-            return F.transform(parts, piece)
+    def pieces(parts: Column) -> Column:
+        """Neighbouring stretches of one type as one piece, cut into words."""
+        starts = F.filter(
+            parts, lambda s, i: (i == 0) | ~s["type"].eqNullSafe(F.get(parts, i - 1)["type"])
+        )
 
-        def labelled(p: Column) -> Column:
-            def one(word: Column, k: Column) -> Column:
-                # The first word takes the label of the piece's first character, the last
-                # word that of its last character, the others that of its second.
-                at = F.when(k == 0, p["at"]).when(
-                    k == F.size(p["words"]) - 1, p["until"] - 1
-                ).otherwise(p["at"] + 1)
-                first = let(winner(clips, at), lambda c: c["opens"] & (c["lo"] == at))
-                label = F.when(p["type"].isNull(), F.lit("O")).otherwise(
-                    F.concat(F.when(first, F.lit("B-")).otherwise(F.lit("I-")), p["type"])
-                )
-                return F.struct(word.alias("word"), label.alias("label"))
+        def piece(rows: Column, s: Column, i: Column) -> Column:
+            until = F.coalesce(F.get(rows, i + 1)["at"], end)
+            return F.struct(
+                s["at"].alias("at"),
+                until.alias("until"),
+                s["type"].alias("type"),
+                tx.ws_split(F.substring(line, s["at"] + 1, until - s["at"])).alias("words"),
+            )
+
+        return let(starts, lambda rows: F.transform(rows, lambda s, i: piece(rows, s, i)))
 
-            return F.transform(p["words"], one)
+    def labelled(openings: Column, p: Column) -> Column:
+        def one(word: Column, k: Column) -> Column:
+            # The first word takes the label of the piece's first character, the last
+            # word that of its last character, the others that of its second.
+            last = k == F.size(p["words"]) - 1
+            at = F.when(k == 0, p["at"]).when(last, p["until"] - 1).otherwise(p["at"] + 1)
+            prefix = F.when(F.array_contains(openings, at), F.lit("B-")).otherwise(F.lit("I-"))
+            label = F.when(p["type"].isNull(), F.lit("O")).otherwise(F.concat(prefix, p["type"]))
+            return F.struct(word.alias("word"), label.alias("label"))
 
-        return F.flatten(F.transform(let(let(typed, starts), cut), labelled))
+        return F.transform(p["words"], one)
+
+    def words(parts: Column) -> Column:
+        openings = F.transform(F.filter(parts, lambda s: s["first"]), lambda s: s["at"])
+        return let(
+            openings, lambda at: F.flatten(F.transform(pieces(parts), lambda p: labelled(at, p)))
+        )
 
-    return let(clips, pieces)
+    return let(let(clips, segments), words)
 
 
 def _sentences(df: DataFrame, keep: Sequence[str]) -> DataFrame:
