@@ -150,6 +150,16 @@ def doc_id_from_name(name: Column, suffix: str) -> Column:
     return F.when(F.endswith(name, F.lit(suffix)), F.substring(name, F.lit(1), F.length(name) - len(suffix)))
 
 
+def patient_of(doc_id: Column, digits: int | None = None) -> Column:
+    """Patient number of a document: its id, or the first ``digits`` characters of it.
+
+    Files with one note per patient are named after the patient; files with several
+    carry the patient in front (``180-03`` is patient 180).
+    """
+    number = doc_id if digits is None else F.substring(doc_id, 1, digits)
+    return number.cast("int")
+
+
 def read_token_notes(spark: SparkSession, path: str) -> DataFrame:
     """Notes as token lines: ``(doc_id, line_no, leading_space, tokens)``."""
     return token_lines(_whole_files(spark, path, ".txt"))

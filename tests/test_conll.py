@@ -168,3 +168,10 @@ def test_attach_keeps_notes_without_spans(spark):
     assert spans.attach_spans(notes, sp).count() == 2
     odd = sampling.id_set_mismatch(notes, sp, "doc_id").collect()
     assert [tuple(r) for r in odd] == [("b", "left")]
+
+
+def test_patient_of(spark):
+    row = spark.range(1).select(rd.patient_of(F.lit("0012")), rd.patient_of(F.lit("180-03"), 3)).first()
+    assert tuple(row) == (12, 180)
+    name = spark.range(1).select(rd.doc_id_from_name(F.lit("r-1.con"), ".con"), rd.doc_id_from_name(F.lit("x.md"), ".con"))
+    assert tuple(name.first()) == ("r-1", None)
