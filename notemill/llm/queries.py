@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.llm import sharding
+from notemill.llm import mixing, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,3 +31,22 @@ def op2_sharding(spark, sf):
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), F.col("row").alias("row_number"),
     )
+
+
+@query
+def op6_mixing(spark, sf):
+    """All documents mixed by the weights 3, 1, 2 to 150% of their words."""
+    mixture = mixing.mix(table(spark, sf, "documents"))
+    return mixture.rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "draws")
+
+
+@query
+def op10_quality(spark, sf):
+    """Every document's quality by a machine fitted on labels that are not held out."""
+    docs = table(spark, sf, "documents")
+    model = quality.train(docs, table(spark, sf, "labels"))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", quality.held_out("doc_id").alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
