@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.llm import mixing, quality, sharding
+from notemill.llm import mixing, neardup, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,6 +33,12 @@ def op2_sharding(spark, sf):
     )
 
 
+@query
+def op5_near_dup(spark, sf):
+    """All documents: three-word shingles, linked at a similarity of 85 percent."""
+    return neardup.near_duplicates(table(spark, sf, "documents"), width=3, percent=85)
+
+
 @query
 def op6_mixing(spark, sf):
     """All documents mixed by the weights 3, 1, 2 to 150% of their words."""
