@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.llm import mixing, neardup, quality, sharding
+from notemill.llm import decontam, mixing, neardup, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,6 +46,13 @@ def op6_mixing(spark, sf):
     return mixture.rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "draws")
 
 
+@query
+def op7_decontamination(spark, sf):
+    """Every benchmark passage in a document, up to 8 percent of edits."""
+    marked = decontam.mark(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
+    return marked.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 @query
 def op10_quality(spark, sf):
     """Every document's quality by a machine fitted on labels that are not held out."""
