@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.llm import decontam, mixing, neardup, quality, sharding
+from notemill.llm import decontam, mixing, neardup, quality, sharding, tokenids
+from notemill.runtime import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+VOCABULARY = "word_bpe_49k.json"
+
 
 def query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
@@ -33,6 +36,22 @@ def op2_sharding(spark, sf):
     )
 
 
+def encoded(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Documents written as token files and read back from them."""
+    import public_tokenizers
+
+    folder = fresh_path(spark, "token-files")
+    tokenids.write(docs, folder, public_tokenizers.path(VOCABULARY), end_id=1)
+    back = tokenids.read(spark, folder, dict(docs.dtypes)["doc_id"])
+    return back.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op4_token_ids(spark, sf):
+    """All documents as token ids in Huffman-coded files, read back."""
+    return encoded(spark, table(spark, sf, "documents"))
+
+
 @query
 def op5_near_dup(spark, sf):
     """All documents: three-word shingles, linked at a similarity of 85 percent."""
