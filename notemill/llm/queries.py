@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.llm import decontam, mixing, neardup, quality, sharding, tokenids
+from notemill.llm import decontam, mixing, neardup, ordermin, quality, sharding, tokenids
 from notemill.runtime import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,12 @@ def op7_decontamination(spark, sf):
     return marked.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
+@query
+def op9_fingerprints(spark, sf):
+    """Order MinHash of all documents and their edited texts."""
+    return ordermin.fingerprints(table(spark, sf, "documents"))
+
+
 @query
 def op10_quality(spark, sf):
     """Every document's quality by a machine fitted on labels that are not held out."""
