@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.llm import decontam, mixing, neardup, ordermin, quality, sharding, tokenids
+from notemill.llm import decontam, mixing, neardup, ordermin, quality, secrets, sharding, tokenids
 from notemill.runtime import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,23 @@ def op2_sharding(spark, sf):
     )
 
 
+def joined_spans(findings):
+    return F.array_join(F.transform(findings, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query
+def op3_secrets(spark, sf):
+    """Secrets in all documents: fixed patterns, and spans that the trained field adds."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(docs))
+    base = F.filter("findings", lambda s: s["kind"] != "crf")
+    count = lambda kind: F.size(F.filter("findings", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[count(k) for k in secrets.KINDS], F.sha2(joined_spans(base), 256).alias("base_sha256"),
+        joined_spans(F.col("findings")).alias("spans"),
+    )
+
+
 def encoded(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Documents written as token files and read back from them."""
     import public_tokenizers
