@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.llm import decontam, mixing, neardup, ordermin, quality, secrets, sharding, tokenids
+from notemill.llm import decontam, licenses, mixing, neardup, ordermin, quality, secrets, sharding, tokenids
 from notemill.runtime import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op1_licenses(spark, sf):
+    """All documents as files ``source/lang/thousand/id.txt``: their own or inherited licence."""
+    docs = table(spark, sf, "documents")
+    place = F.concat_ws("/", "source", "lang", F.expr("doc_id div 1000"), F.concat(F.col("doc_id"), F.lit(".txt")))
+    found = licenses.scan(docs.select("doc_id", "text", place.alias("path")))
+    return found.select("doc_id", "path", "license", "via", F.round("cosine", 6).alias("cosine"), "license_dir")
+
+
 @query
 def op2_sharding(spark, sf):
     """All documents in 40 shards under the law ``rows``."""

@@ -66,9 +66,12 @@ def text_slices(column: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[int, int
         row = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and lengths of all words, and the number of words of each text."""
-    inside = ~_SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and lengths of all words, and the number of words of each text.
+
+    ``space`` tells which of the 256 byte values separate words.
+    """
+    inside = ~space[data]
     n = len(data)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
@@ -81,8 +84,10 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, lengths, np.diff(np.searchsorted(starts, offsets))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each word; ``lower`` folds A-Z."""
+def word_hashes(
+    data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lower: bool = True, space: np.ndarray = _SPACE
+) -> np.ndarray:
+    """A 64-bit hash of each word of ``words``; ``lower`` folds A-Z."""
     global _POWERS
     if not len(starts):
         return np.zeros(0, _U)
@@ -95,7 +100,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lower
         powers = _POWERS
     base = np.cumsum(lengths) - lengths
     place = np.arange(int(lengths.sum())) - np.repeat(base, lengths)
-    letters = data[~_SPACE[data]]
+    letters = data[~space[data]]
     with np.errstate(over="ignore"):
         values = (_LOWER if lower else _EXACT)[letters] * powers[place]
         return mix(np.add.reduceat(values, base) + lengths.astype(_U))
