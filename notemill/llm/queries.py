@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.llm import decontam, licenses, mixing, neardup, ordermin, quality, secrets, sharding, tokenids
+from notemill.llm import decontam, licenses, mixing, neardup, ordermin, quality, secrets, sharding, suffixes, tokenids
 from notemill.runtime import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +98,12 @@ def op7_decontamination(spark, sf):
     return marked.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
+@query
+def op8_suffix_dedup(spark, sf):
+    """All documents without the bytes of repeated 200-byte strings."""
+    return suffixes.remove_repeats(table(spark, sf, "documents"), length=200).drop("kept")
+
+
 @query
 def op9_fingerprints(spark, sf):
     """Order MinHash of all documents and their edited texts."""
