@@ -1,13 +1,75 @@
-"""From raw documents to encoded token files, one dealt operator a stage."""
+"""From raw documents to encoded token files, one dealt operator a stage.
+
+Rows without an id go under a number made of their text; rows that share an id are one
+document, of which the near-duplicate stage keeps the row whose text hashes least. Null
+and blank texts pass every filter that finds nothing in them. Extra columns are carried along
+up to the last stage; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from notemill.llm import decontam, mixing, neardup, quality
+from notemill.llm.queries import encoded, table
+from notemill.llm.scratch import Scratch
+
+KEEP_FROM = 0.3
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, score_col="__score")
+    return scored.filter(F.col("__score") >= KEEP_FROM).select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one of the smallest id."""
+    made = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), made))
+    groups = neardup.near_duplicates(keyed, width=5, percent=80, id_col="__key")
+    kept = groups.filter("kept").select("__key").distinct()
+    first = F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns))
+    rows = keyed.groupBy("__key").agg(F.min_by(F.struct(*docs.columns), first).alias("__row"))
+    return rows.join(kept, "__key", "left_semi").select("__row.*")
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark passage."""
+    marked = decontam.mark(docs, table(spark, sf_dir, "benchmark"), leaks_col="__leaks")
+    return marked.filter(F.size("__leaks") == 0).select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources draws them."""
+    return mixing.mix(docs).mixed.select(*docs.columns)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the drawn documents, read back: place, length and checksum of each."""
+    return encoded(spark, docs)
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("near_duplicates", one_of_each),
+    ("decontamination", decontaminated),
+    ("mixing", mixed),
+    ("token_ids", token_ids),
+]
+
+#: The classifier and the tokenizer are not expressible in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's rows are written before the next reads them."""
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = scratch.table(docs, name)
     return docs
