@@ -69,20 +69,22 @@ def targets(sources: DataFrame, weights: Sequence[float], share: float, cap: flo
     )
 
 
-def draws(blocks: DataFrame, sources: DataFrame, seed: int, top_ups: int = 3) -> DataFrame:
+def draws(blocks: DataFrame, sources: DataFrame, seed: int, top_ups: int = 3, orders: int = 8) -> DataFrame:
     """Blocks to draw, one row (source, rank, block, pass) for each draw.
 
     A source is drawn whole as often as its target holds its size. Of the rest, blocks in
     permuted order are drawn while they fit; then, up to ``top_ups`` times, the block that
-    comes nearest to what is missing, if that brings the source nearer to its target.
+    comes nearest to what is missing, if that brings the source nearer to its target. Of
+    ``orders`` permutations the one that ends nearest to the target counts.
     """
     joined = blocks.join(sources, F.col("b_source").eqNullSafe(F.col("source"))).drop("b_source")
     size = F.greatest(F.col("source_size"), F.lit(1))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / size)).otherwise(0).cast("int")
-    order = F.xxhash64(F.lit(seed), F.lit("order"), "rank", "block")
-    per = Window.partitionBy("rank")
+    order = F.xxhash64(F.lit(seed), F.lit("order"), "trial", "rank", "block")
+    per = Window.partitionBy("rank", "trial")
     chosen = (
-        joined.withColumn("whole", whole)
+        joined.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))))
+        .withColumn("whole", whole)
         .withColumn("__rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
         .withColumn("__order", order)
         .withColumn("__sum", F.sum("words").over(per.orderBy("__order", "block").rowsBetween(Window.unboundedPreceding, 0)))
@@ -98,8 +100,11 @@ def draws(blocks: DataFrame, sources: DataFrame, seed: int, top_ups: int = 3) ->
         chosen = chosen.withColumn("__gap", gap).withColumn("__best", F.min("__gap").over(per)).withColumn(
             "part", F.col("part") | F.coalesce(F.col("__gap") == F.col("__best"), F.lit(False))
         )
+    drawn = F.coalesce(F.sum(F.when(F.col("part"), F.col("words"))).over(per), F.lit(0))
+    ended = chosen.withColumn("__off", F.struct(F.abs(F.col("__rest") - drawn), F.col("trial")))
+    best = F.min("__off").over(Window.partitionBy("rank"))
     passes = F.col("whole") + F.col("part").cast("int")
-    return chosen.filter(passes > 0).select(
+    return ended.withColumn("__best", best).filter((F.col("__off") == F.col("__best")) & (passes > 0)).select(
         "source", "rank", "block", F.explode(F.sequence(F.lit(1), passes)).alias("pass")
     )
 
@@ -107,7 +112,7 @@ def draws(blocks: DataFrame, sources: DataFrame, seed: int, top_ups: int = 3) ->
 def _log_factorial(n: Column) -> Column:
     """Stirling's series, eight places up."""
     z = n + 9.0
-    series = (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z * z * z)
+    series = (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
     product = F.lit(0.0)
     for i in range(1, 9):
         product = product + F.log(n + float(i))
