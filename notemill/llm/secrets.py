@@ -263,8 +263,16 @@ def find(tagger: Tagger, text: str) -> list[tuple[str, int, int]]:
     return sorted(base + added, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _doubtful(token: str) -> bool:
+    """Whether a token looks like a value: what the patterns leave out of these may be a secret or not."""
+    return len(token) >= 8 and any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
+
+
 def _windows(text: str) -> list[tuple[list[str], list[int]]]:
-    """Windows around the patterns' values, then the first ones without any."""
+    """Windows around the patterns' values, then the first ones without any.
+
+    A window with a doubtful token that no pattern names is not learned from.
+    """
     found = list(TOKEN.finditer(text))
     if not found:
         return []
@@ -278,13 +286,18 @@ def _windows(text: str) -> list[tuple[list[str], list[int]]]:
             states[inside], states[inside[0]] = 1, 0
             centres.append(int(inside[0]))
     out = []
-    for c in [*centres, *range(WINDOW // 2, len(found), WINDOW)][: DOC_WINDOWS]:
+    for c in [*centres, *range(WINDOW // 2, len(found) + WINDOW // 2, WINDOW)]:
         a = max(0, c - WINDOW // 2)
         part = states[a : a + WINDOW].tolist()
+        tokens = [m.group() for m in found[a : a + WINDOW]]
+        if not part or any(s == 2 and _doubtful(t) for s, t in zip(part, tokens)):
+            continue
         if part[0] == 1:
-            part = [0 if i == 0 else s for i, s in enumerate(part)]
-        out.append(([m.group() for m in found[a : a + WINDOW]], part))
-    return out or [([m.group() for m in found[:WINDOW]], states[:WINDOW].tolist())]
+            part[0] = 0
+        out.append((tokens, part))
+        if len(out) == DOC_WINDOWS:
+            break
+    return out
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_DOCS) -> Field:

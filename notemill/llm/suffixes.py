@@ -85,7 +85,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple
 
 def _sliced(column: pa.Array, length: int):
     """Slices of texts as ``text_slices``, a text over ``SLICE`` in overlapping parts: row, shift, bytes, offsets."""
-    for row, end, data, offsets in text_slices(column):
+    for row, end, data, offsets in text_slices(column, SLICE // 4):
         if len(data) <= SLICE:
             yield row, 0, data, offsets
         else:

@@ -1,0 +1,114 @@
+import itertools
+import zlib
+
+import numpy as np
+import odd
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from notemill.llm import tokenids as t
+from notemill.llm.queries import QUERIES
+from notemill.runtime import fresh_path
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+BYTE_PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def direct(path, texts, end):
+    tok = Tokenizer.from_file(path)
+    return [tok.encode(x or "", add_special_tokens=False).ids + ([] if end is None else [end]) for x in texts]
+
+
+ODD_TEXTS = [
+    "It's we've DON'T 'll 's", "a<|endoftext|>b <|startoftext|>", "x\x1cy\x1f z\x85w\xa0v", "éÀÖ×÷ªµº ²½ 12 a1b2", "İstanbul ﬁ Ǆ 𝔘 中文",
+    "é ñ", "!!'s''t <| |>", "tab\tvt\x0bff\x0ccr\rnl\n", "", " ", "  a　b", "<|endo ftext|>", "ÿ" * 80 + "a" * 90,
+]
+
+
+@pytest.mark.parametrize("path,end", [(PATH, 1), (PATH, None), (BYTE_PATH, 7)])
+def test_ids_are_the_tokenizers(path, end):
+    coder = t.Encoder(path, end)
+    assert coder.fast == (path == PATH)
+    got = [np.frombuffer(coder.encode(x), coder.dtype).tolist() for x in ODD_TEXTS * 2]
+    assert got == direct(path, ODD_TEXTS * 2, end)
+
+
+@settings(deadline=None, max_examples=150)
+@given(st.text(alphabet=st.characters(max_codepoint=0x250, exclude_categories=["Cs"]), max_size=40))
+def test_ids_of_any_latin_text(text):
+    coder = t.encoder(PATH, 1)
+    assert np.frombuffer(coder.encode(text), coder.dtype).tolist() == direct(PATH, [text], 1)[0]
+
+
+@pytest.mark.parametrize("counts,limit", [([1, 1, 2, 4, 8, 16], 3), ([5, 5, 5], 4), ([1, 100, 1, 1, 50], 3), ([0, 3, 0, 9], 5)])
+def test_code_lengths_are_the_best_within_the_limit(counts, limit):
+    counts = np.array(counts)
+    got = t.code_lengths(counts, limit)
+    used = counts > 0
+    best = min(
+        sum(n * c for n, c in zip(lengths, counts[used]))
+        for lengths in itertools.product(range(1, limit + 1), repeat=int(used.sum()))
+        if sum(2.0**-n for n in lengths) <= 1
+    )
+    assert got.max() <= limit and (got[~used] == 0).all() and (got * counts).sum() == best
+
+
+def test_too_many_ids_for_the_limit():
+    with pytest.raises(ValueError):
+        t.code_lengths(np.ones(9), 3)
+
+
+@settings(deadline=None, max_examples=40)
+@given(st.lists(st.integers(0, 60), max_size=3000), st.integers(6, 12))
+def test_packed_ids_come_back(ids, limit):
+    ids = np.array(ids, np.int64)
+    counts = np.bincount(ids, minlength=61) ** 2
+    lengths = t.code_lengths(counts, limit)
+    data, points = t.pack(ids, t.canonical(lengths), lengths)
+    assert len(points) == -(-len(ids) // t.LANE)
+    assert (t.unpack(data, points, len(ids), t.decode_table(lengths)) == ids).all()
+
+
+def check(rows, docs, path=PATH, end=1):
+    start, want = 0, []
+    for (i, _), ids in zip(docs, direct(path, [x for _, x in docs], end)):
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = sorted(((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in rows), key=lambda r: r[1:])
+    assert got == sorted(want, key=lambda r: r[1:])
+
+
+def test_query_against_the_tokenizer(spark, sf, documents):
+    check(QUERIES["op4_token_ids"](spark, sf).collect(), documents[1])
+
+
+def test_odd_rows(spark):
+    folder = fresh_path(spark, "t")
+    t.write(odd.odd(spark), folder, PATH)
+    rows = t.read(spark, folder).collect()
+    assert len(rows) == len(odd.TEXTS)
+    rows.sort(key=lambda r: r["start"])
+    assert [r["doc_id"] for r in rows] == sorted([i for i, _, _ in odd.TEXTS], key=lambda i: (i is not None, i))
+    texts = {(i, x or "") for i, x, _ in odd.TEXTS}
+    ids = {(i, tuple(direct(PATH, [x], 1)[0])) for i, x in texts}
+    assert {(r["doc_id"], tuple(np.frombuffer(r["tokens"], "<u4").tolist())) for r in rows} == ids
+    assert [r["start"] for r in rows] == [sum(x["n_tokens"] for x in rows[:k]) for k in range(len(rows))]
+
+
+def test_several_blocks_and_wide_ids(spark, monkeypatch):
+    monkeypatch.setattr(t, "BLOCK_IDS", 64)
+    docs = [(k, f"text number {k} " * (k % 9)) for k in range(50)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    folder = fresh_path(spark, "t")
+    t.write(frame, folder, BYTE_PATH, end_id=70_000)
+    assert spark.read.parquet(f"{folder}/blocks").count() > 1
+    check(t.read(spark, folder).collect(), docs, BYTE_PATH, 70_000)
+
+
+def test_no_rows(spark):
+    folder = fresh_path(spark, "t")
+    t.write(odd.none(spark), folder, PATH)
+    assert t.read(spark, folder).count() == 0
