@@ -56,4 +56,5 @@ def method_matrix(accounting: DataFrame, field: str, methods: Sequence[str]) ->
 
 
 def join_accounting(runs: DataFrame, accounting: DataFrame) -> DataFrame:
-    return runs.join(accounting, ["model", "method"])
+    """Runs with the accounting of their model and method; NULL where there is none."""
+    return runs.join(accounting, ["model", "method"], "left")

@@ -23,7 +23,7 @@ def _tag_rank() -> Column:
 
 def label_vocab(spans: DataFrame) -> DataFrame:
     """``O``, then ``B-`` and ``I-`` of each annotated type."""
-    types = spans.select("type").distinct()
+    types = spans.filter(F.col("type").isNotNull()).select("type").distinct()
     both = types.select(
         F.explode(F.array(F.concat(F.lit("B-"), "type"), F.concat(F.lit("I-"), "type"))).alias("tag")
     )

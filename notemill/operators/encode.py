@@ -24,17 +24,14 @@ SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]"]
 PAD, UNK, CLS, SEP = range(4)
 MASK = -100
 MAX_VOCAB = 500_000
-_SALTS = 64
 
 
 def _ranked(counts: DataFrame, size: int) -> DataFrame:
     """Specials, then the ``size`` most frequent of ``(token, n)``, with ids."""
     if size > MAX_VOCAB:
         raise ValueError(f"a vocabulary of {size} entries is too large to send to tasks")
-    # Two levels, so the task that merges sees at most ``size`` rows per salt.
-    parts = Window.partitionBy(F.pmod(F.xxhash64("token"), F.lit(_SALTS))).orderBy(F.desc("n"), "token")
-    survivors = counts.withColumn("__r", F.row_number().over(parts)).filter(F.col("__r") <= size).drop("__r")
-    top = survivors.orderBy(F.desc("n"), "token").limit(size)
+    # A sorted limit keeps the first ``size`` of each task before the tasks' rows meet.
+    top = counts.orderBy(F.desc("n"), "token").limit(size)
     rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "token"))
     ranked = top.select("token", (rank + len(SPECIALS) - 1).cast("int").alias("token_id"), "n")
     specials = counts.sparkSession.createDataFrame(
@@ -53,26 +50,28 @@ def build_vocab(df: DataFrame, text_col: str, size: int = 30_000, min_count: int
 
 
 def build_piece_vocab(
-    df: DataFrame, text_col: str, size: int = 30_000, min_count: int = 1, max_piece: int = 4
+    df: DataFrame, text_col: str, size: int = 30_000, min_count: int = 1, max_piece: int | None = 4
 ) -> DataFrame:
     """As ``build_vocab``, with sub-word pieces: word heads, and ``##`` inner parts.
 
-    Counts are taken on distinct words first, so parts are cut once per word of the
-    vocabulary and not once per word of the corpus.
+    Whole words are always candidates; heads and inner parts have at most ``max_piece``
+    characters, or any number where it is None. Counts are taken on distinct words first,
+    so parts are cut once per word of the vocabulary and not once per word of the corpus.
     """
     words = (
         df.select(F.explode(tx.word_pieces(F.col(text_col))).alias("word"))
         .groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     )
     n = F.length("word")
+    longest = n if max_piece is None else F.lit(max_piece)
     heads = F.transform(
-        F.sequence(F.lit(1), F.least(n, F.lit(max_piece))), lambda k: F.substring(F.col("word"), F.lit(1), k)
+        F.sequence(F.lit(1), F.least(n, longest)), lambda k: F.substring(F.col("word"), F.lit(1), k)
     )
     inner = F.flatten(
         F.transform(
             F.sequence(F.lit(2), n),
             lambda at: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(max_piece), n - at + 1)),
+                F.sequence(F.lit(1), F.least(longest, n - at + 1)),
                 lambda k: F.concat(F.lit("##"), F.substring(F.col("word"), at, k)),
             ),
         )
@@ -159,7 +158,15 @@ def _piece_ids(c: Column, tokens: Sequence[str], subwords: bool) -> Column:
 def encode_text(
     df: DataFrame, text_col: str, tokens: Sequence[str], max_length: int = 480, subwords: bool = False
 ) -> DataFrame:
-    """Add ``input_ids``, cut to ``max_length`` with both specials, and ``n_pieces``."""
+    """Add ``input_ids``, cut to ``max_length`` with both specials, and ``n_pieces``.
+
+    In word mode the pieces are cut first, so only those that stay are looked up.
+    """
+    if not subwords:
+        cut = df.withColumn("__pieces", tx.word_pieces(F.col(text_col))).withColumn(
+            "__ids", lookup_ids(tokens)(F.slice("__pieces", 1, max_length - 2))
+        )
+        return cut.select(*df.columns, _framed(F.col("__ids")).alias("input_ids"), F.size("__pieces").alias("n_pieces"))
     ids = df.withColumn("__ids", _piece_ids(F.col(text_col), tokens, subwords))
     return ids.select(
         *df.columns,
@@ -255,13 +262,14 @@ def pad_batches(
 ) -> DataFrame:
     """Pad each batch of the seeded order to its longest row.
 
-    Adds ``batch_id``, ``attention_mask`` and ``padded_len``. Ranks run on ids alone;
-    the wide rows move once, to meet their batch.
+    Adds ``batch_id``, ``attention_mask`` and ``padded_len``. Ranks run on distinct ids
+    alone, so rows of one id share a batch; the wide rows move once, to meet their batch.
     """
-    ranked = hash_rank(df.select(id_col), [id_col], seed)
-    batches = ranked.select(id_col, F.floor((F.col("rank") - 1) / batch_size).alias("batch_id"))
+    ranked = hash_rank(df.select(id_col).distinct(), [id_col], seed)
+    batches = ranked.select(F.col(id_col).alias("__id"), F.floor((F.col("rank") - 1) / batch_size).alias("batch_id"))
     together = Window.partitionBy("batch_id")
-    placed = df.join(batches, id_col).withColumn("padded_len", F.max(F.size(ids_col)).over(together))
+    met = df.join(batches, F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id")
+    placed = met.withColumn("padded_len", F.max(F.size(ids_col)).over(together))
     length = F.col("padded_len")
     mask = F.transform(ids_col, lambda _: F.lit(1))
     padded = placed.withColumn("attention_mask", pad_to(mask, length, 0)).withColumn(

@@ -32,7 +32,8 @@ def hash_rank(
     """Rank (from 1) of each row in the seeded order, and the row count, per ``by``.
 
     The order is md5 of seed and ids, so its leading hex digits cut it into
-    ``16 ** hex_digits`` even buckets whatever the ids are. Ids must be unique.
+    ``16 ** hex_digits`` even buckets whatever the ids are. Ids must be unique; NULL is
+    an id and a group like others.
     """
     key = seeded_key(seed, *[F.col(c) for c in id_cols])
     keyed = df.withColumn("__key", key).withColumn(
@@ -43,15 +44,15 @@ def hash_rank(
     along = Window.partitionBy(*groups).orderBy(_BUCKET)
     whole = Window.partitionBy(*groups)
     offsets = totals.select(
-        *groups,
-        _BUCKET,
+        *[F.col(c).alias(f"__at_{i}") for i, c in enumerate([*groups, _BUCKET])],
         F.coalesce(F.sum("__n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
         F.sum("__n").over(whole).alias(total_col),
     )
     local = F.row_number().over(Window.partitionBy(*groups, _BUCKET).orderBy("__key", *id_cols))
+    same = [F.col(c).eqNullSafe(F.col(f"__at_{i}")) for i, c in enumerate([*groups, _BUCKET])]
     return (
         keyed.withColumn("__local", local)
-        .join(offsets, [*groups, _BUCKET])
+        .join(offsets, same)
         .select(*df.columns, (F.col("__before") + F.col("__local")).alias(rank_col), total_col)
     )
 

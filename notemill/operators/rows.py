@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 
 def unroll(
@@ -22,6 +23,24 @@ def unroll(
     return rows if pos else rows.drop(place)
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, keys: Sequence[str], salts: int = 16) -> DataFrame:
+    """Inner join of many rows with one small fact row per key; NULL keys meet NULL keys.
+
+    As ``salted_join``, with the salt from all plain columns that are no key, so that
+    rows of one key go to many tasks wherever the facts are not small enough to broadcast.
+    """
+    plain = [f.name for f in rows.schema if f.name not in keys and not isinstance(f.dataType, (ArrayType, MapType, StructType))]
+    part = F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int") if plain else F.lit(0)
+    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1 if plain else 0)))
+    names = [c for c in facts.columns if c not in keys]
+    right = facts.select(*[F.col(c).alias(f"__k_{i}") for i, c in enumerate(keys)], *names, copies.alias("__part"))
+    same = [F.col(c).eqNullSafe(F.col(f"__k_{i}")) for i, c in enumerate(keys)]
+    left = rows.drop(*names).withColumn("__salt", part)
+    joined = left.join(right, [*same, F.col("__salt") == F.col("__part")])
+    rest = [c for c in rows.columns if c not in keys and c not in names]
+    return joined.select(*keys, *rest, *names)
+
+
 def salted_join(rows: DataFrame, facts: DataFrame, key: str, salt_on: Sequence[str], salts: int = 16) -> DataFrame:
     """Inner join of many rows with one fact row per key, when one key may own most rows.
 

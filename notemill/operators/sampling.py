@@ -10,8 +10,8 @@ from pyspark.sql.window import Window
 
 from notemill.functions.naming import seeded_key
 from notemill.operators.ordered import hash_rank
+from notemill.operators.rows import spread_join
 
-_SALTS = 64
 
 
 def class_count(df: DataFrame, label_col: str) -> DataFrame:
@@ -40,16 +40,18 @@ def rows_of_class(df: DataFrame, label_col: str, value) -> DataFrame:
 def few_shot(df: DataFrame, label_col: str, n: int, id_col: str, seed: int = 42) -> DataFrame:
     """First ``n`` rows per class in the seeded order; smaller classes stay whole.
 
-    Ranks run on ids only, first within salted parts of each class and then over
-    their survivors, so no task sees more than ``n`` rows per part or per salt of a
-    class, however large the class. The chosen ids then pick the wide rows.
+    The seeded key cuts a class into 4,096 even buckets in order; only the ids of the
+    buckets that hold its first ``n`` are ranked, however large the class and ``n`` are.
+    The chosen ids then pick the wide rows.
     """
     keys = df.select(label_col, id_col).filter(F.col(label_col).isNotNull())
     keys = keys.withColumn("__key", seeded_key(seed, F.col(id_col))).withColumn(
-        "__salt", F.pmod(F.xxhash64(id_col), F.lit(_SALTS))
+        "__bucket", F.conv(F.substring("__key", 1, 3), 16, 10).cast("int")
     )
-    parts = Window.partitionBy(label_col, "__salt").orderBy("__key", id_col)
-    survivors = keys.withColumn("__r", F.row_number().over(parts)).filter(F.col("__r") <= n)
+    before = Window.partitionBy(label_col).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = keys.groupBy(label_col, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    needed = totals.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).filter(F.col("__before") < n)
+    survivors = keys.join(needed.select(label_col, "__bucket"), [label_col, "__bucket"], "left_semi")
     whole = Window.partitionBy(label_col).orderBy("__key", id_col)
     chosen = survivors.withColumn("__r", F.row_number().over(whole)).filter(F.col("__r") <= n)
     if set(df.columns) == {label_col, id_col}:
@@ -98,18 +100,26 @@ def group_split(
 
 
 def assign_split(df: DataFrame, split_map: DataFrame, key: Sequence[str] | str) -> DataFrame:
-    """Rows with the split of their group; groups missing from the map drop out."""
-    return df.join(split_map, [key] if isinstance(key, str) else list(key))
+    """Rows with the split of their group; groups missing from the map drop out.
+
+    A NULL key is a group of its own, and a group with very many rows is spread over tasks.
+    """
+    return spread_join(df, split_map, [key] if isinstance(key, str) else list(key))
 
 
 def halve_split(
     df: DataFrame, id_col: str, seed: int = 42, names: tuple[str, str] = ("validation", "test")
 ) -> DataFrame:
-    """Cut rows into two halves in seeded order; an odd row goes to the second."""
-    ranked = hash_rank(df.select(id_col), [id_col], seed)
+    """Cut rows into two halves in seeded order; an odd row goes to the second.
+
+    The order is over distinct ids: rows that share an id, or have none, stay together.
+    """
+    ranked = hash_rank(df.select(id_col).distinct(), [id_col], seed)
     side = F.when(F.col("rank") <= F.floor(F.col("total") / 2), F.lit(names[0])).otherwise(F.lit(names[1]))
-    sides = ranked.select(id_col, side.alias("split"))
-    return sides if df.columns == [id_col] else df.drop("split").join(sides, id_col)
+    sides = ranked.select(F.col(id_col).alias("__id"), side.alias("split"))
+    same = F.col(id_col).eqNullSafe(F.col("__id"))
+    kept = [c for c in df.columns if c not in (id_col, "split")]
+    return df.drop("split").join(sides, same).select(id_col, *kept, "split")
 
 
 def with_test_split(df: DataFrame, id_col: str, has_test: bool, seed: int = 42) -> DataFrame:

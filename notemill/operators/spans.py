@@ -324,7 +324,7 @@ def label_annotated_notes(notes: DataFrame, skip_blank_types: bool = True) -> Da
     An annotated file holds its text and its tags together, so every line finds its
     spans inside the row.
     """
-    keep = [c for c in notes.columns if c not in ("text", "spans")]
+    keep = [c for c in notes.columns if c not in ("text", "spans", "rejects")]
 
     def usable(s: Column) -> Column:
         long_enough = s["end"] > s["begin"]

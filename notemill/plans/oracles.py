@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from notemill.plans import standins as st
-from notemill.sources import catalog
 
 _PIECE = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
 
@@ -164,7 +163,7 @@ vocab_counts AS (
 ),
 vocab AS (
   SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 3 AS INTEGER) AS token_id, n
-  FROM vocab_counts QUALIFY row_number() OVER (ORDER BY n DESC, token) <= 2000
+  FROM vocab_counts QUALIFY row_number() OVER (ORDER BY n DESC, token) <= 30000
   UNION ALL SELECT * FROM (VALUES ('[PAD]', 0, 0), ('[UNK]', 1, 0), ('[CLS]', 2, 0), ('[SEP]', 3, 0))
 )"""
 
@@ -193,7 +192,7 @@ word_pieces AS (
                generate_subscripts(regexp_extract_all(token, '{_PIECE}'), 1) AS sub
         FROM bio)
 ),
-kept AS (SELECT * FROM word_pieces WHERE pos <= 46),
+kept AS (SELECT * FROM word_pieces WHERE pos <= 478),
 line_ends AS (SELECT doc_id, line_no, max(pos) + 1 AS pos FROM kept GROUP BY doc_id, line_no),
 coded AS (
   SELECT k.doc_id, k.line_no, k.pos, coalesce(v.token_id, 1) AS input_id, k.token_pos AS word_id, t.tag_id AS label_id
@@ -205,7 +204,9 @@ coded AS (
 _CODED = "WITH " + _BIO + _TAGS + "," + _VOCAB + "," + _WORD_PIECES
 
 _SCORED = """
-raw AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS z FROM embeddings),
+raw AS (SELECT vec_id, label, [""" + ", ".join(
+    f"list_sum(list_transform(range({k}, len(embedding), 10), lambda i: CAST(embedding[i + 1] AS DOUBLE)))" for k in range(10)
+) + """] AS z FROM embeddings),
 exps AS (SELECT vec_id, label, z, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM raw),
 scored AS (
   SELECT vec_id, label, CAST(list_position(z, list_max(z)) - 1 AS INTEGER) AS prediction,
@@ -317,21 +318,12 @@ pairs AS (
 ),
 sized AS (SELECT *, CAST(len(pa) AS INTEGER) AS a, CAST(len(pb) AS INTEGER) AS b FROM pairs),
 budget AS (
-  SELECT *, CAST(CASE WHEN a + b <= 61 OR a <= 31 THEN a WHEN b <= 30 THEN 61 - b ELSE 31 END AS INTEGER) AS keep_a,
-         CAST(CASE WHEN a + b <= 61 THEN b WHEN a <= 31 THEN 61 - a WHEN b <= 30 THEN b ELSE 30 END AS INTEGER) AS keep_b
+  SELECT *, CAST(CASE WHEN a + b <= 477 OR a <= 239 THEN a WHEN b <= 238 THEN 477 - b ELSE 239 END AS INTEGER) AS keep_a,
+         CAST(CASE WHEN a + b <= 477 THEN b WHEN a <= 239 THEN 477 - a WHEN b <= 238 THEN b ELSE 238 END AS INTEGER) AS keep_b
   FROM sized
 )"""
 
 
-def _catalog_values() -> str:
-    rows = []
-    for name in ("mimic-mp", "mednli", "ICD9-Triage", "i2b2-2010-NER"):
-        row = next(t for t in catalog._TASKS if t[0] == name)
-        label = f"'{row[6]}'" if row[6] else "NULL"
-        rows.append(f"('{name}', '{row[1]}', {label})")
-    return ", ".join(rows)
-
-
 ORACLES: dict[str, str] = {
     "class_count": "WITH " + _halves("h", "labels", "doc_id", "validation", "train") + """
 SELECT count(DISTINCT l.quality) AS n_classes
@@ -503,7 +495,7 @@ both_sides AS (
 )
 SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, coalesce(token_id, 1) AS input_id
 FROM both_sides LEFT JOIN vocab USING (token)""",
-    "pad_batches": _encoded(128) + """,
+    "pad_batches": _encoded(480) + """,
 lens AS (SELECT doc_id, count(*) AS n FROM encoded GROUP BY doc_id),
 ranked AS (
   SELECT *, (row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1) // 32 AS batch_id FROM lens
@@ -616,7 +608,8 @@ SELECT event_type, round(CAST(0.06 AS DOUBLE) * (count(*) / 32.0 * 5), 6) AS ste
 SELECT p_partkey, CAST(round_even(p_size * CAST(0.5 AS DOUBLE), 0) AS INTEGER) AS alpha FROM part""",
     "task_lookup": f"""
 WITH kinds AS (SELECT {_TASK} AS task FROM events),
-cat(task, task_type, label_name) AS (VALUES {_catalog_values()})
+cat(task, task_type, label_name) AS (VALUES ('mimic-mp', 'SEQ_CLS', 'hospital_expire_flag'), ('mednli', 'SEQ_CLS', NULL),
+  ('ICD9-Triage', 'SEQ_CLS', 'label'), ('i2b2-2010-NER', 'TOKEN_CLS', NULL))
 SELECT k.task, c.task IS NOT NULL AS known, c.task_type, c.label_name,
        CASE k.task WHEN 'mednli' THEN 'sentence1' WHEN 'mimic-note-category' THEN 'TEXT' ELSE 'text' END AS text_column_1,
        CASE k.task WHEN 'mednli' THEN 'sentence2' END AS text_column_2, count(*) AS n
@@ -644,7 +637,27 @@ best AS (
   SELECT 'm' || CAST(user_id AS VARCHAR) AS model, CASE event_type WHEN 'view' THEN 'A' WHEN 'click' THEN 'N' ELSE 'R' END AS method,
          max(value) AS best FROM events GROUP BY ALL
 )
-SELECT model, method, best, n_trainable_params FROM best JOIN counts USING (model, method)""",
+SELECT model, method, best, n_trainable_params FROM best LEFT JOIN counts USING (model, method)""",
+    "xml_rejects": "WITH " + _CHAR_SPANS + """
+SELECT doc_id, reason, count(*) AS n FROM (
+  SELECT s.doc_id, CASE d.lang WHEN 'de' THEN 'begin or end is no number' ELSE 'element cannot be read' END AS reason
+  FROM char_spans s JOIN documents d ON d.doc_id = s.doc_id WHERE d.lang IN ('de', 'es')
+  UNION ALL SELECT doc_id, 'no text body' FROM documents WHERE lang = 'fr')
+GROUP BY doc_id, reason""",
+    "xml_sections": "WITH " + _CHAR_SPANS + """
+SELECT doc_id, span_idx, "begin", "end", type, replace(stated, chr(10), ' ') AS stated FROM char_spans""",
+    "concept_rejects": "WITH " + _CHUNKS + """
+SELECT doc_id, count(*) AS n FROM chunks WHERE type = 'NUM' GROUP BY doc_id""",
+    "split_null_site": """
+WITH s AS (SELECT doc_id, nullif(lang, 'fr') AS lang, CASE WHEN doc_id % 97 > 0 THEN doc_id % 97 END AS patient FROM documents),
+g AS (SELECT DISTINCT lang, patient FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5(concat_ws(':', '42', CAST(patient AS VARCHAR))), patient) AS r,
+             count(*) OVER (PARTITION BY lang) AS n FROM g)
+SELECT s.doc_id, s.lang, s.patient,
+       CASE WHEN r.r <= floor(CAST(0.9 AS DOUBLE) * r.n) THEN 'train' ELSE 'validation' END AS split
+FROM s JOIN r ON r.lang IS NOT DISTINCT FROM s.lang AND r.patient IS NOT DISTINCT FROM s.patient""",
+    "halves_repeated_ids": "WITH ids AS (SELECT DISTINCT conv_id FROM conversations)," + _halves("h", "ids", "conv_id", "validation", "test") + """
+SELECT conv_id, turn, split FROM conversations JOIN h USING (conv_id)""",
 }
 
 ORACLES["token_cls_metrics"] = ORACLES["entity_scores"]

@@ -21,8 +21,6 @@ from notemill.streaming import monitor
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-VOCAB_SIZE = 2000
-
 
 def query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
@@ -106,6 +104,22 @@ def seeded_shuffle_rank(spark, sf):
     return hash_rank(st.table(spark, sf, "documents").select("doc_id"), ["doc_id"]).select("doc_id", "rank")
 
 
+@query
+def split_null_site(spark, sf):
+    """A split by site and patient where both can be missing."""
+    documents = st.table(spark, sf, "documents").select(
+        "doc_id", F.nullif("lang", F.lit("fr")).alias("lang"), F.nullif(F.col("doc_id") % 97, F.lit(0)).alias("patient")
+    )
+    split = sampling.group_split(documents, "patient", by="lang")
+    return sampling.assign_split(documents, split, ["lang", "patient"])
+
+
+@query
+def halves_repeated_ids(spark, sf):
+    """Turns cut in halves by conversation: rows that share an id stay together."""
+    return sampling.halve_split(st.table(spark, sf, "conversations").select("conv_id", "turn"), "conv_id")
+
+
 @query
 def preview_row(spark, sf):
     documents = st.table(spark, sf, "documents").select("doc_id", "text")
@@ -211,6 +225,47 @@ def xml_spans(spark, sf):
     return flat.select("doc_id", "span_idx", "begin", "end", "type", "stated")
 
 
+def _broken_files(spark, sf):
+    """Annotation files whose offsets (de), quotes (es) or body mark (fr) are broken."""
+    whole = F.col("text")
+    broken = (
+        F.when(F.col("lang") == "de", F.replace(whole, F.lit('<EVENT start="'), F.lit('<EVENT start="x')))
+        .when(F.col("lang") == "es", F.replace(whole, F.lit(' type="'), F.lit(" type=")))
+        .when(F.col("lang") == "fr", F.replace(whole, F.lit(readers.BODY_OPEN), F.lit("<TEXT>")))
+        .otherwise(whole)
+    )
+    return st.annotation_files(spark, sf).withColumn("text", broken)
+
+
+@query
+def xml_rejects(spark, sf):
+    """What cannot be read of broken annotation files, by file and reason."""
+    parsed = readers.parse_span_xml(_broken_files(spark, sf), tags="EVENT")
+    return readers.xml_rejects(parsed).groupBy("doc_id", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def xml_sections(spark, sf):
+    """Files whose elements lie in a section with attributes, have a bare ``<`` or ``&``, and name the type ``TYPE``."""
+    whole = F.replace("text", F.lit("<TAGS>"), F.lit('<TAGS id="1">'))
+    whole = F.replace(F.replace(whole, F.lit(' type="'), F.lit(' note="a & b < c" TYPE="')), F.lit('<root>'), F.lit("<root a=1>"))
+    files = st.annotation_files(spark, sf).withColumn("text", whole)
+    flat = readers.stand_off(readers.parse_span_xml(files, tags="*", type_attr="TYPE"))
+    return flat.select("doc_id", "span_idx", "begin", "end", "type", "stated")
+
+
+@query
+def concept_rejects(spark, sf):
+    """Concept lines whose end position lost its colon."""
+    rows = st.line_chunks(spark, sf)
+    mark = F.when(F.col("type") == "NUM", F.lit(" ")).otherwise(F.lit(":"))
+    line = F.concat(
+        F.lit('c="'), "text", F.lit('" 1:'), "begin", F.lit(" 1"), mark, "end", F.lit('||t="'), F.col("type"), F.lit('"')
+    )
+    rejected = readers.concept_rejects(rows.select("doc_id", line.alias("text")))
+    return rejected.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def span_locations(spark, sf):
     lines = spans.line_offsets(st.notes(spark, sf).select("doc_id", "text"))
@@ -374,12 +429,12 @@ def length_split(spark, sf):
 
 
 def _vocab(spark, sf) -> list[str]:
-    return encode.vocab_list(encode.build_vocab(st.notes(spark, sf), "text", VOCAB_SIZE))
+    return encode.vocab_list(encode.build_vocab(st.notes(spark, sf), "text"))
 
 
 @query
 def word_vocab(spark, sf):
-    return encode.build_vocab(st.notes(spark, sf), "text", VOCAB_SIZE)
+    return encode.build_vocab(st.notes(spark, sf), "text")
 
 
 @query
@@ -391,7 +446,7 @@ def encode_text(spark, sf):
 @query
 def encode_words(spark, sf):
     lines = st.token_lines(spark, sf, keep_blank=False)
-    coded = encode.encode_words(lines, "tokens", _vocab(spark, sf), max_length=48)
+    coded = encode.encode_words(lines, "tokens", _vocab(spark, sf))
     rows = coded.select("doc_id", "line_no", F.posexplode(F.arrays_zip("input_ids", "word_ids")).alias("pos", "t"))
     return rows.select("doc_id", "line_no", "pos", F.col("t.input_ids").alias("input_id"), F.coalesce("t.word_ids", F.lit(-1)).alias("word_id"))
 
@@ -400,7 +455,7 @@ def encode_words(spark, sf):
 def encode_subwords(spark, sf):
     """Greedy longest match over a vocabulary of word parts."""
     notes = st.notes(spark, sf).select("doc_id", "text")
-    vocab = encode.vocab_list(encode.build_piece_vocab(notes, "text", VOCAB_SIZE))
+    vocab = encode.vocab_list(encode.build_piece_vocab(notes, "text"))
     coded = encode.encode_text(notes, "text", vocab, subwords=True)
     return encode.truncation_report(coded, "n_pieces")
 
@@ -411,20 +466,20 @@ def encode_pair_lengths(spark, sf):
     sized = pairs.withColumn("a", F.size(word_pieces(F.col("sentence1")))).withColumn(
         "b", F.size(word_pieces(F.col("sentence2")))
     )
-    keep_a, keep_b = encode.pair_budget(F.col("a"), F.col("b"), 64)
+    keep_a, keep_b = encode.pair_budget(F.col("a"), F.col("b"), 480)
     return sized.select("conv_id", "turn", "a", "b", keep_a.alias("keep_a"), keep_b.alias("keep_b"))
 
 
 @query
 def encode_pair(spark, sf):
     pairs = st.turn_pairs(spark, sf)
-    coded = encode.encode_pair(pairs, "sentence1", "sentence2", _vocab(spark, sf), max_length=64)
+    coded = encode.encode_pair(pairs, "sentence1", "sentence2", _vocab(spark, sf))
     return unroll(coded, ["conv_id", "turn"], "input_ids", "input_id", "pos")
 
 
 @query
 def pad_batches(spark, sf):
-    coded = encode.encode_text(st.notes(spark, sf).select("doc_id", "text"), "text", _vocab(spark, sf), max_length=128)
+    coded = encode.encode_text(st.notes(spark, sf).select("doc_id", "text"), "text", _vocab(spark, sf))
     padded = encode.pad_batches(coded.drop("text"), 32, "doc_id")
     ones = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
     pads = F.size(F.filter("input_ids", lambda x: x == encode.PAD))
@@ -451,7 +506,7 @@ def _aligned(spark, sf, first_piece_only=False):
     rows = stage(st.labelled(spark, sf), "labelled")
     tags = conll.tag_list(conll.tag_vocab(rows))
     coded = conll.encode_tags(rows, tags)
-    return encode.encode_ner(coded, _vocab(spark, sf), max_length=48, first_piece_only=first_piece_only)
+    return encode.encode_ner(coded, _vocab(spark, sf), first_piece_only=first_piece_only)
 
 
 @query
@@ -755,11 +810,11 @@ def search_trials(spark, sf):
 
     def fit(params: dict):
         return train.fit_linear_probe(
-            parts["train"].drop("features"), "embedding", "label", max_iter=5,
+            parts["train"].drop("features"), "embedding", "label",
             regParam=params["rate"], elasticNetParam=params["mix"],
         )
 
     space = {"rate": ("log_uniform", 1e-5, 1e-3), "mix": ("choice", [0.0, 0.5, 1.0])}
     return train.search(
-        fit, parts["validation"], "label", 10, space, "probe", n_trials=6, store=fresh_path(spark, "trials")
+        fit, parts["validation"], "label", 10, space, "probe", n_trials=20, store=fresh_path(spark, "trials")
     )

@@ -16,7 +16,6 @@ from notemill.operators import spans as sp
 from notemill.operators.ordered import running
 from notemill.operators.rows import unroll
 from notemill.operators.sampling import assign_split, group_split
-from notemill.runtime import spread
 
 # Patterns in the part of the syntax that Java and RE2 read alike.
 EMAIL_TOKEN = "[A-Za-z0-9]@[A-Za-z0-9]"
@@ -33,7 +32,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def notes(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
+    return table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
 
 
 def token_lines(spark: SparkSession, sf: str, keep_blank: bool = True) -> DataFrame:
@@ -254,15 +253,18 @@ def tensors(spark: SparkSession, sf: str) -> DataFrame:
 
 def classification_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled documents: doc_id, text, quality, toxic, n_chars."""
-    documents = spread(table(spark, sf, "documents").select("doc_id", "text", "n_chars"), "doc_id")
+    documents = table(spark, sf, "documents").select("doc_id", "text", "n_chars")
     return documents.join(table(spark, sf, "labels"), "doc_id")
 
 
 def vector_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors with their first ten values as logits."""
-    return table(spark, sf, "embeddings").select(
-        "vec_id", "label", F.slice("embedding", 1, 10).cast("array<double>").alias("logits")
-    )
+    """Vectors folded into ten logits: logit ``k`` sums the values at places ``k``, ``k + 10``, …"""
+
+    def folded(k: int) -> Column:
+        mine = F.filter(F.col("embedding").cast("array<double>"), lambda x, i: i % 10 == k)
+        return F.aggregate(mine, F.lit(0.0), lambda a, x: a + x)
+
+    return table(spark, sf, "embeddings").select("vec_id", "label", F.array(*[folded(k) for k in range(10)]).alias("logits"))
 
 
 def turn_pairs(spark: SparkSession, sf: str) -> DataFrame:

@@ -27,18 +27,6 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash a table that few tasks read over more of the cluster.
-
-    A file of one row group is read by one task, whatever follows. Tables that
-    already come in as many parts as there are cores stay as they are, so nothing
-    large is shuffled for this.
-    """
-    parts = df.rdd.getNumPartitions()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if parts >= cores else df.repartition(min(cores, 8 * parts), key)
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table that several jobs read to the shared folder, and read it back.
 

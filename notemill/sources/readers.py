@@ -166,13 +166,21 @@ def read_token_notes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_concepts(files: DataFrame, text_col: str = "text") -> DataFrame:
-    """Concept lines to spans; a line of another form keeps NULL fields."""
+    """Concept lines to spans; a line of another form keeps NULL fields (see ``concept_rejects``)."""
     rest = [c for c in files.columns if c != text_col]
     lines = files.select(*rest, F.posexplode(tx.text_lines(F.col(text_col))).alias("span_idx", "__line"))
     fields = tx.parse_position(tx.strip(F.col("__line")))
     return lines.select(*rest, "span_idx", *[c.alias(name) for name, c in fields.items()])
 
 
+def concept_rejects(files: DataFrame, text_col: str = "text") -> DataFrame:
+    """Lines of concept files that have another form, blank ones aside: the file's columns, ``span_idx``, ``line``."""
+    rest = [c for c in files.columns if c != text_col]
+    lines = files.select(*rest, F.posexplode(tx.text_lines(F.col(text_col))).alias("span_idx", "line"))
+    bad = tx.parse_position(tx.strip(F.col("line")))["type"].isNull()
+    return lines.filter(bad & ~tx.is_blank(F.col("line")))
+
+
 def read_concepts(spark: SparkSession, path: str) -> DataFrame:
     """Concept files: ``(doc_id, span_idx, start_line, start_pos, end_line, end_pos, type, stated)``."""
     return parse_concepts(_whole_files(spark, path, ".con"))
@@ -186,42 +194,68 @@ BODY_CLOSE = "]]></TEXT>"
 def parse_span_xml(
     files: DataFrame, tags: str | Sequence[str] = "*", type_attr: str = "type", text_col: str = "text"
 ) -> DataFrame:
-    """Annotated files to ``(…, text, spans)``, all inside the row.
+    """Annotated files to ``(…, text, spans, rejects)``, all inside the row.
 
     ``spans`` is an array of (span_idx, begin, end, type, stated) with 0-based begin
     and exclusive end. ``tags`` names the annotation elements, ``"*"`` takes all. Only
-    the tag section is parsed, with bare ampersands escaped first, so a body that is
-    no XML does no harm.
+    the elements of the tag sections are parsed, with bare ampersands and angle brackets
+    escaped first, so a body that is no XML does no harm. ``rejects`` has a reason for
+    each element that cannot be read and for a missing body, whose ``text`` is NULL; see ``xml_rejects``.
     """
     rest = [c for c in files.columns if c != text_col]
     whole = F.col(text_col)
+    has_body = F.contains(whole, F.lit(BODY_OPEN)) & F.contains(whole, F.lit(BODY_CLOSE))
     body = F.substring_index(F.substring(whole, F.instr(whole, BODY_OPEN) + len(BODY_OPEN), F.length(whole)), BODY_CLOSE, 1)
-    section = F.regexp_extract(whole, r"(?s)<TAGS>.*</TAGS>|<TAGS\s*/>", 0)
-    section = F.regexp_replace(section, r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9a-fA-F]+);)", "&amp;")
+    section = F.regexp_extract(whole, r"(?s)<TAGS(?:\s[^>]*)?>.*</TAGS>|<TAGS(?:\s[^>]*)?/>", 0)
     # The wanted elements take one common name, which keeps their order over all names.
     names = r"(?!TAGS\b)[\w.-]+" if tags == "*" else "|".join([tags] if isinstance(tags, str) else tags)
     section = F.regexp_replace(section, rf"<(/?)(?:{names})(?=[\s/>])", "<$1TAG")
-    split = files.select(*rest, body.alias("text"), section.alias("__tags"))
-
-    element = f"STRUCT<_start: INT, _end: INT, _{type_attr}: STRING, _text: STRING>"
-    parsed = F.from_xml("__tags", f"STRUCT<TAG: ARRAY<{element}>>")
+    split = files.select(
+        *rest, F.when(has_body, body).alias("text"), section.alias("__tags"),
+        F.regexp_extract_all(section, F.lit(_ELEMENT), 0).alias("__elements"),
+    )
+    # Each element is read on its own, so one that is malformed does not take others along.
+    element = f"STRUCT<_start: STRING, _end: STRING, _{type_attr}: STRING, _text: STRING>"
+    clean = F.transform("__elements", lambda e: F.regexp_replace(F.regexp_replace(e, r"(?<!^)<", "&lt;"), r"\s*/?>$", " />"))
+    joined = F.regexp_replace(F.array_join(clean, ""), r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9a-fA-F]+);)", "&amp;")
+    rows = split.withColumn("__xml", F.concat(F.lit("<TAGS>"), joined, F.lit("</TAGS>"))).withColumn(
+        "__parsed", F.from_xml("__xml", f"STRUCT<TAG: ARRAY<{element}>>")
+    ).withColumn("__found", F.coalesce(F.col("__parsed.TAG"), F.array().cast(f"ARRAY<{element}>")))
     spans = F.transform(
-        F.coalesce(F.col("__parsed.TAG"), F.array().cast(f"ARRAY<{element}>")),
-        lambda a, i: F.struct(
-            i.alias("span_idx"),
-            a["_start"].alias("begin"),
-            a["_end"].alias("end"),
+        "__found",
+        lambda a: F.struct(
+            F.lit(0).alias("span_idx"),
+            a["_start"].try_cast("int").alias("begin"),
+            a["_end"].try_cast("int").alias("end"),
             a[f"_{type_attr}"].alias("type"),
             tx.collapse_ws(a["_text"]).alias("stated"),
         ),
     )
-    return split.withColumn("__parsed", parsed).select(*rest, "text", spans.alias("spans"))
+    whole_spans = lambda c: F.filter(c, lambda s: s["begin"].isNotNull() & s["end"].isNotNull())
+    lost = F.regexp_count("__tags", F.lit(r"<TAG(?=[\s/>])")) - F.size("__found")
+    reasons = F.concat(
+        F.when(F.col("text").isNull(), F.array(F.lit("no text body"))).otherwise(F.array().cast("array<string>")),
+        F.array_repeat(F.lit("element cannot be read"), F.greatest(lost, F.lit(0)).cast("int")),
+        F.array_repeat(F.lit("begin or end is no number"), (F.size("__found") - F.size(whole_spans(spans))).cast("int")),
+    )
+    numbered = F.transform(whole_spans(spans), lambda s, i: s.withField("span_idx", i))
+    return rows.select(*rest, "text", numbered.alias("spans"), reasons.alias("rejects"))
+
+
+#: One annotation element with its attributes, up to the end of its opening tag.
+_ELEMENT = r"""<TAG(?:\s+[\w.:-]+\s*=\s*(?:"[^"]*"|'[^']*'))*\s*/?>"""
+
+
+def xml_rejects(parsed: DataFrame) -> DataFrame:
+    """One row for each thing that ``parse_span_xml`` could not read: the file's columns and ``reason``."""
+    rest = [c for c in parsed.columns if c not in ("text", "spans", "rejects")]
+    return parsed.select(*rest, F.explode("rejects").alias("reason"))
 
 
 def read_span_xml(
     spark: SparkSession, path: str, tags: str | Sequence[str] = "*", type_attr: str = "type"
 ) -> DataFrame:
-    """Annotated XML files: ``(doc_id, text, spans)``."""
+    """Annotated XML files: ``(doc_id, text, spans, rejects)``."""
     return parse_span_xml(_whole_files(spark, path, ".xml"), tags, type_attr)
 
 
@@ -234,19 +268,25 @@ def read_accounting(spark: SparkSession, path: str) -> DataFrame:
     """``model -> method -> fields`` files to ``(model, method, fields MAP)``.
 
     Reads JSON, and YAML of the plain two-level layout (two spaces a level, one
-    ``name: value`` per line). Quotes go, ``null`` becomes NULL.
+    ``name: value`` per line). Quotes go, ``null`` becomes NULL. A flat JSON of
+    ``model -> value`` has no methods: its rows have a NULL method and one field, ``value``.
     """
     files = spark.read.text(path, wholetext=True)
     if path.endswith(".json"):
-        nested = F.from_json("value", "map<string,map<string,map<string,string>>>")
-        methods = files.select(F.explode(nested).alias("model", "methods"))
-        return methods.select("model", F.explode("methods").alias("method", "fields"))
+        models = files.select(F.explode(F.from_json("value", "map<string,string>")).alias("model", "__inner"))
+        methods = F.from_json("__inner", "map<string,map<string,string>>")
+        nested = models.filter(F.startswith("__inner", F.lit("{"))).select("model", F.explode(methods).alias("method", "fields"))
+        flat = models.filter(~F.startswith("__inner", F.lit("{"))).select(
+            "model", F.lit(None).cast("string").alias("method"), F.create_map(F.lit("value"), F.col("__inner")).alias("fields")
+        )
+        return nested.unionByName(flat)
     blocks = files.select(F.explode(F.split("value", r"\n(?=\S)")).alias("block"))
     models = blocks.select(
         F.regexp_extract("block", r"^([^\n]+):", 1).alias("model"),
         F.explode(F.split(F.regexp_replace("block", r"^[^\n]+\n", ""), r"\n(?= {2}\S)")).alias("part"),
     )
-    lines = F.slice(F.split(F.rtrim("part"), "\n"), 2, 1_000_000)
+    lines = F.split(F.rtrim("part"), "\n")
+    lines = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
     pairs = F.transform(lines, lambda x: F.split(F.trim(x), ": *", 2))
     value = F.map_from_entries(
         F.transform(
