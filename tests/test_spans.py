@@ -285,3 +285,56 @@ def test_many_copies_of_one_span(spark):
     )
     got = labels(sp.label_token_spans(sp.token_lines(notes), on_tokens))
     assert got == [["O", "B-LAST", "I-LAST"], ["O"], ["O", "O", "O"], ["O"]]
+
+
+def _brute_labels(text, spans):
+    """Character by character: the latest span over a character is its type; words end where the type changes."""
+    out, start = [], 0
+    for line_no, line in enumerate(text.split("\n")):
+        stop = start + len(line) + 1
+        clips = [(i, max(b, start) - start, min(e, stop) - start, b >= start, t) for i, b, e, t in spans if b < stop and e > start]
+        kinds, opens = [], []
+        for at in range(len(line) + 1):
+            over = [c for c in clips if c[1] <= at < c[2]]
+            won = max(over) if over else None
+            kinds.append(won[4] if won else None)
+            opens.append(bool(won) and won[3] and won[1] == at)
+        words, at = [], 0
+        while at <= len(line):
+            until = at
+            while until <= len(line) and kinds[until] == kinds[at]:
+                until += 1
+            found = line[at:until].split()
+            for k, word in enumerate(found):
+                place = at if k == 0 else until - 1 if k == len(found) - 1 else at + 1
+                words.append((word, "O" if kinds[at] is None else ("B-" if opens[place] else "I-") + kinds[at]))
+            at = until
+        if line.strip():
+            out.append((line_no, [w for w, _ in words], [x for _, x in words]))
+        start = stop
+    return out
+
+
+def test_overlapping_spans_against_brute_force(spark):
+    import random
+
+    rng = random.Random(11)
+    notes, flat = [], []
+    for d in range(40):
+        text = "".join(rng.choices("ab cd\n", k=rng.randrange(0, 60)))
+        spans = []
+        for i in range(rng.randrange(0, 9)):
+            b = rng.randrange(0, len(text) + 1)
+            spans.append((i, b, min(len(text), b + rng.randrange(0, 25)), rng.choice("XYZ")))
+        notes.append((f"d{d}", text, [(i, b, e, t, "") for i, b, e, t in spans]))
+        flat += [(f"d{d}", *s) for s in spans if s[2] > s[1]]
+    schema = "doc_id string, text string, spans array<struct<span_idx:int,begin:int,end:int,type:string,stated:string>>"
+    frame = spark.createDataFrame(notes, schema)
+    want = sorted(
+        (d, *row) for d, text, spans in notes for row in _brute_labels(text, [s[:4] for s in spans if s[2] > s[1]])
+    )
+    rows = sp.label_annotated_notes(frame).collect()
+    assert sorted((r["doc_id"], r["line_no"], r["tokens"], r["labels"]) for r in rows) == want
+    apart = spark.createDataFrame(flat, "doc_id string, span_idx int, begin int, end int, type string")
+    rows = sp.label_char_spans(frame.select("doc_id", "text"), apart).collect()
+    assert sorted((r["doc_id"], r["line_no"], r["tokens"], r["labels"]) for r in rows) == want
