@@ -448,10 +448,29 @@ WHERE split = 'validation' AND tag NOT IN (SELECT tag FROM named WHERE split = '
 SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, string_agg(token || ' ' || label, chr(10) ORDER BY pos) AS value
 FROM bio GROUP BY doc_id, line_no""",
     "conll_roundtrip": "WITH " + _BIO + "," + _SOURCE_SPLIT + """
-SELECT split, label AS tag, count(*) AS n FROM bio JOIN source_split USING (source) GROUP BY split, label""",
-    "dataset_roundtrip": "WITH " + _BIO + _TAGS + "," + _SOURCE_SPLIT + """
-SELECT split, tag, tag_id, count(*) AS n FROM bio JOIN source_split USING (source) JOIN tags ON tag = label
-GROUP BY split, tag, tag_id""",
+SELECT split, string_agg(token, ' ' ORDER BY pos) AS tokens, string_agg(label, ' ' ORDER BY pos) AS tags
+FROM bio JOIN source_split USING (source) GROUP BY split, doc_id, line_no""",
+    "xml_dataset_flow": "WITH cw AS (" + _CHAR_WORDS + """),
+patients AS (SELECT DISTINCT CAST(left(CAST(doc_id AS VARCHAR), 2) AS INTEGER) AS patient FROM cw),
+ranked AS (
+  SELECT patient, row_number() OVER (ORDER BY md5('42:' || CAST(patient AS VARCHAR)), patient) AS r, count(*) OVER () AS n FROM patients
+)
+SELECT CASE WHEN r <= floor(CAST(0.9 AS DOUBLE) * n) THEN 'train' ELSE 'validation' END AS split,
+       string_agg(token, ' ' ORDER BY pos) AS tokens, string_agg(label, ' ' ORDER BY pos) AS tags
+FROM cw JOIN ranked ON patient = CAST(left(CAST(doc_id AS VARCHAR), 2) AS INTEGER) GROUP BY doc_id, line_no, r, n""",
+    "label_vocab_file": "WITH " + _BIO + _TAGS + "SELECT CAST(tag_id AS BIGINT) AS tag_id, tag FROM tags",
+    "accounting_files": "WITH " + _TENSORS + """
+SELECT 'yaml' AS kind, model, method, total_params AS total, n_trainable_params AS trainable FROM counts
+UNION ALL SELECT 'json-two', model, method, total_params, NULL FROM counts
+UNION ALL SELECT 'json-flat', model, NULL, CAST(sum(total_params) AS BIGINT), NULL FROM counts GROUP BY model""",
+    "run_dir_scan": "WITH " + _NAMED + "SELECT DISTINCT task, method FROM named",
+    "blank_types_dropped": "WITH " + _CHAR_SPANS + "SELECT type, count(*) AS n FROM char_spans WHERE type <> 'NUM' GROUP BY type",
+    "unencodable_dropped": "WITH " + _TOKENS + r"""
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, string_agg(token, ' ' ORDER BY pos) AS tokens
+FROM tokens WHERE regexp_matches(token, '[\p{L}\p{N}]') GROUP BY doc_id, line_no""",
+    "task_columns": """
+SELECT doc_id, quality AS labels, md5(text) AS text_md5 FROM documents JOIN labels USING (doc_id) ORDER BY doc_id LIMIT 50""",
+    "entity_unescape": "WITH " + _TOKENS + "SELECT true AS same, count(*) AS n FROM tokens WHERE contains(token, ',')",
     "csv_roundtrip": "WITH " + _halves("h", "labels", "doc_id", "train", "validation") + """,
 held AS (SELECT doc_id FROM h WHERE split = 'validation'),
 """ + _halves("q", "held", "doc_id", "validation", "test").strip() + """
@@ -660,4 +679,5 @@ FROM s JOIN r ON r.lang IS NOT DISTINCT FROM s.lang AND r.patient IS NOT DISTINC
 SELECT conv_id, turn, split FROM conversations JOIN h USING (conv_id)""",
 }
 
+ORACLES["dataset_roundtrip"] = ORACLES["conll_roundtrip"]
 ORACLES["token_cls_metrics"] = ORACLES["entity_scores"]

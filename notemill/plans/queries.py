@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notemill.functions import arrays, naming
+from notemill.functions import text as tx
 from notemill.functions.text import word_pieces
 from notemill.operators import accounting as acc
 from notemill.operators import conll, encode, metrics, runs, sampling, spans, train
@@ -382,17 +383,118 @@ def conll_roundtrip(spark, sf):
     path = fresh_path(spark, "conll")
     writers.write_conll(st.labelled_splits(spark, sf), path, order=["doc_id", "line_no"])
     back = readers.read_conll(spark, path)
-    return unroll(back, ["split"], "ner_tags_str", "tag").groupBy("split", "tag").agg(F.count(F.lit(1)).alias("n"))
+    return back.select("split", F.array_join("tokens", " ").alias("tokens"), F.array_join("ner_tags_str", " ").alias("tags"))
 
 
 @query
 def dataset_roundtrip(spark, sf):
     path = fresh_path(spark, "dataset")
     flows.build_ner_dataset(st.labelled_splits(spark, sf), path)
-    stored = readers.read_dataset(spark, path)
-    tags = readers.read_tags(spark, path)
-    rows = unroll(stored, ["split"], "ner_tags", "tag_id").groupBy("split", "tag_id").agg(F.count(F.lit(1)).alias("n"))
-    return rows.join(tags, "tag_id").select("split", "tag", "tag_id", "n")
+    return _stored_sentences(spark, path)
+
+
+def _stored_sentences(spark, path):
+    """Every stored sentence whole, its tags named by the stored vocabulary."""
+    names = conll.tag_list(readers.read_tags(spark, path))
+    stored = conll.decode_tags(readers.read_dataset(spark, path), names, "ner_tags", "names")
+    return stored.select("split", F.array_join("tokens", " ").alias("tokens"), F.array_join("names", " ").alias("tags"))
+
+
+@query
+def xml_dataset_flow(spark, sf):
+    """Annotated files checked, labelled, split by patient, stored and read back."""
+    files = st.annotation_files(spark, sf).withColumn("doc_id", F.col("doc_id").cast("string"))
+    path = fresh_path(spark, "xml-dataset")
+    flows.xml_to_dataset(readers.parse_span_xml(files.select("doc_id", "text"), tags="EVENT"), path, digits=2)
+    return _stored_sentences(spark, path)
+
+
+@query
+def label_vocab_file(spark, sf):
+    """The tag file, read back in order."""
+    path = fresh_path(spark, "tag-file")
+    writers.write_label_vocab(conll.tag_vocab(st.labelled(spark, sf)), path)
+    return spark.read.text(path).select(F.monotonically_increasing_id().alias("tag_id"), F.col("value").alias("tag"))
+
+
+@query
+def accounting_files(spark, sf):
+    """Accounting written as two-level YAML, two-level JSON and flat JSON, read back."""
+    counts = acc.param_counts(st.tensors(spark, sf), ["model", "method"])
+    pair = lambda name: F.concat(F.lit(f"    {name}: "), F.col(name))
+    part = F.concat_ws("\n", F.concat(F.lit("  "), "method", F.lit(":")), pair("n_trainable_params"), pair("total_params"))
+    models = counts.groupBy("model").agg(
+        F.concat(F.col("model"), F.lit(":\n"), F.array_join(F.array_sort(F.collect_list(part)), "\n")).alias("yaml"),
+        F.map_from_entries(F.collect_list(F.struct("method", F.create_map(
+            F.lit("total_params"), F.col("total_params").cast("string")
+        )))).alias("methods"),
+        F.sum("total_params").cast("string").alias("flat"),
+    )
+    one_file = lambda c: models.agg(c.alias("value")).coalesce(1)
+    as_json = lambda c: F.to_json(F.map_from_entries(F.collect_list(F.struct("model", c))))
+    paths = {k: fresh_path(spark, "accounting") + f".{k.split('-')[0]}" for k in ("yaml", "json-two", "json-flat")}
+    one_file(F.array_join(F.array_sort(F.collect_list("yaml")), "\n")).write.text(paths["yaml"])
+    one_file(as_json("methods")).write.text(paths["json-two"])
+    one_file(as_json("flat")).write.text(paths["json-flat"])
+    read = {k: readers.read_accounting(spark, p) for k, p in paths.items()}
+    out = None
+    for k, rows in read.items():
+        rows = rows.select(
+            F.lit(k).alias("kind"), "model", "method",
+            F.coalesce(F.col("fields")["total_params"], F.col("fields")["value"]).cast("long").alias("total"),
+            F.col("fields")["n_trainable_params"].cast("long").alias("trainable"),
+        )
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
+@query
+def run_dir_scan(spark, sf):
+    """Log files in nested folders, found by their names."""
+    root = fresh_path(spark, "log-tree")
+    rows = _named_events(spark, sf).select(
+        "task", "method", F.concat_ws(",", F.col("event_id").cast("string"), F.col("value").cast("string")).alias("value")
+    )
+    rows.coalesce(1).write.partitionBy("task", "method").text(root)
+    found = readers.scan_run_dirs(spark, root, needle="part-")
+    return found.select(F.regexp_extract("dir", "task=([^/]*)/method=([^/]*)$", 1).alias("task"), F.regexp_extract("dir", "task=([^/]*)/method=([^/]*)$", 2).alias("method"))
+
+
+@query
+def blank_types_dropped(spark, sf):
+    """Numbers as spans of a blank type, which labels leave out."""
+    rows = st.char_spans(spark, sf).withColumn("type", F.when(F.col("type") == "NUM", F.lit(" ")).otherwise(F.col("type")))
+    return spans.drop_blank_type(rows).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def unencodable_dropped(spark, sf):
+    """Tokens without any letter or digit as those of no pieces; sentences left empty go."""
+    rows = st.token_lines(spark, sf).select("doc_id", "line_no", "tokens")
+    sized = rows.withColumn("n_pieces", F.transform("tokens", lambda t: F.when(F.rlike(t, F.lit(r"[\p{L}\p{N}]")), 1).otherwise(0)))
+    cleaned = conll.drop_unencodable(conll.drop_empty_sentences(sized), "n_pieces", ["tokens"])
+    return cleaned.select("doc_id", "line_no", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query
+def task_columns(spark, sf):
+    """Rows of a task with its columns dropped, its label renamed, its text taken by position; the first 50."""
+    rows = st.classification_rows(spark, sf).select("text", "doc_id", "n_chars", "quality", "toxic")
+    named = catalog.ensure_labels(catalog.drop_columns(rows, ["n_chars", "toxic"]), "quality")
+    text = catalog.text_columns_by_position(named)
+    picked = sampling.take(named.select("doc_id", "labels", *[F.md5(c).alias(f"{c}_md5") for c in text]), 50, "doc_id")
+    return picked
+
+
+@query
+def entity_unescape(spark, sf):
+    """Stated texts with signs where the note has entities: only one-sided ones are escaped."""
+    rows = st.token_lines(spark, sf).select("doc_id", "line_no", F.explode("tokens").alias("t"))
+    rows = rows.filter(F.contains("t", F.lit(",")))
+    noted = F.replace("t", F.lit(","), F.lit("&quot;"))
+    stated = F.replace("t", F.lit(","), F.lit('"'))
+    same = tx.unescape_for(noted, stated) == noted
+    return rows.groupBy(same.alias("same")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
