@@ -6,6 +6,7 @@ Fits run as distributed jobs of ``spark.ml``; only model coefficients reach the
 from __future__ import annotations
 
 import functools
+import threading
 import hashlib
 import math
 from collections.abc import Callable
@@ -102,7 +103,13 @@ def evaluate_splits(model, splits: dict[str, DataFrame], label_col: str) -> Data
 def fit_linear_probe(
     df: DataFrame, vector_col: str, label_col: str, max_iter: int = 20, **params
 ) -> LogisticRegressionModel:
-    """Only a head over frozen vectors."""
+    """Only a head over frozen vectors.
+
+    Rows that have ``features`` already are taken as they are, so that a search over many
+    fits can prepare and keep them once.
+    """
+    if "features" in df.columns:
+        return _regression(label_col, max_iter, **params).fit(df.select("features", label_col))
     rows = as_features(df, vector_col).select("features", label_col).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _regression(label_col, max_iter, **params).fit(rows)
@@ -238,8 +245,9 @@ def search(
     """Trials with their validation AUC. ``fit`` maps drawn parameters to a model.
 
     Trials already in ``store`` (a folder of trial rows) are not run again. Fits run
-    side by side from driver threads, each as a distributed job. Returns the store's
-    rows of this study, or the new ones where there is no store.
+    side by side from driver threads, each as a distributed job. A trial is stored as soon
+    as it is done, so one that fails loses none of the others. Returns the store's rows of
+    this study, or the new ones where there is no store.
     """
     spark = validation.sparkSession
     drawn = draw_trials(study, space, n_trials, seed)
@@ -251,8 +259,13 @@ def search(
 
     def run(row: dict) -> dict:
         params = {k: v for k, v in row.items() if k not in ("study", "trial")}
-        return {**row, "roc_auc_macro": float(roc_auc(score(fit(params), validation), label_col, classes))}
+        found = {**row, "roc_auc_macro": float(roc_auc(score(fit(params), validation), label_col, classes))}
+        if store is not None:
+            with storing:  # writers to one folder must not overlap
+                spark.createDataFrame([found]).coalesce(1).write.mode("append").json(store)
+        return found
 
+    storing = threading.Lock()
     pool = ThreadPool(parallelism)
     try:
         results = pool.map(run, [row for row in drawn if row["trial"] in wanted])
@@ -260,8 +273,6 @@ def search(
         pool.close()
     if store is None:
         return spark.createDataFrame(results)
-    if results:
-        spark.createDataFrame(results).write.mode("append").json(store)
     return _stored(spark, store).filter(F.col("study") == study)
 
 

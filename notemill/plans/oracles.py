@@ -461,8 +461,8 @@ FROM cw JOIN ranked ON patient = CAST(left(CAST(doc_id AS VARCHAR), 2) AS INTEGE
     "label_vocab_file": "WITH " + _BIO + _TAGS + "SELECT CAST(tag_id AS BIGINT) AS tag_id, tag FROM tags",
     "accounting_files": "WITH " + _TENSORS + """
 SELECT 'yaml' AS kind, model, method, total_params AS total, n_trainable_params AS trainable FROM counts
-UNION ALL SELECT 'json-two', model, method, total_params, NULL FROM counts
-UNION ALL SELECT 'json-flat', model, NULL, CAST(sum(total_params) AS BIGINT), NULL FROM counts GROUP BY model""",
+UNION ALL SELECT 'json-two', model, method, total_params, -1 FROM counts
+UNION ALL SELECT 'json-flat', model, NULL, CAST(sum(total_params) AS BIGINT), -1 FROM counts GROUP BY model""",
     "run_dir_scan": "WITH " + _NAMED + "SELECT DISTINCT task, method FROM named",
     "blank_types_dropped": "WITH " + _CHAR_SPANS + "SELECT type, count(*) AS n FROM char_spans WHERE type <> 'NUM' GROUP BY type",
     "unencodable_dropped": "WITH " + _TOKENS + r"""
@@ -656,7 +656,7 @@ best AS (
   SELECT 'm' || CAST(user_id AS VARCHAR) AS model, CASE event_type WHEN 'view' THEN 'A' WHEN 'click' THEN 'N' ELSE 'R' END AS method,
          max(value) AS best FROM events GROUP BY ALL
 )
-SELECT model, method, best, n_trainable_params FROM best LEFT JOIN counts USING (model, method)""",
+SELECT model, method, best, coalesce(n_trainable_params, -1) AS n_trainable_params FROM best LEFT JOIN counts USING (model, method)""",
     "xml_rejects": "WITH " + _CHAR_SPANS + """
 SELECT doc_id, reason, count(*) AS n FROM (
   SELECT s.doc_id, CASE d.lang WHEN 'de' THEN 'begin or end is no number' ELSE 'element cannot be read' END AS reason
@@ -672,7 +672,7 @@ WITH s AS (SELECT doc_id, nullif(lang, 'fr') AS lang, CASE WHEN doc_id % 97 > 0
 g AS (SELECT DISTINCT lang, patient FROM s),
 r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5(concat_ws(':', '42', CAST(patient AS VARCHAR))), patient) AS r,
              count(*) OVER (PARTITION BY lang) AS n FROM g)
-SELECT s.doc_id, s.lang, s.patient,
+SELECT s.doc_id, s.lang, coalesce(s.patient, -1) AS patient,
        CASE WHEN r.r <= floor(CAST(0.9 AS DOUBLE) * r.n) THEN 'train' ELSE 'validation' END AS split
 FROM s JOIN r ON r.lang IS NOT DISTINCT FROM s.lang AND r.patient IS NOT DISTINCT FROM s.patient""",
     "halves_repeated_ids": "WITH ids AS (SELECT DISTINCT conv_id FROM conversations)," + _halves("h", "ids", "conv_id", "validation", "test") + """

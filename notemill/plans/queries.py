@@ -112,7 +112,8 @@ def split_null_site(spark, sf):
         "doc_id", F.nullif("lang", F.lit("fr")).alias("lang"), F.nullif(F.col("doc_id") % 97, F.lit(0)).alias("patient")
     )
     split = sampling.group_split(documents, "patient", by="lang")
-    return sampling.assign_split(documents, split, ["lang", "patient"])
+    placed = sampling.assign_split(documents, split, ["lang", "patient"])
+    return placed.select("doc_id", "lang", F.coalesce("patient", F.lit(-1)).alias("patient"), "split")
 
 
 @query
@@ -442,7 +443,7 @@ def accounting_files(spark, sf):
         rows = rows.select(
             F.lit(k).alias("kind"), "model", "method",
             F.coalesce(F.col("fields")["total_params"], F.col("fields")["value"]).cast("long").alias("total"),
-            F.col("fields")["n_trainable_params"].cast("long").alias("trainable"),
+            F.coalesce(F.col("fields")["n_trainable_params"].cast("long"), F.lit(-1)).alias("trainable"),
         )
         out = rows if out is None else out.unionAll(rows)
     return out
@@ -879,7 +880,9 @@ def accounting_join(spark, sf):
         F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("model"), method.alias("method"), "value"
     )
     best = scored.groupBy("model", "method").agg(F.max("value").alias("best"))
-    return acc.join_accounting(best, counts).select("model", "method", "best", "n_trainable_params")
+    return acc.join_accounting(best, counts).select(
+        "model", "method", "best", F.coalesce("n_trainable_params", F.lit(-1)).alias("n_trainable_params")
+    )
 
 
 # --- training ------------------------------------------------------------------------
@@ -910,13 +913,18 @@ def search_trials(spark, sf):
     halves = stage(sampling.halve_split(rows, "vec_id", names=("train", "validation")), "vectors")
     parts = {s: train.as_features(halves.filter(F.col("split") == s), "embedding") for s in ("train", "validation")}
 
+    ready = parts["train"].select("features", "label").persist()
+
     def fit(params: dict):
         return train.fit_linear_probe(
-            parts["train"].drop("features"), "embedding", "label",
+            ready, "embedding", "label",
             regParam=params["rate"], elasticNetParam=params["mix"],
         )
 
     space = {"rate": ("log_uniform", 1e-5, 1e-3), "mix": ("choice", [0.0, 0.5, 1.0])}
-    return train.search(
-        fit, parts["validation"], "label", 10, space, "probe", n_trials=20, store=fresh_path(spark, "trials")
-    )
+    try:
+        return train.search(
+            fit, parts["validation"], "label", 10, space, "probe", n_trials=20, store=fresh_path(spark, "trials")
+        )
+    finally:
+        ready.unpersist()

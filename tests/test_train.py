@@ -63,3 +63,27 @@ def test_search_resumes(spark, tmp_path):
     best = train.best_trial(more).first()
     assert best["roc_auc_macro"] == more.agg(F.max("roc_auc_macro")).first()[0]
     ready.unpersist()
+
+
+def test_failed_trial_keeps_the_others(spark, tmp_path):
+    rows = spark.range(60).select(
+        "id", F.array(F.col("id") % 2 + F.rand(1) * 0.1, F.rand(2)).alias("v"), (F.col("id") % 2).cast("int").alias("label")
+    )
+    ready = train.as_features(rows, "v").select("id", "features", "label").persist()
+    last = train.draw_trials("s", SPACE, 3)[2]["rate"]
+    ran = []
+
+    def fit(params, broken=True):
+        ran.append(params)
+        if broken and params["rate"] == last:
+            raise RuntimeError("no luck")
+        return train.fit_linear_probe(ready, "v", "label", max_iter=3, regParam=params["rate"])
+
+    store = str(tmp_path / "trials")
+    with pytest.raises(RuntimeError):
+        train.search(fit, ready, "label", 2, SPACE, "s", n_trials=3, store=store)
+    assert spark.read.json(store).count() == 2
+    del ran[:]
+    done = train.search(lambda p: fit(p, False), ready, "label", 2, SPACE, "s", n_trials=3, store=store)
+    assert done.count() == 3 and [r["rate"] for r in ran] == [last]
+    ready.unpersist()
