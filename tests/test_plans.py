@@ -47,3 +47,29 @@ def test_only_needed_columns_are_read(spark, sf):
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
     assert schemas and all("text" not in s for s in schemas)
     assert "PushedFilters: [IsNotNull(toxic), EqualTo(toxic,1)]" in plan_of(QUERIES["rows_of_class"](spark, sf))
+
+
+@pytest.mark.parametrize("name", ["group_split_90_10", "split_sizes", "sentences_by_group", "unseen_labels", "split_null_site"])
+def test_rows_of_one_site_are_spread_where_nothing_is_broadcast(spark, sf, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = plan_of(QUERIES[name](spark, sf))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = [line for line in plan.splitlines() if re.search(r"(SortMerge|ShuffledHash)Join.*(source|lang)#", line)]
+    assert any("__salt" in line for line in joins)
+    # The others join one row per group with its bucket's offset.
+    assert all("__salt" in line or "__bucket" in line for line in joins), joins
+
+
+def test_vocabulary_is_a_sorted_limit(spark, sf):
+    assert "TakeOrderedAndProject(limit=30000" in plan_of(QUERIES["word_vocab"](spark, sf))
+
+
+def test_large_samples_rank_only_the_buckets_they_need(spark, sf):
+    from notemill.operators import sampling
+
+    rows = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    plan = plan_of(sampling.few_shot(rows, "quality", 5000, "doc_id"))
+    assert re.search(r"Join.*LeftSemi", plan) and "__bucket" in plan
