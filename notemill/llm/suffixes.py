@@ -4,7 +4,7 @@ A window is a run of ``length`` bytes. Each window has an anchor, its least k-gr
 hash; neighbouring windows of one anchor form a piece. Equal windows have equal anchors,
 so windows that repeat lie in pieces of one anchor: pieces are gathered by it, equal
 pieces collapse to one with a count, and those whose anchor occurs once are done. What is
-left goes to transforms of a few megabytes each. There, intervals of suffixes are
+left goes to transforms of some hundred kilobytes each. There, intervals of suffixes are
 extended to the left breadth-first, which yields the common prefixes of neighbouring
 suffixes by increasing length; it stops at ``length``. Neighbours without a value by then
 share a whole window.
@@ -25,7 +25,7 @@ from notemill.llm.words import mix, stream, text_slices
 LENGTH = 200
 ANCHOR = 32
 #: Bytes of pieces in a transform; one anchor's pieces are never parted below HOT of them.
-GROUP_BYTES = 1 << 21
+GROUP_BYTES = 1 << 18
 HOT = 20_000
 SLICE = 1 << 22
 
@@ -97,35 +97,49 @@ def _sliced(column: pa.Array, length: int):
 # --- one transform -------------------------------------------------------------------
 
 
+def _ranked(high: np.ndarray, low: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of pairs of small numbers, and the rank of each pair from 1."""
+    n = len(high)
+    place = max(n - 1, 1).bit_length()
+    pair = (high << bits) | low
+    if int(high.max(initial=0)).bit_length() + bits + place <= 63:
+        packed = np.sort((pair << place) | np.arange(n))  # sorts several times as fast as an order of pairs
+        order, ranked = packed & ((1 << place) - 1), packed >> place
+    else:
+        order = np.argsort(pair)
+        ranked = pair[order]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])]) + 1
+    return order, rank
+
+
 def suffix_order(chars: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
     """Places of all suffixes, sorted by their first ``depth`` characters at least.
 
     ``chars`` are byte values plus 1, 0 ends a piece; ``left`` counts the characters up to and with
-    the end. Prefixes double in length, seven characters first.
+    the end. Prefixes double in length, four characters first.
     """
     n = len(chars)
-    at = np.arange(n)
-    key = np.zeros(n, np.int64)
-    for k in range(7):
-        char = np.zeros(n, np.int64)
-        char[: n - k] = chars[k:]
-        key = (key << 9) | np.where(left > k, char, 0)
-    size = 7
-    while True:
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])]) + 1
-        if size >= depth:
-            return order
-        ahead = np.where(left > size, rank[np.minimum(at + size, n - 1)], 0)
-        key = (rank << 32) | ahead
+    halves = []
+    for start in (0, 2):
+        half = np.zeros(n, np.int64)
+        for k in (start, start + 1):
+            half <<= 9
+            half[: n - k] |= np.where(left[: n - k] > k, chars[k:], 0)
+        halves.append(half)
+    order, rank = _ranked(halves[0], halves[1], 18)
+    size, bits = 4, n.bit_length()
+    while size < depth:
+        ahead = np.zeros(n, np.int64)
+        ahead[: n - size] = np.where(left[: n - size] > size, rank[size:], 0)
+        order, rank = _ranked(rank, ahead, bits)
         size *= 2
+    return order
 
 
 def _same_neighbours(chars: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The place each row's character maps to, and the rows before and after with the same one."""
-    by = np.argsort(chars, kind="stable")
+    """Rows by their character, and for each the rows before and after with the same one."""
+    by = np.argsort(chars.astype(np.uint16), kind="stable")
     after, before = np.full(n, n), np.full(n, -1)
     same = chars[by[1:]] == chars[by[:-1]]
     after[by[:-1][same]] = by[1:][same]
