@@ -210,7 +210,8 @@ def scan(
                 names=[*kept, "__line", "__line_cos", "__file", "__file_cos"],
             )
 
-    more = [T.StructField(c, k) for c, k in (("__line", T.StringType()), ("__line_cos", T.DoubleType()), ("__file", T.StringType()), ("__file_cos", T.DoubleType()))]
+    found_as = {"__line": T.StringType(), "__line_cos": T.DoubleType(), "__file": T.StringType(), "__file_cos": T.DoubleType()}
+    more = [T.StructField(c, k) for c, k in found_as.items()]
     found = texts.mapInArrow(rows, T.StructType([*[files.schema[c] for c in kept], *more]))
     folder = F.regexp_replace(F.col(path_col), "/?[^/]*$", "")
     placed = scratch.table(found.withColumn("__dir", folder), "found")
@@ -222,7 +223,12 @@ def scan(
     parts = F.split("__dir", "/")
     above = dirs.select(
         "__dir",
-        F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("d")))).alias("a"),
+        F.explode(
+            F.transform(
+                F.sequence(F.lit(0), F.size(parts)),
+                lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("d")),
+            )
+        ).alias("a"),
     ).select("__dir", "a.depth", F.col("a.d").alias("from_dir"))
     nearest = above.join(speaking, "from_dir").groupBy(F.col("__dir").alias("in_dir")).agg(
         F.max(F.struct("depth", "from_dir", "f", "c")).alias("near")

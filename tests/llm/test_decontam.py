@@ -1,6 +1,5 @@
 import random
 
-import numpy as np
 import odd
 from hypothesis import given, settings
 from hypothesis import strategies as st

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from notemill.llm import mixing
 from notemill.llm.queries import QUERIES
+from notemill.llm.scratch import Scratch
 
 
 def filled(sizes, share=1.5, cap=2.0, weights=(3, 1, 2)):
@@ -61,7 +62,7 @@ def test_hypergeometric_inverts_the_distribution(spark, n, k, m):
 
 def test_tree_keeps_quotas_and_even_shards(spark):
     q = [700, 1, 0, 55, 1024]
-    leaves = mixing.split_quotas(spark.createDataFrame([(q,)], "q array<long>"), 3, 1).collect()
+    leaves = mixing.split_quotas(spark.createDataFrame([(q,)], "q array<long>"), 3, 1, Scratch(spark, "t")).collect()
     assert sorted(r["shard"] for r in leaves) == list(range(8))
     assert [sum(r["q"][i] for r in leaves) for i in range(5)] == q
     sums = [sum(r["q"]) for r in leaves]

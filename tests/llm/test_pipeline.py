@@ -2,8 +2,6 @@ import re
 from collections import Counter, defaultdict
 
 import odd
-import public_tokenizers
-from pyspark.sql import functions as F
 from test_decontam import brute_distance
 from test_neardup import brute
 

@@ -5,7 +5,6 @@ import re
 
 import numpy as np
 import odd
-import pytest
 
 from notemill.llm import secrets as s
 from notemill.llm.queries import QUERIES
