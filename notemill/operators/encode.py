@@ -298,8 +298,10 @@ def decode(df: DataFrame, ids_col: str, tokens: Sequence[str], out: str = "decod
     return df.withColumn(out, F.replace(joined, F.lit(" ##"), F.lit("")))
 
 
-def piece_counts(tokens_col: str) -> Column:
-    """Word-mode piece count of each token."""
+def piece_counts(tokens_col: str, vocab: Sequence[str] | None = None) -> Column:
+    """Piece count of each token: in word mode, or in sub-words of a vocabulary."""
+    if vocab is not None:
+        return F.transform(lookup_pieces(vocab)(F.col(tokens_col)), F.size)
     return F.transform(tokens_col, lambda t: F.size(tx.word_pieces(t)))
 
 

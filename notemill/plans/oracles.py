@@ -508,6 +508,8 @@ steps AS (
 )
 SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, part, CAST(count(*) AS INTEGER) AS n_tokens, CAST(sum(n) AS INTEGER) AS n_pieces
 FROM steps WHERE i > 0 GROUP BY doc_id, line_no, part""",
+    "subword_lengths": "WITH " + _TOKENS + """
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(sum(length(token)) AS INTEGER) AS n_pieces FROM tokens GROUP BY doc_id, line_no""",
     "word_vocab": "WITH " + _VOCAB + "SELECT token, token_id, n FROM vocab",
     "encode_text": _encoded(480) + """
 SELECT doc_id, CAST(n_pieces AS INTEGER) AS n_pieces, CAST(pos AS INTEGER) AS pos, input_id FROM encoded""",

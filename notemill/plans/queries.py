@@ -522,6 +522,17 @@ def sentence_ids(spark, sf):
     return conll.sentence_ids(marked, "doc_id", "line_no", "content").select("doc_id", "line_no", "sent_id")
 
 
+@query
+def subword_lengths(spark, sf):
+    """Sub-word counts by a vocabulary of single letters: a word has as many pieces as characters."""
+    rows = st.token_lines(spark, sf, keep_blank=False).select("doc_id", "line_no", "tokens")
+    letters = rows.select(F.explode(F.flatten(F.transform("tokens", lambda t: F.split(t, "")))).alias("c"))
+    known = [r["c"] for r in letters.filter("c <> ''").distinct().orderBy("c").collect()]  # bounded by Unicode
+    vocab = [*encode.SPECIALS, *known, *[f"##{c}" for c in known]]
+    sized = rows.withColumn("n_pieces", encode.piece_counts("tokens", vocab))
+    return sized.select("doc_id", "line_no", F.aggregate("n_pieces", F.lit(0), lambda a, x: a + x).alias("n_pieces"))
+
+
 @query
 def length_split(spark, sf):
     rows = st.labelled(spark, sf).withColumn("n_pieces", encode.piece_counts("tokens"))

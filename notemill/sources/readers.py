@@ -25,17 +25,18 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def read_csv_splits(
-    spark: SparkSession, paths: dict[str, str], schema: StructType | str | dict[str, StructType | str]
+    spark: SparkSession, paths: dict[str, str], schema: StructType | str | dict[str, StructType | str], multi_line: bool = True
 ) -> DataFrame:
     """One table of all splits, from one CSV path per split.
 
     ``schema`` is declared, for all splits or per split; a column one split lacks is
-    NULL there. Quoted fields may span lines.
+    NULL there. Quoted fields may span lines, for which a file is read by one task; without
+    ``multi_line`` they may not, and large files are read by many.
     """
     parts = []
     for split, path in paths.items():
         declared = schema[split] if isinstance(schema, dict) else schema
-        reader = spark.read.schema(declared).option("header", True).option("multiLine", True)
+        reader = spark.read.schema(declared).option("header", True).option("multiLine", multi_line)
         rows = reader.option("quote", '"').option("escape", '"').option("enforceSchema", False).csv(path)
         parts.append(rows.withColumn("split", F.lit(split)))
     return _union(parts)
