@@ -1,9 +1,9 @@
 """Token ids in compact files: canonical length-limited Huffman codes from global counts.
 
 A folder holds ``codes`` (one row for each id: its count and code length) and ``blocks``
-(about 65,536 ids of whole documents each, in document order). A block can be decoded
+(about 262,144 ids of whole documents each, in document order). A block can be decoded
 alone: it has its first id's global place, its documents' sizes, the bit stream, and the
-bit offset of every 512th id. From those checkpoints a block is decoded in lanes, all of
+bit offset of every 256th id. From those checkpoints a block is decoded in lanes, all of
 them one table look-up at a time.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +22,10 @@ from pyspark.sql.window import Window
 
 from notemill.llm.scratch import Scratch, partitions
 
-BLOCK_IDS = 1 << 16
-LANE = 512
+BLOCK_IDS = 1 << 18
+LANE = 256
 MAX_BITS = 18
-CACHE = 600_000
+CACHE = 250_000
 
 # --- ids of texts ------------------------------------------------------------------
 
@@ -46,6 +47,7 @@ class Encoder:
 
     def __init__(self, path: str, end_id: int | None):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         size = max(self.tokenizer.get_vocab_size(), (end_id or 0) + 1)
@@ -53,6 +55,9 @@ class Encoder:
         self.end = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.fast = self._plain_words(path)
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        #: The byte alphabet's letters for each letter of a word.
+        self.alphabet = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(256)}
         self.words: dict[str, bytes] = {}
         self.pieces = _Pieces(self)
 
@@ -83,10 +88,8 @@ class Encoder:
         if found is None:
             if len(self.words) >= CACHE:
                 self.words.clear()
-            if word.isascii() and word.isalpha():  # the byte alphabet maps these letters to themselves
-                found = np.array([t.id for t in self.tokenizer.model.tokenize(word)], self.dtype).tobytes()
-            else:
-                found = self.library(word)
+            spelt = word if word.isascii() and word.isalpha() else word.translate(self.alphabet)
+            found = array(self.dtype.char, [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
             self.words[word] = found
         return found
 
@@ -110,8 +113,14 @@ class _Pieces(dict):
         self.encoder = encoder
 
     def __missing__(self, piece: str) -> bytes:
-        found = b"".join(map(self.encoder.word, _PIECES.findall(piece.lower())))
-        if len(self) <= CACHE and len(piece) <= 64:
+        word = self.encoder.word
+        if piece.isalpha():
+            found = word(piece.lower())
+        elif piece[:-1].isalpha() and not piece[-1].isalnum():  # a word and its point or comma
+            found = word(piece[:-1].lower()) + word(piece[-1])
+        else:
+            found = b"".join(map(word, _PIECES.findall(piece.lower())))
+        if len(self) <= CACHE and len(piece) <= 32:
             self[piece] = found
         return found
 
