@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from notemill.functions.arrays import let
 from notemill.llm.scratch import Scratch, partitions
 
 MAX_SOURCES = 100_000
@@ -69,7 +70,7 @@ def targets(sources: DataFrame, weights: Sequence[float], share: float, cap: flo
     )
 
 
-def draws(blocks: DataFrame, sources: DataFrame, seed: int, top_ups: int = 3, orders: int = 8) -> DataFrame:
+def draws(blocks: DataFrame, sources: DataFrame, seed: int, top_ups: int = 2, orders: int = 8) -> DataFrame:
     """Blocks to draw, one row (source, rank, block, pass) for each draw.
 
     A source is drawn whole as often as its target holds its size. Of the rest, blocks in
@@ -125,37 +126,54 @@ def hypergeometric(total: Column, good: Column, drawn: Column, u: Column) -> Col
     The sum runs over the support, or over the 12 standard deviations around the mean
     where that is shorter; what lies beyond has a probability below 1e-30.
     """
-    n, k, m = total.cast("double"), good.cast("double"), drawn.cast("double")
-    mean = F.when(n > 0, m * k / n).otherwise(0.0)
-    spread = F.when(n > 1, F.sqrt(mean * (1 - k / n) * (n - m) / (n - 1))).otherwise(0.0) * 12 + 12
-    low = F.greatest(F.lit(0.0), m + k - n, F.floor(mean - spread).cast("double"))
-    high = F.greatest(low, F.least(m, k, F.ceil(mean + spread).cast("double")))
+
+    def mean(a: Column) -> Column:
+        return F.when(a["n"] > 0, a["m"] * a["k"] / a["n"]).otherwise(0.0)
+
+    def spread(a: Column, mu: Column) -> Column:
+        n = a["n"]
+        return F.when(n > 1, F.sqrt(mu * (1 - a["k"] / n) * (n - a["m"]) / (n - 1))).otherwise(0.0) * 12 + 12
+
+    def bounds(a: Column, mu: Column, s: Column) -> Column:
+        low = F.greatest(F.lit(0.0), a["m"] + a["k"] - a["n"], F.floor(mu - s).cast("double"))
+        high = F.greatest(low, F.least(a["m"], a["k"], F.ceil(mu + s).cast("double")))
+        return F.struct(low.alias("low"), high.alias("high"))
 
     def choose(a: Column, b: Column) -> Column:
         return _log_factorial(a) - _log_factorial(b) - _log_factorial(a - b)
 
-    first = F.exp(choose(k, low) + choose(n - k, m - low) - choose(n, m))
-    zero = F.struct(first.alias("p"), F.lit(0.0).alias("below"), low.alias("at"))
+    def invert(a: Column, b: Column) -> Column:
+        n, k, m, low = a["n"], a["k"], a["m"], b["low"]
+        first = F.exp(choose(k, low) + choose(n - k, m - low) - choose(n, m))
+        zero = F.struct(first.alias("p"), F.lit(0.0).alias("below"), low.alias("at"))
 
-    def step(acc: Column, x: Column) -> Column:
-        below = acc["below"] + acc["p"]
-        ratio = (k - x) * (m - x) / ((x + 1) * (n - k - m + x + 1))
-        return F.struct(
-            (acc["p"] * ratio).alias("p"),
-            below.alias("below"),
-            F.when(below < u, x + 1).otherwise(acc["at"]).alias("at"),
-        )
+        def step(acc: Column, i: Column) -> Column:
+            x = i.cast("double")
+            below = acc["below"] + acc["p"]
+            ratio = (k - x) * (m - x) / ((x + 1) * (n - k - m + x + 1))
+            return F.struct(
+                (acc["p"] * ratio).alias("p"),
+                below.alias("below"),
+                F.when(below < u, x + 1).otherwise(acc["at"]).alias("at"),
+            )
+
+        steps = F.sequence(low.cast("long"), b["high"].cast("long"))
+        return F.least(F.aggregate(steps, zero, step, lambda acc: acc["at"]), b["high"]).cast("long")
+
+    args = F.struct(total.cast("double").alias("n"), good.cast("double").alias("k"), drawn.cast("double").alias("m"))
 
-    steps = F.transform(F.sequence(low.cast("long"), high.cast("long")), lambda x: x.cast("double"))
-    found = F.aggregate(steps, zero, step, lambda acc: acc["at"])
-    return F.least(found, high).cast("long")
+    def within(a: Column) -> Column:
+        return let(mean(a), lambda mu: let(spread(a, mu), lambda s: let(bounds(a, mu, s), lambda b: invert(a, b))))
 
+    return let(args, within)
 
-def split_quotas(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
+
+def split_quotas(quotas: DataFrame, depth: int, seed: int, scratch: Scratch) -> DataFrame:
     """Split one row ``q`` (blocks of each source) into ``2 ** depth`` shards.
 
     At every node the left side gets half of the blocks, a multivariate hypergeometric
-    draw taken source by source; the right side gets the others.
+    draw taken source by source; the right side gets the others. Each level, a row for each
+    node, is written before the next is planned.
     """
     nodes = quotas.select(F.lit(0).cast("long").alias("shard"), "q")
     for level in range(depth):
@@ -177,16 +195,15 @@ def split_quotas(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
 
         indexed = F.transform("q", lambda q, i: F.struct(q.alias("q"), i.alias("i")))
         left = F.aggregate(indexed, zero, step, lambda acc: acc["left"])
-        nodes = nodes.withColumn("__left", left).withColumn(
-            "__right", F.zip_with("q", "__left", lambda a, b: a - b)
-        ).select(
+        sides = nodes.select("shard", "q", left.alias("__left")).select(
             F.explode(
                 F.array(
                     F.struct((F.col("shard") * 2).alias("shard"), F.col("__left").alias("q")),
-                    F.struct((F.col("shard") * 2 + 1).alias("shard"), F.col("__right").alias("q")),
+                    F.struct((F.col("shard") * 2 + 1).alias("shard"), F.zip_with("q", "__left", lambda a, b: a - b).alias("q")),
                 )
             ).alias("n")
-        ).select("n.shard", "n.q")
+        )
+        nodes = scratch.table(sides.select("n.shard", "n.q"), f"level-{level}")
     return nodes
 
 
@@ -237,7 +254,7 @@ def mix(
             lambda x: x["n"],
         ).alias("q")
     )
-    leaves = scratch.table(split_quotas(whole, depth, seed), "leaves").select("shard", F.posexplode("q").alias("rank", "n"))
+    leaves = split_quotas(whole, depth, seed, scratch).select("shard", F.posexplode("q").alias("rank", "n"))
     upto = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     runs = leaves.withColumn("__from", F.coalesce(F.sum("n").over(upto), F.lit(0))).filter("n > 0").select(
         "rank", "shard", F.explode(F.sequence(F.col("__from"), F.col("__from") + F.col("n") - 1)).alias("idx")
