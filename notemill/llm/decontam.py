@@ -111,9 +111,16 @@ def build_index(rows: list[tuple[int, str]], q: int = Q, rate: float = EDIT_RATE
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
     """Best (start, end, edits) of ``item`` in ``text`` on diagonals ``low .. high``, or None.
 
-    Row i of the table holds the cost of the first i item characters ending at text
-    place i + diagonal; moves along a row are a running minimum.
+    A diagonal without any edit is looked for first; the first one is the answer. Else row
+    i of the table holds the cost of the first i item characters ending at text place
+    i + diagonal; moves along a row are a running minimum.
     """
+    first, last = max(low, 0), min(high, len(text) - len(item))
+    if first <= last and len(item):
+        same = (np.lib.stride_tricks.sliding_window_view(text, len(item))[first : last + 1] == item).all(axis=1)
+        if same.any():
+            begin = first + int(same.argmax())
+            return begin, begin + len(item), 0
     width = high - low + 1
     far = 1 << 20
     diagonals = np.arange(low, high + 1)
