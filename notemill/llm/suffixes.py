@@ -330,8 +330,10 @@ def remove_repeats(
     every = every.groupBy("anchor", "content", "key", "start", "end").agg(F.count(F.lit(1)).alias("n"))
     every = scratch.table(every, "pieces")
     twice = every.groupBy("anchor").agg(F.sum("n").alias("times")).filter("times > 1").select("anchor")
+    # Written first, so that the join's sides are plain and a very common anchor's rows can be split.
+    twice = scratch.table(twice, "twice")
     repeated = scratch.table(every.join(twice, "anchor"), "repeated")
-    scratch.drop("pieces")
+    scratch.drop("pieces", "twice")
     distinct = scratch.table(
         repeated.groupBy("anchor", "content").agg(F.sum("n").alias("n"), F.min(F.struct("key", "start", "end")).alias("x"))
         .select("anchor", "content", "n", "x.key", "x.start", "x.end"),
