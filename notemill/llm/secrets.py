@@ -7,6 +7,7 @@ windows of documents, labelled by the values that the patterns find.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from dataclasses import dataclass
@@ -66,17 +67,33 @@ _RUNS = re.compile(r"(.)\1+")
 _MULTIPLY = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1], np.uint64)
 
 
-def token_features(token: str) -> list[int]:
+@functools.lru_cache(1 << 16)
+def _kind_features(shape: str, size: int, mixed: int, rich: int, kind: str, digits: int) -> tuple[int, ...]:
+    names = (f"s{shape}", f"n{size}", f"m{mixed}{rich}", f"k{kind}{digits}")
+    return tuple(zlib.crc32(x.encode()) for x in names)
+
+
+def token_features(token: str) -> tuple[int, ...]:
     """Hashes of a token's shape, length, letters and, of a short word, itself."""
     n = len(token)
-    digits = sum(c.isdigit() for c in token)
-    shape = _RUNS.sub(r"\1", token.translate(_SHAPES)) if n <= 64 else "long"
-    word = token.lower() if n <= 12 and not digits else "#"
+    word, kind, digits = "#", "x", 0
+    if token.isascii() and token.isalpha():
+        lower = token.lower()
+        shape = "a" if token == lower else "A" if token.isupper() else _RUNS.sub(r"\1", token.translate(_SHAPES))
+    else:
+        digits = sum(c.isdigit() for c in token)
+        lower = token.lower()
+        shape = _RUNS.sub(r"\1", token.translate(_SHAPES)) if n <= 64 else "long"
+        if n >= 8 and digits and all(c in "0123456789abcdef" for c in token):
+            kind = "hex"
+    if kind != "hex" and token.isupper():
+        kind = "up"
+    if n <= 12 and not digits:
+        word = lower
     mixed = 0 if not digits else 1 + min(3, len(shape) // 4)
     rich = len(set(token)) * 4 // n if n >= 8 else 9
-    kind = "hex" if n >= 8 and digits and all(c in "0123456789abcdef" for c in token) else "up" if token.isupper() else "x"
-    names = (f"s{shape[:8]}", f"n{min(n, 44) // 4}", f"w{word}", f"m{mixed}{rich}", f"k{kind}{min(digits, 12) // 3}")
-    return [zlib.crc32(x.encode()) for x in names]
+    own = _kind_features(shape[:8], min(n, 44) // 4, mixed, rich, kind, min(digits, 12) // 3)
+    return (*own, zlib.crc32(f"w{word}".encode()))
 
 
 def file_features(text: str, tokens: int) -> list[int]:
@@ -192,7 +209,7 @@ def viterbi(emit: np.ndarray, moves: np.ndarray) -> list[int]:
 class Tagger:
     """Tags texts; what a token contributes in each slot is kept per distinct token."""
 
-    def __init__(self, field: Field, cache: int = 400_000):
+    def __init__(self, field: Field, cache: int = 150_000):
         self.field, self.cache = field, cache
         self.index: dict[str, int] = {}
         self.known = np.zeros((4096, 12))
@@ -202,21 +219,23 @@ class Tagger:
         #: More than a begin or inside token can gain from moves, against an outside one.
         self.bonus = m[:, :2].max(axis=0) - stay + leave
 
-    def _row(self, token: str) -> int:
+    def _learn(self, tokens: list[str]) -> None:
+        """Add what new tokens contribute in each slot."""
         at = len(self.index)
-        if at == len(self.known):
+        while at + len(tokens) > len(self.known):
             self.known = np.concatenate([self.known, np.zeros_like(self.known)])
-        features = np.array(token_features(token), np.uint64)
+        features = np.array([token_features(t) for t in tokens], np.uint64)
         for slot in range(4):
-            self.known[at, 3 * slot : 3 * slot + 3] = self.field.weights[_slot(features, slot)].sum(axis=0)
-        self.index[token] = at
-        return at
+            self.known[at : at + len(tokens), 3 * slot : 3 * slot + 3] = self.field.weights[_slot(features, slot)].sum(axis=1)
+        self.index.update(zip(tokens, range(at, at + len(tokens))))
 
     def emissions(self, tokens: list[str], file: list[int]) -> np.ndarray:
         if len(self.index) > self.cache:
             self.index.clear()
-        index = self.index
-        rows = np.array([index[t] if t in index else self._row(t) for t in tokens])
+        new = {t for t in tokens if t not in self.index}
+        if new:
+            self._learn(list(new))
+        rows = np.array(list(map(self.index.__getitem__, tokens)))
         found = self.known[rows]
         end = self.field.weights
         edge = np.array([zlib.crc32(b"end")], np.uint64)
