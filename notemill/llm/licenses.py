@@ -1,7 +1,8 @@
 """Licences of files: TF-IDF cosine to templates, then inheritance down the directories.
 
 Every line of a file, and the file as a whole, is a sparse TF-IDF vector; its cosine to
-the templates names a licence. A file that is a licence text as a whole speaks for its
+the templates names a licence. The templates are customary notices and, for whole files,
+the full texts in ``license_texts``. A file that is a licence text as a whole speaks for its
 directory: files without a licence of their own take that of the nearest directory above
 them that has one.
 """
@@ -9,6 +10,7 @@ them that has one.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,8 @@ from notemill.llm.words import text_slices, word_hashes, words
 
 LINE_COSINE = 0.6
 FILE_COSINE = 0.5
+#: For full texts: unlike licences of other families lie under it, texts with names and copyright lines added over it.
+TEXT_COSINE = 0.65
 
 # Customary notices and opening sentences of public licences.
 TEMPLATES = [
@@ -49,6 +53,14 @@ TEMPLATES = [
     ("Proprietary", "All rights reserved."),
 ]
 
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """Name and text of every full licence text of the package, by name."""
+    files = [f for f in resources.files(__package__).joinpath("license_texts").iterdir() if f.name.endswith(".txt")]
+    return sorted((f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in files)
+
+
 _APART = np.ones(256, bool)
 _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _U = np.uint64
@@ -86,9 +98,8 @@ def _term_of(hashes: np.ndarray, terms: np.ndarray) -> np.ndarray:
     return np.where(terms[at] == hashes, at, -1)
 
 
-def document_frequencies(texts: DataFrame, templates: Templates) -> tuple[np.ndarray, int]:
-    """In how many texts each template word occurs, and the number of texts."""
-    terms = templates.terms
+def document_frequencies(texts: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many texts each of the sorted template words occurs, and the number of texts."""
 
     def rows(batches):
         total, n = np.zeros(len(terms), np.int64), 0
@@ -116,12 +127,11 @@ class Matcher:
     anchors: np.ndarray  # terms without one of which no template is near enough
 
 
-def matcher(templates: Templates, df: np.ndarray, n: int) -> Matcher:
+def matcher(templates: Templates, df: np.ndarray, n: int, least: float = min(LINE_COSINE, FILE_COSINE)) -> Matcher:
     idf = np.log((1 + n) / (1 + df)) + 1
     weights = np.where(templates.counts > 0, 1 + np.log(np.maximum(templates.counts, 1)), 0) * idf
     unit = weights / np.maximum(np.linalg.norm(weights, axis=1, keepdims=True), 1e-12)
     anchors = np.zeros(len(templates.terms), bool)
-    least = min(LINE_COSINE, FILE_COSINE)
     for row in unit:
         # A text with none of the heaviest words has a cosine of the norm of the others at most.
         order = np.argsort(-row, kind="stable")
@@ -153,8 +163,43 @@ def _best(m: Matcher, group: np.ndarray, hashes: np.ndarray, term: np.ndarray) -
     return has, pick, cosine[np.arange(len(has)), pick]
 
 
-def match(m: Matcher, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each text: best line template and cosine, whole-text template and cosine; -1 for none near enough."""
+def _whole(m: Matcher, n: int, text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best full text and cosine of each of ``n`` texts; -1 for none near enough."""
+    pick, cosine = np.full(n, -1), np.zeros(n)
+    term = _term_of(hashes, m.terms)
+    known = term >= 0
+    cells, times = np.unique(text[known] * len(m.terms) + term[known], return_counts=True)
+    if not len(cells):
+        return pick, cosine
+    of, t = cells // len(m.terms), cells % len(m.terms)
+    value = (1 + np.log(times)) * m.idf[t]
+    edges = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    has = of[edges]
+    dots = np.add.reduceat(value[:, None] * m.matrix[t], edges, axis=0)
+    square = np.add.reduceat(value * value, edges)
+    # Words of no template only lengthen a vector: texts too far without them need none counted.
+    near = dots.max(axis=1) >= (TEXT_COSINE - 1e-6) * np.sqrt(square)
+    has, dots, square = has[near], dots[near], square[near]
+    inside = np.isin(text, has) & ~known
+    other, h = np.searchsorted(has, text[inside]), hashes[inside]
+    order = np.lexsort((h, other))
+    other, h = other[order], h[order]
+    if len(h):
+        first = np.flatnonzero(np.concatenate([[True], (other[1:] != other[:-1]) | (h[1:] != h[:-1])]))
+        more = (1 + np.log(np.diff(np.append(first, len(h))))) * m.other
+        square = square + np.bincount(other[first], more * more, minlength=len(has))
+    found = np.round(dots / np.sqrt(square)[:, None], 9)
+    best = found.argmax(axis=1)
+    top = found[np.arange(len(has)), best]
+    pick[has[top >= TEXT_COSINE]], cosine[has[top >= TEXT_COSINE]] = best[top >= TEXT_COSINE], top[top >= TEXT_COSINE]
+    return pick, cosine
+
+
+def match(m: Matcher, full: Matcher, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each text: best line template and cosine, whole-text template and cosine; -1 for none near enough.
+
+    Whole-text templates are the notices, then the full texts; the nearer one counts.
+    """
     n = len(offsets) - 1
     hashes, starts, counts = _hashes(data, offsets)
     term = _term_of(hashes, m.terms)
@@ -172,18 +217,23 @@ def match(m: Matcher, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray
     has, pick, cosine = _best(m, text, hashes, term)
     near = cosine >= FILE_COSINE
     file_pick[has[near]], file_cos[has[near]] = pick[near], cosine[near]
+    pick, cosine = _whole(full, n, text, hashes)
+    nearer = cosine > file_cos
+    file_pick[nearer], file_cos[nearer] = pick[nearer] + m.matrix.shape[1], cosine[nearer]
     return line_pick, line_cos, file_pick, file_cos
 
 
 def scan(
-    files: DataFrame, path_col: str = "path", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES
+    files: DataFrame, path_col: str = "path", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES,
+    full: list[tuple[str, str]] | None = None,
 ) -> DataFrame:
     """The licence of every file: its columns but the text, ``license``, ``via``, ``cosine``, ``license_dir``.
 
     ``via`` is ``file`` (the text as a whole is a licence), ``header`` (a line is; the best
     one, the first of equals), ``inherited`` (from ``license_dir``, the nearest directory above with a licence file;
     of several there the best, then the one of the first path) or null. Word weights come from
-    all files. A null text is empty; a file without a path inherits nothing; paths need not be
+    all files. A whole file is held against ``templates`` and the full texts ``full`` (those of
+    the package unless given); the nearer one counts, and a notice before a full text. A null text is empty; a file without a path inherits nothing; paths need not be
     unique; columns of these names give way; no rows give no rows.
     """
     spark = files.sparkSession
@@ -191,16 +241,21 @@ def scan(
     own = ("license", "via", "cosine", "license_dir")
     kept = [c for c in files.columns if c not in (*own, text_col)]
     texts = files.select(*kept, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    ready = prepare(templates)
-    df, n = document_frequencies(texts.select("__text"), ready)
-    shared = spark.sparkContext.broadcast((ready.names, matcher(ready, df, n)))  # a few templates
+    ready, whole = prepare(templates), prepare(full_texts() if full is None else full)
+    terms = np.union1d(ready.terms, whole.terms)
+    df, n = document_frequencies(texts.select("__text"), terms)
+    df_of = lambda t: df[np.searchsorted(terms, t.terms)]
+    # A few notices, and some twenty full texts of some 5,000 words in all.
+    shared = spark.sparkContext.broadcast(
+        (ready.names + whole.names, matcher(ready, df_of(ready), n), matcher(whole, df_of(whole), n, TEXT_COSINE))
+    )
 
     def rows(batches):
-        names, m = shared.value
+        names, m, w = shared.value
         named = lambda picks: pa.array([names[p] if p >= 0 else None for p in picks], pa.string())
         for batch in batches:
             last = batch.num_columns - 1
-            parts = [match(m, data, offsets) for _, _, data, offsets in text_slices(batch.column(last))]
+            parts = [match(m, w, data, offsets) for _, _, data, offsets in text_slices(batch.column(last))]
             line, line_cos, file, file_cos = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, int)] * 4
             yield pa.RecordBatch.from_arrays(
                 [

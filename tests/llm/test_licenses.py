@@ -4,6 +4,7 @@ from collections import Counter
 
 import odd
 import pytest
+from pyspark.sql import functions as F
 
 from notemill.llm import licenses as li
 from notemill.llm.queries import QUERIES
@@ -113,3 +114,37 @@ def test_odd_rows(spark):
     assert len(rows) == len(odd.TEXTS) and all(r["license"] is None for r in rows)
     assert set(rows[0].asDict()) == set(docs.columns) - {"text"} | {"via", "cosine", "license_dir"}
     assert li.scan(odd.none(spark), path_col="key").count() == 0
+
+
+def test_full_licence_texts_speak_for_their_directories(spark):
+    own = {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MIT", "MPL-2.0", "CC0-1.0",
+           "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "Unlicense"}
+    texts = dict(li.full_texts())
+    assert own <= set(texts)
+    rows = [("top.txt", "prose without a licence above it")]
+    for name, text in texts.items():
+        reflowed = "Copyright (c) 2021 Some Holder and others\n\n" + " ".join(text.split())
+        rows += [(f"{name}/whole/LICENSE", text), (f"{name}/whole/src/a.txt", "prose of its own"),
+                 (f"{name}/flow/COPYING", reflowed), (f"{name}/flow/b.txt", "more prose")]
+    found = {r["path"]: r for r in li.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    for name in texts:
+        for folder, file, other in (("whole", "LICENSE", "src/a.txt"), ("flow", "COPYING", "b.txt")):
+            r, below = found[f"{name}/{folder}/{file}"], found[f"{name}/{folder}/{other}"]
+            assert (r["license"], r["via"]) == (name, "file") and r["cosine"] > 0.65
+            assert (below["license"], below["via"], below["license_dir"]) == (name, "inherited", f"{name}/{folder}")
+    assert found["top.txt"]["license"] is None
+
+
+def test_full_text_cosine_against_plain_counts(spark):
+    texts = dict(li.full_texts())
+    files = [texts["BSD-3-Clause"].replace("Regents of the University", "Holders"), "the terms and conditions of some prose", "All rights reserved."]
+    rows = li.scan(spark.createDataFrame(list(enumerate(files)), "n int, text string").withColumn("path", F.lit("x"))).collect()
+    b = Brute(files)
+    b.templates = [(n, Counter(terms(t))) for n, t in texts.items()]
+    b.known |= {w for _, c in b.templates for w in c}
+    b.df = Counter(w for t in files for w in set(terms(t)) & b.known)
+    name, cosine = b.best(files[0])
+    got = {r["n"]: r for r in rows}
+    assert (got[0]["license"], got[0]["via"]) == (name, "file") == ("BSD-3-Clause", "file")
+    assert got[0]["cosine"] == pytest.approx(cosine, abs=2e-6)
+    assert got[2]["license"] == "Proprietary" and got[2]["via"] == "file"
