@@ -470,6 +470,7 @@ SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, string_agg(token, ' ' ORDER
 FROM tokens WHERE regexp_matches(token, '[\p{L}\p{N}]') GROUP BY doc_id, line_no""",
     "task_columns": """
 SELECT doc_id, quality AS labels, md5(text) AS text_md5 FROM documents JOIN labels USING (doc_id) ORDER BY doc_id LIMIT 50""",
+    "task_columns_whole": "SELECT doc_id, quality AS labels, md5(text) AS text_md5 FROM documents JOIN labels USING (doc_id)",
     "linear_probe_facts": """
 SELECT count(*) - count(*) // 2 AS n_scored, CAST(10 AS INTEGER) AS n_classes, true AS shares_sum_to_one, true AS largest_share_wins
 FROM embeddings""",

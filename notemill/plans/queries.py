@@ -479,14 +479,23 @@ def unencodable_dropped(spark, sf):
     return cleaned.select("doc_id", "line_no", F.array_join("tokens", " ").alias("tokens"))
 
 
-@query
-def task_columns(spark, sf):
-    """Rows of a task with its columns dropped, its label renamed, its text taken by position; the first 50."""
+def _task_rows(spark, sf):
     rows = st.classification_rows(spark, sf).select("text", "doc_id", "n_chars", "quality", "toxic")
     named = catalog.ensure_labels(catalog.drop_columns(rows, ["n_chars", "toxic"]), "quality")
     text = catalog.text_columns_by_position(named)
-    picked = sampling.take(named.select("doc_id", "labels", *[F.md5(c).alias(f"{c}_md5") for c in text]), 50, "doc_id")
-    return picked
+    return named.select("doc_id", "labels", *[F.md5(c).alias(f"{c}_md5") for c in text])
+
+
+@query
+def task_columns(spark, sf):
+    """Rows of a task with its columns dropped, its label renamed, its text taken by position; the first 50."""
+    return sampling.take(_task_rows(spark, sf), 50, "doc_id")
+
+
+@query
+def task_columns_whole(spark, sf):
+    """All rows of a task with its columns dropped, its label renamed, its text taken by position."""
+    return _task_rows(spark, sf)
 
 
 @query
