@@ -31,7 +31,7 @@ SLICE = 1 << 22
 
 _U = np.uint64
 _BYTE = stream(51, 256)
-_MUL = stream(52, 4) | _U(1)
+_MUL = stream(52, 8) | _U(1)
 
 
 def _runs(data: np.ndarray, widths: tuple[int, ...]) -> dict[int, np.ndarray]:
@@ -78,8 +78,11 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple
     start, end, owner = valid[first], valid[last] + length, text[valid[first]]
     whole = runs[128]
     with np.errstate(over="ignore"):
-        middle = np.minimum(start + 128, end - 128)
-        content = mix(whole[start] * _MUL[1] + whole[middle] * _MUL[2] + whole[end - 128] * _MUL[3] + (end - start).astype(_U))
+        content = (end - start).astype(_U)
+        # A piece has 2 * length - ANCHOR bytes at most; runs from its start on cover them all, the last ones end with it.
+        for k in range(-(-(2 * length - ANCHOR) // 128)):
+            content += whole[np.minimum(start + 128 * k, end - 128)] * _MUL[k + 1]
+        content = mix(content)
     return owner, start - offsets[owner], end - offsets[owner], gram[anchor[valid[first]]], content
 
 

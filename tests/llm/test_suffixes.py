@@ -118,3 +118,13 @@ def test_odd_rows(spark):
     assert s.remove_repeats(odd.none(spark)).count() == 0
     with pytest.raises(ValueError):
         s.remove_repeats(odd.none(spark), length=100)
+
+
+def test_pieces_that_differ_in_the_middle_alone(spark):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(30):
+        base = rng.choices(range(97, 123), k=700)
+        texts += [bytes(base), bytes([*base[:350], 65, *base[351:]])]
+    frame = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+    check(s.remove_repeats(frame, length=300).collect(), range(len(texts)), texts, 300)
