@@ -1,7 +1,7 @@
 """From raw documents to encoded token files, one dealt operator a stage.
 
-Rows without an id go under a number made of their text; rows that share an id are one
-document, of which the near-duplicate stage keeps the row whose text hashes least. Null
+Rows are documents of their own, also those without an id or with a shared one: the
+near-duplicate stage drops only rows that are linked with the one it keeps. Null
 and blank texts pass every filter that finds nothing in them. Extra columns are carried along
 up to the last stage; an empty table stays empty.
 """
@@ -26,14 +26,20 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of the smallest id."""
-    made = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), made))
-    groups = neardup.near_duplicates(keyed, width=5, percent=80, id_col="__key")
-    kept = groups.filter("kept").select("__key").distinct()
-    first = F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns))
-    rows = keyed.groupBy("__key").agg(F.min_by(F.struct(*docs.columns), first).alias("__row"))
-    return rows.join(kept, "__key", "left_semi").select("__row.*")
+    """One row of each group of near duplicates: that of the smallest id, of several the one whose text hashes least.
+
+    Every row has a number of its own, so rows that share an id are no link; rows without words all stay.
+    """
+    scratch = Scratch(spark, "one-of-each")
+    # Written, so that a row has the same number in every job.
+    keyed = scratch.table(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
+    groups = neardup.near_duplicates(keyed, width=5, percent=80, id_col="__key").filter("n_shingles > 0")
+    groups = scratch.table(groups.select("__key", "component_id"), "groups")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.xxhash64(*docs.columns), "__key")
+    ranked = keyed.select("__key", order.alias("__order")).join(groups, "__key")
+    first = ranked.groupBy("component_id").agg(F.min("__order").alias("x")).select("x.__key")
+    dropped = groups.select("__key").join(first, "__key", "left_anti")
+    return keyed.join(dropped, "__key", "left_anti").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

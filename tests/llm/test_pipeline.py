@@ -78,3 +78,16 @@ def test_odd_rows(spark, sf):
         none = stage(spark, odd.none(spark), sf)
         assert none.count() == 0 and sorted(none.columns) == sorted(docs.columns)
     assert cp.token_ids(spark, docs, sf).count() == len(odd.TEXTS)
+
+
+def test_rows_that_share_an_id_are_dropped_only_where_linked(spark, sf):
+    prose = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    near = prose(1) + " tail"
+    rows = [
+        (1, prose(1)), (1, prose(2)), (1, prose(3)), (2, near), (2, prose(4)), (3, prose(2)), (None, prose(5)), (None, prose(5)),
+        (None, None), (None, None), (None, ""), (4, None), (4, None), (4, " "),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in cp.one_of_each(spark, docs, sf).collect())
+    want = [(1, prose(1)), (1, prose(2)), (1, prose(3)), (2, prose(4)), (None, prose(5))]
+    assert got == Counter([*want, *[r for r in rows if not (r[1] or "").strip()]])
