@@ -176,13 +176,10 @@ def train(
                 )
 
     kind = dict(joined.dtypes)["__id"]
-    found = joined.mapInArrow(rows_of, f"id {kind}, label int, bucket binary, value binary, dense binary").collect()
-    first = {}
-    for r in found:
-        key = (bytes(r["bucket"]), bytes(r["dense"]))
-        if r["id"] not in first or key < (bytes(first[r["id"]]["bucket"]), bytes(first[r["id"]]["dense"])):
-            first[r["id"]] = r
-    ordered = [first[k] for k in sorted(first)]
+    found = joined.mapInArrow(rows_of, f"id {kind}, label int, bucket binary, value binary, dense binary")
+    first = found.groupBy("id", "label").agg(F.min(F.struct("bucket", "dense", "value")).alias("x"))
+    # One row an id, however many rows share it.
+    ordered = sorted(first.select("id", "label", "x.*").collect(), key=lambda r: r["id"])
     parts = [
         (np.frombuffer(r["bucket"], np.int32).astype(np.int64), np.frombuffer(r["value"], np.float64), np.frombuffer(r["dense"], np.float64))
         for r in ordered

@@ -65,3 +65,22 @@ def test_odd_rows(spark):
     assert {r["score"] for r in quality.score(docs, empty).collect()} == {0.5}
     assert quality.score(odd.none(spark), model).count() == 0
     assert quality.train(docs, labels.filter("false")).w0 == 0.0
+
+
+def test_one_row_an_id_comes_to_the_driver(spark, documents, monkeypatch):
+    docs = documents[0].select("doc_id", "text").limit(40)
+    ids = [r["doc_id"] for r in docs.collect()]
+    hot = next(i for i in ids if zlib.crc32(str(i).encode()) % 5)
+    many = docs.unionByName(spark.range(300).selectExpr(f"{hot}L AS doc_id", "concat('text number ', id) AS text"))
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    sizes, collect = [], type(docs).collect
+
+    def counted(frame):
+        rows = collect(frame)
+        sizes.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(type(docs), "collect", counted)
+    a = quality.train(many, labels)
+    b = quality.train(many.repartition(7), labels)
+    assert max(sizes) <= len(ids) and (a.w == b.w).all() and (a.v == b.v).all()
