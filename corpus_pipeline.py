@@ -44,7 +44,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark passage."""
-    marked = decontam.mark(docs, table(spark, sf_dir, "benchmark"), leaks_col="__leaks")
+    marked = decontam.mark(docs, table(spark, sf_dir, "benchmark"), leaks_col="__leaks", min_chars=0)
     return marked.filter(F.size("__leaks") == 0).select(*docs.columns)
 
 

@@ -32,19 +32,20 @@ LEAKS = T.ArrayType(
 )
 
 _U = np.uint64
-_FOLD = np.arange(0x180, dtype=np.uint32)
-for _c in range(0x180):
-    if len(chr(_c).lower()) == 1:
-        _FOLD[_c] = ord(chr(_c).lower())
+_FOLD = np.arange(0x20000, dtype=np.uint32)  # no letter beyond has a case
+for _c in range(len(_FOLD)):
+    _low = chr(_c).lower()
+    if len(_low) == 1:
+        _FOLD[_c] = ord(_low.casefold() if len(_low.casefold()) == 1 else _low)
 _FOLD[[9, 10, 11, 12, 13]] = 32
 
 
 def folded(text: str | bytes) -> np.ndarray:
-    """Code points in lower case (up to U+017F), white space as blanks; lengths stay."""
+    """Code points in lower case where that is one letter, white space as blanks; lengths stay."""
     if isinstance(text, bytes):
         text = text.decode("utf-8")
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
-    low = points < 0x180
+    low = points < len(_FOLD)
     points[low] = _FOLD[points[low]]
     return points
 
@@ -202,27 +203,36 @@ def _best(rows: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, in
 
 def mark(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", leaks_col: str = "leaks", item_col: str = "item_id",
-    item_text_col: str = "text", index_chars: int = INDEX_CHARS,
+    item_text_col: str = "text", index_chars: int = INDEX_CHARS, min_chars: int = MIN_CHARS,
 ) -> DataFrame:
     """Add ``leaks``: the regions of every text that are benchmark items up to small edits.
 
     A region has item id, start, end (code points) and edits, at most 8 percent of the
     item's characters; letter case and the kind of white space do not count. Items under
-    40 characters are not looked for: they occur in ordinary prose. Null texts and items
-    have no regions; equal items each get theirs; a column named ``leaks`` gives way; no
+    ``min_chars`` characters are not looked for, unless it is 0: they occur in ordinary prose. Items under 20
+    characters have no edits to spare and are found as they are. Null, empty and blank texts and items
+    have no regions; equal items each get theirs; an item without an id goes under a negative number made of its
+    text, unless an item with an id has that text; a column named ``leaks`` gives way; no
     rows give no rows. Items are indexed in slices of about ``index_chars`` characters, so
     what tasks receive is bounded; each slice is one pass over the documents.
     """
     spark = docs.sparkSession
     usable = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t"))
-    usable = usable.filter(F.col("i").isNotNull() & (F.length("t") >= MIN_CHARS))
+    usable = usable.filter((F.length("t") >= min_chars) & F.rlike("t", F.lit(r"[^\s]")))
+    named, unnamed = usable.filter("i IS NOT NULL"), usable.filter("i IS NULL").select("t").distinct()
+    made = -F.xxhash64("t").bitwiseAND(F.lit((1 << 62) - 1)) - 1
+    usable = named.unionByName(unnamed.join(named, "t", "left_anti").select(made.alias("i"), "t"))
     total = usable.agg(F.sum(F.length("t"))).first()[0] or 0
     slices = -(-total // index_chars) or 1
     kept = [c for c in docs.columns if c != leaks_col]
     out = docs.select(*kept, F.array().cast(LEAKS).alias(leaks_col))
     for k in range(slices):
         part = usable.filter(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == k).distinct().orderBy("i", "t")
-        index = spark.sparkContext.broadcast(build_index([(r["i"], r["t"]) for r in part.toLocalIterator()]))
+        by_gram: dict[int, list] = {Q: []}
+        for r in part.toLocalIterator():
+            # Items shorter than a gram are grams of their own length.
+            by_gram.setdefault(min(len(r["t"]), Q), []).append((r["i"], r["t"]))
+        index = spark.sparkContext.broadcast([(q, build_index(items, q)) for q, items in by_gram.items()])
         rows = out.withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
         def marked(batches, index=index):
@@ -231,7 +241,9 @@ def mark(
                 for start, end, data, offsets in text_slices(batch.column(batch.num_columns - 1)):
                     parts = [folded(data[offsets[i] : offsets[i + 1]].tobytes()) for i in range(end - start)]
                     edges = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-                    found += find(index.value, np.concatenate(parts), edges)
+                    points = np.concatenate(parts)
+                    by = [find(one, points, edges, q) for q, one in index.value]
+                    found += [_best(sum(f, [])) for f in zip(*by)] if len(by) > 1 else by[0]
                 before = batch.column(batch.num_columns - 2).to_pylist()
                 rows = [
                     [*b, *({"item_id": i, "start": s, "end": e, "edits": n} for i, s, e, n in f)] for b, f in zip(before, found)

@@ -109,3 +109,23 @@ def test_odd_rows(spark):
     assert {x["item_id"] for r in rows for x in r["leaks"]} == {1, 5}
     assert d.mark(odd.none(spark), bench).count() == 0
     assert all(not r["leaks"] for r in d.mark(docs, bench.filter("false")).collect())
+
+
+def test_short_and_unnamed_items_and_other_alphabets(spark):
+    long = "an item of well over forty characters that nobody has named"
+    items = [(1, "tiny"), (2, "ab"), (3, "twelve chars"), (None, long), (4, "Το γρήγορο καφέ αλεπούδι πηδάει πάνω από το σκυλί ΟΔΥΣΣΕΥΣ"),
+             (5, "Съешь же ещё этих мягких французских булок, да выпей чаю"), (6, " \t"), (7, "")]
+    docs = [(1, "so TINY it is"), (2, "cab"), (3, "a b"), (4, "with Twelve\nCHARS, twelve chars"), (5, "x " + long.upper()),
+            (6, "x " + items[4][1].upper()), (7, "y " + items[5][1].upper()), (8, "y " + items[4][1].lower() + " z"), (9, "twelve-chars")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for size in (d.INDEX_CHARS, 30):
+        got = {r["doc_id"]: [(x["item_id"], x["start"], x["end"], x["edits"]) for x in r["leaks"]]
+               for r in d.mark(frame, bench, index_chars=size, min_chars=0).collect()}
+        assert got[1] == [(1, 3, 7, 0)] and got[2] == [(2, 1, 3, 0)] and got[3] == [] and got[9] == []
+        assert got[4] == [(3, 5, 17, 0), (3, 19, 31, 0)]
+        (unnamed,) = got[5]
+        assert unnamed[0] < 0 and unnamed[1:] == (2, 2 + len(long), 0)
+        assert [x[0] for x in got[6]] == [4] == [x[0] for x in got[8]] and got[6][0][3] == 0 == got[8][0][3]
+        assert [x[0] for x in got[7]] == [5] and got[7][0][3] == 0
+    assert [r["doc_id"] for r in d.mark(frame, bench).collect() if r["leaks"]] == [5, 6, 7, 8]
