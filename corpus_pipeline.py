@@ -49,8 +49,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources draws them."""
-    return mixing.mix(docs).mixed.select(*docs.columns)
+    """Documents as often as the mix of sources draws them, shard by shard in their local order."""
+    return mixing.shuffled(mixing.mix(docs).mixed).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,11 +23,12 @@ from notemill.llm.scratch import Scratch, partitions
 
 MAX_SOURCES = 100_000
 BROADCAST_ROWS = 200_000
+BLOCKS, SEED = 1024, 42
 
 
 @dataclass
 class Mixture:
-    """``rows``: id, source, size, source_size, target, draws, taken of each document.
+    """``rows``: id, source, block, size, source_size, target, draws, taken of each document.
     ``plan``: the shards that each (source, block) goes to. ``mixed``: the documents
     drawn, once for each draw, with ``shard`` and ``place``, their order in it."""
 
@@ -207,14 +208,19 @@ def split_quotas(quotas: DataFrame, depth: int, seed: int, scratch: Scratch) ->
     return nodes
 
 
+def block_of(name: Column, text: Column, blocks: int = BLOCKS, seed: int = SEED) -> Column:
+    """Block of a document, a hash of its id and text."""
+    return F.pmod(F.xxhash64(F.lit(seed), name, text), F.lit(blocks)).cast("int")
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = (3, 1, 2),
     share: float = 1.5,
     cap: float = 2.0,
-    blocks: int = 1024,
+    blocks: int = BLOCKS,
     depth: int = 3,
-    seed: int = 42,
+    seed: int = SEED,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
@@ -229,7 +235,7 @@ def mix(
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    block = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(blocks)).cast("int")
+    block = block_of(F.col(id_col), F.col(text_col), blocks, seed)
     sized = scratch.table(
         docs.select(
             F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
@@ -276,7 +282,7 @@ def mix(
         sized.join(keyed, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("block") == F.col("p_block")), "left")
         .join(known, F.col("source").eqNullSafe(F.col("s_source")))
         .select(
-            "id", "source", "size", "source_size", "target",
+            "id", "source", "block", "size", "source_size", "target",
             F.coalesce("draws", F.array().cast("array<struct<pass:int,shard:bigint>>")).alias("draws"),
         )
         .withColumn("taken", F.col("size") * F.size("draws"))
@@ -298,3 +304,30 @@ def shuffled(mixed: DataFrame) -> DataFrame:
     """The drawn rows of each shard together, in their local order."""
     n = partitions(mixed.sparkSession)
     return mixed.repartitionByRange(n, "shard", "place").sortWithinPartitions("shard", "place")
+
+
+def write(mixed: DataFrame, folder: str) -> DataFrame:
+    """Write the drawn rows as a folder for each shard, in their local order, and read them back."""
+    shuffled(mixed).write.partitionBy("shard").option("compression", "zstd").parquet(folder)
+    return mixed.sparkSession.read.schema(mixed.schema).parquet(folder)
+
+
+def taken(
+    rows: DataFrame, written: DataFrame, blocks: int = BLOCKS, seed: int = SEED,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """``rows`` of a mixture with ``taken`` from the words of each document in the shards as written.
+
+    Rows of one id, source, block and size share the copies evenly.
+    """
+    key = ["id", "source", "block", "size"]
+    copies = written.select(
+        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
+        block_of(F.col(id_col), F.col(text_col), blocks, seed).alias("block"), word_count(F.col(text_col)).alias("size"),
+    )
+    both = rows.select(*key, F.lit(1).alias("n"), F.lit(0).cast("long").alias("words")).unionByName(
+        copies.withColumn("n", F.lit(0)).withColumn("words", F.col("size").cast("long"))
+    )
+    found = both.groupBy(*[F.col(c).alias(f"w_{c}") for c in key]).agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    met = rows.drop("taken").join(found, [F.col(c).eqNullSafe(F.col(f"w_{c}")) for c in key])
+    return met.withColumn("taken", F.expr("words div n")).drop(*[f"w_{c}" for c in key], "n", "words")

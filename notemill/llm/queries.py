@@ -37,10 +37,11 @@ def op1_licenses(spark, sf):
 
 @query
 def op2_sharding(spark, sf):
-    """All documents in 40 shards under the law ``rows``."""
+    """All documents in 40 shards under the law ``rows``, written in slot order and read back."""
     placed = sharding.shard(table(spark, sf, "documents"), shards=40)
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+    text = F.coalesce("text", F.lit(""))
+    return sharding.write(placed, fresh_path(spark, "shards")).select(
+        "doc_id", (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text).cast("long").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), F.col("row").alias("row_number"),
     )
 
@@ -86,9 +87,10 @@ def op5_near_dup(spark, sf):
 
 @query
 def op6_mixing(spark, sf):
-    """All documents mixed by the weights 3, 1, 2 to 150% of their words."""
+    """All documents mixed by the weights 3, 1, 2 to 150% of their words; what is taken is counted in the written shards."""
     mixture = mixing.mix(table(spark, sf, "documents"))
-    return mixture.rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "draws")
+    rows = mixing.taken(mixture.rows, mixing.write(mixture.mixed, fresh_path(spark, "mixed")))
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "draws")
 
 
 @query

@@ -88,22 +88,29 @@ def numbered(rows: DataFrame, order: list[str], scratch: Scratch, name: str = "r
 def shard(
     docs: DataFrame, shards: int = 40, seed: int = 42, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Shard and slot of every document, with row counts at most one apart.
+    """All documents with their shard and slot, row counts at most one apart.
 
-    Returns the id, ``size`` (UTF-8 bytes plus 16), ``text_crc32``, ``row`` (the number in
-    the order of id, checksum and size), ``shard`` and ``slot`` (gapless from 0).
-    A null text counts as empty, a null id comes first; rows equal in all three are
-    interchangeable and each gets its own slot. Other columns are ignored. An empty
-    table gives no rows.
+    Adds ``size`` (UTF-8 bytes plus 16), ``text_crc32``, ``row`` (the number in
+    the order of id, checksum and size), ``shard`` and ``slot`` (gapless from 0); columns of
+    these names give way. A null text counts as empty, a null id comes first; rows equal in
+    all three each get their own slot. An empty table gives no rows.
+
+    Only ids and hashes are ranged and numbered. Texts move once, to their numbers: rows equal in
+    every column are one there, with as many numbers as they are.
     """
     scratch = Scratch(docs.sparkSession, "shard")
+    kept = [c for c in docs.columns if c not in ("size", "text_crc32", "row", "shard", "slot")]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(
-        F.col(id_col).alias(id_col),
-        (F.octet_length(text).cast("long") + 16).alias("size"),
-        F.crc32(text).cast("long").alias("text_crc32"),
+    measured = [(F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text).cast("long").alias("text_crc32")]
+    same = [F.xxhash64(F.lit(k), *[v for c in kept for v in (F.col(c).isNull(), F.col(c))]).alias(f"__same{k}") for k in (1, 2)]
+    narrow, n = numbered(docs.select(F.col(id_col).alias("__id"), *measured, *same), ["__id", "text_crc32", "size", "__same1", "__same2"], scratch)
+    equal = narrow.groupBy("__same1", "__same2").agg(
+        F.min("row").alias("__first"), F.count(F.lit(1)).alias("__n"), F.first("size").alias("size"), F.first("text_crc32").alias("text_crc32")
+    )
+    whole = docs.select(*kept, *same).groupBy("__same1", "__same2").agg(F.first(F.struct(*kept)).alias("__row"))
+    numbers = whole.join(equal, ["__same1", "__same2"]).select(
+        "__row.*", "size", "text_crc32", F.explode(F.expr("sequence(__first, __first + __n - 1)")).alias("row")
     )
-    numbers, n = numbered(rows, [id_col, "text_crc32", "size"], scratch)
 
     @F.pandas_udf("long")
     def at(row: pd.Series) -> pd.Series:
@@ -111,7 +118,14 @@ def shard(
 
     placed = numbers.withColumn("__place", at("row"))
     return placed.select(
-        id_col, "size", "text_crc32", "row",
+        *kept, "size", "text_crc32", "row",
         F.pmod("__place", F.lit(shards)).cast("int").alias("shard"),
         F.expr(f"`__place` div {int(shards)}").alias("slot"),
     )
+
+
+def write(placed: DataFrame, folder: str) -> DataFrame:
+    """Write the rows of ``shard`` as a folder for each shard, ordered by slot, and read them back."""
+    dealt = placed.repartitionByRange(partitions(placed.sparkSession), "shard", "slot").sortWithinPartitions("shard", "slot")
+    dealt.write.partitionBy("shard").option("compression", "zstd").parquet(folder)
+    return placed.sparkSession.read.schema(placed.schema).parquet(folder)

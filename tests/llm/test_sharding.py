@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import odd
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -48,3 +49,24 @@ def test_odd_rows(spark, shards):
 
 def test_no_rows(spark):
     assert sharding.shard(odd.none(spark)).count() == 0
+
+
+def test_shards_are_written_whole_in_slot_order(spark, tmp_path):
+    docs = odd.odd(spark).drop("size", "shard")
+    docs = docs.unionByName(docs.filter("doc_id = 8").crossJoin(spark.range(200).select()))
+    back = sharding.write(sharding.shard(docs, 4), f"{tmp_path}/shards")
+    plain = lambda frame: Counter(map(str, frame.select(*docs.columns).collect()))
+    assert plain(back) == plain(docs)
+    rows = back.collect()
+    assert sorted(r["row"] for r in rows) == list(range(docs.count()))
+    shard, slot = sharding.place_of(np.array([r["row"] for r in rows]), len(rows), 4)
+    assert [(r["shard"], r["slot"]) for r in rows] == list(zip(shard.tolist(), slot.tolist()))
+    order = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text_crc32"], r["size"])
+    assert [order(r) for r in sorted(rows, key=lambda r: r["row"])] == sorted(map(order, rows))
+    for folder in tmp_path.glob("shards/shard=*"):
+        slots = [x for file in sorted(folder.glob("*.parquet")) for x in pq.ParquetFile(file).read(["slot"])["slot"].to_pylist()]
+        assert slots == list(range(len(slots)))
+
+
+def test_no_rows_are_written(spark, tmp_path):
+    assert sharding.write(sharding.shard(odd.none(spark)), f"{tmp_path}/none").count() == 0
