@@ -2,6 +2,7 @@ from collections import Counter, defaultdict
 from math import comb
 
 import odd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,16 @@ def test_odd_rows(spark):
 def test_no_python_on_the_main_path(spark, sf):
     plan = QUERIES["op6_mixing"](spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_taken_is_counted_in_the_written_shards(spark, tmp_path):
+    rows = [(i, f"word {i} and some more", "ab"[i % 2]) for i in range(40)]
+    docs = spark.createDataFrame([*rows, rows[0], rows[0], (1, "unlike text", "b")], "doc_id long, text string, source string")
+    mixture = mixing.mix(docs, depth=1)
+    written = mixing.write(mixture.mixed, f"{tmp_path}/mixed")
+    for folder in tmp_path.glob("mixed/shard=*"):
+        places = [x for file in sorted(folder.glob("*.parquet")) for x in pq.ParquetFile(file).read(["place"])["place"].to_pylist()]
+        assert places == sorted(places)
+    got = mixing.taken(mixture.rows, written).select("id", "size", "draws", "taken").collect()
+    assert len(got) == docs.count() and all(r["taken"] == r["size"] * len(r["draws"]) for r in got)
+    assert sum(r["taken"] for r in got) == written.agg(F.sum(mixing.word_count(F.col("text")))).first()[0]
