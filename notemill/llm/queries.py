@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.llm import decontam, licenses, mixing, neardup, ordermin, quality, secrets, sharding, suffixes, tokenids
+from notemill.llm import chat, decontam, licenses, mixing, neardup, ordermin, quality, secrets, sharding, suffixes, tokenids
+from notemill.llm.turns import digests
 from notemill.runtime import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,3 +124,48 @@ def op10_quality(spark, sf):
         "doc_id", quality.held_out("doc_id").alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+@query
+def op11_chat_formatting(spark, sf):
+    """All conversations, and one that is full of marks, formatted, written and read back."""
+    turns = table(spark, sf, "conversations")
+    marks = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
+    folder = fresh_path(spark, "chats")
+    chat.write(chat.format_turns(turns.select("conv_id", "turn", "role", "text").unionByName(planted)), folder)
+    back = chat.read(spark, folder).withColumn("said", F.concat("role", F.lit("\n"), "text", F.lit("\n")))
+    counts = back.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("n_turns"), F.sum(F.length("learned").cast("long")).alias("loss_chars"),
+        F.sum(F.length("formatted").cast("long")).alias("formatted_chars"),
+        F.count_if(~F.col("ok")).alias("out_of_order"), F.max_by("state", F.struct("part", "at")).alias("last_role"),
+    )
+    hashed = digests(back, ["part", "at"], {"said": "", "learned": ""})
+    return counts.join(hashed.withColumnRenamed("conv_id", "key"), F.col("conv_id").eqNullSafe(F.col("key"))).select(
+        "conv_id", "n_turns", F.col("said").alias("turns_sha256"), "loss_chars", F.col("learned").alias("loss_sha256"), "formatted_chars",
+        "out_of_order", (F.col("out_of_order") == 0).__and__(F.col("last_role").isin(*chat.INSTRUCT.ends)).alias("valid"),
+    )
+
+
+ORACLES["op11_chat_formatting"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), judged AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before,
+    length(replace(text, '\', '\\'))
+      + len(regexp_extract_all(text, '</?s>|</?sys>|\[/?INST\]|\[/?ROLE\]|\[TEXT\]'))
+      + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 ELSE 7 END AS n
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars,
+  count(*) FILTER (coalesce(before, 'start') || '>' || role NOT IN
+    ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user')) AS out_of_order,
+  out_of_order = 0 AND max_by(role, turn) = 'assistant' AS valid
+FROM judged GROUP BY conv_id
+"""
