@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.llm import chat, decontam, licenses, mixing, neardup, ordermin, quality, secrets, sharding, suffixes, tokenids
+from notemill.llm import chat, decontam, licenses, mixing, neardup, ordermin, quality, ranking, secrets, sharding, suffixes, tokenids
 from notemill.llm.turns import digests
 from notemill.runtime import fresh_path
 
@@ -169,3 +169,33 @@ SELECT conv_id, count(*) AS n_turns,
   out_of_order = 0 AND max_by(role, turn) = 'assistant' AS valid
 FROM judged GROUP BY conv_id
 """
+
+
+@query
+def op13_ranked_search(spark, sf):
+    """The 10 best documents of each benchmark item."""
+    return ranking.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=10)
+
+
+ORACLES["op13_ranked_search"] = r"""
+WITH found AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), counted AS (SELECT doc_id, term, count(*) AS tf FROM found GROUP BY ALL
+), docs AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM counted GROUP BY doc_id
+), totals AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM docs
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM counted, totals WHERE term IN (SELECT term FROM asked) GROUP BY term, n_docs
+), scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN counted USING (term) JOIN docs USING (doc_id), totals GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
