@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.llm import chat, decontam, licenses, mixing, neardup, ordermin, quality, ranking, secrets, sharding, suffixes, tokenids
+from notemill.llm import chat, decontam, licenses, mixing, neardup, ordermin, quality, ranking, repair, secrets, sharding, suffixes, tokenids
 from notemill.llm.turns import digests
 from notemill.runtime import fresh_path
 
@@ -171,6 +171,33 @@ FROM judged GROUP BY conv_id
 """
 
 
+def damaged(turns):
+    """Conversation rows, faulty by the checksum of ``conv_id:turn``: dropped, emptied, unpunctuated, repeated or of role user."""
+    one_space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.pmod(F.crc32(F.concat_ws(":", one_space("conv_id"), one_space("turn"))), F.lit(20))
+    text = F.when(fault == 1, "").when(fault == 2, F.regexp_replace(one_space("text"), "[.!?]", "")).otherwise(one_space("text"))
+    row = F.struct("conv_id", "turn", F.when(fault == 4, "user").otherwise(one_space("role")).alias("role"), text.alias("text"))
+    copies = F.array_repeat(row, F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1))
+    return turns.select(F.explode(copies).alias("row")).select("row.*")
+
+
+@query
+def op12_conversation_repair(spark, sf):
+    """All conversations, damaged and then repaired at the least cost."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    fixed = repair.repair(damaged(turns))
+    lines = fixed.rows.select("conv_id", "part", "at", "step", F.concat("role", F.lit(":"), "text").alias("line"))
+    hashed = digests(lines, ["part", "at", "step"], {"line": "\n"}).withColumnRenamed("conv_id", "hash_key")
+    found = fixed.conversations.withColumnRenamed("conv_id", "key")
+    every = turns.select("conv_id").distinct()
+    every = every.join(found, F.col("conv_id").eqNullSafe(F.col("key")), "left").join(hashed, F.col("conv_id").eqNullSafe(F.col("hash_key")), "left")
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("line", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 @query
 def op13_ranked_search(spark, sf):
     """The 10 best documents of each benchmark item."""
