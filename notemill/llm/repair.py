@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notemill.llm.scratch import Scratch
+from notemill.llm.scratch import Scratch, partitions
 from notemill.llm.turns import in_order
 
 #: States: nothing yet, after a system turn, after a user's, after an assistant's.
@@ -272,7 +272,9 @@ def repair(
     )
 
     # A group is at most one conversation's rows of one range.
-    groups = coded.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("at", "kind", "initial"))).alias("rows"))
+    # Dealt by number, as rows are few bytes and much work.
+    dealt = coded.repartition(partitions(turns.sparkSession), "conv_id", "part")
+    groups = dealt.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("at", "kind", "initial"))).alias("rows"))
     groups = groups.join(counts.select(F.col("conv_id").alias("key"), "whole"), F.col("conv_id").eqNullSafe(F.col("key"))).select(
         "conv_id", "part", "whole", F.col("rows")[0]["at"].alias("first"), F.array_join("rows.kind", "").alias("kinds"), F.array_join("rows.initial", "").alias("initials")
     )
