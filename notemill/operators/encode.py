@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 from notemill.functions import text as tx
 from notemill.functions.arrays import let, pad_to
 from notemill.operators.ordered import hash_rank
+from notemill.operators.subwords import Trie, lookup
 
 # The special entries that open every vocabulary.
 SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]"]
@@ -112,38 +113,10 @@ def lookup_ids(tokens: Sequence[str]):
 def lookup_pieces(tokens: Sequence[str]):
     """Arrow function ``array<string> -> array<array<int>>``: greedy longest match.
 
-    Each distinct word of a batch is matched once; a word with a part that no entry
+    All distinct words of a batch walk a trie in step; a word with a part that no entry
     covers becomes one [UNK].
     """
-    table, unk = {t: i for i, t in enumerate(tokens)}, UNK
-
-    @F.arrow_udf("array<array<int>>")
-    def ids(words: pa.Array) -> pa.Array:
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        def match(word):
-            found, at = [], 0
-            while at < len(word):
-                mark = "##" if at else ""
-                for end in range(len(word), at, -1):
-                    hit = table.get(mark + word[at:end])
-                    if hit is not None:
-                        found.append(hit)
-                        at = end
-                        break
-                else:
-                    return [unk]
-            return found
-
-        coded = words.flatten().dictionary_encode()
-        matched = pa.array([match(w) for w in coded.dictionary.to_pylist()], pa.list_(pa.int32()))
-        inner = matched.take(coded.indices)
-        sizes = pc.fill_null(pc.list_value_length(words), 0).cast(pa.int32())
-        offsets = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(sizes)])
-        return pa.ListArray.from_arrays(offsets, inner)
-
-    return ids
+    return lookup(Trie(tokens, UNK))
 
 
 def _framed(ids: Column) -> Column:

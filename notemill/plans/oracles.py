@@ -184,6 +184,67 @@ encoded AS (
 )"""
 
 
+_WORD_COUNTS = f"""
+word_counts AS (
+  SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{_PIECE}')) AS word FROM documents) GROUP BY word
+),
+spelled AS (
+  SELECT word, n, list_transform(regexp_extract_all(word, '.'), lambda c, i: CASE WHEN i = 1 THEN c ELSE '##' || c END) AS parts
+  FROM word_counts
+)"""
+
+_MERGES = _WORD_COUNTS + """,
+state AS (
+  SELECT 0 AS step, '' AS l, '' AS r, CAST(0 AS BIGINT) AS pair_n, word, n, '<' || array_to_string(parts, '><') || '>' AS symbols
+  FROM spelled
+  UNION ALL
+  SELECT step + 1, best.l, best.r, best.c, word, n,
+         replace(symbols, '<' || best.l || '><' || best.r || '>', '<' || best.l || substr(best.r, 3) || '>')
+  FROM state, (
+    SELECT l, r, CAST(sum(n) AS BIGINT) AS c FROM (
+      SELECT n, unnest(regexp_extract_all(symbols, '<([^>]*)>', 1)[:-2]) AS l, unnest(regexp_extract_all(symbols, '<([^>]*)>', 1)[2:]) AS r
+      FROM state WHERE length(word) > 1
+    ) GROUP BY l, r HAVING sum(n) >= 2 ORDER BY c DESC, l, r LIMIT 1
+  ) best WHERE step < 100
+),
+merges AS (SELECT DISTINCT step, l, r, l || substr(r, 3) AS piece, pair_n FROM state WHERE step > 0)"""
+
+_PIECE_VOCAB = _WORD_COUNTS + """,
+cut_parts AS (
+  SELECT DISTINCT word, n, token FROM (
+    SELECT word, n, word AS token FROM word_counts
+    UNION ALL SELECT word, n, substr(word, 1, k) FROM word_counts, range(1, 5) t(k) WHERE k <= length(word)
+    UNION ALL SELECT word, n, '##' || substr(word, p, k) FROM word_counts, range(2, 200) q(p), range(1, 5) t(k) WHERE p + k - 1 <= length(word)
+  )
+),
+piece_vocab AS (
+  SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 3 AS INTEGER) AS token_id
+  FROM (SELECT token, sum(n) AS n FROM cut_parts GROUP BY token)
+  QUALIFY row_number() OVER (ORDER BY n DESC, token) <= 30000
+),
+matched AS (
+  SELECT word, 1 AS p, CAST([] AS INTEGER[]) AS ids FROM word_counts
+  UNION ALL
+  SELECT word, p + size, list_append(ids, token_id) FROM (
+    SELECT m.word, m.p, m.ids, k AS size, v.token_id, row_number() OVER (PARTITION BY m.word ORDER BY k DESC) AS best
+    FROM matched m, range(1, 200) t(k), piece_vocab v
+    WHERE m.p + k - 1 <= length(m.word) AND v.token = CASE WHEN m.p = 1 THEN '' ELSE '##' END || substr(m.word, m.p, k)
+  ) WHERE best = 1
+),
+word_ids AS (
+  SELECT w.word, coalesce(max(m.ids), [1]) AS ids FROM word_counts w
+  LEFT JOIN matched m ON m.word = w.word AND m.p = length(m.word) + 1 GROUP BY w.word
+),
+doc_words AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '__PIECE__')) AS word,
+         generate_subscripts(regexp_extract_all(text, '__PIECE__'), 1) AS pos FROM documents
+),
+doc_ids AS (
+  SELECT doc_id, coalesce(flatten(list(ids ORDER BY pos)), []) AS ids
+  FROM documents LEFT JOIN (SELECT * FROM doc_words JOIN word_ids USING (word)) USING (doc_id) GROUP BY doc_id
+)""".replace("__PIECE__", _PIECE)
+
+
 _WORD_PIECES = f"""
 word_pieces AS (
   SELECT doc_id, line_no, token_pos, label, piece,
@@ -516,6 +577,37 @@ SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(sum(length(token)) AS I
 SELECT doc_id, CAST(n_pieces AS INTEGER) AS n_pieces, CAST(pos AS INTEGER) AS pos, input_id FROM encoded""",
     "encode_words": _CODED + """
 SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(pos AS INTEGER) AS pos, input_id, CAST(coalesce(word_id, -1) AS INTEGER) AS word_id FROM coded""",
+    "encode_subwords": "WITH RECURSIVE " + _PIECE_VOCAB + """
+SELECT count(*) AS n_rows, CAST(sum(CASE WHEN len(ids) + 2 > 480 THEN 1 ELSE 0 END) AS BIGINT) AS n_cut,
+  CAST(sum(CASE WHEN len(ids) + 2 > 480 THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS share_cut,
+  CAST(max(len(ids)) AS INTEGER) AS max_pieces, CAST(sum(greatest(len(ids) + 2 - 480, 0)) AS BIGINT) AS pieces_lost FROM doc_ids""",
+    "subword_match": "WITH RECURSIVE " + _PIECE_VOCAB + """
+SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_pieces,
+  md5(array_to_string(list_transform([2] || ids || [3], lambda i: CAST(i AS VARCHAR)), ' ')) AS ids_md5 FROM doc_ids""",
+    "subword_merges": "WITH RECURSIVE " + _MERGES + """
+SELECT step, l AS left, r AS right, piece, pair_n AS n FROM merges""",
+    "subword_encode": "WITH RECURSIVE " + _MERGES + f""",
+alphabet AS (SELECT DISTINCT unnest(parts) AS token FROM spelled),
+vocab AS (
+  SELECT token, 3 + row_number() OVER (ORDER BY first, token) AS token_id FROM (
+    SELECT token, min(step) AS first FROM (SELECT token, 0 AS step FROM alphabet UNION ALL SELECT piece, step FROM merges) GROUP BY token
+  )
+),
+final AS (SELECT word, regexp_extract_all(symbols, '<([^>]*)>', 1) AS pieces FROM state QUALIFY step = max(step) OVER ()),
+coded AS (
+  SELECT word, list(token_id ORDER BY k) AS ids FROM (
+    SELECT word, unnest(pieces) AS token, generate_subscripts(pieces, 1) AS k FROM final
+  ) JOIN vocab USING (token) GROUP BY word
+),
+doc_words AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '{_PIECE}')) AS word, generate_subscripts(regexp_extract_all(text, '{_PIECE}'), 1) AS pos
+  FROM documents
+)
+SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_pieces, md5(array_to_string(list_transform(ids, lambda i: CAST(i AS VARCHAR)), ' ')) AS ids_md5
+FROM (
+  SELECT doc_id, coalesce(flatten(list(ids ORDER BY pos)), []) AS ids
+  FROM documents LEFT JOIN (SELECT * FROM doc_words JOIN coded USING (word)) USING (doc_id) GROUP BY doc_id
+)""",
     "encode_pair_lengths": "WITH " + _PAIRS + "SELECT conv_id, turn, a, b, keep_a, keep_b FROM budget",
     "encode_pair": "WITH " + _VOCAB + "," + _PAIRS + """,
 both_sides AS (

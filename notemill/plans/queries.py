@@ -12,7 +12,7 @@ from notemill.functions import arrays, naming
 from notemill.functions import text as tx
 from notemill.functions.text import word_pieces
 from notemill.operators import accounting as acc
-from notemill.operators import conll, encode, metrics, runs, sampling, spans, train
+from notemill.operators import conll, encode, metrics, runs, sampling, spans, subwords, train
 from notemill.operators.rows import unroll
 from notemill.plans import flows
 from notemill.plans import standins as st
@@ -585,6 +585,41 @@ def encode_subwords(spark, sf):
     return encode.truncation_report(coded, "n_pieces")
 
 
+def _digest(ids):
+    return F.md5(F.array_join(F.transform(ids, lambda i: i.cast("string")), " "))
+
+
+@query
+def subword_match(spark, sf):
+    """Ids of all notes by greedy longest match."""
+    notes = st.notes(spark, sf).select("doc_id", "text")
+    vocab = encode.vocab_list(encode.build_piece_vocab(notes, "text"))
+    coded = encode.encode_text(notes, "text", vocab, max_length=1 << 30, subwords=True)
+    return coded.select("doc_id", "n_pieces", _digest("input_ids").alias("ids_md5"))
+
+
+N_MERGES = 100
+
+
+@query
+def subword_merges(spark, sf):
+    """The first merges of the notes' words."""
+    merges = subwords.learn_merges(subwords.word_counts(st.notes(spark, sf), "text"), N_MERGES)
+    rows = [(k + 1, m.left, m.right, m.joined, m.n) for k, m in enumerate(merges)]
+    return spark.createDataFrame(rows, "step int, left string, right string, piece string, n long")
+
+
+@query
+def subword_encode(spark, sf):
+    """All notes in the pieces of learned merges."""
+    notes = st.notes(spark, sf).select("doc_id", "text")
+    words = stage(subwords.word_counts(notes, "text"), "word-counts")
+    merges = subwords.learn_merges(words, N_MERGES)
+    table = subwords.MergeTable(subwords.merge_vocab(words, merges, encode.SPECIALS), merges, encode.UNK)
+    coded = notes.withColumn("ids", F.flatten(subwords.lookup(table)(word_pieces(F.col("text")))))
+    return coded.select("doc_id", F.size("ids").alias("n_pieces"), _digest("ids").alias("ids_md5"))
+
+
 @query
 def encode_pair_lengths(spark, sf):
     pairs = st.turn_pairs(spark, sf)

@@ -23,7 +23,7 @@ def test_query(spark, sf, duck, name):
     assert not diff, diff
 
 
-ALONE = {"linear_probe": 1, "encode_subwords": 1, "text_classifier": 1, "token_classifier": 1, "search_trials": 20}
+ALONE = {"linear_probe": 1, "text_classifier": 1, "token_classifier": 1, "search_trials": 20}
 
 
 @pytest.mark.parametrize("name", sorted(ALONE))
