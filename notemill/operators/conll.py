@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from notemill.functions.arrays import let
 from notemill.functions import text as tx
 from notemill.operators.ordered import running
 from notemill.operators.rows import unroll
@@ -82,6 +83,19 @@ def label_format_violations(df: DataFrame, tag_col: str = "labels") -> DataFrame
     return label_histogram(df, tag_col).filter(~F.rlike("tag", F.lit("^(O|B-.*|I-.*)$")))
 
 
+def scheme_breaks(tags: Column) -> Column:
+    """How often ``I-x`` follows neither ``B-x`` nor ``I-x`` in an array of tags."""
+
+    def broken(seq: Column) -> Column:
+        def odd(tag: Column, i: Column) -> Column:
+            before = F.coalesce(F.when(i > 0, F.get(seq, i - 1)), F.lit("O"))
+            return tag.startswith("I-") & ((before == "O") | (F.substring(before, 3, 2**31 - 1) != F.substring(tag, 3, 2**31 - 1)))
+
+        return F.size(F.filter(F.transform(seq, odd), lambda x: x))
+
+    return let(tags, broken)
+
+
 def drop_empty_sentences(df: DataFrame) -> DataFrame:
     return df.filter(F.size("tokens") > 0)
 

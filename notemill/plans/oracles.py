@@ -540,6 +540,9 @@ SELECT CAST(14 AS INTEGER) AS n_scores, count(*) > 0 AS in_range, count(*) > 0 A
     "token_classifier_facts": "WITH " + _BIO + "," + _SOURCE_SPLIT + """,
 held AS (SELECT label, count(*) AS n FROM bio JOIN source_split USING (source) WHERE split = 'validation' GROUP BY label)
 SELECT CAST(sum(n) AS BIGINT) AS n_tokens, CAST(max(n) AS BIGINT) AS n_most, true AS beats_majority FROM held""",
+    "token_model_facts": "WITH " + _TOKENS + "," + _SOURCE_SPLIT + """
+SELECT count(*) AS n_sentences, CAST(0 AS BIGINT) AS n_breaks, true AS a_tag_each, true AS at_least_plain
+FROM token_lists JOIN source_split USING (source) WHERE split = 'validation' AND len(tokens) > 0""",
     "search_facts": """
 SELECT CAST(20 AS BIGINT) AS n_trials, CAST(20 AS BIGINT) AS n_numbers, count(*) > 0 AS in_space, count(*) > 0 AS in_range FROM embeddings""",
     "entity_unescape": "WITH " + _TOKENS + "SELECT true AS same, count(*) AS n FROM tokens WHERE contains(token, ',')",

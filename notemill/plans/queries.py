@@ -12,7 +12,7 @@ from notemill.functions import arrays, naming
 from notemill.functions import text as tx
 from notemill.functions.text import word_pieces
 from notemill.operators import accounting as acc
-from notemill.operators import conll, encode, metrics, runs, sampling, spans, subwords, train
+from notemill.operators import conll, encode, metrics, runs, sampling, spans, structured, subwords, train
 from notemill.operators.rows import unroll
 from notemill.plans import flows
 from notemill.plans import standins as st
@@ -1004,6 +1004,27 @@ def token_classifier_facts(spark, sf):
     return _beats(row, total)
 
 
+@query
+def token_model_facts(spark, sf):
+    """The structured model breaks the tag scheme nowhere, and finds entities at least as well as the plain classifier."""
+    sentences = stage(st.labelled_splits(spark, sf).select("split", "doc_id", "line_no", "tokens", "labels"), "sentences")
+    names = conll.tag_list(conll.tag_vocab(sentences))
+    coded = conll.encode_tags(sentences, names).drop("labels")
+    held = coded.filter(F.col("split") == "validation")
+    tagger = structured.fit_tagger(coded.filter(F.col("split") == "train"), names)
+    named = stage(conll.decode_tags(structured.predict_tags(tagger, held), names, "ner_tags", "true"), "predicted")
+    plain = train.fit_token_classifier(coded.filter(F.col("split") == "train"), "tokens", "ner_tags", ["doc_id", "line_no"])
+    scored = metrics.entity_scores(named, "true", "pred").select("f1", F.lit(True).alias("own")).unionByName(
+        train.token_scores(plain, held, "tokens", "ner_tags", ["doc_id", "line_no"], names).select("f1", F.lit(False).alias("own"))
+    )
+    f1 = scored.agg(F.max(F.when(F.col("own"), F.col("f1"))).alias("own"), F.max(F.when(~F.col("own"), F.col("f1"))).alias("plain"), F.lit(1).alias("k"))
+    counts = named.agg(
+        F.count(F.lit(1)).alias("n_sentences"), F.coalesce(F.sum(conll.scheme_breaks(F.col("pred"))), F.lit(0)).alias("n_breaks"),
+        F.bool_and(F.size("pred") == F.size("tokens")).alias("a_tag_each"), F.lit(1).alias("k"),
+    )
+    return counts.join(f1, "k").select("n_sentences", "n_breaks", "a_tag_each", (F.col("own") >= F.col("plain")).alias("at_least_plain"))
+
+
 def _beats(row, total):
     both = row.select("eval_accuracy", F.lit(1).alias("k")).join(total.withColumn("k", F.lit(1)), "k")
     better = F.col("eval_accuracy") > F.col("n_most") / F.col("n_tokens")
