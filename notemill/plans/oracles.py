@@ -713,6 +713,16 @@ flags AS (SELECT run, step, CASE WHEN before IS NULL OR metric - before > CAST(0
 waits AS (SELECT run, step, step - max(good) OVER (PARTITION BY run ORDER BY step) AS waited FROM flags)
 SELECT run, CAST(min(CASE WHEN waited >= 5 THEN step END) AS INTEGER) AS stop_step,
        CAST(min(CASE WHEN waited >= 5 THEN step END) AS BIGINT) AS stop_eval, count(*) AS n_evals FROM waits GROUP BY run""",
+    "live_early_stop": "WITH " + _HISTORY + """,
+seen AS (
+  SELECT run, step, ts, metric, max(metric) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM history
+),
+flags AS (SELECT run, step, ts, CASE WHEN before IS NULL OR metric - before > CAST(0.5 AS DOUBLE) THEN step END AS good FROM seen),
+waits AS (SELECT run, step, ts, step - max(good) OVER (PARTITION BY run ORDER BY step) AS waited FROM flags)
+SELECT run, CAST(min(CASE WHEN waited >= 5 THEN step END) AS BIGINT) AS stop_step,
+       CAST(min(CASE WHEN waited >= 5 THEN step END) AS BIGINT) AS stop_eval, count(*) AS n_evals,
+       min(ts) + INTERVAL 432000 SECOND < (SELECT max(ts) FROM history) AS spent FROM waits GROUP BY run""",
     "keep_latest": "WITH " + _BEST + """
 SELECT run, step FROM history QUALIFY row_number() OVER (PARTITION BY run ORDER BY step DESC) <= 2
 UNION SELECT run, best_step FROM best""",

@@ -903,6 +903,27 @@ def live_budget(spark, sf):
     return monitor.run_states_of_events(spark, sf, "events.parquet", seconds=20 * 86400)
 
 
+@query
+def live_early_stop(spark, sf):
+    """Early stops from a history that comes in three parts; the stream is started anew for each, from its checkpoint."""
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        history = st.history(spark, sf).select("run", "step", F.col("ts").cast("timestamp").alias("ts"), "metric")
+        days = history.agg(F.min(F.to_date("ts")).alias("first"), F.max(F.to_date("ts")).alias("last")).first()
+        width = (days["last"] - days["first"]).days // 3 + 1
+        parts = stage(history.withColumn("part", F.floor(F.datediff("ts", F.lit(days["first"])) / width)), "history")
+        arrived, out, log = fresh_path(spark, "arrived"), fresh_path(spark, "stops"), fresh_path(spark, "stops-log")
+        for k in range(3):
+            parts.filter(F.col("part") == k).drop("part").write.mode("append").parquet(arrived)
+            stream = spark.readStream.schema(history.schema).parquet(arrived)
+            monitor.store_updates(monitor.live_stops(stream, patience=5, threshold=0.5, seconds=432000), out, log)
+        return monitor.latest_states(spark, out)
+    finally:
+        spark.conf.set(store, before)
+
+
 # --- accounting ----------------------------------------------------------------------
 
 

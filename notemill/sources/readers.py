@@ -13,6 +13,7 @@ from notemill.functions.arrays import let
 from notemill.operators.rows import unroll
 from notemill.operators.runs import dirs_with
 from notemill.operators.spans import token_lines
+from notemill.sources import csvparts
 
 SPLITS = ("train", "validation", "test")
 
@@ -30,14 +31,17 @@ def read_csv_splits(
     """One table of all splits, from one CSV path per split.
 
     ``schema`` is declared, for all splits or per split; a column one split lacks is
-    NULL there. Quoted fields may span lines, for which a file is read by one task; without
-    ``multi_line`` they may not, and large files are read by many.
+    NULL there. Quoted fields may span lines, and large files are still read by many tasks (``csvparts``);
+    without ``multi_line`` they may not, which saves a pass over the files.
     """
     parts = []
     for split, path in paths.items():
         declared = schema[split] if isinstance(schema, dict) else schema
-        reader = spark.read.schema(declared).option("header", True).option("multiLine", multi_line)
-        rows = reader.option("quote", '"').option("escape", '"').option("enforceSchema", False).csv(path)
+        if multi_line:
+            rows = csvparts.read(spark, path, StructType.fromDDL(declared) if isinstance(declared, str) else declared)
+        else:
+            reader = spark.read.schema(declared).option("header", True)
+            rows = reader.option("quote", '"').option("escape", '"').option("enforceSchema", False).csv(path)
         parts.append(rows.withColumn("split", F.lit(split)))
     return _union(parts)
 
