@@ -4,24 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from notemill.functions.arrays import let
 from notemill.functions import text as tx
-from notemill.operators.ordered import running
+from notemill.functions.arrays import let
+from notemill.operators.ordered import dense_codes, running
 from notemill.operators.rows import unroll
 
 _MAX_TAGS = 100_000
 
 
-def _tag_rank() -> Column:
-    """Rank from 0 with ``O`` first, then by name, over rows of distinct tags."""
-    window = Window.partitionBy(F.lit(1)).orderBy(F.col("tag") != "O", "tag")
-    return (F.row_number().over(window) - 1).cast("int")
-
-
 def label_vocab(spans: DataFrame) -> DataFrame:
     """``O``, then ``B-`` and ``I-`` of each annotated type."""
     types = spans.filter(F.col("type").isNotNull()).select("type").distinct()
@@ -35,7 +30,7 @@ def label_vocab(spans: DataFrame) -> DataFrame:
 def tag_vocab(df: DataFrame, tag_col: str = "labels") -> DataFrame:
     """``(tag, tag_id)`` over all splits; ``O`` is 0, the others follow by name."""
     tags = df.select(F.explode(F.array_distinct(tag_col)).alias("tag")).distinct()
-    return tags.select("tag", _tag_rank().alias("tag_id"))
+    return dense_codes(tags, "tag", "tag_id", first=F.col("tag") == "O")
 
 
 def tag_count(tags: DataFrame) -> DataFrame:
@@ -50,12 +45,41 @@ def tag_list(tags: DataFrame) -> list[str]:
     return [row["tag"] for row in rows]
 
 
+#: Beyond so many tags a hash table is asked; the search through an array would look at half of them for each token.
+_FEW = 64
+
+
 def _tag_array(tags: Sequence[str]) -> Column:
     return F.lit(list(tags)) if tags else F.array().cast("array<string>")
 
 
+def _by_table(tags: Sequence[str], kind: str):
+    """Arrow function from tags to ids, or with ``array<string>`` from ids to tags; what is unknown becomes NULL."""
+    known = pa.array(list(tags), pa.string())
+
+    @F.arrow_udf(kind)
+    def coded(values: pa.Array) -> pa.Array:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        flat = values.flatten()
+        if kind == "array<int>":
+            found = pc.index_in(flat, value_set=known.cast(flat.type), skip_nulls=True)
+        else:
+            inside = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(known)))
+            found = known.take(pc.if_else(inside, flat, pa.scalar(None, flat.type)).cast(pa.int32()))
+        sizes = pc.list_value_length(values)
+        ends = pc.cumulative_sum(pc.fill_null(sizes, 0)).to_numpy().tolist()
+        offsets = pa.array([0, *ends], pa.int32(), mask=np.r_[~pc.is_valid(values).to_numpy(zero_copy_only=False), False])
+        return pa.ListArray.from_arrays(offsets, found)
+
+    return coded
+
+
 def encode_tags(df: DataFrame, tags: Sequence[str], tag_col: str = "labels", out: str = "ner_tags") -> DataFrame:
     """Tag names to ids; a tag outside the vocabulary becomes NULL."""
+    if len(tags) > _FEW:
+        return df.withColumn(out, _by_table(tags, "array<int>")(F.col(tag_col)))
     known = _tag_array(tags)
     ids = F.transform(
         tag_col, lambda t: F.nullif(F.array_position(known, t), F.lit(0).cast("bigint")) - 1
@@ -64,6 +88,8 @@ def encode_tags(df: DataFrame, tags: Sequence[str], tag_col: str = "labels", out
 
 
 def decode_tags(df: DataFrame, tags: Sequence[str], id_col: str, out: str) -> DataFrame:
+    if len(tags) > _FEW:
+        return df.withColumn(out, _by_table(tags, "array<string>")(F.col(id_col)))
     known = _tag_array(tags)
     return df.withColumn(out, F.transform(id_col, lambda i: F.get(known, i)))
 

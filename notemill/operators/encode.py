@@ -17,8 +17,10 @@ from pyspark.sql.window import Window
 
 from notemill.functions import text as tx
 from notemill.functions.arrays import let, pad_to
-from notemill.operators.ordered import hash_rank
+from notemill.functions.naming import seeded_key
+from notemill.operators.ordered import running
 from notemill.operators.subwords import Trie, lookup
+from notemill.runtime import stage
 
 # The special entries that open every vocabulary.
 SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]"]
@@ -162,6 +164,13 @@ def encode_pair(
     df: DataFrame, a: str, b: str, tokens: Sequence[str], max_length: int = 480, subwords: bool = False
 ) -> DataFrame:
     """Add ``input_ids`` of two texts, longest side cut first."""
+    if not subwords:
+        # Both sides are cut first, so only pieces that stay are looked up.
+        cut = df.withColumn("__a", tx.word_pieces(F.col(a))).withColumn("__b", tx.word_pieces(F.col(b)))
+        keep_a, keep_b = pair_budget(F.size("__a"), F.size("__b"), max_length)
+        find = lookup_ids(tokens)
+        ids = cut.withColumn("__a", find(F.slice("__a", 1, keep_a))).withColumn("__b", find(F.slice("__b", 1, keep_b)))
+        return ids.select(*df.columns, F.concat(_framed(F.col("__a")), F.col("__b"), F.array(F.lit(SEP))).alias("input_ids"))
     ids = df.withColumn("__a", _piece_ids(F.col(a), tokens, subwords)).withColumn(
         "__b", _piece_ids(F.col(b), tokens, subwords)
     )
@@ -235,14 +244,26 @@ def pad_batches(
 ) -> DataFrame:
     """Pad each batch of the seeded order to its longest row.
 
-    Adds ``batch_id``, ``attention_mask`` and ``padded_len``. Ranks run on distinct ids
-    alone, so rows of one id share a batch; the wide rows move once, to meet their batch.
+    Adds ``batch_id``, ``attention_mask`` and ``padded_len``. Every batch but the last has ``batch_size`` rows, also where
+    ids repeat or are missing: equal ids follow each other, in 64 runs each, so that no id is one task's. What is ranked
+    are ids and counts; the wide rows, staged so that their numbers stay, move once to meet their batch.
     """
-    ranked = hash_rank(df.select(id_col).distinct(), [id_col], seed)
-    batches = ranked.select(F.col(id_col).alias("__id"), F.floor((F.col("rank") - 1) / batch_size).alias("batch_id"))
-    together = Window.partitionBy("batch_id")
-    met = df.join(batches, F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id")
-    placed = met.withColumn("padded_len", F.max(F.size(ids_col)).over(together))
+    numbered = stage(df.withColumn("__row", F.monotonically_increasing_id()), "unbatched")
+    key = seeded_key(seed, F.col(id_col))
+    narrow = numbered.select(
+        F.col(id_col).alias("__id"), "__row", key.alias("__key"), F.pmod("__row", F.lit(64)).cast("int").alias("__run"),
+        F.conv(F.substring(key, 1, 3), 16, 10).cast("int").alias("__bucket"),
+    )
+    runs = narrow.groupBy("__bucket", "__key", "__id", "__run").agg(F.count(F.lit(1)).alias("__n"))
+    starts = running(runs, [], ["__key", "__id", "__run"], "__bucket", {"__start": ("sum", F.col("__n"))}, inclusive=False)
+    starts = starts.select(F.col("__id").alias("__of"), F.col("__run").alias("__in"), "__start")
+    place = F.row_number().over(Window.partitionBy("__id", "__run").orderBy("__row"))
+    ranked = narrow.select("__id", "__run", "__row", place.alias("__place")).join(
+        starts, F.col("__id").eqNullSafe(F.col("__of")) & (F.col("__run") == F.col("__in"))
+    )
+    batches = ranked.select("__row", F.floor((F.col("__start") + F.col("__place") - 1) / batch_size).alias("batch_id"))
+    met = numbered.join(batches, "__row").drop("__row")
+    placed = met.withColumn("padded_len", F.max(F.size(ids_col)).over(Window.partitionBy("batch_id")))
     length = F.col("padded_len")
     mask = F.transform(ids_col, lambda _: F.lit(1))
     padded = placed.withColumn("attention_mask", pad_to(mask, length, 0)).withColumn(
@@ -289,22 +310,3 @@ def truncation_report(df: DataFrame, n_pieces_col: str, max_length: int = 480) -
         F.max(n_pieces_col).alias("max_pieces"),
         F.sum(F.greatest(F.col(n_pieces_col) + 2 - max_length, F.lit(0))).alias("pieces_lost"),
     )
-
-
-def map_batches(df: DataFrame, fn, schema, drop: Sequence[str] = (), **kwargs) -> DataFrame:
-    """Apply ``fn(pandas batch, **kwargs)`` to Arrow batches; ``drop`` columns go first."""
-    kept = df.drop(*drop)
-
-    def run(batches):
-        for batch in batches:
-            yield fn(batch, **kwargs)
-
-    return kept.mapInPandas(run, schema)
-
-
-def by_document(df: DataFrame, fn, schema, key: str = "doc_id") -> DataFrame:
-    """Apply ``fn(pandas frame)`` per document, for rules no expression covers.
-
-    All rows of a document meet in one task; keep to notes, not to whole corpora.
-    """
-    return df.groupBy(key).applyInPandas(fn, schema)

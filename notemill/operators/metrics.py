@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from notemill.functions.arrays import argmax, drop_masked, entity_chunks, softmax
 from notemill.operators.conll import decode_tags
-from notemill.operators.ordered import quantile_bucket, running
+from notemill.operators.ordered import running_sums
 
 
 def confusion(df: DataFrame, label: str, pred: str) -> DataFrame:
@@ -80,14 +80,11 @@ def cumulative_pos_neg(
 ) -> DataFrame:
     """Distinct scores with their positives, negatives and the negatives below them."""
     rows = df.select(*by, F.col(score).cast("double").alias("score"), positive.cast("boolean").alias("__p"))
-    bucketed = quantile_bucket(rows, "score")
-    counts = bucketed.groupBy(*by, "__bucket", "score").agg(
+    counts = rows.groupBy(*by, "score").agg(
         F.sum(F.when(F.col("__p"), 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col("__p"), 0).otherwise(1)).alias("neg"),
     )
-    return running(
-        counts, by, ["score"], "__bucket", {"neg_below": ("sum", F.col("neg"))}, inclusive=False
-    ).drop("__bucket")
+    return running_sums(counts, by, "score", {"neg_below": F.col("neg")})
 
 
 def _auc(cumulative: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from notemill.functions.naming import seeded_key
+from notemill.runtime import stage
 
 _ONE = "__one"
 _BUCKET = "__bucket"
@@ -57,6 +58,27 @@ def hash_rank(
     )
 
 
+def dense_codes(df: DataFrame, col: str, out: str, first: Column | None = None) -> DataFrame:
+    """``(col, out)``: distinct values numbered from 0 in their order, those where ``first`` holds before all others.
+
+    Values are ranged over partitions, staged, and numbered there; a row for each partition is all that
+    is added up in one place, so the number of values does not matter.
+    """
+    spark = df.sparkSession
+    order = [~first if first is not None else F.lit(False), F.col(col)]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.select(col).distinct().repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed = stage(ranged.withColumn("__at", F.monotonically_increasing_id()), "codes")
+    part = F.shiftright("__at", 33)
+    starts, total = [], 0
+    for r in sorted(placed.groupBy(part.alias("part")).count().collect(), key=lambda r: r["part"]):
+        starts.append((r["part"], total))
+        total += r["count"]
+    offsets = spark.createDataFrame(starts, "__part long, __start long")
+    met = placed.withColumn("__part", part).join(F.broadcast(offsets), "__part")  # a row for each partition
+    return met.select(col, (F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).cast("int").alias(out))
+
+
 def quantile_bucket(df: DataFrame, order_col: str, n_buckets: int | None = None) -> DataFrame:
     """Add an INT bucket that follows a DOUBLE column's order in about even shares.
 
@@ -74,6 +96,44 @@ def quantile_bucket(df: DataFrame, order_col: str, n_buckets: int | None = None)
     return bucketizer.transform(df).withColumn(_BUCKET, F.col("__slot").cast("int")).drop("__slot")
 
 
+def magnitude_buckets(c: Column) -> tuple[Column, Column]:
+    """Two INT digits that follow a DOUBLE's order: the 64th of an octave, and its 16,384th part of that.
+
+    Nothing about the data is asked beforehand. The logarithm never falls where its argument rises, so neither do the
+    digits taken together; NaN comes last, as Spark sorts it.
+    """
+    size = (F.log2(F.abs(c)) + 1100) * 64
+    signed = F.when(c > 0, size).when(c < 0, -size).otherwise(0.0)
+    key = F.when(F.isnan(c), 1e6).when(c == float("inf"), 9e5).when(c == float("-inf"), -9e5).otherwise(signed)
+    coarse = F.floor(key)
+    return coarse.cast("int"), F.floor((key - coarse) * 16384).cast("int")
+
+
+def running_sums(df: DataFrame, by: Sequence[str], order_col: str, sums: dict[str, Column]) -> DataFrame:
+    """Sums of all rows before each in the order of a DOUBLE column, whose values are unique within ``by``.
+
+    Three levels: inside a fine bucket, over the fine buckets of a coarse one (16,384 at most), and over the coarse
+    ones. Planning starts no job.
+    """
+    coarse, fine = magnitude_buckets(F.col(order_col))
+    work = df.withColumn("__coarse", coarse).withColumn("__fine", fine).withColumn(_ONE, F.lit(1))
+    groups = [_ONE, *by]
+    before = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    parts = work.groupBy(*groups, "__coarse", "__fine").agg(*[F.sum(v).alias(f"__t_{n}") for n, v in sums.items()])
+    inner = parts
+    for n in sums:
+        inner = inner.withColumn(f"__c_{n}", F.coalesce(F.sum(f"__t_{n}").over(before([*groups, "__coarse"], "__fine")), zero))
+    whole = parts.groupBy(*groups, "__coarse").agg(*[F.sum(f"__t_{n}").alias(f"__t_{n}") for n in sums])
+    for n in sums:
+        whole = whole.withColumn(f"__w_{n}", F.coalesce(F.sum(f"__t_{n}").over(before(groups, "__coarse")), zero))
+    offsets = inner.join(whole.select(*groups, "__coarse", *[f"__w_{n}" for n in sums]), [*groups, "__coarse"])
+    for n, v in sums.items():
+        work = work.withColumn(f"__l_{n}", F.coalesce(F.sum(v).over(before([*groups, "__coarse", "__fine"], order_col)), zero))
+    met = work.join(offsets.select(*groups, "__coarse", "__fine", *[f"__{k}_{n}" for n in sums for k in "cw"]), [*groups, "__coarse", "__fine"])
+    return met.select(*df.columns, *[(F.col(f"__l_{n}") + F.col(f"__c_{n}") + F.col(f"__w_{n}")).alias(n) for n in sums])
+
+
 def running(
     df: DataFrame,
     by: Sequence[str],

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StructType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
 
 def unroll(
@@ -26,11 +26,12 @@ def unroll(
 def spread_join(rows: DataFrame, facts: DataFrame, keys: Sequence[str], salts: int = 16) -> DataFrame:
     """Inner join of many rows with one small fact row per key; NULL keys meet NULL keys.
 
-    As ``salted_join``, with the salt from all plain columns that are no key, so that
-    rows of one key go to many tasks wherever the facts are not small enough to broadcast.
+    As ``salted_join``, with the salt from the plain columns that are no key (the length and the first characters of
+    strings), so that rows of one key go to many tasks wherever the facts are not small enough to broadcast.
     """
-    plain = [f.name for f in rows.schema if f.name not in keys and not isinstance(f.dataType, (ArrayType, MapType, StructType))]
-    part = F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int") if plain else F.lit(0)
+    plain = [f for f in rows.schema if f.name not in keys and not isinstance(f.dataType, (ArrayType, MapType, StructType))]
+    narrow = [x for f in plain for x in ([F.length(f.name), F.substring(f.name, 1, 32)] if isinstance(f.dataType, StringType) else [F.col(f.name)])]
+    part = F.pmod(F.xxhash64(*narrow), F.lit(salts)).cast("int") if plain else F.lit(0)
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1 if plain else 0)))
     names = [c for c in facts.columns if c not in keys]
     right = facts.select(*[F.col(c).alias(f"__k_{i}") for i, c in enumerate(keys)], *names, copies.alias("__part"))

@@ -116,10 +116,7 @@ def halve_split(
     """
     ranked = hash_rank(df.select(id_col).distinct(), [id_col], seed)
     side = F.when(F.col("rank") <= F.floor(F.col("total") / 2), F.lit(names[0])).otherwise(F.lit(names[1]))
-    sides = ranked.select(F.col(id_col).alias("__id"), side.alias("split"))
-    same = F.col(id_col).eqNullSafe(F.col("__id"))
-    kept = [c for c in df.columns if c not in (id_col, "split")]
-    return df.drop("split").join(sides, same).select(id_col, *kept, "split")
+    return spread_join(df.drop("split"), ranked.select(id_col, side.alias("split")), [id_col])
 
 
 def with_test_split(df: DataFrame, id_col: str, has_test: bool, seed: int = 42) -> DataFrame:

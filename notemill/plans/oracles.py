@@ -511,6 +511,10 @@ FROM bio GROUP BY doc_id, line_no""",
     "conll_roundtrip": "WITH " + _BIO + "," + _SOURCE_SPLIT + """
 SELECT split, string_agg(token, ' ' ORDER BY pos) AS tokens, string_agg(label, ' ' ORDER BY pos) AS tags
 FROM bio JOIN source_split USING (source) GROUP BY split, doc_id, line_no""",
+    "conll_compat": "WITH " + _BIO + "," + _SOURCE_SPLIT + """
+SELECT split, string_agg(token, ' ' ORDER BY pos) AS tokens, string_agg(label, ' ' ORDER BY pos) AS tags
+FROM bio JOIN source_split USING (source) GROUP BY split, doc_id, line_no
+UNION ALL SELECT split, '', '' FROM token_lists JOIN source_split USING (source), range(2) WHERE len(tokens) = 0""",
     "xml_dataset_flow": "WITH cw AS (" + _CHAR_WORDS + """),
 patients AS (SELECT DISTINCT CAST(left(CAST(doc_id AS VARCHAR), 2) AS INTEGER) AS patient FROM cw),
 ranked AS (
@@ -545,6 +549,11 @@ SELECT count(*) AS n_sentences, CAST(0 AS BIGINT) AS n_breaks, true AS a_tag_eac
 FROM token_lists JOIN source_split USING (source) WHERE split = 'validation' AND len(tokens) > 0""",
     "search_facts": """
 SELECT CAST(20 AS BIGINT) AS n_trials, CAST(20 AS BIGINT) AS n_numbers, count(*) > 0 AS in_space, count(*) > 0 AS in_range FROM embeddings""",
+    "search_resumed": """
+SELECT CAST(20 AS BIGINT) AS n_trials, CAST(20 AS BIGINT) AS n_numbers, CAST(12 AS BIGINT) AS n_kept, 12 AS n_first, 8 AS n_resumed""",
+    "sentence_order": "WITH " + _TOKENS + "," + _SOURCE_SPLIT + """
+SELECT split, source, doc_id, CAST(line_no AS INTEGER) AS line_no, row_number() OVER (PARTITION BY split, source ORDER BY doc_id, line_no) AS place
+FROM token_lists JOIN source_split USING (source) WHERE len(tokens) > 0""",
     "entity_unescape": "WITH " + _TOKENS + "SELECT true AS same, count(*) AS n FROM tokens WHERE contains(token, ',')",
     "csv_roundtrip": "WITH " + _halves("h", "labels", "doc_id", "train", "validation") + """,
 held AS (SELECT doc_id FROM h WHERE split = 'validation'),
@@ -799,3 +808,5 @@ SELECT conv_id, turn, split FROM conversations JOIN h USING (conv_id)""",
 
 ORACLES["dataset_roundtrip"] = ORACLES["conll_roundtrip"]
 ORACLES["token_cls_metrics"] = ORACLES["entity_scores"]
+ORACLES["note_files"] = ORACLES["bio_token_spans"]
+ORACLES["note_files_unchecked"] = ORACLES["bio_token_spans"]

@@ -158,6 +158,18 @@ def sentences_by_group(spark, sf):
     )
 
 
+@query
+def sentence_order(spark, sf):
+    """Each sentence's place in the order of its group, counted along the sorted rows."""
+    from notemill.operators.ordered import running
+
+    rows = st.token_lines(spark, sf, keep_blank=False).select("doc_id", "line_no", "source")
+    ordered = sampling.sentences_by_group(rows, st.split_by_source(spark, sf), "source", "doc_id", "line_no")
+    placed = stage(ordered.withColumn("seq", F.monotonically_increasing_id()), "ordered-sentences")
+    counted = running(placed, ["split", "source"], ["seq"], F.shiftright("seq", 33), {"place": ("count", F.lit(1))})
+    return counted.select("split", "source", "doc_id", "line_no", "place")
+
+
 # --- notes, lines, spans ---------------------------------------------------------
 
 
@@ -304,6 +316,34 @@ def concept_lines(spark, sf):
     )
 
 
+def _labelled_files(spark, sf, stated, **checks):
+    """All notes and their concepts as ``.txt`` and ``.con`` files in one folder, read by suffix and labelled."""
+    folder = fresh_path(spark, "note-files")
+    rows = st.token_spans(spark, sf)
+    line = F.concat(
+        F.lit('c="'), stated, F.lit('" '), "start_line", F.lit(":"), "start_pos", F.lit(" "), "end_line", F.lit(":"), "end_pos",
+        F.lit('||t="'), "type", F.lit('"'),
+    )
+    lines = F.array_sort(F.collect_list(F.struct("span_idx", line.alias("line"))))
+    concepts = rows.groupBy("doc_id").agg(F.array_join(lines["line"], "\n").alias("text"))
+    writers.write_files(st.notes(spark, sf), folder, ".txt")
+    writers.write_files(concepts, folder, ".con")
+    labelled = flows.label_notes(readers.read_token_notes(spark, folder), readers.read_concepts(spark, folder), **checks)
+    return _tokens(labelled.filter(F.size("tokens") > 0).withColumn("doc_id", F.col("doc_id").cast("long")))
+
+
+@query
+def note_files(spark, sf):
+    """Notes and concepts through files: found by suffix, named by id, checked, labelled."""
+    return _labelled_files(spark, sf, F.col("stated"))
+
+
+@query
+def note_files_unchecked(spark, sf):
+    """As ``note_files``, with wrong stated texts and the check switched off."""
+    return _labelled_files(spark, sf, F.concat(F.lit("not "), "stated"), match_text=False)
+
+
 @query
 def corrections_overlay(spark, sf):
     """Lines changed by corrections of two sources."""
@@ -388,6 +428,16 @@ def conll_roundtrip(spark, sf):
     return back.select("split", F.array_join("tokens", " ").alias("tokens"), F.array_join("ner_tags_str", " ").alias("tags"))
 
 
+@query
+def conll_compat(spark, sf):
+    """Every line as a sentence, also those without words, read as sentences that blank lines close."""
+    path = fresh_path(spark, "conll-compat")
+    rows = writers.conll_text(st.labelled_splits(spark, sf)).select("split", "value")
+    rows.write.partitionBy("split").option("lineSep", "\n\n").text(path)
+    back = readers.read_conll(spark, path, compat=True)
+    return back.select("split", F.array_join("tokens", " ").alias("tokens"), F.array_join("ner_tags_str", " ").alias("tags"))
+
+
 @query
 def dataset_roundtrip(spark, sf):
     path = fresh_path(spark, "dataset")
@@ -1063,6 +1113,35 @@ def search_facts(spark, sf):
     )
 
 
+def _probe_search(spark, sf):
+    """A search over linear probes: ``search(n_trials, store)``, and the settings that were fitted."""
+    rows = st.table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    halves = stage(sampling.halve_split(rows, "vec_id", names=("train", "validation")), "vectors")
+    parts = {s: train.as_features(halves.filter(F.col("split") == s), "embedding") for s in ("train", "validation")}
+    ready = stage(parts["train"].select("features", "label"), "probe-rows")
+    fitted = []
+
+    def fit(params: dict):
+        fitted.append(params)
+        return train.fit_linear_probe(ready, "embedding", "label", regParam=params["rate"], elasticNetParam=params["mix"])
+
+    space = {"rate": ("log_uniform", 1e-5, 1e-3), "mix": ("choice", [0.0, 0.5, 1.0])}
+    return lambda n, store: train.search(fit, parts["validation"], "label", 10, space, "probe", n_trials=n, store=store), fitted
+
+
+@query
+def search_resumed(spark, sf):
+    """Twelve trials, then twenty from the same store: only eight are run, and the twelve stay as they were."""
+    search, fitted = _probe_search(spark, sf)
+    store = fresh_path(spark, "trials")
+    first = stage(search(12, store), "first-trials")
+    before = len(fitted)
+    every = search(20, store)
+    kept = first.join(every, first.columns, "left_semi").agg(F.count(F.lit(1)).alias("n_kept"), F.lit(1).alias("k"))
+    counts = every.agg(F.count(F.lit(1)).alias("n_trials"), F.countDistinct("trial").alias("n_numbers"), F.lit(1).alias("k"))
+    return counts.join(kept, "k").select("n_trials", "n_numbers", "n_kept", F.lit(before).alias("n_first"), F.lit(len(fitted) - before).alias("n_resumed"))
+
+
 @query
 def search_trials(spark, sf):
     rows = st.table(spark, sf, "embeddings").select("vec_id", "embedding", "label")

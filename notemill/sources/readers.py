@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from notemill.functions import text as tx
 from notemill.functions.arrays import let
@@ -84,8 +86,7 @@ def read_conll(
     at empty lines, so a file of any size is read by many tasks; lines that hold only
     whitespace cut further inside a record. (file, block, sent_id) follow the order
     of the file. The last sentence is kept and empty ones are dropped; ``compat``
-    loses the unterminated last sentence and keeps empty ones, reading each file
-    whole to do so.
+    loses the unterminated last sentence and keeps empty ones.
     """
     if isinstance(path, dict):
         parts = [
@@ -94,21 +95,79 @@ def read_conll(
         ]
         return _union(parts)
     if compat:
-        return _read_conll_whole(spark, path)
+        return _read_conll_compat(spark, path)
     blocks = _conll_blocks(spark, path, newline)
     names = [c for c in blocks.columns if c != "value"]
     lines = F.split(tx.normalise_newlines(F.col("value")), "\n", -1)
     return _cut_sentences(blocks.withColumn("__lines", lines), names, keep_open=True).filter(F.size("tokens") > 0)
 
 
-def _read_conll_whole(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.text(path, wholetext=True)
-    names = [c for c in files.columns if c != "value"]
-    lines = tx.text_lines(tx.normalise_newlines(F.col("value")))
-    rows = files.select(
-        *names, F.col("_metadata.file_path").alias("file"), F.lit(0).cast("bigint").alias("block"), lines.alias("__lines")
+_OPEN, _MIDDLE, _CLOSE, _DONE = range(4)
+
+
+def _fragments(keep: int):
+    """For ``mapInArrow``: lines to sentences closed inside a byte range, and to the parts that cross its borders.
+
+    A range without a blank line is a middle; any other has a head up to its first blank line, which closes what
+    earlier ranges left open, and a tail behind its last one. Such parts can be joined in any grouping.
+    """
+
+    def run(batches):
+        at, held, n, kept = None, [], 0, []
+
+        def row(kind):
+            return (*kept, *at, n, kind, list(held))
+
+        for batch in batches:
+            out = []
+            columns = [batch.column(k).to_pylist() for k in range(keep + 3)]
+            for values in zip(*columns):
+                here, line = values[keep : keep + 2], values[keep + 2]
+                if here != at:
+                    if at is not None:
+                        out.append(row(_OPEN if n else _MIDDLE))
+                    at, held, n, kept = here, [], 0, values[:keep]
+                if line.strip(tx.SPACE_CHARS):
+                    held.append(line)
+                else:
+                    out.append(row(_DONE if n else _CLOSE))
+                    held, n = [], n + 1
+            if out:
+                yield _as_batch(out, batch.schema, keep)
+        if at is not None:
+            yield _as_batch([row(_OPEN if n else _MIDDLE)], batch.schema, keep)
+
+    def _as_batch(rows, schema, keep):
+        kinds = [*[f.type for f in list(schema)[:keep]], pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())]
+        names = [*schema.names[:keep], "file", "block", "sent_id", "kind", "lines"]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+    return run
+
+
+def _read_conll_compat(spark: SparkSession, path: str) -> DataFrame:
+    """Every blank line closes a sentence, empty or not; what no blank line closes is lost. The largest row is a sentence."""
+    lines = spark.read.text(path)
+    names = [c for c in lines.columns if c != "value"]
+    placed = lines.select(*names, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    schema = StructType([*[placed.schema[c] for c in names], *StructType.fromDDL("file string, block long, sent_id long, kind int, lines array<string>")])
+    found = placed.mapInArrow(_fragments(len(names)), schema)
+    parts = found.filter(F.col("kind") != _DONE)
+    # A range has two parts at most; an open tail begins a sentence, and so does the file.
+    along = Window.partitionBy("file").orderBy("block", F.desc("kind"))
+    numbered = parts.withColumn("__group", F.sum((F.col("kind") == _OPEN).cast("int")).over(along))
+    ordered = F.array_sort(F.collect_list(F.struct("block", (-F.col("kind")).alias("kind"), "sent_id", "lines")))
+    first = F.min(F.struct("block", (-F.col("kind")).alias("kind"), "sent_id"))
+    stitched = numbered.groupBy("file", "__group").agg(
+        *[F.first(c).alias(c) for c in names], first.alias("__first"), F.bool_or(F.col("kind") == _CLOSE).alias("__closed"),
+        F.flatten(ordered["lines"]).alias("lines"),
+    ).filter("__closed")
+    columns = [*names, "file", "block", "sent_id", "lines"]
+    every = found.filter(F.col("kind") == _DONE).select(*columns).unionByName(
+        stitched.select(*names, "file", F.col("__first.block").alias("block"), F.col("__first.sent_id").alias("sent_id"), "lines")
     )
-    return _cut_sentences(rows, [*names, "file", "block"], keep_open=False)
+    tokens, labels = _tagged(F.col("lines"))
+    return every.select(*names, "file", "block", "sent_id", tokens.alias("tokens"), labels.alias("ner_tags_str"))
 
 
 def _cut_sentences(df: DataFrame, names: Sequence[str], keep_open: bool) -> DataFrame:

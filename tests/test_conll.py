@@ -47,6 +47,45 @@ def test_large_file_in_parts(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_compat_sentences_across_ranges(spark, tmp_path, seed):
+    import random
+
+    rng = random.Random(seed)
+    for name in ("a", "b"):
+        lines = [rng.choice(["", " ", f"w{k} O", f"w{k} O", "long" * 50 + f"{k} B-x"]) for k in range(600)] + [f"x{k} O" for k in range(200)] + rng.choice([[""], []])
+        (tmp_path / f"{name}.txt").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for name in ("a", "b"):
+            want, held = [], []
+            for line in (tmp_path / f"{name}.txt").read_text().split("\n")[:-1]:
+                if line.strip():
+                    held.append(line.split(" ")[0])
+                else:
+                    want.append(held)
+                    held = []
+            back = rd.read_conll(spark, str(tmp_path / f"{name}.txt"), compat=True)
+            assert back.select(F.spark_partition_id()).distinct().count() > 3
+            assert sentences(back) == want
+        both = rd.read_conll(spark, str(tmp_path), compat=True)
+        assert both.count() == sum(rd.read_conll(spark, str(tmp_path / f"{n}.txt"), compat=True).count() for n in "ab")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("n", [3, 100_000])
+def test_tags_to_ids_and_back(spark, n):
+    tags = ["O", *[f"B-{k:06d}" for k in range(n - 1)]]
+    rows = [(1, ["O", tags[-1], "B-none"]), (2, []), (3, None), (4, [tags[1], None])]
+    df = spark.createDataFrame(rows, "k int, labels array<string>")
+    coded = conll.decode_tags(conll.encode_tags(df, tags), tags, "ner_tags", "back")
+    got = {r["k"]: (r["ner_tags"], r["back"]) for r in coded.collect()}
+    assert got == {1: ([0, n - 1, None], ["O", tags[-1], None]), 2: ([], []), 3: (None, None), 4: ([1, None], [tags[1], None])}
+
+
 def test_conll_round_trip(spark, tmp_path):
     rows = [(i, "train" if i % 3 else "test", [f"t{i}", "Ä,"], ["B-x", "I-x"]) for i in range(40)]
     df = spark.createDataFrame(rows, "id int, split string, tokens array<string>, labels array<string>")

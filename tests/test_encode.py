@@ -103,16 +103,18 @@ def test_padding(spark):
     assert all(max(b) == next(r["padded_len"] for r in rows if r["batch_id"] == k) for k, b in batches.items())
 
 
-def test_map_batches_and_by_document(spark):
-    df = docs(spark, "a", "bb")
-
-    def sized(batch, times):
-        return batch[["id"]].assign(n=batch["text"].str.len() * times)
-
-    got = en.map_batches(df.withColumn("extra", F.lit(1)), sized, "id int, n long", drop=["extra"], times=3)
-    assert sorted(tuple(r) for r in got.collect()) == [(0, 3), (1, 6)]
-    first = en.by_document(df, lambda pdf: pdf.head(1)[["id"]], "id int", key="id")
-    assert first.count() == 2
+def test_batches_are_even_where_ids_repeat_or_are_missing(spark):
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, k) for k in range(400)]
+    df = spark.createDataFrame(rows, "id int, k int").withColumn("input_ids", F.array_repeat(F.lit(5), F.col("k") % 4 + 1)).repartition(5)
+    got = en.pad_batches(df, 16, "id").collect()
+    assert sorted(r["k"] for r in got) == list(range(400))
+    sizes = {}
+    for r in got:
+        sizes.setdefault(r["batch_id"], []).append(r)
+    assert sorted(sizes) == list(range(25)) and all(len(b) == 16 for b in sizes.values())
+    assert all(len({r["padded_len"] for r in b}) == 1 == len({len(r["input_ids"]) for r in b}) for b in sizes.values())
+    # Rows of one id follow each other: it lies in as few batches as hold it.
+    assert len({r["batch_id"] for r in got if r["id"] == 7}) <= 133 // 16 + 2
 
 
 def greedy(word, known):

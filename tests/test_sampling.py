@@ -113,3 +113,36 @@ def test_sizes(spark):
     got = {tuple(r) for r in sampling.split_sizes(df, "doc", "n_sentences").collect()}
     assert got == {("train", 1, 2), ("test", 1, 1)}
     assert sampling.split_sizes(df).count() == 2
+
+
+def test_running_sums_follow_doubles_and_start_no_job(spark):
+    values = [0.0, -0.5, 0.5, 1e-310, -1e-310, 1.0, 1.0 + 2**-52, 0.999999, 1e300, -1e300, float("inf"), float("-inf"), float("nan"), 3.5, 0.75]
+    rows = [(g, v, k + 1) for g in ("a", "b") for k, v in enumerate(values)] + [("a", 0.9 + k * 1e-9, 1) for k in range(300)]
+    df = spark.createDataFrame(rows, "g string, v double, n int")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy-sums", "")
+    out = ordered.running_sums(df, ["g"], "v", {"below": F.col("n")})
+    assert tracker.getJobIdsForGroup("lazy-sums") in ([], ())
+    got = [(r["g"], str(r["v"]), r["below"]) for r in out.collect()]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = []
+    for g in ("a", "b"):
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] != r[1], r[1]))
+        total = 0
+        for _, v, n in mine:
+            want.append((g, str(v), total))
+            total += n
+    assert sorted(got) == sorted(want)
+
+
+def test_dense_codes(spark):
+    df = spark.createDataFrame([(f"t{k % 700:04d}",) for k in range(3000)] + [("O",)] * 5, "tag string").repartition(6)
+    got = {r["tag"]: r["tag_id"] for r in ordered.dense_codes(df, "tag", "tag_id", first=F.col("tag") == "O").collect()}
+    assert got == {"O": 0, **{f"t{k:04d}": k + 1 for k in range(700)}}
+    assert ordered.dense_codes(df.limit(0), "tag", "tag_id").collect() == []
+
+
+def test_halves_spread_rows_without_an_id(spark):
+    df = spark.createDataFrame([(None if k % 2 else k, k) for k in range(200)], "id int, k int")
+    got = sampling.halve_split(df, "id").collect()
+    assert sorted(r["k"] for r in got) == list(range(200)) and len({r["split"] for r in got if r["id"] is None}) == 1
