@@ -150,6 +150,12 @@ def _settle(members: DataFrame, percent: int, kind: str) -> DataFrame:
     return spread.groupBy("bucket", "lo", "hi").applyInPandas(meet, f"a {kind}, b {kind}")
 
 
+def _members() -> list:
+    """Sums of the 32-bit words of each member's 128-bit digest: unlike sets of classes agree in all four with a probability of 2^-128."""
+    word = "sum(conv(substring(md5(cast(node AS string)), {at}, 8), 16, 10)::bigint) AS who_{k}"
+    return [F.expr(word.format(at=8 * k - 7, k=k)) for k in range(1, 5)]
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -203,11 +209,10 @@ def near_duplicates(
 
     named = met.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_buckets = named.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("count"), F.min("component").alias("lo"), F.max("component").alias("hi"),
-        F.sum(F.xxhash64("node") % (1 << 40)).alias("who"),
-    ).filter("lo <> hi")
-    # Buckets of other bands often hold the same classes; one of them is enough.
-    once = open_buckets.groupBy("count", "who").agg(F.min("bucket").alias("bucket")).select("bucket", F.col("count").alias("size"))
+        F.count(F.lit(1)).alias("count"), F.min("component").alias("lo"), F.max("component").alias("hi"), *_members()
+    ).filter("lo <> hi AND count > 2")
+    # Buckets of other bands often hold the same classes; one of them is enough. The only pair of two classes is already checked.
+    once = open_buckets.groupBy("count", "who_1", "who_2", "who_3", "who_4").agg(F.min("bucket").alias("bucket")).select("bucket", F.col("count").alias("size"))
     members = (
         named.join(once, "bucket")
         .select("bucket", F.col("size").alias("count"), "node", "component")
