@@ -8,6 +8,7 @@ windows of documents, labelled by the values that the patterns find.
 from __future__ import annotations
 
 import functools
+import random
 import re
 import zlib
 from dataclasses import dataclass
@@ -17,11 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 #: At most so many documents with, and as many without, a pattern's match are learned from.
 FIT_DOCS = 1500
-#: At most so many windows of ``WINDOW`` tokens from each of them.
-DOC_WINDOWS = 4
+#: At most so many windows of ``WINDOW`` tokens with a value, and as many without, from each of them.
+DOC_WINDOWS = 2
+#: So many disguises with another key, and as many without a key, of each window with a value.
+DISGUISES = 1
 WINDOW = 24
 
 KINDS = ("assign", "access", "hex", "crf")
@@ -287,10 +291,64 @@ def _doubtful(token: str) -> bool:
     return len(token) >= 8 and any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
 
 
-def _windows(text: str) -> list[tuple[list[str], list[int]]]:
-    """Windows around the patterns' values, then the first ones without any.
+_SHAPES = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789_", "ABCDEFGHabcdefghijkmnpqrstuvwxyz23456789-", "ABCDEFGHabcdefghijkmnpqrstuvwxyz23456789/+")
 
-    A window with a doubtful token that no pattern names is not learned from.
+
+def _drawn(rng: random.Random) -> str:
+    """A value of another length and alphabet, with a letter and a digit in it."""
+    letters = rng.choice(_SHAPES)
+    value = "".join(rng.choices(letters, k=rng.randint(8, 44)))
+    return rng.choice("abcxyzAKT") + value + rng.choice("0123456789")
+
+
+def _disguised(tokens: list[str], states: list[int], seed: int) -> list[tuple[list[str], list[int]]]:
+    """A window with its values drawn anew, once under other key names and once without any key.
+
+    The patterns' own matches name the windows, so a field that sees the key words would only learn to repeat the patterns.
+    """
+    rng = random.Random(seed)
+    plain = [t for t, s in zip(tokens, states) if s == 2 and t.isalpha() and not any(c in t.lower() for c in _CUES)] or ["key"]
+    keyed, bare, bare_states = [], [], []
+    signs = ("=", ":", '"', "'")
+    for k, (t, s) in enumerate(zip(tokens, states)):
+        if s != 2:
+            if s == 0:
+                value = _drawn(rng)
+                keyed.append((value, 0))
+                bare.append(value)
+                bare_states.append(0)
+            continue
+        near = 0 in states[k + 1 : k + 5]
+        cue = near and any(c in t.lower() for c in _CUES)
+        keyed.append(((rng.choice(plain) + rng.choice(["", "_", "-"]) + rng.choice(plain)[:3] if rng.random() < 0.5 else rng.choice(plain)) if cue else t, 2))
+        if not cue and not (near and t in signs):
+            bare.append(t)
+            bare_states.append(2)
+    return [([t for t, _ in keyed], [s for _, s in keyed]), (bare, bare_states)]
+
+
+def _planted(tokens: list[str], seed: int) -> tuple[list[str], list[int]]:
+    """A window without a value, with a drawn one put into it: bare, after a prefix, or behind words and signs of its own kind."""
+    rng = random.Random(seed)
+    plain = [t for t in tokens if t.isalpha()] or ["key"]
+    value = _drawn(rng)
+    form = rng.randrange(6)
+    key = rng.choice(plain) + rng.choice(["", "_" + rng.choice(plain)[:4], "-" + rng.choice(plain)[:3]])
+    before, after = [[], ["=", '"'], [":"], ["="], [rng.choice(plain)], []][form], ['"'] if form == 1 else []
+    before = [key, *before] if 0 < form < 5 else before
+    if form == 5:
+        value = rng.choice(plain)[:3] + "_" + value
+    at = rng.randint(0, len(tokens))
+    out = [*tokens[:at], *before, value, *after, *tokens[at:]]
+    states = [2] * len(out)
+    states[at + len(before)] = 0
+    return out, states
+
+
+def _windows(text: str, most: int) -> list[tuple[list[str], list[int]]]:
+    """At most ``most`` windows around the patterns' values and as many without any, by hash over the whole text.
+
+    Those with a value come also in disguise, those without also with a value planted in them. A window with a doubtful token that no pattern names is not learned from.
     """
     found = list(TOKEN.finditer(text))
     if not found:
@@ -304,32 +362,45 @@ def _windows(text: str) -> list[tuple[list[str], list[int]]]:
         if len(inside):
             states[inside], states[inside[0]] = 1, 0
             centres.append(int(inside[0]))
-    out = []
-    for c in [*centres, *range(WINDOW // 2, len(found) + WINDOW // 2, WINDOW)]:
-        a = max(0, c - WINDOW // 2)
-        part = states[a : a + WINDOW].tolist()
-        tokens = [m.group() for m in found[a : a + WINDOW]]
-        if not part or any(s == 2 and _doubtful(t) for s, t in zip(part, tokens)):
-            continue
-        if part[0] == 1:
-            part[0] = 0
-        out.append((tokens, part))
-        if len(out) == DOC_WINDOWS:
-            break
-    return out
-
-
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_DOCS) -> Field:
-    """Fit on windows of at most ``rows`` documents with a pattern's match and as many without.
-
-    They are those whose hashed id is smallest; documents without an id or text are not
-    learned from.
+    seed = zlib.crc32(text.encode())
+
+    def chosen(places):
+        taken = []
+        for c in sorted(set(places), key=lambda c: (zlib.crc32(f"{seed}:{c}".encode()), c)):
+            if len(taken) == most:
+                break
+            a = max(0, c - WINDOW // 2)
+            part = states[a : a + WINDOW].tolist()
+            tokens = [m.group() for m in found[a : a + WINDOW]]
+            if not part or any(s == 2 and _doubtful(t) for s, t in zip(part, tokens)):
+                continue
+            if part[0] == 1:
+                part[0] = 0
+            taken.append((tokens, part))
+        return taken
+
+    grid = [c for c in range(WINDOW // 2, len(found) + WINDOW // 2, WINDOW) if (states[max(0, c - WINDOW // 2) : c + WINDOW // 2] == 2).all()]
+    valued = chosen(centres)
+    more = [w for k, (t, s) in enumerate(valued) for d in range(DISGUISES) for w in _disguised(t, s, seed + DISGUISES * k + d)]
+    # Long numbers look most like values: as many windows with one again, where there are any.
+    numbers = np.array([m.group().isdigit() and len(m.group()) >= 8 for m in found])
+    harder = [c for c in grid if numbers[max(0, c - WINDOW // 2) : c + WINDOW // 2].any()]
+    empty = list({tuple(t): (t, s) for t, s in chosen(harder) + chosen(grid)}.values())
+    return valued + [w for w in more if w[0]] + empty + [_planted(t, seed ^ zlib.crc32(f"{k}".encode())) for k, (t, _) in enumerate(empty)]
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_DOCS, windows: int = DOC_WINDOWS) -> Field:
+    """Fit on at most ``rows`` documents with a pattern's match and as many without, the least by hashed id.
+
+    Of each document at most ``windows`` windows with a value, as many without and as many with a long number are taken, by hash over its whole
+    text; the former come also in disguise (``_disguised``), the latter also with a drawn value (``_planted``). Documents without an id or text are not learned from.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
     flagged = texts.select("id", F.rlike("text", F.lit(_ANY)).alias("hit")).withColumn("h", F.xxhash64("id"))
-    few = [flagged.filter(c).orderBy("h", "id").limit(rows).select("id") for c in ("hit", "NOT hit")]
-    ids = [r["id"] for part in few for r in part.collect()]
+    # One scan for both sides; each task keeps its own first ones before they meet.
+    rank = F.row_number().over(Window.partitionBy("hit").orderBy("h", "id"))
+    ids = [r["id"] for r in flagged.withColumn("rank", rank).filter(F.col("rank") <= rows).select("id").collect()]
     if not ids:
         return fit([])
     chosen = spark.createDataFrame([(i,) for i in ids], f"id {dict(texts.dtypes)['id']}").distinct()
@@ -340,15 +411,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
             out = []
             for text in batch.column(0).to_pylist():
                 n = len(TOKEN.findall(text))
-                for k, (tokens, states) in enumerate(_windows(text)):
+                for k, (tokens, states) in enumerate(_windows(text, windows)):
                     out.append((zlib.crc32(text.encode()), k, tokens, states, file_features(text, n)))
             if out:
                 kinds = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["id", "n", "tokens", "states", "file"])
 
     found = texts.join(F.broadcast(chosen), "id").select("text").mapInArrow(rows_of, kind).distinct()
-    windows = [(list(r["tokens"]), list(r["states"]), list(r["file"])) for r in found.limit(2 * rows * DOC_WINDOWS).collect()]
-    return fit(sorted(windows))
+    # Where ids repeat there may be more texts than ids; the same ones are taken on every run.
+    order = [F.xxhash64("tokens", "states"), "id", "n"]
+    learned = [(list(r["tokens"]), list(r["states"]), list(r["file"])) for r in found.orderBy(*order).limit(2 * rows * windows * (3 + DISGUISES)).collect()]
+    return fit(sorted(learned))
 
 
 def scan(docs: DataFrame, field: Field, text_col: str = "text", findings_col: str = "findings") -> DataFrame:

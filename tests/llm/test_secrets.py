@@ -107,6 +107,41 @@ def test_field_adds_secrets_that_no_pattern_names(spark):
     assert short > 10 and hits >= 0.9 * short and false == 0
 
 
+def test_field_of_the_documents_finds_values_under_names_it_has_not_seen(spark):
+    """Trained as registered: recall on planted values by way of naming, and no span in texts without a secret."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    tagger = s.Tagger(s.train(docs))
+    clean = [t for _, t in sorted(texts.items()) if not s.base_spans(t)]
+    false = sum(len(tagger.spans(t)) for t in clean)
+    rng = random.Random(11)
+    forms = ["db pass is {}", "client_pw: {}", "ghp_{}", "Authorization: Bearer {}", "credential={}", 'auth_key = "{}"', "pwd={}", "signing key: {}"]
+    alphabets = [HEX[:16], "ABCDEFGHJKLMNPQRSTUVWXYZ23456789", "abcdefghijkmnpqrstuvwxyz0123456789", "ABCabcDEFdefGHIghi0123456789"]
+    hits = {f: 0 for f in forms}
+    n = 40
+    for f in forms:
+        for k in range(n):
+            value = rng.choice("abcdef") + "".join(rng.choices(rng.choice(alphabets), k=rng.randint(10, 22))) + rng.choice("0123456789")
+            words = rng.choice(clean).split(" ")[:80]
+            at = rng.randint(0, len(words))
+            text = " ".join([*words[:at], f.format(value), *words[at:]])
+            place = text.index(value)
+            hits[f] += any(a <= place and place + len(value) <= b for _, a, b in s.find(tagger, text))
+    assert sum(hits.values()) >= 0.9 * n * len(forms) and min(hits.values()) >= 0.75 * n
+    assert false <= len(clean) / 1000
+
+
+def test_windows_are_taken_from_the_whole_text():
+    text = " ".join(f"w{k}" if k % 50 else f"password=abcdef{k:05d}x" for k in range(3000))
+    got = s._windows(text, 3)
+    assert sum(0 in states for _, states in got) == 3 * (2 + 2 * s.DISGUISES) and sum(0 not in states for _, states in got) == 3
+    assert got == s._windows(text, 3)
+    values = {t for tokens, states in got[:3] for t, x in zip(tokens, states) if x == 0}
+    assert max(int(v[6:11]) for v in values) > 500
+    for tokens, states in got[3 : 3 + 6 * s.DISGUISES]:
+        assert len(tokens) == len(states) and not any(c in t.lower() for t in tokens for c in s._CUES)
+
+
 def test_query_against_plain_search(spark, sf, documents):
     texts = dict(documents[1])
     for r in QUERIES["op3_secrets"](spark, sf).collect():
