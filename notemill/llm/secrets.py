@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+
+from notemill.llm.scratch import Scratch
 
 #: At most so many documents with, and as many without, a pattern's match are learned from.
 FIT_DOCS = 1500
@@ -398,9 +399,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
     flagged = texts.select("id", F.rlike("text", F.lit(_ANY)).alias("hit")).withColumn("h", F.xxhash64("id"))
-    # One scan for both sides; each task keeps its own first ones before they meet.
-    rank = F.row_number().over(Window.partitionBy("hit").orderBy("h", "id"))
-    ids = [r["id"] for r in flagged.withColumn("rank", rank).filter(F.col("rank") <= rows).select("id").collect()]
+    # One scan of the texts for both sides; the flags are staged, and sorted limits keep each task's first ones.
+    scratch = Scratch(spark, "secrets-fit")
+    flagged = scratch.table(flagged, "flags")
+    few = [flagged.filter(c).orderBy("h", "id").limit(rows).select("id") for c in ("hit", "NOT hit")]
+    ids = [r["id"] for part in few for r in part.collect()]
+    scratch.drop("flags")
     if not ids:
         return fit([])
     chosen = spark.createDataFrame([(i,) for i in ids], f"id {dict(texts.dtypes)['id']}").distinct()
