@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notemill.functions import text as tx
 from notemill.functions.arrays import let, running_starts
+from notemill.operators.painting import labelled_lines, labelled_words
+from notemill.operators.rows import unroll
 
 _LINE = ["doc_id", "line_no"]
 
@@ -219,106 +220,19 @@ def locate_offsets(lines: DataFrame, spans: DataFrame, stretch_bits: int = 10) -
     )
 
 
-def _line_pieces():
-    """Arrow function (clips of a line, its end) -> stretches of one winning type.
-
-    A sweep over the sorted borders keeps the clips that are open there in a heap, the
-    latest first. ``head``, ``tail`` and ``inner`` tell whether a span opens at a
-    stretch's first, last and second character.
-    """
+def words_from_spans(lines: DataFrame, clipped: DataFrame) -> DataFrame:
+    """Lines with words and BIO labels, from spans clipped to lines; lines without words drop out.
 
-    @F.arrow_udf("array<struct<at:int,until:int,type:string,head:boolean,tail:boolean,inner:boolean>>")
-    def pieces(clips: pa.Array, ends: pa.Array) -> pa.Array:
-        import heapq
-
-        import pyarrow as pa
-
-        def sweep(clips: list[dict], end: int) -> list[tuple]:
-            begins = sorted(clips, key=lambda c: c["lo"])
-            borders = sorted({0, *(c["lo"] for c in clips), *(c["hi"] for c in clips)})
-            heap, at_clip, parts, openings = [], 0, [], set()
-            for at in borders:
-                if at >= end:
-                    break
-                while at_clip < len(begins) and begins[at_clip]["lo"] <= at:
-                    c = begins[at_clip]
-                    heapq.heappush(heap, (-c["span_idx"], -c["lo"], -c["hi"], not c["opens"], at_clip))
-                    at_clip += 1
-                while heap and -heap[0][2] <= at:
-                    heapq.heappop(heap)
-                won = begins[heap[0][4]] if heap else None
-                if won and won["opens"] and won["lo"] == at:
-                    openings.add(at)
-                kind = won["type"] if won else None
-                if not parts or parts[-1][1] != kind:
-                    parts.append((at, kind))
-            stops = [p[0] for p in parts[1:]] + [end]
-            return [
-                {
-                    "at": at, "until": until, "type": kind, "head": at in openings, "tail": until - 1 in openings,
-                    "inner": at + 1 in openings,
-                }
-                for (at, kind), until in zip(parts, stops)
-            ]
-
-        kind = pa.list_(pa.struct([
-            ("at", pa.int32()), ("until", pa.int32()), ("type", pa.string()), ("head", pa.bool_()), ("tail", pa.bool_()),
-            ("inner", pa.bool_()),
-        ]))
-        rows = [sweep(c, e) if c else None for c, e in zip(clips.to_pylist(), ends.to_pylist())]
-        return pa.array(rows, kind)
-
-    return pieces
-
-
-def words_in_line(line: Column, clips: Column) -> Column:
-    """Words of one line as ``array<struct<word, label>>``.
-
-    ``clips``: ``array<struct<span_idx, lo, hi, opens, type>>`` in characters of the
-    line, its newline included. Borders are whitespace and every change of type.
+    Borders of words are whitespace and every change of type.
     """
-
-    def words(p: Column) -> Column:
-        cut = tx.ws_split(F.substring(line, p["at"] + 1, p["until"] - p["at"]))
-
-        def labelled(found: Column) -> Column:
-            def one(word: Column, k: Column) -> Column:
-                # The first word takes the label of the piece's first character, the last
-                # word that of its last character, the others that of its second.
-                opens = F.when(k == 0, p["head"]).when(k == F.size(found) - 1, p["tail"]).otherwise(p["inner"])
-                label = F.concat(F.when(opens, F.lit("B-")).otherwise(F.lit("I-")), p["type"])
-                return F.struct(word.alias("word"), F.coalesce(label, F.lit("O")).alias("label"))
-
-            return F.transform(found, one)
-
-        return let(cut, labelled)
-
-    pieces = _line_pieces()(clips, F.length(line) + 1)
-    return F.flatten(F.transform(pieces, words))
-
-
-def _sentences(df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Tokens and labels from ``line`` and ``__clips``; lines without words drop out."""
-    plain = F.transform(
-        tx.ws_split(F.col("line")), lambda w: F.struct(w.alias("word"), F.lit("O").alias("label"))
-    )
-    words = F.when(F.coalesce(F.size("__clips"), F.lit(0)) > 0, words_in_line(F.col("line"), F.col("__clips")))
-    rows = df.filter(~tx.is_blank(F.col("line"))).withColumn("__words", words.otherwise(plain))
-    return rows.select(
-        *keep,
-        F.transform("__words", lambda w: w["word"]).alias("tokens"),
-        F.transform("__words", lambda w: w["label"]).alias("labels"),
-    )
-
-
-def words_from_spans(lines: DataFrame, clipped: DataFrame) -> DataFrame:
-    """Lines with words and BIO labels, from spans clipped to lines."""
     last = clipped.groupBy(*_LINE, "lo", "hi", "opens", "type").agg(F.max("span_idx").alias("span_idx"))
     per_line = last.groupBy(*_LINE).agg(
         F.collect_list(F.struct("span_idx", "lo", "hi", "opens", "type")).alias("__clips")
     )
     keep = [c for c in lines.columns if c != "line"]
-    return _sentences(lines.join(per_line, _LINE, "left"), keep)
+    shown = lines.filter(~tx.is_blank(F.col("line"))).join(per_line, _LINE, "left")
+    found = shown.withColumn("__words", labelled_words()("line", "__clips"))
+    return found.select(*keep, "__words.tokens", "__words.labels")
 
 
 def last_spans(spans: DataFrame) -> DataFrame:
@@ -344,50 +258,10 @@ def label_annotated_notes(notes: DataFrame, skip_blank_types: bool = True) -> Da
         long_enough = s["end"] > s["begin"]
         return long_enough & ~tx.is_blank(s["type"]) if skip_blank_types else long_enough
 
-    lines = F.split("text", "\n", -1)
-    starts = running_starts(F.transform(lines, lambda x: F.length(x) + 1))
-    # Clips are cut before the lines become rows, so no row carries all spans.
-    split = notes.select(*keep, F.col("text"), F.filter("spans", usable).alias("__spans"), lines.alias("__lines"), starts.alias("__starts"))
-    met = split.withColumn("__clips", _clips_of_lines()("__starts", F.length("text"), "__spans"))
-    zipped = F.arrays_zip(F.col("__lines").alias("line"), F.col("__starts").alias("line_start"), F.col("__clips").alias("__clips"))
-    rows = met.select(*keep, F.posexplode(zipped).alias("line_no", "__row"))
-    return _sentences(rows.select(*keep, "line_no", "__row.*"), [*keep, "line_no", "line_start"])
-
-
-def _clips_of_lines():
-    """Arrow function (line starts, text length, spans) -> the spans' parts on each line.
-
-    A span looks up its first and last line in the sorted starts, so the work follows the number of parts.
-    """
-    clip = "struct<span_idx:int,lo:int,hi:int,opens:boolean,type:string>"
-
-    @F.arrow_udf(f"array<array<{clip}>>")
-    def clips(starts: pa.Array, sizes: pa.Array, spans: pa.Array) -> pa.Array:
-        from bisect import bisect_right
-
-        import pyarrow as pa
-
-        def cut(starts: list[int], size: int, spans: list[dict]) -> list[list[dict]]:
-            out = [[] for _ in starts]
-            ends = [*starts[1:], size + 1]
-            for s in spans:
-                line = max(bisect_right(starts, s["begin"]) - 1, 0)
-                while line < len(starts) and starts[line] < s["end"]:
-                    if s["begin"] < ends[line]:
-                        out[line].append({
-                            "span_idx": s["span_idx"], "lo": max(s["begin"], starts[line]) - starts[line],
-                            "hi": min(s["end"], ends[line]) - starts[line], "opens": s["begin"] >= starts[line], "type": s["type"],
-                        })
-                    line += 1
-            return out
-
-        kind = pa.list_(pa.list_(pa.struct([
-            ("span_idx", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("opens", pa.bool_()), ("type", pa.string()),
-        ])))
-        rows = zip(starts.to_pylist(), sizes.to_pylist(), spans.to_pylist())
-        return pa.array([cut(a, n, s or []) if a is not None else None for a, n, s in rows], kind)
-
-    return clips
+    needed = F.transform(F.filter("spans", usable), lambda s: F.struct(s["span_idx"], s["begin"], s["end"], s["type"]))
+    packed = notes.select(*keep, "text", needed.alias("__spans"))
+    lines = unroll(packed, keep, labelled_lines()("text", "__spans"), "__line")
+    return lines.select(*keep, "__line.*")
 
 
 def span_text_violations(
