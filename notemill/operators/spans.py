@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -292,6 +293,40 @@ def span_text_violations(
     ).select("doc_id", "span_idx", "observed", "expected")
 
 
+def stated_text_check():
+    """Arrow function (text, spans) -> number of spans whose text is another than stated, and the first of them.
+
+    As ``span_text_violations``, inside the row: no line and no span is shuffled.
+    """
+
+    @F.arrow_udf("struct<n:bigint,span_idx:int,observed:string,expected:string>")
+    def check(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        import pyarrow as pa
+
+        def differs(text: str, s: dict) -> tuple | None:
+            lo, hi = max(s["begin"], 0), min(s["end"], len(text) + 1)
+            seen = " ".join(text[lo:hi].split()) if lo < hi else None
+            want = None if s["stated"] is None else " ".join(s["stated"].split())
+            for entity, sign in (("&apos;", "'"), ("&quot;", '"')):
+                if seen is not None and want is not None and entity in seen and entity not in want:
+                    want = want.replace(sign, entity)
+            return None if seen == want else (s["span_idx"], seen, want)
+
+        out = []
+        for text, found in zip(texts.to_pylist(), spans.to_pylist()):
+            n, first = 0, (None, None, None)
+            for s in (found or []) if text is not None else []:
+                wrong = differs(text, s)
+                if wrong:
+                    first = first if n else wrong
+                    n += 1
+            out.append({"n": n, "span_idx": first[0], "observed": first[1], "expected": first[2]})
+        kind = pa.struct([("n", pa.int64()), ("span_idx", pa.int32()), ("observed", pa.string()), ("expected", pa.string())])
+        return pa.array(out, kind)
+
+    return check
+
+
 def check_spans(violations: DataFrame, match_text: bool = True) -> None:
     """Raise with an example where annotations do not match their text."""
     if not match_text:

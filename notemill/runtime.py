@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,6 +37,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def stage_seen(df: DataFrame, name: str, **facts: Column) -> tuple[DataFrame, dict]:
+    """``stage``, with aggregates of the rows taken by the write itself.
+
+    Columns whose names start with ``__`` serve the aggregates only and are not stored. The write's own tasks
+    take them, so a task that runs again counts once.
+    """
+    path, seen = fresh_path(df.sparkSession, name), Observation()
+    watched = df.observe(seen, *[value.alias(fact) for fact, value in facts.items()])
+    watched.drop(*[c for c in df.columns if c.startswith("__")]).write.parquet(path)
+    return df.sparkSession.read.parquet(path), seen.get
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a staged table that no later job reads."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
