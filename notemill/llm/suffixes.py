@@ -7,7 +7,9 @@ pieces collapse to one with a count, and those whose anchor occurs once are done
 left goes to transforms of some hundred kilobytes each. There, intervals of suffixes are
 extended to the left breadth-first, which yields the common prefixes of neighbouring
 suffixes by increasing length; it stops at ``length``. Neighbours without a value by then
-share a whole window.
+share a whole window. An anchor with very many pieces is parted by longer context: windows with
+the anchor at one of a few neighbouring places have most of their bytes in common, and equal windows
+have equal common bytes, so these take the anchor's part and each part has its own transform.
 """
 
 from __future__ import annotations
@@ -24,9 +26,11 @@ from notemill.llm.words import mix, stream, text_slices
 
 LENGTH = 200
 ANCHOR = 32
-#: Bytes of pieces in a transform; one anchor's pieces are never parted below HOT of them.
+#: Bytes of pieces in a transform; one anchor's pieces are never parted up to HOT of them.
 GROUP_BYTES = 1 << 18
-HOT = 20_000
+HOT = 4_000
+#: A crowded anchor is parted by the place of the anchor in the window, this many places to a part; then finer.
+WIDTHS = (32, 4, 1)
 SLICE = 1 << 22
 
 _U = np.uint64
@@ -255,26 +259,64 @@ def _transformed(rows: DataFrame, length: int, group_bytes: int) -> DataFrame:
     return dealt.select("anchor", "content", "bytes", "n").mapInArrow(run, _found_schema())
 
 
-def _by_window(rows: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many pieces: their windows one by one, over all tasks."""
+def parted(data: bytes, length: int, width: int) -> list[tuple[int, int, bytes]]:
+    """Parts of a piece: start, end and common bytes of its windows with the anchor at ``width`` neighbouring places.
+
+    A window's own place of the anchor is that of its least gram, the same in all windows of the piece.
+    """
+    gram = mix(_runs(np.frombuffer(data[:length], np.uint8), (ANCHOR,))[ANCHOR])
+    anchor, count, out = int(np.argmin(gram >> _U(24))), len(data) - length + 1, []
+    for k in range((anchor - count + 1) // width, anchor // width + 1):
+        # Windows whose distance to the anchor is from k * width up to the next multiple.
+        latest, earliest = anchor - k * width, anchor - (k + 1) * width + 1
+        first, last = max(earliest, 0), min(latest, count - 1)
+        out.append((first, last + length, b"%d:" % k + data[latest : earliest + length]))
+    return out
+
+
+def _repeated(strings: DataFrame, length: int, group_bytes: int, hot: int, scratch: Scratch, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """Repeated window starts of distinct pieces ``(anchor, content, bytes, n)``, each in a transform.
+
+    Pieces of an anchor with more than ``hot`` of them are parted by their common bytes, equal parts collapse, and the same
+    goes on with these. With parts of one window each, an anchor has a single one, so this ends.
+    """
+    level = len(widths)
+    crowded = strings.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > hot).select("anchor")
+    crowded = scratch.table(crowded, f"crowded-{level}")
+    if not widths or not crowded.limit(1).count():
+        return _transformed(strings, length, group_bytes).filter(F.size("firsts") > 0)
+    few = _transformed(strings.join(crowded, "anchor", "left_anti"), length, group_bytes).filter(F.size("firsts") > 0)
+
+    def cut_up(batches):
+        def number(value: bytes) -> int:
+            return int.from_bytes(hashlib.blake2b(value, digest_size=8).digest(), "little", signed=True)
 
-    def cut(batches):
         for batch in batches:
+            rows = []
             for anchor, content, data, n in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                count = len(data) - length + 1
-                marks = [hashlib.blake2b(data[i : i + length], digest_size=16).digest() for i in range(count)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([anchor] * count, pa.int64()), pa.array([content] * count, pa.int64()),
-                        pa.array(marks, pa.binary()), pa.array(range(count), pa.int32()), pa.array([n] * count, pa.int64()),
-                    ],
-                    names=["anchor", "content", "mark", "at", "n"],
-                )
-
-    windows = rows.select("anchor", "content", "bytes", "n").mapInArrow(cut, "anchor long, content long, mark binary, at int, n long")
-    twice = windows.groupBy("mark").agg(F.sum("n").alias("times")).filter("times > 1").select("mark")
-    starts = windows.join(twice, "mark").groupBy("anchor", "content").agg(F.array_sort(F.collect_list("at")).alias("firsts"))
-    return starts.select("anchor", "content", "firsts", F.col("firsts").alias("lasts"))
+                for first, end, common in parted(data, length, widths[0]):
+                    context = number(anchor.to_bytes(8, "little", signed=True) + common)
+                    rows.append((anchor, content, first, context, number(data[first:end]), data[first:end], n))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+            columns = list(zip(*rows)) or [[]] * len(kinds)
+            names = ["of_anchor", "of_content", "shift", "anchor", "content", "bytes", "n"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    parts = strings.join(crowded, "anchor", "left_semi").select("anchor", "content", "bytes", "n").mapInArrow(
+        cut_up, "of_anchor long, of_content long, shift int, anchor long, content long, bytes binary, n long"
+    )
+    parts = scratch.table(parts, f"parts-{level}")
+    distinct = parts.groupBy("anchor", "content").agg(F.sum("n").alias("n"), F.first("bytes").alias("bytes"))
+    distinct = scratch.table(distinct, f"parted-{level}")
+    twice = distinct.groupBy("anchor").agg(F.sum("n").alias("times")).filter("times > 1").select("anchor")
+    hits = scratch.table(_repeated(distinct.join(twice, "anchor"), length, group_bytes, hot, scratch, widths[1:]), f"parted-hits-{level}")
+    shifted = lambda c: F.transform(c, lambda x: x + F.col("shift"))
+    # At most as many rows meet in a piece as it has windows.
+    back = parts.select("of_anchor", "of_content", "shift", "anchor", "content").join(hits, ["anchor", "content"])
+    back = back.groupBy(F.col("of_anchor").alias("anchor"), F.col("of_content").alias("content")).agg(
+        F.flatten(F.collect_list(shifted("firsts"))).alias("firsts"), F.flatten(F.collect_list(shifted("lasts"))).alias("lasts")
+    )
+    return few.unionByName(back)
 
 
 def cut(data: bytes, firsts: list[int], lasts: list[int], length: int) -> tuple[int, int, bytes]:
@@ -363,11 +405,7 @@ def remove_repeats(
     strings = scratch.table(
         candidates.join(asked, "key").select("text", "parts").mapInArrow(sliced, "anchor long, content long, bytes binary, n long"), "strings"
     )
-    crowded = strings.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > hot).select("anchor")
-    crowded = scratch.table(crowded, "crowded")
-    hits = _transformed(strings.join(crowded, "anchor", "left_anti"), length, group_bytes).filter(F.size("firsts") > 0)
-    if crowded.limit(1).count():
-        hits = hits.unionByName(_by_window(strings.join(crowded, "anchor", "left_semi"), length))
+    hits = _repeated(strings, length, group_bytes, hot, scratch)
     hits = scratch.table(hits, "hits")
     shifted = lambda c: F.transform(c, lambda x: x + F.col("start"))
     spans = repeated.join(hits, ["anchor", "content"]).groupBy("key").agg(

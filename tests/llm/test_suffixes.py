@@ -82,7 +82,7 @@ def corpus(rng):
     return texts
 
 
-@pytest.mark.parametrize("group_bytes,hot,length", [(1 << 21, 20_000, 200), (1, 20_000, 200), (1 << 21, 3, 200), (1 << 21, 20_000, 150)])
+@pytest.mark.parametrize("group_bytes,hot,length", [(1 << 21, 20_000, 200), (1, 20_000, 200), (1 << 21, 3, 200), (1 << 21, 20_000, 150), (1 << 21, 0, 200), (1, 1, 150)])
 def test_corpora_against_brute_force(spark, group_bytes, hot, length):
     texts = corpus(random.Random(length + hot))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
@@ -112,6 +112,24 @@ def test_query_against_brute_force(spark, sf, documents):
     check(QUERIES["op8_suffix_dedup"](spark, sf).collect(), ids, [t.encode() for t in texts], 200)
 
 
+@pytest.mark.parametrize("width", s.WIDTHS)
+def test_parts_of_pieces_hold_every_window_once(width):
+    texts = [t.encode() for t in corpus(random.Random(width))]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    owner, start, end, anchor, _ = s.pieces(data, offsets, 200)
+    by = {}
+    for t, a, b, h in zip(owner, start, end, anchor):
+        piece, at = texts[t][a:b], []
+        for first, last, common in s.parted(piece, 200, width):
+            assert 0 <= last - first - 200 < width and len(common.split(b":", 1)[1]) == 201 - width
+            at += range(first, last - 199)
+            for i in range(first, last - 199):
+                by.setdefault(piece[i : i + 200], set()).add((int(h), common))
+        assert sorted(at) == list(range(len(piece) - 199))
+    assert all(len(x) == 1 for x in by.values())
+
+
 def test_odd_rows(spark):
     rows = s.remove_repeats(odd.odd(spark)).collect()
     check(rows, [i for i, _, _ in odd.TEXTS], [(t or "").encode() for _, t, _ in odd.TEXTS], 200)
