@@ -26,11 +26,11 @@ from notemill.llm.words import mix, stream, text_slices
 
 LENGTH = 200
 ANCHOR = 32
-#: Bytes of pieces in a transform; one anchor's pieces are never parted up to HOT of them.
+#: Bytes of pieces in a transform; one anchor's pieces are never parted up to HOT of them (some 6 MB, 3 seconds of a task).
 GROUP_BYTES = 1 << 18
-HOT = 4_000
+HOT = 20_000
 #: A crowded anchor is parted by the place of the anchor in the window, this many places to a part; then finer.
-WIDTHS = (32, 4, 1)
+WIDTHS = (64, 8, 1)
 SLICE = 1 << 22
 
 _U = np.uint64
@@ -259,13 +259,20 @@ def _transformed(rows: DataFrame, length: int, group_bytes: int) -> DataFrame:
     return dealt.select("anchor", "content", "bytes", "n").mapInArrow(run, _found_schema())
 
 
-def parted(data: bytes, length: int, width: int) -> list[tuple[int, int, bytes]]:
-    """Parts of a piece: start, end and common bytes of its windows with the anchor at ``width`` neighbouring places.
+def anchors_of(pieces: list[bytes], length: int) -> list[int]:
+    """Place of the anchor in each piece: that of the least gram of its first window."""
+    if not pieces:
+        return []
+    heads = np.frombuffer(b"".join(p[:length] for p in pieces), np.uint8)
+    grams = np.zeros(len(heads), _U)
+    runs = _runs(heads, (ANCHOR,))[ANCHOR]
+    grams[: len(runs)] = mix(runs) >> _U(24)
+    return grams.reshape(len(pieces), length)[:, : length - ANCHOR + 1].argmin(axis=1).tolist()
 
-    A window's own place of the anchor is that of its least gram, the same in all windows of the piece.
-    """
-    gram = mix(_runs(np.frombuffer(data[:length], np.uint8), (ANCHOR,))[ANCHOR])
-    anchor, count, out = int(np.argmin(gram >> _U(24))), len(data) - length + 1, []
+
+def parted(data: bytes, anchor: int, length: int, width: int) -> list[tuple[int, int, bytes]]:
+    """Parts of a piece: start, end and common bytes of its windows with the anchor at ``width`` neighbouring places."""
+    count, out = len(data) - length + 1, []
     for k in range((anchor - count + 1) // width, anchor // width + 1):
         # Windows whose distance to the anchor is from k * width up to the next multiple.
         latest, earliest = anchor - k * width, anchor - (k + 1) * width + 1
@@ -292,9 +299,9 @@ def _repeated(strings: DataFrame, length: int, group_bytes: int, hot: int, scrat
             return int.from_bytes(hashlib.blake2b(value, digest_size=8).digest(), "little", signed=True)
 
         for batch in batches:
-            rows = []
-            for anchor, content, data, n in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                for first, end, common in parted(data, length, widths[0]):
+            rows, columns = [], [batch.column(i).to_pylist() for i in range(4)]
+            for anchor, content, data, n, place in zip(*columns, anchors_of(columns[2], length)):
+                for first, end, common in parted(data, place, length, widths[0]):
                     context = number(anchor.to_bytes(8, "little", signed=True) + common)
                     rows.append((anchor, content, first, context, number(data[first:end]), data[first:end], n))
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]

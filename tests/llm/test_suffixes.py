@@ -118,10 +118,10 @@ def test_parts_of_pieces_hold_every_window_once(width):
     data = np.frombuffer(b"".join(texts), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     owner, start, end, anchor, _ = s.pieces(data, offsets, 200)
-    by = {}
-    for t, a, b, h in zip(owner, start, end, anchor):
-        piece, at = texts[t][a:b], []
-        for first, last, common in s.parted(piece, 200, width):
+    by, cut = {}, [texts[t][a:b] for t, a, b in zip(owner, start, end)]
+    for piece, place, h in zip(cut, s.anchors_of(cut, 200), anchor):
+        at = []
+        for first, last, common in s.parted(piece, place, 200, width):
             assert 0 <= last - first - 200 < width and len(common.split(b":", 1)[1]) == 201 - width
             at += range(first, last - 199)
             for i in range(first, last - 199):
