@@ -2,9 +2,9 @@
 
 Every line of a file, and the file as a whole, is a sparse TF-IDF vector; its cosine to
 the templates names a licence. The templates are customary notices and, for whole files,
-the full texts in ``license_texts``. A file that is a licence text as a whole speaks for its
-directory: files without a licence of their own take that of the nearest directory above
-them that has one.
+the full texts in ``license_texts``. A licence file speaks for its directory: one that is a
+full licence text, or one named as such that is a notice. Files without a licence of
+their own take that of the nearest directory above them that has one. A notice elsewhere is a header.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from notemill.llm.columns import Aside
 from notemill.llm.scratch import Scratch
 from notemill.llm.words import text_slices, word_hashes, words
 
@@ -25,6 +26,10 @@ LINE_COSINE = 0.6
 FILE_COSINE = 0.5
 #: For full texts: unlike licences of other families lie under it, texts with names and copyright lines added over it.
 TEXT_COSINE = 0.65
+#: Names of licence files, as the last part of a path.
+LICENSE_NAME = r"(?i)(^|/)((un)?licen[cs]e|copying)([-_][^/.]*|\.lesser)?(\.(txt|md|rst|html?))?$"
+#: Rows of one directory are dealt to so many parts where they meet its licence.
+SALTS = 16
 
 # Customary notices and opening sentences of public licences.
 TEMPLATES = [
@@ -195,10 +200,13 @@ def _whole(m: Matcher, n: int, text: np.ndarray, hashes: np.ndarray) -> tuple[np
     return pick, cosine
 
 
-def match(m: Matcher, full: Matcher, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each text: best line template and cosine, whole-text template and cosine; -1 for none near enough.
+def match(
+    m: Matcher, full: Matcher, data: np.ndarray, offsets: np.ndarray, named: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each text: best header template and cosine, licence-file template and cosine; -1 for none near enough.
 
-    Whole-text templates are the notices, then the full texts; the nearer one counts.
+    A notice as a whole text makes a licence file of one that is ``named`` so, and is a header like a line elsewhere.
+    Licence-file templates are the notices, then the full texts; the nearer one counts.
     """
     n = len(offsets) - 1
     hashes, starts, counts = _hashes(data, offsets)
@@ -216,7 +224,10 @@ def match(m: Matcher, full: Matcher, data: np.ndarray, offsets: np.ndarray) -> t
     file_pick, file_cos = np.full(n, -1), np.zeros(n)
     has, pick, cosine = _best(m, text, hashes, term)
     near = cosine >= FILE_COSINE
-    file_pick[has[near]], file_cos[has[near]] = pick[near], cosine[near]
+    speaks = near & named[has]
+    file_pick[has[speaks]], file_cos[has[speaks]] = pick[speaks], cosine[speaks]
+    header = near & ~named[has] & (cosine > line_cos[has])
+    line_pick[has[header]], line_cos[has[header]] = pick[header], cosine[header]
     pick, cosine = _whole(full, n, text, hashes)
     nearer = cosine > file_cos
     file_pick[nearer], file_cos[nearer] = pick[nearer] + m.matrix.shape[1], cosine[nearer]
@@ -229,18 +240,23 @@ def scan(
 ) -> DataFrame:
     """The licence of every file: its columns but the text, ``license``, ``via``, ``cosine``, ``license_dir``.
 
-    ``via`` is ``file`` (the text as a whole is a licence), ``header`` (a line is; the best
+    ``via`` is ``file`` (the text as a whole is a full licence text, or a notice in a file named like a licence),
+    ``header`` (a line is a notice, or the whole text of another file; the best
     one, the first of equals), ``inherited`` (from ``license_dir``, the nearest directory above with a licence file;
     of several there the best, then the one of the first path) or null. Word weights come from
     all files. A whole file is held against ``templates`` and the full texts ``full`` (those of
     the package unless given); the nearer one counts, and a notice before a full text. A null text is empty; a file without a path inherits nothing; paths need not be
-    unique; columns of these names give way; no rows give no rows.
+    unique; columns of these names, in any letter case, give way; no rows give no rows.
     """
     spark = files.sparkSession
     scratch = Scratch(spark, "licenses")
     own = ("license", "via", "cosine", "license_dir")
-    kept = [c for c in files.columns if c not in (*own, text_col)]
-    texts = files.select(*kept, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    aside = Aside(files, *own, text_col)
+    carried, path = aside.working, F.col(path_col).cast("string")
+    texts = files.select(
+        *aside.take, path.alias("__path"), F.coalesce(F.rlike(path, F.lit(LICENSE_NAME)), F.lit(False)).alias("__named"),
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"),
+    )
     ready, whole = prepare(templates), prepare(full_texts() if full is None else full)
     terms = np.union1d(ready.terms, whole.terms)
     df, n = document_frequencies(texts.select("__text"), terms)
@@ -255,24 +271,25 @@ def scan(
         named = lambda picks: pa.array([names[p] if p >= 0 else None for p in picks], pa.string())
         for batch in batches:
             last = batch.num_columns - 1
-            parts = [match(m, w, data, offsets) for _, _, data, offsets in text_slices(batch.column(last))]
+            speaks = np.array(batch.column(last - 1).to_pylist(), bool)
+            parts = [match(m, w, data, offsets, speaks[start:end]) for start, end, data, offsets in text_slices(batch.column(last))]
             line, line_cos, file, file_cos = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, int)] * 4
             yield pa.RecordBatch.from_arrays(
                 [
-                    *[batch.column(i) for i in range(last)], named(line), pa.array(line_cos, pa.float64()),
+                    *[batch.column(i) for i in range(last - 1)], named(line), pa.array(line_cos, pa.float64()),
                     named(file), pa.array(file_cos, pa.float64()),
                 ],
-                names=[*kept, "__line", "__line_cos", "__file", "__file_cos"],
+                names=[*carried, "__path", "__line", "__line_cos", "__file", "__file_cos"],
             )
 
-    found_as = {"__line": T.StringType(), "__line_cos": T.DoubleType(), "__file": T.StringType(), "__file_cos": T.DoubleType()}
+    found_as = {"__path": T.StringType(), "__line": T.StringType(), "__line_cos": T.DoubleType(), "__file": T.StringType(), "__file_cos": T.DoubleType()}
     more = [T.StructField(c, k) for c, k in found_as.items()]
-    found = texts.mapInArrow(rows, T.StructType([*[files.schema[c] for c in kept], *more]))
-    folder = F.regexp_replace(F.col(path_col), "/?[^/]*$", "")
+    found = texts.mapInArrow(rows, T.StructType([*aside.fields, *more]))
+    folder = F.regexp_replace("__path", "/?[^/]*$", "")
     placed = scratch.table(found.withColumn("__dir", folder), "found")
 
     speaking = placed.filter("__file IS NOT NULL AND __dir IS NOT NULL").groupBy(F.col("__dir").alias("from_dir")).agg(
-        F.min(F.struct((-F.col("__file_cos")).alias("far"), F.col(path_col).alias("p"), F.col("__file").alias("f"))).alias("x")
+        F.min(F.struct((-F.col("__file_cos")).alias("far"), F.col("__path").alias("p"), F.col("__file").alias("f"))).alias("x")
     ).select("from_dir", "x.f", (-F.col("x.far")).alias("c"))
     dirs = placed.filter("__dir IS NOT NULL").select("__dir").distinct()
     parts = F.split("__dir", "/")
@@ -285,13 +302,18 @@ def scan(
             )
         ).alias("a"),
     ).select("__dir", "a.depth", F.col("a.d").alias("from_dir"))
-    nearest = above.join(speaking, "from_dir").groupBy(F.col("__dir").alias("in_dir")).agg(
+    # The root is above every directory, and one directory may hold most files: both sides go by part of their key.
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    above = above.withColumn("salt", F.pmod(F.xxhash64("__dir"), F.lit(SALTS)).cast("int"))
+    nearest = above.join(speaking.withColumn("salt", copies), ["from_dir", "salt"]).groupBy(F.col("__dir").alias("in_dir")).agg(
         F.max(F.struct("depth", "from_dir", "f", "c")).alias("near")
     )
-    joined = placed.join(nearest, F.col("__dir") == F.col("in_dir"), "left")
+    nearest = nearest.withColumn("in_salt", copies)
+    dealt = placed.withColumn("__salt", F.pmod(F.xxhash64("__path"), F.lit(SALTS)).cast("int"))
+    joined = dealt.join(nearest, (F.col("__dir") == F.col("in_dir")) & (F.col("__salt") == F.col("in_salt")), "left")
     via = F.when(F.col("__file").isNotNull(), "file").when(F.col("__line").isNotNull(), "header").when(F.col("near").isNotNull(), "inherited")
     return joined.select(
-        *kept, F.coalesce("__file", "__line", "near.f").alias("license"), via.alias("via"),
+        *aside.give, F.coalesce("__file", "__line", "near.f").alias("license"), via.alias("via"),
         F.when(F.col("__file").isNotNull(), F.col("__file_cos")).when(F.col("__line").isNotNull(), F.col("__line_cos"))
         .when(F.col("near").isNotNull(), F.col("near.c")).alias("cosine"),
         F.when(via == "inherited", F.col("near.from_dir")).alias("license_dir"),
