@@ -13,9 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from notemill.llm.columns import Aside, hashable
 from notemill.llm.scratch import Scratch, partitions
 from notemill.llm.words import mix, stream
 
+#: Numbers of one repeated row that one task copies out.
+COPIES = 4096
+
 _U = np.uint64
 
 
@@ -92,24 +96,32 @@ def shard(
 
     Adds ``size`` (UTF-8 bytes plus 16), ``text_crc32``, ``row`` (the number in
     the order of id, checksum and size), ``shard`` and ``slot`` (gapless from 0); columns of
-    these names give way. A null text counts as empty, a null id comes first; rows equal in
+    these names, in any letter case, give way. A null text counts as empty, a null id comes first; rows equal in
     all three each get their own slot. An empty table gives no rows.
 
     Only ids and hashes are ranged and numbered. Texts move once, to their numbers: rows equal in
-    every column are one there, with as many numbers as they are.
+    every column are one there, with as many numbers as they are; where these are many, runs of them go to
+    many tasks. Columns that hold maps are compared as JSON.
     """
     scratch = Scratch(docs.sparkSession, "shard")
-    kept = [c for c in docs.columns if c not in ("size", "text_crc32", "row", "shard", "slot")]
+    aside = Aside(docs, "size", "text_crc32", "row", "shard", "slot")
+    known = hashable(docs)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     measured = [(F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text).cast("long").alias("text_crc32")]
-    same = [F.xxhash64(F.lit(k), *[v for c in kept for v in (F.col(c).isNull(), F.col(c))]).alias(f"__same{k}") for k in (1, 2)]
+    same = [F.xxhash64(F.lit(k), *[v for c in aside.names for v in (known[c].isNull(), known[c])]).alias(f"__same{k}") for k in (1, 2)]
     narrow, n = numbered(docs.select(F.col(id_col).alias("__id"), *measured, *same), ["__id", "text_crc32", "size", "__same1", "__same2"], scratch)
     equal = narrow.groupBy("__same1", "__same2").agg(
         F.min("row").alias("__first"), F.count(F.lit(1)).alias("__n"), F.first("size").alias("size"), F.first("text_crc32").alias("text_crc32")
     )
-    whole = docs.select(*kept, *same).groupBy("__same1", "__same2").agg(F.first(F.struct(*kept)).alias("__row"))
-    numbers = whole.join(equal, ["__same1", "__same2"]).select(
-        "__row.*", "size", "text_crc32", F.explode(F.expr("sequence(__first, __first + __n - 1)")).alias("row")
+    whole = docs.select(*aside.take, *same).groupBy("__same1", "__same2").agg(F.first(F.struct(*aside.working)).alias("__row"))
+    met = lambda some: whole.join(some, ["__same1", "__same2"]).select("__row.*", "size", "text_crc32", "__first", "__n")
+    few, many = met(equal.filter(F.col("__n") <= COPIES)), met(equal.filter(F.col("__n") > COPIES))
+    # A row that repeats more often is cut into runs of its numbers, which are dealt to all tasks before they are copied out.
+    runs = many.withColumn("__run", F.explode(F.expr(f"sequence(__first, __first + __n - 1, {COPIES})")))
+    runs = runs.withColumn("__n", F.least(F.lit(COPIES), F.col("__first") + F.col("__n") - F.col("__run"))).drop("__first")
+    runs = runs.withColumnRenamed("__run", "__first").repartition(partitions(docs.sparkSession), "__first")
+    numbers = few.unionByName(runs).select(
+        *aside.working, "size", "text_crc32", F.explode(F.expr("sequence(__first, __first + __n - 1)")).alias("row")
     )
 
     @F.pandas_udf("long")
@@ -118,7 +130,7 @@ def shard(
 
     placed = numbers.withColumn("__place", at("row"))
     return placed.select(
-        *kept, "size", "text_crc32", "row",
+        *aside.give, "size", "text_crc32", "row",
         F.pmod("__place", F.lit(shards)).cast("int").alias("shard"),
         F.expr(f"`__place` div {int(shards)}").alias("slot"),
     )
