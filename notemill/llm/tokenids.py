@@ -311,8 +311,10 @@ def write(
     coder = encoder(tokenizer, end_id)
     kind = dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    keys = [F.col("id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
-    dealt = texts.repartitionByRange(partitions(spark), *keys[:2]).sortWithinPartitions(*keys)
+    keys = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
+    # Rows equal in both are spread by their place in the input, so a row that repeats often does not fill one task.
+    dealt = texts.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(partitions(spark), *keys, "tie")
+    dealt = dealt.sortWithinPartitions(*keys, "text")
     dealt = dealt.select(F.spark_partition_id().alias("part"), "id", "text")
     raw = scratch.table(_encode(dealt, tokenizer, end_id, kind), "raw")
 
@@ -339,7 +341,7 @@ def write(
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(i) for i in range(5)],
-                    pa.array([c.astype(np.int32).tolist() for _, c in out], pa.list_(pa.int32())),
+                    pa.array([c.astype(np.int64).tolist() for _, c in out], pa.list_(pa.int64())),
                     pa.array([d for d, _ in out], pa.binary()),
                 ],
                 names=["part", "block", "first", "ids", "sizes", "checkpoints", "bits"],
@@ -348,7 +350,7 @@ def write(
     ordered = raw.join(F.broadcast(offsets), "part").select(
         "part", "block", (F.col("offset") + F.col("before")).alias("first"), "ids", "sizes", "tokens"
     )
-    schema = f"part int, block long, first long, ids array<{kind}>, sizes array<int>, checkpoints array<int>, bits binary"
+    schema = f"part int, block long, first long, ids array<{kind}>, sizes array<int>, checkpoints array<bigint>, bits binary"
     ordered.mapInArrow(packed, schema).sortWithinPartitions("part", "block").write.partitionBy("part").parquet(f"{folder}/blocks")
     scratch.drop("raw")
 
@@ -359,7 +361,7 @@ def read(spark: SparkSession, folder: str, kind: str = "long", id_col: str = "do
     lengths = np.zeros(max([r["id"] for r in found], default=0) + 1, np.int64)
     for r in found:
         lengths[r["id"]] = r["bits"]
-    schema = f"block long, first long, ids array<{kind}>, sizes array<int>, checkpoints array<int>, bits binary, part int"
+    schema = f"block long, first long, ids array<{kind}>, sizes array<int>, checkpoints array<bigint>, bits binary, part int"
     blocks = spark.read.schema(schema).parquet(f"{folder}/blocks")
     shared = spark.sparkContext.broadcast(lengths)
 
