@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from notemill.llm.columns import Aside
+from notemill.llm.scratch import Scratch
 from notemill.llm.words import mix, stream, text_slices
 
 Q = 10
@@ -201,6 +203,26 @@ def _best(rows: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, in
     return sorted(kept, key=lambda r: (r[1], r[0]))
 
 
+def _searched(index, names: list[str]):
+    """Batches of the columns ``names`` and a text, to the former and the regions that the index finds."""
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for start, end, data, offsets in text_slices(batch.column(batch.num_columns - 1)):
+                parts = [folded(data[offsets[i] : offsets[i + 1]].tobytes()) for i in range(end - start)]
+                edges = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+                points = np.concatenate(parts)
+                by = [find(one, points, edges, q) for q, one in index.value]
+                found += [_best(sum(f, [])) for f in zip(*by)] if len(by) > 1 else by[0]
+            rows = [[{"item_id": i, "start": s, "end": e, "edits": n} for i, s, e, n in f] for f in found]
+            arrays = [batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(rows, kind)], names=[*names, "__leaks"])
+
+    return run
+
+
 def mark(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", leaks_col: str = "leaks", item_col: str = "item_id",
     item_text_col: str = "text", index_chars: int = INDEX_CHARS, min_chars: int = MIN_CHARS,
@@ -212,9 +234,9 @@ def mark(
     ``min_chars`` characters are not looked for, unless it is 0: they occur in ordinary prose. Items under 20
     characters have no edits to spare and are found as they are. Null, empty and blank texts and items
     have no regions; equal items each get theirs; an item without an id goes under a negative number made of its
-    text, unless an item with an id has that text; a column named ``leaks`` gives way; no
-    rows give no rows. Items are indexed in slices of about ``index_chars`` characters, so
-    what tasks receive is bounded; each slice is one pass over the documents.
+    text, unless an item with an id has that text; a column named ``leaks``, in any letter case, gives way; no
+    rows give no rows. Items are indexed in slices of about ``index_chars`` characters, one alive at a time, so
+    what tasks receive is bounded; each slice is one pass over the texts.
     """
     spark = docs.sparkSession
     usable = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t"))
@@ -224,33 +246,35 @@ def mark(
     usable = named.unionByName(unnamed.join(named, "t", "left_anti").select(made.alias("i"), "t"))
     total = usable.agg(F.sum(F.length("t"))).first()[0] or 0
     slices = -(-total // index_chars) or 1
-    kept = [c for c in docs.columns if c != leaks_col]
-    out = docs.select(*kept, F.array().cast(LEAKS).alias(leaks_col))
-    for k in range(slices):
+    aside = Aside(docs, leaks_col)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")
+
+    def index_of(k: int):
         part = usable.filter(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == k).distinct().orderBy("i", "t")
         by_gram: dict[int, list] = {Q: []}
         for r in part.toLocalIterator():
             # Items shorter than a gram are grams of their own length.
             by_gram.setdefault(min(len(r["t"]), Q), []).append((r["i"], r["t"]))
-        index = spark.sparkContext.broadcast([(q, build_index(items, q)) for q, items in by_gram.items()])
-        rows = out.withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-
-        def marked(batches, index=index):
-            for batch in batches:
-                found = []
-                for start, end, data, offsets in text_slices(batch.column(batch.num_columns - 1)):
-                    parts = [folded(data[offsets[i] : offsets[i + 1]].tobytes()) for i in range(end - start)]
-                    edges = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-                    points = np.concatenate(parts)
-                    by = [find(one, points, edges, q) for q, one in index.value]
-                    found += [_best(sum(f, [])) for f in zip(*by)] if len(by) > 1 else by[0]
-                before = batch.column(batch.num_columns - 2).to_pylist()
-                rows = [
-                    [*b, *({"item_id": i, "start": s, "end": e, "edits": n} for i, s, e, n in f)] for b, f in zip(before, found)
-                ]
-                kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
-                arrays = [batch.column(i) for i in range(batch.num_columns - 2)]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(rows, kind)], names=[*kept, leaks_col])
-
-        out = rows.mapInArrow(marked, T.StructType([*[docs.schema[c] for c in kept], T.StructField(leaks_col, LEAKS)]))
-    return out
+        return spark.sparkContext.broadcast([(q, build_index(items, q)) for q, items in by_gram.items()])
+
+    if slices == 1:
+        schema = T.StructType([*aside.fields, T.StructField("__leaks", LEAKS)])
+        found = docs.select(*aside.take, text).mapInArrow(_searched(index_of(0), aside.working), schema)
+        return found.select(*aside.give, F.col("__leaks").alias(leaks_col))
+
+    # Rows are written with a number once; each slice is a job of its own that writes the rows with regions, and its
+    # index is gone before the next is sent.
+    scratch = Scratch(spark, "decontam")
+    placed = scratch.table(docs.select(F.monotonically_increasing_id().alias("__n"), *aside.take, text), "rows")
+    schema = T.StructType([T.StructField("__n", T.LongType()), T.StructField("__leaks", LEAKS)])
+    for k in range(slices):
+        index = index_of(k)
+        found = placed.select("__n", "__text").mapInArrow(_searched(index, ["__n"]), schema)
+        found.filter(F.size("__leaks") > 0).write.parquet(scratch.path(f"found/slice={k}"))
+        index.destroy()
+    by_slice = spark.read.schema(schema.add("slice", T.IntegerType())).parquet(scratch.path("found"))
+    met = by_slice.groupBy("__n").agg(F.array_sort(F.collect_list(F.struct("slice", "__leaks"))).alias("__by"))
+    met = met.select("__n", F.flatten(F.transform("__by", lambda x: x["__leaks"])).alias("__leaks"))
+    return placed.drop("__text").join(met, "__n", "left").select(
+        *aside.give, F.coalesce("__leaks", F.array().cast(LEAKS)).alias(leaks_col)
+    )
