@@ -359,7 +359,7 @@ def remove_repeats(
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    keyed = texts.withColumn("key", F.unhex(F.md5("text")))
+    keyed = texts.withColumn("key", F.unhex(F.sha2("text", 256)))
     rows = scratch.table(
         keyed.select("id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "rows"
     )
