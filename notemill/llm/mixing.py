@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from notemill.functions.arrays import let
+from notemill.llm.columns import Aside
 from notemill.llm.scratch import Scratch, partitions
 
 MAX_SOURCES = 100_000
@@ -231,7 +232,7 @@ def mix(
     go together. No document is drawn more than ``cap`` times, rounded up. A null text has size 0, a null
     source is a source of its own, and an empty table gives no rows. Documents of size 0
     go where their block goes. ``mixed`` has all columns of ``docs``; there, columns named
-    ``shard`` or ``place`` give way to the operator's. Over 100,000 sources are refused.
+    ``shard`` or ``place``, in any letter case, give way to the operator's. Over 100,000 sources are refused.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
@@ -287,14 +288,16 @@ def mix(
         )
         .withColumn("taken", F.col("size") * F.size("draws"))
     )
-    kept = [c for c in docs.columns if c not in ("shard", "place")]
+    aside = Aside(docs, "shard", "place")
+    under = {c.lower(): w for c, w in zip(aside.names, aside.working)}
+    named = [F.col(under[c.lower()]) for c in (id_col, text_col)]
     mixed = (
-        docs.withColumn("__block", block)
-        .join(keyed, F.col(source_col).cast("string").eqNullSafe(F.col("p_source")) & (F.col("__block") == F.col("p_block")))
-        .select(*kept, F.explode("draws").alias("__draw"))
+        docs.select(*aside.take, F.col(source_col).cast("string").alias("__source"), block.alias("__block"))
+        .join(keyed, F.col("__source").eqNullSafe(F.col("p_source")) & (F.col("__block") == F.col("p_block")))
+        .select(*aside.working, F.explode("draws").alias("__draw"))
         .select(
-            *kept, F.col("__draw.shard").alias("shard"),
-            F.xxhash64(F.lit(seed), F.col("__draw.shard"), F.col("__draw.pass"), F.col(id_col), F.col(text_col)).alias("place"),
+            *aside.give, F.col("__draw.shard").alias("shard"),
+            F.xxhash64(F.lit(seed), F.col("__draw.shard"), F.col("__draw.pass"), *named).alias("place"),
         )
     )
     return Mixture(rows, plan, mixed)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from notemill.llm.columns import Aside
 from notemill.llm.words import text_slices, word_hashes, words
 
 #: At most so many labelled rows are fitted, those whose hashed id is smallest.
@@ -188,13 +189,14 @@ def train(
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """Add ``score`` in (0, 1) to every row; a column of that name gives way.
+    """Add ``score`` in (0, 1) to every row; a column of that name, in any letter case, gives way.
 
     Every word of every text counts. A null text scores as an empty one, by its
     statistics alone; equal texts get equal scores. No rows give no rows.
     """
-    kept = [c for c in docs.columns if c != score_col]
-    rows = docs.select(*kept, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    aside = Aside(docs, score_col)
+    carried = aside.working
+    rows = docs.select(*aside.take, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # (BUCKETS + N_DENSE) x (RANK + 1) numbers
 
     def scored(batches):
@@ -204,7 +206,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
                 z = logits(shared.value, *features(data, offsets))
                 out[start:end] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             arrays = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(out)], names=[*kept, score_col])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(out)], names=[*carried, "__score"])
 
-    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(score_col, T.DoubleType())])
-    return rows.mapInArrow(scored, schema)
+    schema = T.StructType([*aside.fields, T.StructField("__score", T.DoubleType())])
+    return rows.mapInArrow(scored, schema).select(*aside.give, F.col("__score").alias(score_col))

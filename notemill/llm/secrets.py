@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from notemill.llm.columns import Aside
 from notemill.llm.scratch import Scratch
 
 #: At most so many documents with, and as many without, a pattern's match are learned from.
@@ -432,10 +433,11 @@ def scan(docs: DataFrame, field: Field, text_col: str = "text", findings_col: st
     """Add ``findings`` to every row: kind, start and end (code points, end exclusive).
 
     Whole texts are scanned; a null text is empty and has none. Equal texts have equal
-    findings; a column named ``findings`` gives way; no rows give no rows.
+    findings; a column named ``findings``, in any letter case, gives way; no rows give no rows.
     """
-    kept = [c for c in docs.columns if c != findings_col]
-    rows = docs.select(*kept, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    aside = Aside(docs, findings_col)
+    carried = aside.working
+    rows = docs.select(*aside.take, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(field)  # TABLE x 3 numbers
 
     def scanned(batches):
@@ -447,6 +449,7 @@ def scan(docs: DataFrame, field: Field, text_col: str = "text", findings_col: st
                 for text in batch.column(batch.num_columns - 1)
             ]
             arrays = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(found, kind)], names=[*kept, findings_col])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(found, kind)], names=[*carried, "__findings"])
 
-    return rows.mapInArrow(scanned, T.StructType([*[docs.schema[c] for c in kept], T.StructField(findings_col, FINDINGS)]))
+    found = rows.mapInArrow(scanned, T.StructType([*aside.fields, T.StructField("__findings", FINDINGS)]))
+    return found.select(*aside.give, F.col("__findings").alias(findings_col))
