@@ -17,7 +17,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notemill.functions.arrays import let
@@ -30,7 +30,7 @@ from notemill.operators.metrics import (
     prefix_metrics,
     seq_cls_metrics,
 )
-from notemill.runtime import stage
+from notemill.runtime import drop_path, fresh_path, stage
 
 
 def _regression(label: str, max_iter: int, **params) -> LogisticRegression:
@@ -39,6 +39,26 @@ def _regression(label: str, max_iter: int, **params) -> LogisticRegression:
     )
 
 
+def _without_summary(model: LogisticRegressionModel, spark: SparkSession) -> LogisticRegressionModel:
+    """The model written and read back, which leaves out the summary of its fit.
+
+    The summary of two classes holds the session. A model's scoring carries all of it to the tasks, and a session in
+    which any aggregate was observed cannot go there. More classes have no such summary.
+    """
+    if model.numClasses != 2:
+        return model
+    path = fresh_path(spark, "model")
+    model.write().save(path)
+    try:
+        return LogisticRegressionModel.load(path)
+    finally:
+        drop_path(spark, path)
+
+
+def _scoring(fitted: PipelineModel, spark: SparkSession) -> PipelineModel:
+    return PipelineModel([*fitted.stages[:-1], _without_summary(fitted.stages[-1], spark)])
+
+
 def fit_text_classifier(
     train: DataFrame,
     text_col: str = "text",
@@ -51,7 +71,7 @@ def fit_text_classifier(
     words = with_pieces(train.select(text_col, label_col), text_col).select("pieces", label_col)
     words = words.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return Pipeline(
+        fitted = Pipeline(
             stages=[
                 HashingTF(inputCol="pieces", outputCol="counts", numFeatures=n_features),
                 IDF(inputCol="counts", outputCol="features"),
@@ -60,6 +80,7 @@ def fit_text_classifier(
         ).fit(words)
     finally:
         words.unpersist()
+    return _scoring(fitted, train.sparkSession)
 
 
 def with_pieces(df: DataFrame, text_col: str) -> DataFrame:
@@ -109,10 +130,10 @@ def fit_linear_probe(
     fits can prepare and keep them once.
     """
     if "features" in df.columns:
-        return _regression(label_col, max_iter, **params).fit(df.select("features", label_col))
+        return _without_summary(_regression(label_col, max_iter, **params).fit(df.select("features", label_col)), df.sparkSession)
     rows = as_features(df, vector_col).select("features", label_col).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _regression(label_col, max_iter, **params).fit(rows)
+        return _without_summary(_regression(label_col, max_iter, **params).fit(rows), df.sparkSession)
     finally:
         rows.unpersist()
 
@@ -162,7 +183,7 @@ def fit_token_classifier(
     rows = token_features(sentences, tokens, tags, key).select("pieces", "tag_id")
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return Pipeline(
+        fitted = Pipeline(
             stages=[
                 HashingTF(inputCol="pieces", outputCol="features", numFeatures=n_features, binary=True),
                 _regression("tag_id", max_iter),
@@ -170,6 +191,7 @@ def fit_token_classifier(
         ).fit(rows)
     finally:
         rows.unpersist()
+    return _scoring(fitted, sentences.sparkSession)
 
 
 def predict_tags(model: PipelineModel, sentences: DataFrame, tokens: str, tags: str, key: list[str], names: list[str]) -> DataFrame:
