@@ -150,43 +150,71 @@ def _shape(token: Column) -> Column:
     return F.regexp_replace(marked, r"\p{N}+", "9")
 
 
-def token_features(sentences: DataFrame, tokens: str, tags: str | None, key: list[str]) -> DataFrame:
-    """One row per token with hashed-feature names: itself, shape, ending, neighbours."""
+def _token_facts(sentences: DataFrame, tokens: str, tags: str | None, key: list[str]) -> DataFrame:
+    """One row per token: itself, its tag and its neighbours' shapes. A shape is found once per token."""
 
     def rows(words: Column) -> Column:
         def row(token: Column, i: Column) -> Column:
-            before = F.coalesce(F.get(words, i - 1), F.lit("<s>"))
-            after = F.coalesce(F.get(words, i + 1), F.lit("</s>"))
-            pieces = F.array(
-                F.concat(F.lit("w="), token),
-                F.concat(F.lit("s="), _shape(token)),
-                F.concat(F.lit("e="), F.right(token, F.lit(3))),
-                F.concat(F.lit("p="), _shape(before)),
-                F.concat(F.lit("n="), _shape(after)),
+            return F.struct(
+                i.alias("pos"),
+                token["word"].alias("word"),
+                F.coalesce(F.get(words, i - 1)["shape"], F.lit(_START)).alias("before"),
+                F.coalesce(F.get(words, i + 1)["shape"], F.lit(_END)).alias("after"),
             )
-            return F.struct(i.alias("pos"), pieces.alias("pieces"))
 
         return F.transform(words, row)
 
+    shaped = F.transform(tokens, lambda t: F.struct(t.alias("word"), _shape(t).alias("shape")))
     tag_ids = F.col(tags) if tags else F.transform(tokens, lambda _: F.lit(None).cast("int"))
     tagged = F.zip_with(
-        let(F.col(tokens), rows),
+        let(shaped, rows),
         tag_ids,
-        lambda r, g: F.struct(r["pos"].alias("pos"), r["pieces"].alias("pieces"), g.alias("tag_id")),
+        lambda r, g: F.struct(
+            r["pos"].alias("pos"), r["word"].alias("word"), r["before"].alias("before"), r["after"].alias("after"), g.alias("tag_id")
+        ),
     )
     return sentences.select(*key, F.explode(tagged).alias("r")).select(*key, "r.*")
 
 
+#: Shapes of the marks ``<s>`` and ``</s>`` that stand for neighbours beyond a sentence.
+_START, _END = "<x>", "</x>"
+
+
+def _pieces() -> Column:
+    return F.array(
+        F.concat(F.lit("w="), "word"),
+        F.concat(F.lit("s="), _shape(F.col("word"))),
+        F.concat(F.lit("e="), F.right(F.col("word"), F.lit(3))),
+        F.concat(F.lit("p="), "before"),
+        F.concat(F.lit("n="), "after"),
+    ).alias("pieces")
+
+
+def token_features(sentences: DataFrame, tokens: str, tags: str | None, key: list[str]) -> DataFrame:
+    """One row per token with hashed-feature names: itself, shape, ending, neighbours."""
+    return _token_facts(sentences, tokens, tags, key).select(*key, "pos", _pieces(), "tag_id")
+
+
+def weighted_features(sentences: DataFrame, tokens: str, tags: str, key: list[str]) -> DataFrame:
+    """``token_features`` with tags, tokens of equal features and tag as one row with their number ``n``."""
+    facts = _token_facts(sentences, tokens, tags, key)
+    distinct = facts.groupBy("word", "before", "after", "tag_id").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return distinct.select(_pieces(), "tag_id", "n")
+
+
 def fit_token_classifier(
     sentences: DataFrame, tokens: str, tags: str, key: list[str], n_features: int = 1 << 14, max_iter: int = 10
 ) -> PipelineModel:
-    rows = token_features(sentences, tokens, tags, key).select("pieces", "tag_id")
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    """Every token counts, equal ones by a weight.
+
+    So the fit's rows, which it keeps and passes over again and again, grow with the vocabulary and not with the text.
+    """
+    rows = weighted_features(sentences, tokens, tags, key).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         fitted = Pipeline(
             stages=[
                 HashingTF(inputCol="pieces", outputCol="features", numFeatures=n_features, binary=True),
-                _regression("tag_id", max_iter),
+                _regression("tag_id", max_iter, weightCol="n"),
             ]
         ).fit(rows)
     finally:

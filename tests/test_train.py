@@ -46,6 +46,17 @@ def test_token_classifier(spark):
     assert got["eval_f1"] > 0.9 and got["eval_accuracy"] > 0.9
 
 
+def test_equal_tokens_are_one_weighted_row(spark):
+    rows = [(i, ["saw", f"Dr{i % 5}", "saw", "today"], [0, 1, 0, 0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, tokens array<string>, ids array<int>")
+    counted = train.weighted_features(df, "tokens", "ids", ["id"]).collect()
+    # The first and the second "saw" have other neighbours, the five names are words of their own.
+    assert len(counted) == 8 and sum(r["n"] for r in counted) == 160
+    every = train.token_features(df, "tokens", "ids", ["id"]).collect()
+    assert {(*r["pieces"], r["tag_id"]) for r in every} == {(*r["pieces"], r["tag_id"]) for r in counted}
+    assert ["w=saw", "s=x", "e=saw", "p=<x>", "n=Xx9"] in [r["pieces"] for r in counted]
+
+
 SPACE = {"rate": ("log_uniform", 1e-5, 1e-3), "mix": ("choice", [0.0, 0.5, 1.0])}
 
 
