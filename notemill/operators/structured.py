@@ -118,8 +118,41 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def likelihood(scores: np.ndarray, lengths: np.ndarray, steps: np.ndarray, gold: np.ndarray):
-    """Negative log-likelihood of the gold paths, with its slopes: ``[sentence, place, tag]`` and as ``steps``."""
+def _sums(scores: np.ndarray, lengths: np.ndarray, steps: np.ndarray):
+    """As ``_log_sums``, by products of shares that are scaled at each place; None where a share is too small for that.
+
+    One exponential a tag and place, where sums of logarithms take one for each pair of tags, three times over.
+    """
+    n, longest, k = scores.shape
+    inside = np.arange(longest) < lengths[:, None]
+    top = scores.max(2)
+    shares = np.exp(scores - top[:, :, None])
+    go, first = np.exp(steps[:-1]), np.exp(steps[-1])
+    forward, scale = np.empty_like(scores), np.ones((n, longest))
+    for t in range(longest):
+        live = inside[:, t]
+        reach = (first if t == 0 else forward[:, t - 1] @ go) * shares[:, t]
+        total = reach.sum(1)
+        if not np.all((total > 1e-200) & (total < 1e200), where=live):
+            return None
+        scale[live, t] = total[live]
+        forward[:, t] = np.where(live[:, None], reach / scale[:, t, None], forward[:, t - 1] if t else reach)
+    backward = np.ones_like(scores)
+    edges = np.zeros_like(steps)
+    for t in range(longest - 1, 0, -1):
+        ahead = shares[:, t] * backward[:, t] / scale[:, t, None] * inside[:, t, None]
+        edges[:-1] += forward[:, t - 1].T @ ahead
+        backward[:, t - 1] = np.where(inside[:, t, None], ahead @ go.T, backward[:, t])
+    if not np.isfinite(backward).all():
+        return None
+    nodes = forward * backward * inside[:, :, None]
+    edges[:-1] *= go
+    edges[-1] = nodes[:, 0].sum(0)
+    return np.log(scale).sum(1) + (top * inside).sum(1), nodes, edges
+
+
+def _log_sums(scores: np.ndarray, lengths: np.ndarray, steps: np.ndarray):
+    """Logarithm of the sum over all paths of each sentence, shares of tags at places, and of steps."""
     n, longest, k = scores.shape
     forward, backward = np.empty_like(scores), np.zeros_like(scores)
     forward[:, 0] = scores[:, 0] + steps[-1]
@@ -137,6 +170,15 @@ def likelihood(scores: np.ndarray, lengths: np.ndarray, steps: np.ndarray, gold:
     for t in range(1, longest):
         both = forward[:, t - 1, :, None] + steps[None, :-1] + (scores[:, t] + backward[:, t])[:, None, :] - total[:, None, None]
         edges[:-1] += (np.exp(both) * inside[:, t, None, None]).sum(0)
+    return total, nodes, edges
+
+
+def likelihood(scores: np.ndarray, lengths: np.ndarray, steps: np.ndarray, gold: np.ndarray):
+    """Negative log-likelihood of the gold paths, with its slopes: ``[sentence, place, tag]`` and as ``steps``."""
+    n, longest, k = scores.shape
+    inside = np.arange(longest) < lengths[:, None]
+    found = _sums(scores, lengths, steps)
+    total, nodes, edges = _log_sums(scores, lengths, steps) if found is None else found
     before = np.concatenate([np.full((n, 1), k), gold[:, :-1]], 1)
     row, place = np.nonzero(inside)
     true, prior = gold[inside], before[inside]

@@ -106,3 +106,16 @@ def test_nothing_to_learn(spark):
     assert legal(rows[0]["pred"]) and rows[1]["pred"] in (None, [])
     with pytest.raises(ValueError):
         structured.fit_tagger(none, TAGS, n_features=1 << 26)
+
+
+def test_scaled_sums_are_those_of_logarithms():
+    rng = np.random.default_rng(3)
+    tags = ["O", "B-A", "I-A", "B-B", "I-B"]
+    steps = np.where(structured.allowed(tags), rng.normal(0, 2, (6, 5)), structured._NEVER)
+    sizes = rng.integers(1, 12, 9)
+    scores = rng.normal(0, 5, (9, int(sizes.max()), 5))
+    for quick, exact in zip(structured._sums(scores, sizes, steps), structured._log_sums(scores, sizes, steps)):
+        np.testing.assert_allclose(quick, exact, rtol=1e-9, atol=1e-9)
+    scores[0, 0, 2] = 3000.0  # the start forbids this tag, so the shares of all others vanish beside it
+    assert structured._sums(scores, sizes, steps) is None
+    assert np.isfinite(structured.likelihood(scores, sizes, steps, np.zeros(scores.shape[:2], int))[0])
