@@ -507,7 +507,7 @@ def run_dir_scan(spark, sf):
     rows = _named_events(spark, sf).select(
         "task", "method", F.concat_ws(",", F.col("event_id").cast("string"), F.col("value").cast("string")).alias("value")
     )
-    rows.coalesce(1).write.partitionBy("task", "method").text(root)
+    rows.write.partitionBy("task", "method").text(root)
     found = readers.scan_run_dirs(spark, root, needle="part-")
     names = "task=([^/]*)/method=([^/]*)$"
     return found.select(*[F.regexp_extract("dir", names, k + 1).alias(c) for k, c in enumerate(("task", "method"))])
