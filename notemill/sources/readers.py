@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
-import pyarrow as pa
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -15,6 +16,7 @@ from notemill.functions.arrays import let
 from notemill.operators.rows import unroll
 from notemill.operators.runs import dirs_with
 from notemill.operators.spans import token_lines
+from notemill.runtime import fresh_path
 from notemill.sources import csvparts
 
 SPLITS = ("train", "validation", "test")
@@ -112,35 +114,55 @@ def _fragments(keep: int):
     earlier ranges left open, and a tail behind its last one. Such parts can be joined in any grouping.
     """
 
+    spaces = tx.SPACE_CHARS
+
     def run(batches):
-        at, held, n, kept = None, [], 0, []
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        at, held, n, kept = None, [], 0, None
 
-        def row(kind):
-            return (*kept, *at, n, kind, list(held))
+        def rows(ids, kinds, lines):
+            """Rows of the range at hand; the kept columns are those of its first line."""
+            size = len(ids)
+            same = [pa.repeat(v, size) for v in (*kept, *at)]
+            return pa.RecordBatch.from_arrays([*same, pa.array(ids, pa.int64()), pa.array(kinds, pa.int32()), lines], names=names)
+
+        def rest():
+            lines = pa.concat_arrays([a.cast(pa.string()) for a in held]) if held else pa.array([], pa.string())
+            return rows([n], [_OPEN if n else _MIDDLE], pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines))
 
         for batch in batches:
-            out = []
-            columns = [batch.column(k).to_pylist() for k in range(keep + 3)]
-            for values in zip(*columns):
-                here, line = values[keep : keep + 2], values[keep + 2]
+            names = [*batch.schema.names[:keep], "file", "block", "sent_id", "kind", "lines"]
+            lines = batch.column(keep + 2)
+            blank = pc.equal(pc.utf8_trim(lines, characters=spaces), "").to_numpy(zero_copy_only=False)
+            file, block = batch.column(keep).dictionary_encode().indices.to_numpy(), batch.column(keep + 1).to_numpy()
+            edges = np.flatnonzero((file[1:] != file[:-1]) | (block[1:] != block[:-1])) + 1
+            for first, last in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+                if first == last:
+                    continue
+                here = (batch.column(keep)[first], batch.column(keep + 1)[first])
                 if here != at:
                     if at is not None:
-                        out.append(row(_OPEN if n else _MIDDLE))
-                    at, held, n, kept = here, [], 0, values[:keep]
-                if line.strip(tx.SPACE_CHARS):
-                    held.append(line)
-                else:
-                    out.append(row(_DONE if n else _CLOSE))
-                    held, n = [], n + 1
-            if out:
-                yield _as_batch(out, batch.schema, keep)
+                        yield rest()
+                    at, held, n, kept = here, [], 0, [batch.column(k)[first] for k in range(keep)]
+                closes = np.flatnonzero(blank[first:last])
+                if not len(closes):
+                    held.append(lines.slice(first, last - first))
+                    continue
+                stop = int(closes[-1])
+                inner = lines.slice(first, stop + 1).filter(pa.array(~blank[first : first + stop + 1]))
+                before = sum(map(len, held))
+                # Of the lines up to a closing one, those that are not blank belong to sentences.
+                ends = before + closes - np.arange(len(closes))
+                flat = pa.concat_arrays([a.cast(pa.string()) for a in [*held, inner]])
+                kinds = np.full(len(closes), _DONE)
+                kinds[0] = _DONE if n else _CLOSE
+                yield rows(n + np.arange(len(closes)), kinds, pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), flat))
+                n += len(closes)
+                held = [lines.slice(first + stop + 1, last - first - stop - 1)]
         if at is not None:
-            yield _as_batch([row(_OPEN if n else _MIDDLE)], batch.schema, keep)
-
-    def _as_batch(rows, schema, keep):
-        kinds = [*[f.type for f in list(schema)[:keep]], pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())]
-        names = [*schema.names[:keep], "file", "block", "sent_id", "kind", "lines"]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+            yield rest()
 
     return run
 
