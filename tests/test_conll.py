@@ -214,3 +214,28 @@ def test_patient_of(spark):
     assert tuple(row) == (12, 180)
     name = spark.range(1).select(rd.doc_id_from_name(F.lit("r-1.con"), ".con"), rd.doc_id_from_name(F.lit("x.md"), ".con"))
     assert tuple(name.first()) == ("r-1", None)
+
+
+def test_files_dealt_over_folders(spark, tmp_path):
+    from notemill.sources import writers
+
+    notes = spark.createDataFrame([(f"n{i}", f"a b{i}\n" if i else None) for i in range(40)], "doc_id string, text string")
+    assert writers.folders_for(20_000) == 0 and writers.folders_for(20_001) == 3
+    path = str(tmp_path / "many")
+    assert writers.write_files(notes, path, ".txt", folders=4) == 40
+    assert writers.write_files(notes.limit(3), path, ".con", folders=4) == 3
+    assert sorted(p.name for p in (tmp_path / "many").iterdir()) == ["000000", "000001", "000002", "000003"]
+    read = {r["doc_id"]: r["tokens"] for r in rd.read_token_notes(spark, path).collect()}
+    assert read == {f"n{i}": ["a", f"b{i}"] for i in range(1, 40)}
+
+
+def test_compat_lines_in_small_batches(spark, tmp_path):
+    """Sentences over the borders of batches, kept as one; empty ones stay and the open last one goes."""
+    (tmp_path / "f.txt").write_text("a O\nb O\n\n \u2003\nc O\n\n\nd O")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        rows = rd.read_conll(spark, {"train": str(tmp_path / "f.txt")}, compat=True).orderBy("sent_id").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [r["tokens"] for r in rows] == [["a", "b"], [], ["c"], []]
