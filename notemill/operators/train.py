@@ -30,6 +30,7 @@ from notemill.operators.metrics import (
     prefix_metrics,
     seq_cls_metrics,
 )
+from notemill.operators.rows import unroll
 from notemill.runtime import drop_path, fresh_path, stage
 
 
@@ -173,7 +174,7 @@ def _token_facts(sentences: DataFrame, tokens: str, tags: str | None, key: list[
             r["pos"].alias("pos"), r["word"].alias("word"), r["before"].alias("before"), r["after"].alias("after"), g.alias("tag_id")
         ),
     )
-    return sentences.select(*key, F.explode(tagged).alias("r")).select(*key, "r.*")
+    return unroll(sentences, key, tagged, "r").select(*key, "r.*")
 
 
 #: Shapes of the marks ``<s>`` and ``</s>`` that stand for neighbours beyond a sentence.
