@@ -225,6 +225,8 @@ def test_files_dealt_over_folders(spark, tmp_path):
     assert writers.write_files(notes, path, ".txt", folders=4) == 40
     assert writers.write_files(notes.limit(3), path, ".con", folders=4) == 3
     assert sorted(p.name for p in (tmp_path / "many").iterdir()) == ["000000", "000001", "000002", "000003"]
+    (tmp_path / "many" / "_old").mkdir()
+    (tmp_path / "many" / "_old" / "gone.txt").write_text("x")
     read = {r["doc_id"]: r["tokens"] for r in rd.read_token_notes(spark, path).collect()}
     assert read == {f"n{i}": ["a", f"b{i}"] for i in range(1, 40)}
 
