@@ -74,6 +74,24 @@ def test_skipped_lines_hold_no_tags():
         assert tagger.spans(text) == spans
 
 
+def test_shape_of_a_token_takes_letters_and_digits_together():
+    for a, b in (("QXab83-kd92zz", "RMcd71-ab60cc"), ("Éclair", "Éstuar"), ("x7", "k3")):
+        assert s.token_features(a)[0] == s.token_features(b)[0], (a, b)
+    assert s.token_features("QXab83-kd92zz")[0] != s.token_features("qxab83-kd92zz")[0]
+
+
+def test_texts_tagged_together_as_each_alone():
+    rng = np.random.default_rng(9)
+    moves = rng.normal(size=(3, 3))
+    moves[2, 1] = s._FAR
+    field = s.Field(rng.normal(0, 0.4, size=(s.TABLE, 3)), moves)
+    texts = [" ".join(rng.choice(["a", "B1", "=", "zz9", "word", "\n", "é", "Tür"], rng.integers(0, 40))) for _ in range(300)] + ["", "\n"]
+    alone = [s.Tagger(field).spans(t) for t in texts]
+    assert any(alone) and list(s.Tagger(field).spans_of(texts)) == alone
+    small = s.Tagger(field, cache=5)  # forgets what it knows again and again
+    assert [x for t in texts for x in small.spans_of([t])] == alone
+
+
 def corpus(rng, n):
     word = lambda: "".join(rng.choices("etaoinshr", k=rng.randrange(2, 9)))
     rows, truth = [], {}
