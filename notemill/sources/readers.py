@@ -374,7 +374,7 @@ _ELEMENT = r"""<TAG(?:\s+[\w.:-]+\s*=\s*(?:"[^"]*"|'[^']*'))*\s*/?>"""
 def xml_rejects(parsed: DataFrame) -> DataFrame:
     """One row for each thing that ``parse_span_xml`` could not read: the file's columns and ``reason``."""
     rest = [c for c in parsed.columns if c not in ("text", "spans", "rejects")]
-    return parsed.select(*rest, F.explode("rejects").alias("reason"))
+    return unroll(parsed, rest, "rejects", "reason")
 
 
 def read_span_xml(

@@ -73,3 +73,9 @@ def test_large_samples_rank_only_the_buckets_they_need(spark, sf):
     rows = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
     plan = plan_of(sampling.few_shot(rows, "quality", 5000, "doc_id"))
     assert re.search(r"Join.*LeftSemi", plan) and "__bucket" in plan
+
+
+def test_rejects_are_read_once(spark, sf):
+    """A size filter on the computed rejects would read every file a second time, below its first step."""
+    plan = plan_of(QUERIES["xml_rejects"](spark, sf))
+    assert plan.count("from_xml(") == 1 and "Filter (size(" not in plan
