@@ -9,6 +9,7 @@ and no Python loop runs over spans, lines or words.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from notemill.functions.text import SPACE_CHARS
 
-_SLICE = 4_000_000
+#: Bytes of text that are painted, and handed on, at once; a longer text goes alone.
+_SLICE = 500_000
 
 _SPACE = np.zeros(max(map(ord, SPACE_CHARS)) + 2, bool)
 _SPACE[[ord(c) for c in SPACE_CHARS]] = True
@@ -138,8 +140,8 @@ def _lists(owner: np.ndarray, n: int, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), values)
 
 
-def label_batch(texts: pa.Array, spans: pa.Array, names: tuple[str, str], by_line: bool) -> pa.Array:
-    """Labelled words of each text, by its lines that have any (``by_line``) or as a whole.
+def label_slices(texts: pa.Array, spans: pa.Array, names: tuple[str, str], by_line: bool) -> Iterator[pa.Array]:
+    """Labelled words of each text, by its lines that have any (``by_line``) or as a whole, some texts at a time.
 
     ``spans`` hold ``span_idx``, ``type``, offsets under ``names`` and perhaps ``opens``. A null text has no words, a
     null list no spans.
@@ -152,8 +154,11 @@ def label_batch(texts: pa.Array, spans: pa.Array, names: tuple[str, str], by_lin
     known = types.dictionary.to_pylist()
     tags = pa.array(["O", *[f"B-{k}" for k in known], *[f"I-{k}" for k in known]], pa.string())
     lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
-    total = np.cumsum(lengths)
-    out, first = [], 0
+    total = np.cumsum(lengths, dtype=np.int64)
+    kind = pa.struct([("tokens", pa.list_(pa.string())), ("labels", pa.list_(pa.string()))])
+    if by_line:
+        kind = pa.list_(pa.struct([("line_no", pa.int32()), ("line_start", pa.int32()), *kind]))
+    first = 0
     while first < len(texts):
         # Texts up to a bound of bytes, or one text of any length.
         before = total[first] - lengths[first]
@@ -173,23 +178,27 @@ def label_batch(texts: pa.Array, spans: pa.Array, names: tuple[str, str], by_lin
                 ],
                 names=["line_no", "line_start", "tokens", "labels"],
             )
-            out.append(_lists(row[new], last - first, lines))
+            yield _lists(row[new], last - first, lines).cast(kind)
         else:
             both = [_lists(row, last - first, tokens), _lists(row, last - first, labels)]
-            out.append(pa.StructArray.from_arrays(both, names=["tokens", "labels"]))
+            yield pa.StructArray.from_arrays(both, names=["tokens", "labels"]).cast(kind)
         first = last
-    kind = pa.struct([("tokens", pa.list_(pa.string())), ("labels", pa.list_(pa.string()))])
-    if by_line:
-        kind = pa.list_(pa.struct([("line_no", pa.int32()), ("line_start", pa.int32()), *kind]))
-    return pa.concat_arrays([a.cast(kind) for a in out]) if out else pa.array([], kind)
+    if not len(texts):
+        yield pa.array([], kind)
+
+
+def label_batch(texts: pa.Array, spans: pa.Array, names: tuple[str, str], by_line: bool) -> pa.Array:
+    """All slices of ``label_slices`` in one array."""
+    return pa.concat_arrays(list(label_slices(texts, spans, names, by_line)))
 
 
 def labelled_lines():
     """Arrow function (text, spans with ``begin`` and ``end``) -> its lines that have words, with their labels."""
 
     @F.arrow_udf("array<struct<line_no:int,line_start:int,tokens:array<string>,labels:array<string>>>")
-    def lines(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        return label_batch(texts, spans, ("begin", "end"), True)
+    def lines(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, spans in batches:
+            yield from label_slices(texts, spans, ("begin", "end"), True)
 
     return lines
 
@@ -198,7 +207,8 @@ def labelled_words():
     """Arrow function (line, clips with ``lo``, ``hi`` and ``opens``) -> its words and labels."""
 
     @F.arrow_udf("struct<tokens:array<string>,labels:array<string>>")
-    def words(lines: pa.Array, clips: pa.Array) -> pa.Array:
-        return label_batch(lines, clips, ("lo", "hi"), False)
+    def words(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for lines, clips in batches:
+            yield from label_slices(lines, clips, ("lo", "hi"), False)
 
     return words

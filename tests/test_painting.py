@@ -80,3 +80,18 @@ def test_nested_spans_cost_no_more_than_their_characters():
     start = time.time()
     rows = _batch(["a" * size], spans)
     assert rows[0][0][3] == ["B-X"] and time.time() - start < 20
+
+
+def test_a_large_batch_is_handed_on_in_bounded_slices():
+    import pyarrow as pa
+
+    from notemill.operators import painting
+
+    texts = pa.array([f"word{k} 123 " * 2000 for k in range(60)] + [None, ""])
+    kind = pa.list_(pa.struct([("span_idx", pa.int32()), ("begin", pa.int32()), ("end", pa.int32()), ("type", pa.string())]))
+    spans = pa.array([[{"span_idx": 0, "begin": 0, "end": 5, "type": f"T{k % 3}"}] for k in range(60)] + [None, []], kind)
+    parts = list(painting.label_slices(texts, spans, ("begin", "end"), True))
+    longest = max(len(t.as_py() or "") for t in texts)
+    assert len(parts) > 1 and max(len(p) for p in parts) * longest <= 500_000 + 2 * longest
+    assert pa.concat_arrays(parts).equals(painting.label_batch(texts, spans, ("begin", "end"), True))
+    assert [p for part in parts for p in part.to_pylist()][3][0]["labels"][:2] == ["B-T0", "O"]
