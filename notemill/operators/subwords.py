@@ -8,7 +8,7 @@ holds the most frequent pairs with exact counts, and every job returns only how
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -368,18 +368,37 @@ class Trie:
         return _lists(ids[order], np.bincount(word, minlength=len(sizes)))
 
 
-def lookup(matcher: MergeTable | Trie):
-    """Arrow function ``array<string> -> array<array<int>>``; each distinct word of a batch is matched once."""
+#: Words that are matched, and handed on, at once; a longer array goes alone.
+_SLICE = 500_000
 
     @F.arrow_udf("array<array<int>>")
     def ids(words: pa.Array) -> pa.Array:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        coded = words.flatten().dictionary_encode()
+def coded_slices(matcher: MergeTable | Trie, words: pa.Array) -> Iterator[pa.Array]:
+    """Piece ids of arrays of words, some arrays at a time; each distinct word of these is matched once."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.list_value_length(words), 0).cast(pa.int64()).to_numpy()
+    total, first = np.cumsum(sizes), 0
+    while first < len(words):
+        last = max(first + 1, int(np.searchsorted(total, total[first] - sizes[first] + _SLICE, side="right")))
+        coded = words.slice(first, last - first).flatten().dictionary_encode()
         inner = matcher.match(coded.dictionary).take(coded.indices)
-        sizes = pc.fill_null(pc.list_value_length(words), 0).cast(pa.int32())
-        offsets = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(sizes)])
-        return pa.ListArray.from_arrays(offsets, inner)
+        offsets = np.concatenate([[0], np.cumsum(sizes[first:last])]).astype(np.int32)
+        yield pa.ListArray.from_arrays(pa.array(offsets), inner)
+        first = last
+    if not len(words):
+        yield pa.array([], pa.list_(pa.list_(pa.int32())))
+
+
+def lookup(matcher: MergeTable | Trie):
+    """Arrow function ``array<string> -> array<array<int>>``."""
+
+    @F.arrow_udf("array<array<int>>")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for words in batches:
+            yield from coded_slices(matcher, words)
 
     return ids

@@ -118,3 +118,16 @@ def test_lookups_keep_null_and_empty_rows(spark):
     ids = sw.lookup(sw.Trie(["[PAD]", "[UNK]", "ab", "##ab"], 1))
     got = {r["k"]: r["i"] for r in df.select("k", ids("w").alias("i")).collect()}
     assert got[1] == [[2], [2, 3]] and not got[2] and not got[3]
+
+
+def test_words_are_matched_and_handed_on_in_bounded_slices():
+    import pyarrow as pa
+
+    from notemill.operators import subwords
+
+    trie = subwords.Trie(["[PAD]", "[UNK]", "a", "##b", "ab"], 1)
+    words = pa.array([["ab", "abb", "x"] * 40_000] * 9 + [None, []], pa.list_(pa.string()))
+    parts = list(subwords.coded_slices(trie, words))
+    assert len(parts) > 1 and max(sum(len(r) for r in p.to_pylist()) for p in parts) <= 500_000
+    flat = [r for p in parts for r in p.to_pylist()]
+    assert len(flat) == 11 and flat[0][:3] == [[4], [4, 3], [1]] and flat[9:] == [[], []]
