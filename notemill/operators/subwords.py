@@ -21,6 +21,7 @@ from notemill.functions.arrays import let
 from notemill.runtime import drop_path, fresh_path
 
 INNER = "##"
+_BASES = 1024
 
 
 class Merge(NamedTuple):
@@ -310,11 +311,17 @@ class Trie:
                 low += 1
             at = max(low - int(children[0]), 0)
             while True:
-                if at + width >= len(taken):
-                    more = len(taken)
+                if at + width + _BASES >= len(taken):
+                    more = len(taken) + _BASES
                     base, check, value = (np.concatenate([a, np.full(more, f, np.int32)]) for a, f in ((base, 0), (check, -1), (value, -1)))
                     taken = np.concatenate([taken, np.zeros(more, bool)])
-                if not taken[at + children].any():
+                # Many bases are looked at together.
+                clash = np.zeros(_BASES, bool)
+                for c in children.tolist():
+                    clash |= taken[at + c : at + c + _BASES]
+                free = int(clash.argmin())
+                at += _BASES if clash[free] else free
+                if not clash[free]:
                     break
                 at += 1
             taken[at + children] = True

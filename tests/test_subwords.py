@@ -131,3 +131,16 @@ def test_words_are_matched_and_handed_on_in_bounded_slices():
     assert len(parts) > 1 and max(sum(len(r) for r in p.to_pylist()) for p in parts) <= 500_000
     flat = [r for p in parts for r in p.to_pylist()]
     assert len(flat) == 11 and flat[0][:3] == [[4], [4, 3], [1]] and flat[9:] == [[], []]
+
+
+def test_trie_of_many_pieces_is_placed_in_bounded_time():
+    import time
+
+    from notemill.operators import subwords
+
+    rng = random.Random(4)
+    tokens = sorted({"".join(rng.choices("abcdefghijklmnopqrstuvwxyzäöüéñABCDEFGH", k=rng.randint(1, 4))) for _ in range(30_000)})
+    began = time.process_time()
+    trie = subwords.Trie(tokens, -1)
+    assert time.process_time() - began < 5
+    assert [r[0] for r in trie.match(pa.array(tokens)).to_pylist()] == list(range(len(tokens)))
