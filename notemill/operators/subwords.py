@@ -144,6 +144,22 @@ def learn_merges(
     return merges
 
 
+def _pair_sums(symbols: pa.Array, n: np.ndarray) -> list[tuple[str, str, int]]:
+    """Counts of the adjacent symbols of some words."""
+    import pyarrow.compute as pc
+
+    parts = pc.split_pattern(pc.utf8_slice_codeunits(symbols, 1, -1), "><")
+    coded = parts.flatten().dictionary_encode()
+    code, size = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+    word = np.repeat(np.arange(len(n)), pc.list_value_length(parts).to_numpy())
+    inside = np.flatnonzero(word[1:] == word[:-1])
+    pairs, of = np.unique(code[inside] * size + code[inside + 1], return_inverse=True)
+    total = np.zeros(len(pairs), np.int64)
+    np.add.at(total, of, n[word[inside]])
+    names = coded.dictionary.to_pylist()
+    return [(names[p // size], names[p % size], t) for p, t in zip(pairs.tolist(), total.tolist())]
+
+
 def _changes(rows: DataFrame, pending: Sequence[Merge], merges: Sequence[Merge]) -> dict[int, list[tuple[str, str, int]]]:
     """How each of some merges, one after the other, changes the counts of pairs.
 
@@ -165,11 +181,10 @@ def _changes(rows: DataFrame, pending: Sequence[Merge], merges: Sequence[Merge])
             for i, m in enumerate(merges):
                 after = put(symbols, m)
                 changed = pc.not_equal(symbols, after)
+                times = n.filter(changed).to_numpy()
                 for sign, side in ((-1, symbols), (1, after)):
-                    for word, times in zip(side.filter(changed).to_pylist(), n.filter(changed).to_pylist()):
-                        parts = word[1:-1].split("><")
-                        for pair in zip(parts, parts[1:]):
-                            sums[i, *pair] = sums.get((i, *pair), 0) + sign * times
+                    for left, right, total in _pair_sums(side.filter(changed), times):
+                        sums[i, left, right] = sums.get((i, left, right), 0) + sign * total
                 symbols = after
         cells = [(*k, v) for k, v in sums.items() if v]
         if cells:
@@ -323,7 +338,6 @@ class Trie:
                 at += _BASES if clash[free] else free
                 if not clash[free]:
                     break
-                at += 1
             taken[at + children] = True
             base[slot[node]], check[at + children] = at, slot[node]
             for c, child in nodes[node].items():
@@ -378,10 +392,6 @@ class Trie:
 #: Words that are matched, and handed on, at once; a longer array goes alone.
 _SLICE = 500_000
 
-    @F.arrow_udf("array<array<int>>")
-    def ids(words: pa.Array) -> pa.Array:
-        import pyarrow as pa
-        import pyarrow.compute as pc
 
 def coded_slices(matcher: MergeTable | Trie, words: pa.Array) -> Iterator[pa.Array]:
     """Piece ids of arrays of words, some arrays at a time; each distinct word of these is matched once."""

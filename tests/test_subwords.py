@@ -144,3 +144,18 @@ def test_trie_of_many_pieces_is_placed_in_bounded_time():
     trie = subwords.Trie(tokens, -1)
     assert time.process_time() - began < 5
     assert [r[0] for r in trie.match(pa.array(tokens)).to_pylist()] == list(range(len(tokens)))
+
+
+def test_pair_sums_against_plain_counts():
+    from notemill.operators import subwords
+
+    rng = random.Random(6)
+    words = ["".join(f"<{'##' if i else ''}{c}>" for i, c in enumerate(rng.choices("aäb😀", k=rng.randint(1, 6)))) for _ in range(200)]
+    n = pa.array([rng.randint(1, 1 << 40) for _ in words])
+    want = {}
+    for word, times in zip(words, n.to_pylist()):
+        parts = word[1:-1].split("><")
+        for pair in zip(parts, parts[1:]):
+            want[pair] = want.get(pair, 0) + times
+    assert {(a, b): t for a, b, t in subwords._pair_sums(pa.array(words), n.to_numpy())} == want
+    assert subwords._pair_sums(pa.array([], pa.string()), n.to_numpy()[:0]) == []
