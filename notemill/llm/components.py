@@ -11,7 +11,7 @@ from notemill.llm.scratch import Scratch
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node links its smaller neighbours, and itself, to the least of them."""
     least = edges.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
-    moved = edges.join(least, F.col("u") == F.col("c")).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = edges.join(least.hint("merge"), F.col("u") == F.col("c")).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct()
 
 
@@ -20,14 +20,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy(F.col("u").alias("c")).agg(F.least(F.min("u"), F.min("v")).alias("m"))
     larger = edges.select(F.col("v").alias("n"), F.col("u").alias("w"))  # every w has n as a smaller neighbour
-    return larger.join(least, F.col("n") == F.col("c")).select(F.col("w").alias("u"), F.col("m").alias("v")).distinct()
+    return larger.join(least.hint("merge"), F.col("n") == F.col("c")).select(F.col("w").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "links") -> DataFrame:
     """(node, component) of every node with a link; the component is its least node.
 
     ``edges`` has columns ``a`` and ``b``; loops, repeats and nulls are left out. Each
-    round is written to the shared folder; the driver sees its size and checksum only.
+    round is written to the shared folder; the driver sees its size and checksum only, as no join is a broadcast.
     """
     now = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now, before, turn = scratch.table(now, f"{name}-0"), None, 0

@@ -183,7 +183,9 @@ def near_duplicates(
         "node", F.xxhash64("band", F.expr(f"substring(sig, band * {2 * ROWS} + 1, {2 * ROWS})")).alias("bucket")
     )
     hubs = keyed.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("count")).filter("count > 1")
-    met = scratch.table(keyed.join(hubs, "bucket"), "met")
+    # Spark rates a table without the factor of its explode, and stored ids and digests by their compressed size; joins whose
+    # sides grow with the documents are therefore told not to broadcast.
+    met = scratch.table(keyed.hint("merge").join(hubs, "bucket"), "met")
     pairs = scratch.table(met.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
     involved = met.select(F.col("node").alias("id")).distinct()
     sets = scratch.table(_sets(texts.filter("id IS NOT NULL"), involved, width), "sets")
@@ -207,7 +209,7 @@ def near_duplicates(
     links = scratch.table(_verified(with_sets, percent), "links")
     comps = scratch.table(components(links, scratch, "stars"), "components-1")
 
-    named = met.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = met.join(comps.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_buckets = named.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("count"), F.min("component").alias("lo"), F.max("component").alias("hi"), *_members()
     ).filter("lo <> hi AND count > 2")
@@ -225,13 +227,13 @@ def near_duplicates(
         steps = more.unionByName(comps.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
         final = scratch.table(components(steps, scratch, "stars-2"), "components-2")
     named_classes = scratch.table(
-        classes.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component")),
+        classes.select("digest", "node").join(final.hint("merge"), "node", "left").select("digest", F.coalesce("component", "node").alias("component")),
         "named",
     )
     scratch.drop("met", "pairs", "sets", "classes")
     return (
         signed.select("id", "n", "digest")
-        .join(named_classes, "digest", "left")
+        .join(named_classes.hint("merge"), "digest", "left")
         .select(
             F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
             F.coalesce("component", "id").alias("component_id"),

@@ -121,3 +121,22 @@ def test_odd_rows(spark):
     assert by[7] == [(1, 7, True)] and by[8] == [(1, 8, True)]
     assert sorted(by[None]) == [(0, None, True), (1, None, True)]
     assert neardup.near_duplicates(odd.none(spark)).count() == 0
+
+
+def test_joins_that_grow_with_the_documents_are_not_broadcast(spark, sf, monkeypatch):
+    """An exploded table is rated without its factor, and stored ids by their compressed size."""
+    plans, table = {}, Scratch.table
+
+    def seen(self, df, name):
+        plans[name] = plan_of(df)
+        return table(self, df, name)
+
+    monkeypatch.setattr(Scratch, "table", seen)
+    plans["result"] = plan_of(QUERIES["op5_near_dup"](spark, sf))
+    names = ["met", "named", "stars-1", "result"]
+    assert all("SortMergeJoin" in plans[n] for n in names)
+    assert not [n for n in names if "Broadcast" in plans[n]]
+
+
+def plan_of(df):
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
