@@ -40,7 +40,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = neardup.near_duplicates(keyed, width=5, percent=80, id_col="__key").filter("n_shingles > 0")
     groups = scratch.table(groups.select("__key", "component_id"), "groups")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.xxhash64(*hashable(aside).values()), "__key")
-    ranked = keyed.select("__key", order.alias("__order")).join(groups, "__key")
+    ranked = keyed.select("__key", order.alias("__order")).join(groups.hint("merge"), "__key")
     first = ranked.groupBy("component_id").agg(F.min("__order").alias("x")).select("x.__key")
     dropped = groups.select("__key").join(first, "__key", "left_anti")
     return keyed.join(dropped, "__key", "left_anti").select(*back)

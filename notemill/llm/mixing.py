@@ -266,8 +266,9 @@ def mix(
     runs = leaves.withColumn("__from", F.coalesce(F.sum("n").over(upto), F.lit(0))).filter("n > 0").select(
         "rank", "shard", F.explode(F.sequence(F.col("__from"), F.col("__from") + F.col("n") - 1)).alias("idx")
     )
+    # A row for each block of every source, which Spark rates as one for each shard: never to be broadcast.
     plan = scratch.table(
-        items.join(runs, ["rank", "idx"]).groupBy("source", "block").agg(
+        items.join(runs.hint("merge"), ["rank", "idx"]).groupBy("source", "block").agg(
             F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("draws")
         ),
         "plan",

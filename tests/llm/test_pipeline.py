@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 import odd
 from test_decontam import brute_distance
-from test_neardup import brute
+from test_neardup import brute, plan_of
 
 import corpus_pipeline as cp
 from notemill.llm import decontam, mixing, quality
@@ -91,3 +91,19 @@ def test_rows_that_share_an_id_are_dropped_only_where_linked(spark, sf):
     got = Counter((r["doc_id"], r["text"]) for r in cp.one_of_each(spark, docs, sf).collect())
     want = [(1, prose(1)), (1, prose(2)), (1, prose(3)), (2, prose(4)), (None, prose(5))]
     assert got == Counter([*want, *[r for r in rows if not (r[1] or "").strip()]])
+
+
+def test_groups_and_runs_of_blocks_are_not_broadcast(spark, sf, monkeypatch):
+    """Groups have a row for each document, and runs of blocks are exploded: Spark rates both too low."""
+    plans, table = {}, cp.Scratch.table
+
+    def seen(self, df, name):
+        plans[name] = plan_of(df)
+        return table(self, df, name)
+
+    monkeypatch.setattr(cp.Scratch, "table", seen)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = plan_of(cp.one_of_each(spark, docs, sf))
+    mixing.mix(docs)
+    assert "SortMergeJoin [__key#" in kept and "Broadcast" not in plans["met"]
+    assert "SortMergeJoin [rank#" in plans["plan"] and "Broadcast" not in plans["plan"]
