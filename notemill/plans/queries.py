@@ -434,7 +434,7 @@ def conll_roundtrip(spark, sf):
 def conll_compat(spark, sf):
     """Every line as a sentence, also those without words, read as sentences that blank lines close."""
     path = fresh_path(spark, "conll-compat")
-    rows = writers.conll_text(st.labelled_splits(spark, sf)).select("split", "value")
+    rows = writers.conll_text(st.labelled_splits(spark, sf, keep_blank=True)).select("split", "value")
     rows.write.partitionBy("split").option("lineSep", "\n\n").text(path)
     back = readers.read_conll(spark, path, compat=True)
     return back.select("split", F.array_join("tokens", " ").alias("tokens"), F.array_join("ner_tags_str", " ").alias("tags"))

@@ -129,9 +129,9 @@ def token_spans(spark: SparkSession, sf: str) -> DataFrame:
     return on_line.unionByName(over)
 
 
-def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    """Token lines with BIO labels; lines without tokens left out."""
-    lines = token_lines(spark, sf, keep_blank=False)
+def labelled(spark: SparkSession, sf: str, keep_blank: bool = False) -> DataFrame:
+    """Token lines with BIO labels; lines without tokens left out unless ``keep_blank``."""
+    lines = token_lines(spark, sf, keep_blank=keep_blank)
     return sp.label_token_spans(lines, token_spans(spark, sf))
 
 
@@ -139,8 +139,8 @@ def split_by_source(spark: SparkSession, sf: str) -> DataFrame:
     return group_split(table(spark, sf, "documents"), "source")
 
 
-def labelled_splits(spark: SparkSession, sf: str) -> DataFrame:
-    return assign_split(labelled(spark, sf), split_by_source(spark, sf), "source")
+def labelled_splits(spark: SparkSession, sf: str, keep_blank: bool = False) -> DataFrame:
+    return assign_split(labelled(spark, sf, keep_blank), split_by_source(spark, sf), "source")
 
 
 def annotated_notes(spark: SparkSession, sf: str) -> DataFrame:

@@ -241,3 +241,58 @@ def test_compat_lines_in_small_batches(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert [r["tokens"] for r in rows] == [["a", "b"], [], ["c"], []]
+
+
+def test_tasks_list_and_read_the_files_of_subfolders(spark, tmp_path, monkeypatch):
+    """The driver's reader of files is not asked, and the rows are those that it would give."""
+    odd = {"a b": "x\r\ny", "p%20q": "\ufeffz", "_k=v": "l", "_gone": "x", ".gone": "x", "é\u00a0#[]~": "Ä\n", "empty": "", "_metadata": "m"}
+    for k, (name, text) in enumerate(odd.items()):
+        (tmp_path / f"{k % 3}").mkdir(exist_ok=True)
+        (tmp_path / f"{k % 3}" / f"{name}.txt").write_bytes(text.encode())
+    (tmp_path / "0" / "folder.txt").mkdir()
+    (tmp_path / "1" / "other.con").write_text("c")
+    (tmp_path / "2" / "broken.txt").write_bytes(b"a\xffb")
+    raw = lambda df: sorted((r["doc_id"], bytes(r["t"])) for r in df.select("doc_id", F.col("text").cast("binary").alias("t")).collect())
+    staged = raw(rd._staged(spark, rd._subfolders(spark, str(tmp_path)), ".txt"))
+
+    def refused(*_):
+        raise AssertionError("files listed by the driver")
+
+    monkeypatch.setattr(rd, "_by_spark", refused)
+    monkeypatch.setattr(rd, "_HANDED_ON", 2)
+    assert raw(rd._whole_files(spark, str(tmp_path), ".txt")) == staged
+    assert len(staged) == 5
+
+
+def test_sentences_are_ordered_as_text(spark, tmp_path, monkeypatch):
+    """Neither tokens nor labels are moved to be ordered; an order by columns named as the writer's own holds."""
+    rows = [(s, f"v{i:03d}", [f"t{i}"], ["O"]) for i in range(30, 0, -1) for s in ("test", "train")]
+    df = spark.createDataFrame(rows, "split string, value string, tokens array<string>, labels array<string>")
+    moved, deal = [], type(df).repartitionByRange
+
+    def seen(self, *cols):
+        moved.append(self.dtypes)
+        return deal(self, *cols)
+
+    monkeypatch.setattr(type(df), "repartitionByRange", seen)
+    wr.write_conll(df, str(tmp_path / "out"), order=["value", "split"])
+    assert [kind for _, kind in moved[0]].count("array<string>") == 0
+    back = [r["tokens"][0] for r in rd.read_conll(spark, str(tmp_path / "out")).filter("split = 'test'").orderBy("file", "block", "sent_id").collect()]
+    assert back == [f"t{i}" for i in range(1, 31)]
+
+
+def test_compat_query_has_the_lines_without_words(spark, tmp_path):
+    import compare
+    import duckdb
+    from notemill.plans.oracles import ORACLES
+    from notemill.plans.queries import QUERIES
+
+    texts = ["Ann Lee wrote.\n\nCall 12345 now\n", "\n\nx@y.com\n \nBob ends.\nPat", None, "", "plain"]
+    rows = [(i, f"s{i}", "en", t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(ORACLES["conll_compat"]).fetchdf()
+    assert (want["tokens"] == "").sum() == 8
+    assert not compare.difference(QUERIES["conll_compat"](spark, str(tmp_path)).toPandas(), want)
