@@ -338,3 +338,19 @@ def test_overlapping_spans_against_brute_force(spark):
     apart = spark.createDataFrame(flat, "doc_id string, span_idx int, begin int, end int, type string")
     rows = sp.label_char_spans(frame.select("doc_id", "text"), apart).collect()
     assert sorted((r["doc_id"], r["line_no"], r["tokens"], r["labels"]) for r in rows) == want
+
+
+def test_tokens_travel_as_text_and_come_back_as_they_were(spark):
+    """Also null tokens, empty ones, ones with the mark, lines without tokens and without a list of them."""
+    m = sp._MARK
+    lists = [["a", "b c", "", "é"], [], None, [None], [None, f"x{m}y"], [f"{m}"], ["", ""], [""], ["a", None, "b"], [f"{m}a", "b"]]
+    rows = [("d", i, False, t) for i, t in enumerate(lists)]
+    lines = spark.createDataFrame(rows, "doc_id string, line_no int, leading_space boolean, tokens array<string>")
+    none = spark.createDataFrame([], "doc_id string, span_idx int, start_line int, start_pos int, end_line int, end_pos int, type string")
+    got = sp.label_token_spans(lines, none)
+    assert got.columns == [*lines.columns, "labels"]
+    by = {r["line_no"]: (r["tokens"], r["labels"]) for r in got.collect()}
+    assert {i: t for i, (t, _) in by.items()} == dict(enumerate(lists))
+    assert all(labels == ["O"] * len(t) for t, labels in by.values() if t is not None)
+    held = {r["line_no"] for r in sp._joined_tokens(lines).filter("tokens IS NULL AND __joined IS NOT NULL").collect()}
+    assert held == {0, 6, 7}
